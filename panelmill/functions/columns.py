@@ -63,8 +63,9 @@ def month_index(c: str | Column) -> Column:
     return F.year(c) * 12 + F.month(c)
 
 
-def rnd(c: str | Column, digits: int = 8) -> Column:
-    return F.round(col(c), digits)
+def rnd(c: str | Column, digits: int = 6) -> Column:
+    """Round for reports. The nudge of 1% of the last place keeps exact decimal ties from depending on summation order."""
+    return F.round(col(c) + F.lit(10.0 ** -(digits + 2)), digits)
 
 
 def uniform(*parts: str | int | Column) -> Column:

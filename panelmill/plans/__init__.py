@@ -5,6 +5,9 @@ import importlib
 MODULES = (
     "views",
     "daily_queries",
+    "source_queries",
+    "quality_queries",
+    "xsection_queries",
 )
 
 

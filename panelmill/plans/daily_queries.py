@@ -9,13 +9,13 @@ from panelmill.plans.registry import R, query, view
 
 @query("flagship_month_end_features", f"""
 SELECT country, sec_id, m, d AS endpoint_date, cur, obs_21, ret_obs_21, range_obs_21, max_gap_21,
-       {R('sigma_21')} AS sigma_21, {R('adv_21', 7)} AS adv_21, {R('range_21')} AS range_21,
+       {R('sigma_21')} AS sigma_21, {R('adv_21', 3)} AS adv_21, {R('range_21')} AS range_21,
        {R('CASE WHEN ret_obs_21 = 21 THEN sigma_21 END')} AS sigma_strict
 FROM features""")
 def flagship(t):
     return t.features.select(
         "country", "sec_id", "m", F.col("d").alias("endpoint_date"), "cur", "obs_21", "ret_obs_21", "range_obs_21", "max_gap_21",
-        rnd("sigma_21").alias("sigma_21"), rnd("adv_21", 7).alias("adv_21"), rnd("range_21").alias("range_21"),
+        rnd("sigma_21").alias("sigma_21"), rnd("adv_21", 3).alias("adv_21"), rnd("range_21").alias("range_21"),
         rnd(F.when(F.col("ret_obs_21") == 21, F.col("sigma_21"))).alias("sigma_strict"),
     )
 
@@ -91,13 +91,13 @@ def vendor_monthly(t):
 
 
 @query("f1_adjusted_prices", f"""
-SELECT sec_id, d, {R('adjusted_price', 10)} AS adjusted_price, {R('return_index', 10)} AS return_index,
-       {R('notional_reported', 7)} AS notional_reported, {R('notional_qunit', 7)} AS notional_qunit, {R('notional_usd', 7)} AS notional_usd
+SELECT sec_id, d, {R('adjusted_price', 6)} AS adjusted_price, {R('return_index', 6)} AS return_index,
+       {R('notional_reported', 3)} AS notional_reported, {R('notional_qunit', 3)} AS notional_qunit, {R('notional_usd', 3)} AS notional_usd
 FROM vendor_adj""")
 def f1(t):
     return vendor_adjusted(t).select(
-        "sec_id", "d", rnd("adjusted_price", 10).alias("adjusted_price"), rnd("return_index", 10).alias("return_index"),
-        *[rnd(c, 7).alias(c) for c in ("notional_reported", "notional_qunit", "notional_usd")],
+        "sec_id", "d", rnd("adjusted_price", 6).alias("adjusted_price"), rnd("return_index", 6).alias("return_index"),
+        *[rnd(c, 3).alias(c) for c in ("notional_reported", "notional_qunit", "notional_usd")],
     )
 
 
@@ -129,15 +129,15 @@ def f5(t):
 
 @query("f6_rolling_features", f"""
 SELECT sec_id, d, raw_obs_21, return_obs_21, volume_obs_21, ohlc_obs_21, {R('sigma_total_21')} AS sigma_total_21,
-       {R('sigma_price_21')} AS sigma_price_21, {R('adv_reported_21', 7)} AS adv_reported_21, {R('adv_qunit_21', 7)} AS adv_qunit_21,
-       {R('adv_usd_21', 7)} AS adv_usd_21, {R('hl_range_21')} AS hl_range_21, {R('amihud_qunit_21', 12)} AS amihud_qunit_21,
+       {R('sigma_price_21')} AS sigma_price_21, {R('adv_reported_21', 3)} AS adv_reported_21, {R('adv_qunit_21', 3)} AS adv_qunit_21,
+       {R('adv_usd_21', 3)} AS adv_usd_21, {R('hl_range_21')} AS hl_range_21, {R('amihud_qunit_21', 12)} AS amihud_qunit_21,
        {R('amihud_usd_21', 12)} AS amihud_usd_21, max_gap_days_21
 FROM vendor_roll""")
 def f6(t):
     return vendor_rolled(t).select(
         "sec_id", "d", "raw_obs_21", "return_obs_21", "volume_obs_21", "ohlc_obs_21",
         *[rnd(c).alias(c) for c in ("sigma_total_21", "sigma_price_21", "hl_range_21")],
-        *[rnd(c, 7).alias(c) for c in ("adv_reported_21", "adv_qunit_21", "adv_usd_21")],
+        *[rnd(c, 3).alias(c) for c in ("adv_reported_21", "adv_qunit_21", "adv_usd_21")],
         *[rnd(c, 12).alias(c) for c in ("amihud_qunit_21", "amihud_usd_21")], "max_gap_days_21",
     )
 
@@ -153,11 +153,11 @@ def f7(t):
     )
 
 
-@query("f8_month_endpoint", f"SELECT sec_id, m, d AS endpoint_date, prcstd, curcdd, {R('prccd', 10)} AS prccd FROM vendor_month")
+@query("f8_month_endpoint", f"SELECT sec_id, m, d AS endpoint_date, prcstd, curcdd, {R('prccd', 6)} AS prccd FROM vendor_month")
 def f8(t):
     px = daily.trading_days(t.vendor_daily)
     return daily.month_endpoint(px, keys=["sec_id"], date="d").select(
-        "sec_id", "m", F.col("d").alias("endpoint_date"), "prcstd", "curcdd", rnd("prccd", 10).alias("prccd")
+        "sec_id", "m", F.col("d").alias("endpoint_date"), "prcstd", "curcdd", rnd("prccd", 6).alias("prccd")
     )
 
 
@@ -208,7 +208,7 @@ SELECT sec_id, d, segment, pair_obs, CASE WHEN ar_any < 1e-6 THEN 0.0 ELSE {R('a
 FROM ar_daily""")
 def f11(t):
     # a mean of exact zeros may sum to a rounding residue whose square root is visible
-    flat = lambda c: F.when(F.col(c) < 1e-6, 0.0).otherwise(rnd(c, 7))
+    flat = lambda c: F.when(F.col(c) < 1e-6, 0.0).otherwise(rnd(c, 3))
     return ar_daily(t).select("sec_id", "d", "segment", "pair_obs", flat("ar_any").alias("ar_any"), flat("ar_strict").alias("ar_strict"))
 
 
@@ -229,22 +229,22 @@ def f12(t):
 
 @query("f13_strict_gate", f"""
 SELECT sec_id, m, {R('CASE WHEN return_obs_21 = 21 THEN sigma_total_21 END')} AS sigma_total_21,
-       {R('CASE WHEN volume_obs_21 = 21 THEN adv_qunit_21 END', 7)} AS adv_qunit_21
+       {R('CASE WHEN volume_obs_21 = 21 THEN adv_qunit_21 END', 3)} AS adv_qunit_21
 FROM vendor_month""")
 def f13(t):
     gated = daily.strict_gate(vendor_monthly(t), {"sigma_total_21": "return_obs_21", "adv_qunit_21": "volume_obs_21"})
-    return gated.select("sec_id", "m", rnd("sigma_total_21").alias("sigma_total_21"), rnd("adv_qunit_21", 7).alias("adv_qunit_21"))
+    return gated.select("sec_id", "m", rnd("sigma_total_21").alias("sigma_total_21"), rnd("adv_qunit_21", 3).alias("adv_qunit_21"))
 
 
 @query("f14_exact_date_fx", f"""
-SELECT v.sec_id, v.m, {R('x.usd_per_local')} AS usd_per_local, {R('adv_qunit_21 * x.usd_per_local', 7)} AS adv_qunit_21_usd,
+SELECT v.sec_id, v.m, {R('x.usd_per_local')} AS usd_per_local, {R('adv_qunit_21 * x.usd_per_local', 3)} AS adv_qunit_21_usd,
        {R('amihud_qunit_21 / x.usd_per_local', 12)} AS amihud_qunit_21_usd
 FROM vendor_month v LEFT JOIN fx_rates x ON v.d = x.d AND v.curcdd = x.cur""")
 def f14(t):
     ends = vendor_monthly(t).drop("usd_per_local")
     out = daily.attach_fx_exact(ends, t.fx_rates, date="d", currency="curcdd", multiply=["adv_qunit_21"], divide=["amihud_qunit_21"])
     return out.select(
-        "sec_id", "m", rnd("usd_per_local").alias("usd_per_local"), rnd("adv_qunit_21_usd", 7).alias("adv_qunit_21_usd"),
+        "sec_id", "m", rnd("usd_per_local").alias("usd_per_local"), rnd("adv_qunit_21_usd", 3).alias("adv_qunit_21_usd"),
         rnd("amihud_qunit_21_usd", 12).alias("amihud_qunit_21_usd"),
     )
 
@@ -448,7 +448,7 @@ def f26(t):
 
 
 @query("f27_statutory_reference_slice", f"""
-SELECT sec_id, m AS reference_date, {R('prchd', 10)} AS fmv_price_local, {R('prccd', 10)} AS close_price_local, curcdd AS currency, d AS endpoint_date,
+SELECT sec_id, m AS reference_date, {R('prchd', 6)} AS fmv_price_local, {R('prccd', 6)} AS close_price_local, curcdd AS currency, d AS endpoint_date,
        CASE WHEN prccd IS NULL OR prchd IS NULL THEN 'incomplete' WHEN d > DATE '1998-01-31' THEN 'forward_looking'
             WHEN curcdd <> 'BBB' THEN 'currency' WHEN prchd < prccd THEN 'price_order' END AS violation
 FROM vendor_month WHERE m = DATE '1998-01-31'""")
@@ -458,7 +458,7 @@ def f27(t):
         ends, date="m", on="1998-01-31", id="sec_id", endpoint="endpoint_date", close="prccd", high="prchd", currency="curcdd",
         expected_currency=F.lit("BBB"),
     )
-    return out.withColumn("fmv_price_local", rnd("fmv_price_local", 10)).withColumn("close_price_local", rnd("close_price_local", 10))
+    return out.withColumn("fmv_price_local", rnd("fmv_price_local", 6)).withColumn("close_price_local", rnd("close_price_local", 6))
 
 
 view("factor_months", """

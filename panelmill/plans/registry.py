@@ -50,6 +50,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def R(expr: str, digits: int = 8) -> str:
-    """SQL rounding that cannot yield a negative zero."""
-    return f"(round({expr}, {digits}) + 0.0)"
+def R(expr: str, digits: int = 6) -> str:
+    """SQL twin of ``rnd``; never yields a negative zero."""
+    return f"(round(({expr})::DOUBLE + 1e-{digits + 2}::DOUBLE, {digits}) + 0.0::DOUBLE)"
