@@ -8,6 +8,7 @@ bucket and adds the number of rows in lower buckets. ``split=None`` picks by the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,9 +21,13 @@ BUCKETS = 256
 
 
 def scanned_bytes(df: DataFrame) -> int:
-    """Bytes of the leaf relations of the plan (no job is run). Join estimates are ignored: they multiply."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    """Bytes of the distinct files and tables the plan reads; no job is run and the plan is not optimised."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes: dict[str, int] = {}
+    for i in range(leaves.length()):
+        leaf = leaves.apply(i)
+        sizes[re.sub(r"#\d+L?", "", leaf.simpleString(25))] = int(str(leaf.stats().sizeInBytes()))
+    return sum(sizes.values())
 
 
 def is_large(df: DataFrame, split: bool | None = None) -> bool:
@@ -179,3 +184,24 @@ def spearman(df: DataFrame, by: Sequence[str], a: str, b: str, min_n: int = 1, o
     )
     constant = (F.col("__a0") == F.col("__a1")) | (F.col("__c0") == F.col("__c1"))
     return grouped.filter(F.col("n") >= min_n).select(*by, "n", F.when(~constant, F.col(out)).alias(out))
+
+
+def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str, out: str = "wmedian") -> DataFrame:
+    """Smallest value at which the running weight share reaches one half.
+
+    Weights are first summed per value bucket; only the bucket that holds the crossing is sorted.
+    """
+    by = list(by)
+    rows = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
+    cells = _value_bucket(rows, by, value, False)
+    totals = cells.groupBy(*by, "__b").agg(F.sum(weight).alias("__w"))
+    run = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.select(
+        *by, "__b", (F.sum("__w").over(run) - F.col("__w")).alias("__off"), F.sum("__w").over(run).alias("__to"),
+        (F.sum("__w").over(Window.partitionBy(*by)) / 2).alias("__half"),
+    )
+    hit = totals.filter((F.col("__off") < F.col("__half")) & (F.col("__half") <= F.col("__to") * (1 + 1e-12)))
+    inside = _null_safe_join(cells, hit, [*by, "__b"])
+    local = Window.partitionBy(*by, "__b").orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+    reached = inside.withColumn("__c", F.col("__off") + F.sum(weight).over(local)).filter(F.col("__c") >= F.col("__half") * (1 - 1e-12))
+    return reached.groupBy(*by).agg(F.min(value).alias(out))

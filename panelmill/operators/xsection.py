@@ -26,6 +26,18 @@ def xs_rank(df: DataFrame, value: str, *, by: Sequence[str], id: str, out: str,
     return df.join(ranked, [*by, id], "left").select(*keep, F.col("__x").alias(out))
 
 
+def xs_rank_many(df: DataFrame, values: Sequence[str], *, by: Sequence[str], id: str, split: bool | None = None) -> DataFrame:
+    """``xs_rank`` of several columns in place. The split plan ranks them in one long pass, so plans do not nest."""
+    by = list(by)
+    if not is_large(df, split):
+        for v in values:
+            df = xs_rank(df, v, by=by, id=id, out=v, split=False)
+        return df
+    long = xs_rank(melt(df, [*by, id], values), "value", by=[*by, "signal"], id=id, out="x", split=True)
+    wide = long.groupBy(*by, id).pivot("signal", list(values)).agg(F.first("x"))
+    return df.drop(*values).join(wide, [*by, id]).select(*df.columns)
+
+
 def xs_z(
     df: DataFrame, value: str, *, by: Sequence[str], out: str, ddof: int, bound: float | None = None, missing_zero: bool = False,
     split: bool | None = None,

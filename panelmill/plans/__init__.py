@@ -8,6 +8,8 @@ MODULES = (
     "source_queries",
     "quality_queries",
     "xsection_queries",
+    "book_queries",
+    "inference_queries",
 )
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import finite, rnd
 from panelmill.operators import asof, daily
-from panelmill.plans.registry import R, query, view
+from panelmill.plans.registry import R, query, shared, view
 
 
 @query("flagship_month_end_features", f"""
@@ -56,16 +56,19 @@ view("vendor_month", """
   QUALIFY row_number() OVER (PARTITION BY sec_id, last_day(d) ORDER BY d DESC) = 1""")
 
 
+@shared
 def vendor_rates(t):
     return daily.cross_rate(daily.prefer_rate(t.fx_quotes))
 
 
+@shared
 def vendor_adjusted(t):
     px = daily.trading_days(t.vendor_daily)
     fx = vendor_rates(t).withColumnRenamed("cur", "curcdd")
     return daily.adjust_prices(px.join(fx, ["d", "curcdd"], "left"))
 
 
+@shared
 def vendor_returns(t):
     return daily.daily_returns(
         vendor_adjusted(t), keys=["sec_id"], date="d", currency="curcdd", price="adjusted_price", index="return_index",
@@ -73,6 +76,7 @@ def vendor_returns(t):
     )
 
 
+@shared
 def vendor_rolled(t):
     return daily.rolling_features(
         vendor_returns(t), keys=["sec_id"], date="d",
@@ -86,6 +90,7 @@ def vendor_rolled(t):
     )
 
 
+@shared
 def vendor_monthly(t):
     return daily.month_endpoint(vendor_rolled(t), keys=["sec_id"], date="d")
 
@@ -196,6 +201,7 @@ view("ar_daily", """
         WINDOW w AS (PARTITION BY sec_id, segment ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))""")
 
 
+@shared
 def ar_daily(t):
     return daily.abdi_ranaldo(
         daily.trading_days(t.vendor_daily), keys=["sec_id"], date="d", currency="curcdd", close="prccd", high="prchd", low="prcld"
@@ -212,6 +218,7 @@ def f11(t):
     return ar_daily(t).select("sec_id", "d", "segment", "pair_obs", flat("ar_any").alias("ar_any"), flat("ar_strict").alias("ar_strict"))
 
 
+@shared
 def edge_daily(t):
     return daily.edge_spread(
         daily.trading_days(t.vendor_daily), keys=["sec_id"], date="d", currency="curcdd",
@@ -287,6 +294,7 @@ view("mkt_daily", """
   WHERE s.n / e.n >= 0.1""")
 
 
+@shared
 def market_daily(t):
     members = daily.prior_month_members(t.monthly_px.filter("n_days >= 5").select("country", "sec_id", "m"))
     return daily.cap_weighted_return(
@@ -318,10 +326,12 @@ view("illiq_month", """
   GROUP BY 1, 2""")
 
 
+@shared
 def vol_month(t):
     return daily.vol_state(market_daily(t), country="country", date="d", ret="mkt_ret")
 
 
+@shared
 def illiq_month(t):
     ends = vendor_monthly(t).withColumn("illiq", F.col("amihud_qunit_21") * 1e6)
     return daily.illiq_state(
@@ -397,6 +407,7 @@ view("events_dated", """
          o_totalprice AS v, o_orderstatus <> 'F' AS ok FROM orders""")
 
 
+@shared
 def dated_events(t):
     return t.table("orders").select(
         "o_orderkey", F.to_date("o_orderdate").alias("ev"),
@@ -472,12 +483,14 @@ view("states", """
   WINDOW w AS (ORDER BY m)""")
 
 
+@shared
 def factor_months(t):
     return t.signals.groupBy("m").agg(
         F.avg("ret").alias("mkt"), F.avg(F.col("ret") * F.col("sig_disc")).alias("disc"), F.avg(F.col("ret") * F.col("sig_size")).alias("size")
     )
 
 
+@shared
 def states(t):
     return daily.derived_states(factor_months(t), month="m", ret="mkt", factors=["disc", "size"])
 

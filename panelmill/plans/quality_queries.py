@@ -8,11 +8,12 @@ from panelmill.functions import month_end, rnd
 from panelmill.operators import daily, quality
 from panelmill.operators.xsection import melt, tradeable
 from panelmill.plans.daily_queries import ar_daily, vendor_monthly, vendor_returns, vendor_rolled
-from panelmill.plans.registry import R, query, view
+from panelmill.plans.registry import R, query, shared, view
 from panelmill.plans.source_queries import universe
 from panelmill.sources.contracts import CONTRACTS, Col, Contract
 
 
+@shared
 def broken_universe(t):
     """The universe with faults on known rows: null sizes, a wrong industry code, mid-month dates, repeated keys."""
     u = universe(t)
@@ -76,6 +77,7 @@ def q5(t):
     )
 
 
+@shared
 def vintage(t):
     """The bars without some securities, with small price changes on others and some repeated rows."""
     px = t.daily_px.select("sec_id", "d", "cl", "notional").filter("sec_id % 17 <> 0")
@@ -284,6 +286,7 @@ view("mem_life", """
   FROM (SELECT sec_id, m, dense_rank() OVER (ORDER BY m) AS mi FROM mem) WINDOW w AS (PARTITION BY sec_id ORDER BY mi)""")
 
 
+@shared
 def members(t):
     return t.monthly_px.filter("n_days >= 6").select("sec_id", "m")
 
@@ -315,6 +318,7 @@ view("losses", """
   LEFT JOIN (SELECT sec_id, m FROM cost_inputs WHERE sigma_d IS NOT NULL) c ON b.sec_id = c.sec_id AND b.m = c.m WHERE w <> 0 GROUP BY 1, 2""")
 
 
+@shared
 def losses(t):
     book = t.monthly_px.filter("n_days >= 5").select(
         F.when(F.col("sec_id") % 2 == 0, "even").otherwise("odd").alias("book"), "sec_id", "m", F.when(F.month("m") % 4 == 0, 0.0).otherwise(0.01).alias("w")
@@ -343,10 +347,12 @@ view("runs", """
           WINDOW w AS (PARTITION BY sec_id ORDER BY mi)) WHERE NOT ok) GROUP BY sec_id, run""")
 
 
+@shared
 def gap_panel(t):
     return t.panel.withColumn("ok", F.col("sigma_d").isNotNull() & F.col("ret_next").isNotNull())
 
 
+@shared
 def runs(t):
     return quality.gap_runs(gap_panel(t), id="sec_id", month="m", ok="ok", carry=["in_universe"])
 
@@ -391,6 +397,7 @@ def q29(t):
     return quality.row_position(gap_panel(t), id="sec_id", month="m", ok="ok")
 
 
+@shared
 def support(t):
     """Two books over the panel, each name on every month from the first to the last of the panel."""
     p = daily.densify(t.panel.drop("country"), keys=["sec_id"], month="m")

@@ -38,11 +38,34 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+_MARKETS: dict[str, Market] = {}
+
+
+def market(spark: SparkSession, root: str) -> Market:
+    """One set of lazy views per session and folder: plans are built once, nothing is materialised."""
+    known = _MARKETS.get(root)
+    if known is None or known.spark is not spark:
+        known = _MARKETS[root] = Market(spark, root)
+    return known
+
+
+def shared(fn: Callable[[Market], DataFrame]) -> Callable[[Market], DataFrame]:
+    """Build the plan of a common sub-query once per market."""
+    key = f"{fn.__module__}.{fn.__qualname__}"
+
+    def once(t: Market) -> DataFrame:
+        if key not in t.plans:
+            t.plans[key] = fn(t)
+        return t.plans[key]
+
+    return once
+
+
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Market], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Market(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(market(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = with_views(sql)
         return fn

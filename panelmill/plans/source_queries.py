@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from panelmill.functions import rnd
-from panelmill.plans.registry import R, query, view
+from panelmill.plans.registry import R, query, shared, view
 from panelmill.sources import io
 
 
@@ -16,6 +16,7 @@ def fresh(t, name: str) -> str:
     return os.path.join(io.scratch_dir(t.spark), f"{name}-{uuid.uuid4().hex}")
 
 
+@shared
 def universe(t):
     """Universe contract columns from the monthly panel."""
     return t.monthly_px.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelmill.functions import month_end, rnd
 from panelmill.operators import xsection as xs
 from panelmill.plans.daily_queries import states
-from panelmill.plans.registry import R, query, view
+from panelmill.plans.registry import R, query, shared, view
 from panelmill.plans.views import xs_rank_sql
 
 SIGNALS = ["sig_disc", "sig_tax", "sig_vol", "sig_mom", "sig_size"]
@@ -23,6 +23,7 @@ def row_mean_sql(cols):
 view("themes", f"SELECT *, {', '.join(f'{row_mean_sql(s)} AS theme_{k}' for k, s in THEMES.items())} FROM signals")
 
 
+@shared
 def themed(t):
     return xs.theme_composites(t.signals, THEMES)
 

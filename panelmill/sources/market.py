@@ -7,12 +7,13 @@ columns it needs.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelmill.functions import finite, month_end, month_index, ratio, row_rank
+from panelmill.functions import month_index
 from panelmill.operators import daily
 
 
@@ -21,13 +22,50 @@ def _currency(sec: str, d: str) -> Column:
     return F.when(k == 0, "AAA").when(k == 1, "BBB").otherwise("CCC")
 
 
+def _month_totals() -> list[Column]:
+    return [
+        F.count(F.lit(1)).cast("long").alias("n_days"),
+        F.sum("notional").alias("me"),
+        F.round(F.avg("disc"), 10).alias("sig_disc"),
+        F.round(F.avg("tax"), 10).alias("sig_tax"),
+        F.avg(F.col("hi") - F.col("lo")).alias("sig_range"),
+        F.sum("vol").alias("sig_vol"),
+    ]
+
+
+def _certified(at) -> list[Column]:
+    return [
+        F.when(at("range_obs_21") == 21, at("range_21") + 0.001).alias("spread"),
+        F.when(at("ret_obs_21") == 21, at("sigma_21")).alias("sigma_d"),
+        F.when(at("obs_21") == 21, at("adv_21")).alias("adv_usd"),
+        F.lit(None).cast("double").alias("borrow_fee"),
+    ]
+
+
 class Market:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.plans: dict[str, DataFrame] = {}
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._tables[name]
+
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a stage's output as a table in the shared folder and continue from it.
+
+        Books, scores and panels feed several branches of one plan; without a stage each branch would scan the trades again.
+        """
+        if name not in self.plans:
+            from panelmill.sources.io import scratch_dir
+
+            path = f"{scratch_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            self.plans[name] = self.spark.read.schema(df.schema).parquet(path)
+        return self.plans[name]
 
     @cached_property
     def securities(self) -> DataFrame:
@@ -103,58 +141,54 @@ class Market:
 
     @cached_property
     def monthly_px(self) -> DataFrame:
-        return self.daily_px.groupBy("country", "sec_id", F.last_day("d").alias("m")).agg(
-            F.count(F.lit(1)).cast("long").alias("n_days"),
-            F.sum("notional").alias("me"),
-            F.max_by("cl", "d").alias("cl"),
-            F.round(F.avg("disc"), 10).alias("sig_disc"),
-            F.round(F.avg("tax"), 10).alias("sig_tax"),
-            F.avg(F.col("hi") - F.col("lo")).alias("sig_range"),
-            F.sum("vol").alias("sig_vol"),
-        )
+        return self.daily_px.groupBy("country", "sec_id", F.last_day("d").alias("m")).agg(*_month_totals(), F.max_by("cl", "d").alias("cl"))
 
     @cached_property
-    def features(self) -> DataFrame:
-        """Month-end endpoint of the 21-row daily statistics."""
-        px = self.daily_px.select("country", "sec_id", "d", "cur", "cl", "hi", "lo", "notional")
+    def rolled(self) -> DataFrame:
+        """Daily returns with their 21-row statistics."""
+        px = self.daily_px.select("country", "sec_id", "d", "cur", "cl", "hi", "lo", "vol", "notional", "disc", "tax")
         returns = daily.daily_returns(px, keys=["sec_id"], date="d", currency="cur", price="cl", high="hi", low="lo")
-        rolled = daily.rolling_features(
+        return daily.rolling_features(
             returns, keys=["sec_id"], date="d",
             counts={"obs_21": None, "ret_obs_21": "ret", "range_obs_21": "hl_range"},
             sds={"sigma_21": "ret"},
             means={"adv_21": "notional", "range_21": "hl_range"},
             maxes={"max_gap_21": "gap_days"},
         )
-        return daily.month_endpoint(rolled, keys=["sec_id"], date="d", out="m")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """Month-end endpoint of the 21-row daily statistics."""
+        return daily.month_endpoint(self.rolled, keys=["sec_id"], date="d", out="m")
 
     @cached_property
     def cost_inputs(self) -> DataFrame:
         """Certified month-end cost inputs: a value is kept only when its whole 21-row window was observed."""
-        return self.features.select(
-            "country", "sec_id", "m",
-            F.when(F.col("range_obs_21") == 21, F.col("range_21") + 0.001).alias("spread"),
-            F.when(F.col("ret_obs_21") == 21, F.col("sigma_21")).alias("sigma_d"),
-            F.when(F.col("obs_21") == 21, F.col("adv_21")).alias("adv_usd"),
-            F.lit(None).cast("double").alias("borrow_fee"),
-        )
+        return self.features.select("country", "sec_id", "m", *_certified(F.col))
 
     @cached_property
     def panel(self) -> DataFrame:
-        """Security-month panel with returns and cost inputs; a return needs both calendar months."""
+        """Security-month panel with returns and cost inputs; a return needs both calendar months.
+
+        Month totals and month-end statistics come from one grouping of the daily windows, which keeps their
+        partitioning by security: one scan, no join.
+        """
+        last = F.struct("cl", "range_obs_21", "range_21", "ret_obs_21", "sigma_21", "obs_21", "adv_21")
+        months = self.rolled.groupBy("country", "sec_id", F.last_day("d").alias("m")).agg(*_month_totals(), F.max_by(last, "d").alias("e"))
         w = Window.partitionBy("sec_id").orderBy("m")
         consecutive = lambda a, b: month_index(b) - month_index(a) == 1
-        priced = self.monthly_px.select(
-            "*",
-            F.lag("m").over(w).alias("__pm"), F.lag("cl").over(w).alias("__pc"),
-            F.lead("m").over(w).alias("__nm"), F.lead("cl").over(w).alias("__nc"),
+        priced = months.select(
+            "*", F.lag("m").over(w).alias("__pm"), F.lag("e.cl").over(w).alias("__pc"), F.lead("m").over(w).alias("__nm"),
+            F.lead("e.cl").over(w).alias("__nc"),
         )
-        priced = priced.select(
-            "country", "sec_id", "m", "n_days", (F.col("n_days") >= 5).alias("in_universe"), "me", F.col("cl").alias("price"),
+        close = F.col("e.cl")
+        return priced.select(
+            "sec_id", "m", "country", "n_days", (F.col("n_days") >= 5).alias("in_universe"), "me", close.alias("price"),
             "sig_disc", "sig_tax", "sig_range", "sig_vol",
-            F.when(consecutive(F.col("__pm"), F.col("m")), F.col("cl") / F.col("__pc") - 1).alias("ret"),
-            F.when(consecutive(F.col("m"), F.col("__nm")), F.col("__nc") / F.col("cl") - 1).alias("ret_next"),
+            F.when(consecutive(F.col("__pm"), F.col("m")), close / F.col("__pc") - 1).alias("ret"),
+            F.when(consecutive(F.col("m"), F.col("__nm")), F.col("__nc") / close - 1).alias("ret_next"),
+            *_certified(lambda c: F.col(f"e.{c}")),
         )
-        return priced.join(self.cost_inputs.drop("country"), ["sec_id", "m"], "left")
 
     @cached_property
     def signals(self) -> DataFrame:
@@ -163,11 +197,10 @@ class Market:
             "country", "sec_id", "m", "me", "price", "ret", "ret_next", "spread", "sigma_d", "adv_usd", "borrow_fee",
             "in_universe", "sig_disc", "sig_tax", "sig_vol", F.col("ret").alias("sig_mom"), F.col("me").alias("sig_size"),
         )
-        from panelmill.operators.xsection import xs_rank
+        from panelmill.operators.xsection import xs_rank_many
 
-        for name in ("sig_disc", "sig_tax", "sig_vol", "sig_mom", "sig_size"):
-            base = xs_rank(base, name, by=["m"], id="sec_id", out=name)
-        return base
+        names = ["sig_disc", "sig_tax", "sig_vol", "sig_mom", "sig_size"]
+        return self.stage("signals", xs_rank_many(base, names, by=["m"], id="sec_id"))
 
     @cached_property
     def trades(self) -> DataFrame:
@@ -203,9 +236,10 @@ class Market:
         """Months x 16 design cells, coded by four two-level letters."""
         bit = lambda b, on, off: F.when(F.col("p_partkey").bitwiseAND(b) == b, on).otherwise(off)
         cell = F.concat_ws("-", bit(1, "N", "L"), bit(2, "C", "S"), bit(4, "E", "P"), bit(8, "U", "0"))
-        return (
+        return self.stage(
+            "cells",
             self.table("lineitem")
             .join(self.table("part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
             .groupBy(F.last_day("l_shipdate").alias("m"), cell.alias("cell"))
-            .agg((F.avg("l_discount") - F.avg("l_tax") - 0.01).alias("r"))
+            .agg((F.avg("l_discount") - F.avg("l_tax") - 0.01).alias("r")),
         )
