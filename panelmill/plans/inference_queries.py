@@ -25,9 +25,9 @@ def hac_sql(source: str, by: list[str], order: str, values: dict[str, str]) -> s
         return f"d_{k} * d_{k} + {lags} AS g_{k}"
 
     g = ", ".join(term(k) for k in values)
-    out = ", ".join(f"avg(x_{k}) AS mean_{k}, CASE WHEN max(T) >= 3 THEN sqrt(greatest(sum(g_{k}) / max(T), 0) / max(T)) END AS se_{k}" for k in values)
-    return f"""SELECT {keys}{',' if by else ''} max(T) AS n, {out} FROM (SELECT *, {g} FROM (
-      SELECT *, greatest(least(floor(4 * pow(T / 100.0::DOUBLE, 2.0::DOUBLE / 9)), T - 2), 0) AS L, {d} FROM (SELECT *, count(*) OVER ({part}) AS T FROM {source}))) {f'GROUP BY {keys}' if by else ''}"""
+    out = ", ".join(f"avg(x_{k}) AS mean_{k}, CASE WHEN max(len_) >= 3 THEN sqrt(greatest(sum(g_{k}) / max(len_), 0) / max(len_)) END AS se_{k}" for k in values)
+    return f"""SELECT {keys}{',' if by else ''} max(len_) AS n, {out} FROM (SELECT *, {g} FROM (
+      SELECT *, greatest(least(floor(4 * pow(len_ / 100.0::DOUBLE, 2.0::DOUBLE / 9)), len_ - 2), 0) AS L, {d} FROM (SELECT *, count(*) OVER ({part}) AS len_ FROM {source}))) {f'GROUP BY {keys}' if by else ''}"""
 
 
 def influence_sql(source: str, by: list[str], values: dict[str, str]) -> str:
@@ -38,18 +38,18 @@ def influence_sql(source: str, by: list[str], values: dict[str, str]) -> str:
 
 
 def index_sql(source: str, b: int) -> str:
-    """Bootstrap positions for each series length of ``source`` (columns T)."""
+    """Bootstrap positions for each series length of ``source`` (columns len_)."""
     u = lambda tag: f"('0x' || substr(md5('0|' || b || '|' || t || '|{tag}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-    return f"""SELECT T, b, t, (last_value(s IGNORE NULLS) OVER w + t - last_value(f IGNORE NULLS) OVER w) % T AS idx FROM (
-      SELECT T, b, t, CASE WHEN t = 0 OR {u('r')} < 1 / 6.0::DOUBLE THEN CAST(floor({u('s')} * T) AS BIGINT) END AS s, CASE WHEN t = 0 OR {u('r')} < 1 / 6.0::DOUBLE THEN t END AS f
-      FROM (SELECT T, b, unnest(range(T)) AS t FROM (SELECT DISTINCT T FROM {source}), range({b}) r(b)))
-      WINDOW w AS (PARTITION BY T, b ORDER BY t ROWS UNBOUNDED PRECEDING)"""
+    return f"""SELECT len_, b, t, (last_value(s IGNORE NULLS) OVER w + t - last_value(f IGNORE NULLS) OVER w) % len_ AS idx FROM (
+      SELECT len_, b, t, CASE WHEN t = 0 OR {u('r')} < 1 / 6.0::DOUBLE THEN CAST(floor({u('s')} * len_) AS BIGINT) END AS s, CASE WHEN t = 0 OR {u('r')} < 1 / 6.0::DOUBLE THEN t END AS f
+      FROM (SELECT len_, b, unnest(range(len_)) AS t FROM (SELECT DISTINCT len_ FROM {source}), range({b}) r(b)))
+      WINDOW w AS (PARTITION BY len_, b ORDER BY t ROWS UNBOUNDED PRECEDING)"""
 
 
 def resample_sql(source: str, by: list[str], order: str, values: list[str], b: int) -> str:
     keys = ", ".join(by)
-    on = f"""(SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS pos, count(*) OVER (PARTITION BY {keys}) AS T FROM {source})"""
-    return f"SELECT {', '.join('s.' + k for k in by)}, i.b, i.t, {', '.join(values)} FROM {on} s JOIN ({index_sql(on, b)}) i ON s.T = i.T AND s.pos = i.idx"
+    on = f"""(SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS pos, count(*) OVER (PARTITION BY {keys}) AS len_ FROM {source})"""
+    return f"SELECT {', '.join('s.' + k for k in by)}, i.b, i.t, {', '.join(values)} FROM {on} s JOIN ({index_sql(on, b)}) i ON s.len_ = i.len_ AND s.pos = i.idx"
 
 
 def decide_sql(point: str, draws: str, by: list[str]) -> str:
@@ -123,8 +123,8 @@ def x4(t):
 
 
 @query("x5_backtest_overfitting", f"""
-WITH pos AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS t, count(*) OVER () AS T FROM (SELECT DISTINCT m FROM cell_returns)),
-blk AS (SELECT m, CASE WHEN t < (T % 8) * (T // 8 + 1) THEN t // (T // 8 + 1) ELSE T % 8 + (t - (T % 8) * (T // 8 + 1)) // greatest(T // 8, 1) END AS k FROM pos),
+WITH pos AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS t, count(*) OVER () AS len_ FROM (SELECT DISTINCT m FROM cell_returns)),
+blk AS (SELECT m, CASE WHEN t < (len_ % 8) * (len_ // 8 + 1) THEN t // (len_ // 8 + 1) ELSE len_ % 8 + (t - (len_ % 8) * (len_ // 8 + 1)) // greatest(len_ // 8, 1) END AS k FROM pos),
 s AS (SELECT cell, k, sum(r) AS s, count(*) AS c FROM cell_returns JOIN blk USING (m) GROUP BY 1, 2),
 masks AS (SELECT mask FROM range(256) x(mask) WHERE bit_count(mask) = 4),
 perf AS (SELECT mask, cell, sum(CASE WHEN (mask >> k) & 1 = 1 THEN s END) / sum(CASE WHEN (mask >> k) & 1 = 1 THEN c END) AS i, sum(CASE WHEN (mask >> k) & 1 = 0 THEN s END) / sum(CASE WHEN (mask >> k) & 1 = 0 THEN c END) AS o
@@ -136,7 +136,7 @@ def x5(t):
     return rounded(inf.pbo(t.cell_returns, order="m", unit="cell", value="r", n_splits=8), ["n_combinations", "n_strategies"], ["pbo", "median_logit"])
 
 
-@query("x6_bootstrap_index", f"""SELECT b, t, CAST(idx AS INTEGER) AS idx FROM ({index_sql('(SELECT count(DISTINCT m) AS T FROM cell_returns)', B)})""")
+@query("x6_bootstrap_index", f"""SELECT b, t, CAST(idx AS INTEGER) AS idx FROM ({index_sql('(SELECT count(DISTINCT m) AS len_ FROM cell_returns)', B)})""")
 def x6(t):
     lengths = t.cell_returns.agg(F.count_distinct("m").cast("int").alias("len"))
     return inf.bootstrap_index(lengths, B).select("b", "t", "idx")
@@ -332,7 +332,7 @@ def x20(t):
 
 
 view("capacity", f"""
-  SELECT s.*, q.months, gross_forgone, cost_saved, wealth_capped, CASE WHEN solvent THEN b.stat END AS B, CASE WHEN solvent THEN b.se END AS se, CASE WHEN solvent THEN b.p END AS p
+  SELECT s.*, q.months, gross_forgone, cost_saved, CASE WHEN solvent THEN wealth_capped END AS wealth_capped, CASE WHEN solvent THEN b.stat END AS B, CASE WHEN solvent THEN b.se END AS se, CASE WHEN solvent THEN b.p END AS p
   FROM (SELECT aum, min(net_ret_uncapped) AS min_uncapped, min(net_ret_capped) AS min_capped, count(DISTINCT CASE WHEN net_ret_uncapped <= -1 THEN cell END) AS cells_wiped,
                min(CASE WHEN net_ret_uncapped <= -1 THEN m END) AS first_wipeout, min(net_ret_uncapped) > -1 AND min(net_ret_capped) > -1 AS solvent FROM ladder GROUP BY 1) s
   JOIN (SELECT aum, count(*) AS months, 12 * avg(gross_ret_capped - gross_ret) AS gross_forgone, 12 * avg((gross_ret - net_ret_uncapped) - (gross_ret_capped - net_ret_capped)) AS cost_saved,
@@ -347,7 +347,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY solvent ORDER BY p, aum) AS r FR
     "FROM (SELECT *, row_number()", "FROM (SELECT *, max(a) OVER (PARTITION BY solvent ORDER BY r) AS hm FROM (SELECT *, least((count(p) OVER (PARTITION BY solvent) - r + 1) * p, 1.0) AS a FROM (SELECT *, row_number()") + "))")
 def x21(t):
     l = ladder(t).withColumn("g", F.lit(1))  # noqa: E741
-    out = st.capacity_effect(l, by=["g"], month="m", cell="cell", B=B)
+    out = st.capacity_effect(l, by=["g"], month="m", cell="cell", B=B).withColumn("wealth_capped", F.when(F.col("solvent"), F.col("wealth_capped")))
     return rounded(out, ["aum", "months", "solvent", "cells_wiped", "first_wipeout"], ["min_uncapped", "min_capped", "gross_forgone", "cost_saved", "wealth_capped", "B", "se", "p", "p_holm"], 5)
 
 
