@@ -68,33 +68,37 @@ def predict(terms: Sequence[str], coef: str = "coef", intercept: bool = True) ->
     return total
 
 
-def gram_blocks(df: DataFrame, *, by: Sequence[str], cols: Sequence[str], weight: str | None = None) -> DataFrame:
+def gram_blocks(df: DataFrame, *, by: Sequence[str], cols: Sequence[str], weight: str | None = None, vector: tuple[str, int] | None = None) -> DataFrame:
     """Cross-product matrix of many columns per group, as (by, i, row) where ``row`` is the i-th matrix row.
 
     Each task sums the outer products of its Arrow batches, so k*k numbers per task and group reach the shuffle.
-    Rows with a missing column must be filled or dropped before.
+    Rows with a missing column must be filled or dropped before. ``vector`` names an array column and its length, whose
+    elements come before ``cols``.
     """
     by, cols = list(by), list(cols)
     fields = [df.schema[b] for b in by]
     schema = T.StructType([*fields, T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType()))])
-    sent = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols], *([F.col(weight).alias("__w")] if weight else []))
+    sent = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols], *([F.col(weight).alias("__w")] if weight else []), *([F.col(vector[0]).alias("__v")] if vector else []))
+    size = len(cols) + (vector[1] if vector else 0)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for key, g in pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]:
                 x = g[cols].to_numpy(float)
+                if vector:
+                    x = np.hstack([np.stack(g["__v"].to_numpy()), x])
                 xw = x * g["__w"].to_numpy(float)[:, None] if weight else x
                 key = key if isinstance(key, tuple) else (key,)
                 total[key] = total.get(key, 0.0) + xw.T @ x
         for key, m in total.items():
-            out = pd.DataFrame({"i": np.arange(len(cols), dtype="int32"), "row": list(m)})
+            out = pd.DataFrame({"i": np.arange(size, dtype="int32"), "row": list(m)})
             for name, v in zip(by, key):
                 out[name] = v
             yield out[[*by, "i", "row"]]
 
     parts = sent.mapInPandas(partial, schema)
-    k = len(cols)
+    k = size
     sums = parts.groupBy(*by, "i").agg(*[F.sum(F.element_at("row", j + 1)).alias(f"s{j}") for j in range(k)])
     return sums.select(*by, "i", F.array(*[f"s{j}" for j in range(k)]).alias("row"))
 

@@ -115,11 +115,14 @@ def score_ic(df: DataFrame, signals: Sequence[str], cal: DataFrame, *, id: str,
 COEFS = T.ArrayType(T.DoubleType())
 
 
-def window_grams(df: DataFrame, cal: DataFrame, cols: Sequence[str], *, month: str, part: str = "train") -> DataFrame:
+def window_grams(
+    df: DataFrame, cal: DataFrame, cols: Sequence[str], *, month: str, part: str = "train", vector: tuple[str, int] | None = None
+) -> DataFrame:
     """(test_year, gram) of complete rows: monthly cross-products once, then summed over each window's months."""
-    monthly = linear.gram_blocks(df.select(month, *cols).dropna(), by=[month], cols=cols)
+    rows = df.select(month, *cols, *([vector[0]] if vector else [])).dropna()
+    monthly = linear.gram_blocks(rows, by=[month], cols=cols, vector=vector)
     joined = assign_split(monthly, cal, month=month).filter(F.col("part") == part)
-    k = len(cols)
+    k = len(cols) + (vector[1] if vector else 0)
     sums = joined.groupBy("test_year", "i").agg(F.array(*[F.sum(F.element_at("row", j + 1)) for j in range(k)]).alias("row"))
     return linear.matrices(sums, ["test_year"])
 
@@ -242,7 +245,7 @@ def score_gbt(df: DataFrame, signals: Sequence[str], cal: DataFrame, *, id: str,
 
 
 def rff_features(df: DataFrame, signals: Sequence[str], n_features: int, *, gamma: float | None = None, seed: int = 0) -> DataFrame:
-    """Random Fourier features sqrt(2/P) cos(xW + b) of standardised inputs as columns ``rff_*``; the map depends on the seed only."""
+    """Random Fourier features sqrt(2/P) cos(xW + b) of standardised inputs as an array column ``rff``; the map depends on the seed only."""
     d = len(signals)
     g = 1.0 / (2.0 * d) if gamma is None else gamma
     rng = np.random.default_rng(seed)
@@ -253,8 +256,7 @@ def rff_features(df: DataFrame, signals: Sequence[str], n_features: int, *, gamm
         z = np.stack(x.to_numpy())
         return pd.Series(list(np.sqrt(2.0 / n_features) * np.cos(z @ w + b)))
 
-    mapped = df.withColumn("__r", project(F.array(*[F.coalesce(s, F.lit(0.0)) for s in signals])))
-    return mapped.select(*df.columns, *[F.element_at("__r", i + 1).alias(f"rff_{i}") for i in range(n_features)])
+    return df.withColumn("rff", project(F.array(*[F.coalesce(s, F.lit(0.0)) for s in signals])))
 
 
 def score_rff(
@@ -266,16 +268,18 @@ def score_rff(
         id, month, target, *[clip((F.coalesce(F.col(s), F.lit(0.0)) - F.col(f"mu_{s}")) / F.col(f"sd_{s}"), -8, 8).alias(s) for s in signals]
     )
     rff = rff_features(z, signals, n_features, seed=seed)
-    names = [f"rff_{i}" for i in range(n_features)]
     size = assign_split(df.filter(F.col(target).isNotNull()).groupBy(month).agg(F.count(F.lit(1)).alias("n")), cal, month=month)
     size = size.filter("part = 'train'").groupBy("test_year").agg((F.lit(float(n_features)) / F.sum("n")).alias("complexity"))
     if penalty == "ridge":
-        coef = ridge_paths(rff, names, cal, month=month, target=target, penalties=[alpha])
-        test = rff.withColumn("test_year", F.year(month)).join(coef, "test_year").withColumn("score", linear.predict(names, intercept=False))
+        grams = window_grams(rff, cal, [target], month=month, vector=("rff", n_features))
+        coef = grams.select("test_year", _ridge("gram", F.lit(float(alpha))).alias("coef"))
+        dot = F.aggregate(F.zip_with("coef", "rff", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        test = rff.withColumn("test_year", F.year(month)).join(coef, "test_year").withColumn("score", dot)
         return test.join(size, "test_year").select(id, month, "test_year", "complexity", "score")
+    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import LinearRegression
 
-    rows = _assembled(assign_split(rff, cal, month=month), names)
+    rows = assign_split(rff.withColumn("features", array_to_vector("rff")), cal, month=month)
     out = None
     for r in cal.select("test_year").orderBy("test_year").collect():  # a few years
         y = rows.filter(F.col("test_year") == r["test_year"])

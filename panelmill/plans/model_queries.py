@@ -296,7 +296,7 @@ view("betas", """
   WITH o AS (SELECT m, mkt, row_number() OVER (ORDER BY m) AS i, CASE WHEN count(mkt) OVER w >= 24 THEN var_samp(mkt) OVER w END AS v FROM mkt_month WINDOW w AS (ORDER BY m ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)),
   x AS (SELECT p.sec_id, p.m, p.ret, o.mkt, o.i FROM panel p JOIN o ON p.m = o.m),
   c AS (SELECT sec_id, m, i, CASE WHEN count(ret) OVER w >= 24 THEN covar_samp(ret, mkt) OVER w END AS c FROM x WINDOW w AS (PARTITION BY sec_id ORDER BY i RANGE BETWEEN 36 PRECEDING AND 1 PRECEDING))
-  SELECT c.sec_id, c.m, coalesce(least(greatest(c.c / o.v, -1.5), 3.5), 1.0) AS beta FROM c LEFT JOIN o ON c.i = o.i + 1""")
+  SELECT c.sec_id, c.m, CASE WHEN c.c IS NULL OR o.v IS NULL THEN 1.0 ELSE least(greatest(c.c / o.v, -1.5), 3.5) END AS beta FROM c LEFT JOIN o ON c.i = o.i + 1""")
 
 
 @shared
@@ -336,9 +336,9 @@ def r3_residuals(t):
 
 view("two_factors", "SELECT m, avg(ret * sig_disc) AS f1, avg(ret * sig_size) AS f2 FROM signals WHERE ret IS NOT NULL GROUP BY 1")
 view("fcov", """
-  WITH p AS (SELECT *, row_number() OVER (ORDER BY m) AS i FROM two_factors), c AS (SELECT a.m AS asof, pow(0.5, (a.i - p.i) / 36.0::DOUBLE) AS w, p.f1, p.f2 FROM p JOIN p a ON p.i <= a.i),
-  mu AS (SELECT asof, sum(w) AS sw, sum(w * f1) / sum(w) AS m1, sum(w * f2) / sum(w) AS m2 FROM c GROUP BY 1)
-  SELECT c.asof AS m, sum(w * (f1 - m1) * (f1 - m1)) / max(sw) + 1e-6 AS c11, sum(w * (f1 - m1) * (f2 - m2)) / max(sw) AS c12, sum(w * (f2 - m2) * (f2 - m2)) / max(sw) + 1e-6 AS c22 FROM c JOIN mu ON c.asof = mu.asof GROUP BY 1""")
+  WITH p AS (SELECT *, row_number() OVER (ORDER BY m) AS i FROM two_factors), c AS (SELECT a.m AS as_of, pow(0.5, (a.i - p.i) / 36.0::DOUBLE) AS w, p.f1, p.f2 FROM p JOIN p a ON p.i <= a.i),
+  mu AS (SELECT as_of, sum(w) AS sw, sum(w * f1) / sum(w) AS m1, sum(w * f2) / sum(w) AS m2 FROM c GROUP BY 1)
+  SELECT c.as_of AS m, sum(w * (f1 - m1) * (f1 - m1)) / max(sw) + 1e-6 AS c11, sum(w * (f1 - m1) * (f2 - m2)) / max(sw) AS c12, sum(w * (f2 - m2) * (f2 - m2)) / max(sw) + 1e-6 AS c22 FROM c JOIN mu ON c.as_of = mu.as_of GROUP BY 1""")
 
 
 @shared
