@@ -11,6 +11,8 @@ MODULES = (
     "book_queries",
     "inference_queries",
     "model_queries",
+    "tax_queries",
+    "stream_queries",
 )
 
 
