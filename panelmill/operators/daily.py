@@ -175,7 +175,7 @@ def edge_spread(
         "tau": moved,
         "po": moved * ((v("o") != v("h")).cast("double") + (v("o") != v("l")).cast("double")),
         "pc": moved * ((v("c1") != v("h1")).cast("double") + (v("c1") != v("l1")).cast("double")),
-        "r1": v("m") - v("o"), "r2": v("o") - v("m1"), "r3": v("m") - v("c1"), "r4": v("c1") - v("m1"), "r5": v("o") - v("c1"),
+        "r1": F.when(v("c1").isNotNull(), v("m") - v("o")), "r2": v("o") - v("m1"), "r3": v("m") - v("c1"), "r4": v("c1") - v("m1"), "r5": v("o") - v("c1"),
     }
     rows = logs.select("*", *[e.alias(f"t_{k}") for k, e in terms.items()])
     t = lambda k: F.col(f"t_{k}")

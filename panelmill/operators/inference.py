@@ -221,9 +221,9 @@ def sharpe_diff(
 
     point = stat(rows, by, order).filter("n >= 12").withColumn("t", ratio("stat", "se"))
     draws = stat(resample(rows, by, order, ["__a", "__b"], B, block=block, salt=salt), [*by, "b"], "t")
-    both = draws.select(*by, "b", F.col("stat").alias("d"), F.col("se").alias("dse")).join(point, by)
-    both = both.withColumn("s", F.when(F.col("dse") > 0, (F.col("d") - F.col("stat")) / F.col("dse")))
-    tails = both.groupBy(*by).agg(*_tails(both, by, "d", "s"), F.sum((F.abs("s") >= F.abs("t")).cast("long")).alias("__hits"))
+    both = draws.select(*by, "b", F.col("stat").alias("__draw"), F.col("se").alias("__dse")).join(point, by)
+    both = both.withColumn("__stud", F.when(F.col("__dse") > 0, (F.col("__draw") - F.col("stat")) / F.col("__dse")))
+    tails = both.groupBy(*by).agg(*_tails(both, by, "__draw", "__stud"), F.sum((F.abs("__stud") >= F.abs("t")).cast("long")).alias("__hits"))
     return _decide(point.join(tails, by), by, ["sharpe_a", "sharpe_b"], plus_one)
 
 
@@ -241,9 +241,9 @@ def mean_diff(
 
     point = stat(rows, by, order).filter("n >= 12").withColumn("t", ratio("stat", "se"))
     draws = stat(resample(rows, by, order, ["__d"], B, block=block, salt=salt), [*by, "b"], "t")
-    both = draws.select(*by, "b", F.col("stat").alias("d"), F.col("se").alias("dse")).join(point, by)
-    both = both.withColumn("s", F.when(F.col("dse") > 0, (F.col("d") - F.col("stat")) / F.col("dse")))
-    tails = both.groupBy(*by).agg(*_tails(both, by, "d", "s"), F.sum((F.abs("s") >= F.abs("t")).cast("long")).alias("__hits"))
+    both = draws.select(*by, "b", F.col("stat").alias("__draw"), F.col("se").alias("__dse")).join(point, by)
+    both = both.withColumn("__stud", F.when(F.col("__dse") > 0, (F.col("__draw") - F.col("stat")) / F.col("__dse")))
+    tails = both.groupBy(*by).agg(*_tails(both, by, "__draw", "__stud"), F.sum((F.abs("__stud") >= F.abs("t")).cast("long")).alias("__hits"))
     return _decide(point.join(tails, by), by, [], plus_one)
 
 

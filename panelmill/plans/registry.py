@@ -49,6 +49,11 @@ def market(spark: SparkSession, root: str) -> Market:
     return known
 
 
+def forget() -> None:
+    """Drop the shared plans and stages, so that the next query builds its own."""
+    _MARKETS.clear()
+
+
 def shared(fn: Callable[[Market], DataFrame]) -> Callable[[Market], DataFrame]:
     """Build the plan of a common sub-query once per market."""
     key = f"{fn.__module__}.{fn.__qualname__}"
