@@ -75,11 +75,17 @@ def rank_ic(df: DataFrame, *, by: Sequence[str], month: str, score: str, target:
     return out
 
 
+def standardised(df: DataFrame, signals: Sequence[str], *, month: str, split: bool | None = None) -> DataFrame:
+    """``z_*`` columns of all signals from one set of monthly moments, missing as zero."""
+    moments = {f"mu_{s}": F.avg(s) for s in signals} | {f"sd_{s}": F.stddev_samp(s) for s in signals}
+    st = group_stats(df, [month], split=split, **moments)
+    z = lambda s: F.when(F.col(f"sd_{s}") > 1e-12, (F.col(s) - F.col(f"mu_{s}")) / F.col(f"sd_{s}"))
+    return st.select(*df.columns, *[F.coalesce(z(s), F.lit(0.0)).alias(f"z_{s}") for s in signals])
+
+
 def score_equal(df: DataFrame, signals: Sequence[str], *, month: str, split: bool | None = None) -> DataFrame:
     """Mean of the standardised signals, missing as zero."""
-    z = df
-    for s in signals:
-        z = xs.xs_z(z, s, by=[month], out=f"z_{s}", ddof=1, missing_zero=True, split=split)
+    z = standardised(df, signals, month=month, split=split)
     return z.withColumn("score", xs.row_mean([f"z_{s}" for s in signals]))
 
 
@@ -104,9 +110,7 @@ def score_ic(df: DataFrame, signals: Sequence[str], cal: DataFrame, *, id: str,
     """Test-year scores of IC-weighted standardised signals."""
     weights = ic_weights(df, signals, cal, id=id, month=month, target=target, split=split)
     wide = weights.groupBy("test_year").pivot("signal", list(signals)).agg(F.first("weight"))
-    z = df
-    for s in signals:
-        z = xs.xs_z(z, s, by=[month], out=f"z_{s}", ddof=1, missing_zero=True, split=split)
+    z = standardised(df, signals, month=month, split=split)
     test = z.withColumn("test_year", F.year(month)).join(wide.select("test_year", *[F.col(s).alias(f"w_{s}") for s in signals]), "test_year")
     score = sum((F.col(f"z_{s}") * F.coalesce(f"w_{s}", F.lit(0.0)) for s in signals[1:]), F.col(f"z_{signals[0]}") * F.coalesce(f"w_{signals[0]}", F.lit(0.0)))
     return test.select(id, month, "test_year", score.alias("score"))

@@ -30,8 +30,8 @@ def themed(t):
 
 @query("p1_cross_sectional_rank", f"SELECT sec_id, m, {R(xs_rank_sql('sig_range'))} AS rank_range, {R(xs_rank_sql('ret'))} AS rank_ret FROM panel")
 def p1(t):
-    out = xs.xs_rank(t.panel.select("sec_id", "m", "sig_range", "ret"), "sig_range", by=["m"], id="sec_id", out="rank_range")
-    out = xs.xs_rank(out, "ret", by=["m"], id="sec_id", out="rank_ret")
+    src = t.panel.select("sec_id", "m", F.col("sig_range").alias("rank_range"), F.col("ret").alias("rank_ret"))
+    out = xs.xs_rank_many(src, ["rank_range", "rank_ret"], by=["m"], id="sec_id")
     return out.select("sec_id", "m", rnd("rank_range").alias("rank_range"), rnd("rank_ret").alias("rank_ret"))
 
 
