@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.llm import bloom_lm, packing, repair, thresholds, toxicity, transducer
+from panelmill.llm import bloom_lm, dart, mixing, packing, repair, spans, srs, thresholds, toxicity, transducer
 from panelmill.llm.storage import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def op1_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_files(read(spark, sf_dir, "documents"), WORD_BPE, end=2)
 
 
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.report(read(spark, sf_dir, "documents"))
+
+
 def op3_risk_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thresholds.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -38,7 +42,23 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), BYTE_BPE, end=0, size=2048)
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart.classes(read(spark, sf_dir, "documents"))
+
+
+def op9_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(read(spark, sf_dir, "documents"))
+
+
+def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return srs.nearest(read(spark, sf_dir, "embeddings"), "embedding", every=20, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repair_files, op3_risk_thresholds, op4_bloom_lm, op5_subword_toxicity, op6_transducer_counts, op7_vector_packing)
-}
-ORACLES: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_repair_files, op2_sentence_spans, op3_risk_thresholds, op4_bloom_lm, op5_subword_toxicity, op6_transducer_counts, op7_vector_packing,
+        op8_dart_minhash, op9_hierarchical_mix, op10_stable_projections,
+    )
+}
+ORACLES: dict[str, str] = {"op9_hierarchical_mix": mixing.sql()}

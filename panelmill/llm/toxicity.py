@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from panelmill.llm.text import LOWER, arrow_schema, hashes, owner, prefix, slices, tables, utf8
 
@@ -199,6 +200,18 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan) -> tuple[np.ndarray, flo
     return np.frombuffer(model[0]["score"], np.float32), model[0]["bias"]
 
 
+def score_batch(column: pa.Array, value: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of class 1 of each text, from the model's number per bucket."""
+    buckets, edge, codes, bounds = bag(column)
+    total = np.concatenate(([0.0], np.cumsum(value[buckets])))
+    word = total[edge[1:]] - total[edge[:-1]]
+    pair, count = np.unique(owner(bounds) * max(len(word), 1) + codes, return_counts=True)
+    text, code = np.divmod(pair, max(len(word), 1))
+    weigh = np.log2(1 + count)
+    mean = np.bincount(text, weigh * word[code], len(column)) / (np.bincount(text, weigh * np.diff(edge)[code], len(column)) + PAD)
+    return 1 / (1 + np.exp(-np.clip(mean + bias, -40, 40)))
+
+
 def scores(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted. The model (BUCKETS numbers) is broadcast; texts are not shuffled."""
     weight, bias = fit(docs, labels, plan)
@@ -208,14 +221,21 @@ def scores(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = model.value.astype(np.float64)
         for batch in slices(batches, "text"):
-            buckets, edge, codes, bounds = bag(batch.column("text"))
-            total = np.concatenate(([0.0], np.cumsum(value[buckets])))
-            word = total[edge[1:]] - total[edge[:-1]]
-            pair, count = np.unique(owner(bounds) * max(len(word), 1) + codes, return_counts=True)
-            text, code = np.divmod(pair, max(len(word), 1))
-            weigh = np.log2(1 + count)
-            mean = np.bincount(text, weigh * word[code], batch.num_rows) / (np.bincount(text, weigh * np.diff(edge)[code], batch.num_rows) + PAD)
-            yield from tables(iter([{"doc_id": batch.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(mean + bias, -40, 40)))}]), arrow_schema(out))
+            yield from tables(iter([{"doc_id": batch.column("doc_id"), "score": score_batch(batch.column("text"), value, bias)}]), arrow_schema(out))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, out)
     return rows.select("doc_id", (~learning_rows(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below 0.5."""
+    weight, bias = fit(docs, labels, plan)
+    model = docs.sparkSession.sparkContext.broadcast(weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = model.value.astype(np.float64)
+        for batch in slices(batches, "text"):
+            yield batch.select(["row"]).filter(pa.array(score_batch(batch.column("text"), value, bias) < 0.5))
+
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return packed.mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
