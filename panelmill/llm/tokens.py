@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,30 @@ from panelmill.llm.text import segments, utf8
 KEPT = 800_000
 
 
+#: Segments of Latin letters, with one space or line break before them at most.
+PLAIN = re.compile("[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def lighter(path: str) -> tuple[object, bool] | None:
+    """A tokenizer of the same model for PLAIN segments, and whether they go to it stripped and in lower case.
+
+    Such a segment is one pre-token and in normal form, so that normalising and splitting it by patterns are steps without effect. None if
+    the file has other steps than those known here.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    pre, norm = spec["pre_tokenizer"], spec["normalizer"]
+    kinds = [n["type"] for n in norm.get("normalizers", [])] if norm else []
+    byte_level = norm is None and pre == level | {"use_regex": True}
+    word_level = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and "[\\p{L}]+" in pre["pretokenizers"][0]["pattern"].get("Regex", "") and pre["pretokenizers"][0]["invert"]
+    if not (byte_level or word_level):
+        return None
+    return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": level, "added_tokens": [], "truncation": None, "padding": None})), word_level
+
+
 class Encoder:
     """Ids of the texts of a column by the tokenizers library.
 
@@ -29,6 +55,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.light = lighter(path)
         self.clear()
 
     @classmethod
@@ -40,23 +67,28 @@ class Encoder:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.plain: dict[str, int] = {}
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.int32)
-        self.used = 0
+        self.stored = self.used = 0
 
-    def _add(self, news: list[str]) -> None:
-        groups = [news[at : at + 1000] for at in range(0, len(news), 1000)]
+    def _encoded(self, tokenizer, news: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each segment, and all ids."""
+        groups = [news[at : at + 200] for at in range(0, len(news), 200)]
         length, flat = [], []
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)):
+        for group, e in zip(groups, tokenizer.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)):
             owners, ids = e.word_ids, e.ids
             if None in owners:  # added tokens belong to no word
-                each = [x.ids for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                each = [x.ids for x in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
                 owners, ids = [i for i, x in enumerate(each) for _ in x], [i for x in each for i in x]
             length.append(np.bincount(np.array(owners, np.int64), minlength=len(group)))
             flat.append(np.array(ids, np.int32))
-        length, flat = np.concatenate(length), np.concatenate(flat)
-        at, n = len(self.place), len(news)
+        return np.concatenate(length), np.concatenate(flat)
+
+    def _store(self, tokenizer, news: list[str]) -> range:
+        length, flat = self._encoded(tokenizer, news)
+        at, n = self.stored, len(news)
         while at + n > len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
         while self.used + len(flat) > len(self.ids):
@@ -65,7 +97,24 @@ class Encoder:
         self.length[at : at + n] = length
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.place.update(zip(news, range(at, at + n)))
+        self.stored += n
+        return range(at, at + n)
+
+    def _add(self, news: list[str]) -> None:
+        if self.light:
+            light, fold = self.light
+            simple = [s for s in news if PLAIN.fullmatch(s)]
+            forms = [s.strip().lower() for s in simple] if fold else simple
+            known = self.plain if fold else self.place
+            first = list(dict.fromkeys(f for f in forms if f not in known))
+            for at in range(0, len(first), 50_000):
+                part = first[at : at + 50_000]
+                known.update(zip(part, self._store(light, part)))
+            self.place.update(zip(simple, map(known.__getitem__, forms)))
+            news = [s for s in news if s not in self.place]
+        for at in range(0, len(news), 50_000):
+            part = news[at : at + 50_000]
+            self.place.update(zip(part, self._store(self.tokenizer, part)))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each text's ids among them; null texts are empty."""
@@ -76,8 +125,7 @@ class Encoder:
         if len(self.place) > KEPT:
             self.clear()
         news = [s for s in distinct if s not in self.place]
-        for at in range(0, len(news), 50_000):
-            self._add(news[at : at + 50_000])
+        self._add(news)
         where = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         length = self.length[where]
         total = np.zeros(len(where) + 1, np.int64)
