@@ -93,7 +93,7 @@ def dart_signatures(element: np.ndarray, weight: np.ndarray, bounds: np.ndarray)
             rank = np.zeros(len(at))
             n = 0
             while len(live):
-                seed = mix(element[live] + np.uint64((piece << 40) + n + 1) * np.uint64(0xD1B54A32D192ED03))
+                seed = mix(element[live] + np.uint64(((piece << 40) + n + 1) * 0xD1B54A32D192ED03 % 2**64))
                 rank = rank - np.log(uniform(seed)) / (high - low)
                 on = rank <= limit
                 live, rank, limit, seed = live[on], rank[on], limit[on], seed[on]
