@@ -1,48 +1,52 @@
 """Sequential learners over monthly series: drift detection and expert aggregation, in batch.
 
-A series is one row per month, so a group is bounded by the calendar. The state transitions are shared with the streams.
+A series is one row per month, so a group is bounded by the calendar. Everything is written over whole arrays: the Page-Hinkley statistics
+are reflected random walks, which a running minimum gives without a step-by-step state, and the aggregator's weights are a softmax of summed
+gains as long as nothing is shared or floored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.functions import ratio
-
-
-@dataclass
-class Drift:
-    """Two-sided Page-Hinkley test; ``state`` is (n, mean, falling sum, its peak, rising sum, its trough)."""
-
-    delta: float = 0.002
-    threshold: float = 0.05
-    burn_in: int = 24
-    state: list[float] = field(default_factory=lambda: [0.0] * 6)
-
-    def update(self, x: float) -> tuple[str, float] | None:
-        n, mean, down, peak, up, trough = self.state
-        n += 1
-        mean += (x - mean) / n
-        hit = None
-        if n > self.burn_in:
-            down += x - mean + self.delta
-            peak = max(peak, down)
-            up += x - mean - self.delta
-            trough = min(trough, up)
-            if peak - down > self.threshold:
-                hit = ("decline", peak - down)
-            elif up - trough > self.threshold:
-                hit = ("improvement", up - trough)
-            if hit:
-                down = peak = up = trough = 0.0
-        self.state = [n, mean, down, peak, up, trough]
-        return hit
+#: Observations, their sum, and the two statistics of a series that has not begun.
+UNSEEN = (0.0, 0.0, 0.0, 0.0)
+
+
+def reflected(steps: np.ndarray, start: float) -> np.ndarray:
+    """Walk that adds ``steps`` to ``start`` and is kept from falling below zero."""
+    walk = np.cumsum(steps)
+    return walk - np.minimum(np.minimum.accumulate(walk), -start)
+
+
+def page_hinkley(x: np.ndarray, delta: float, threshold: float, burn_in: int, past: tuple = UNSEEN) -> tuple[list[tuple[int, str, float]], tuple]:
+    """Alarms (position, direction, statistic) of the two-sided test, and what the next rows of the series have to know.
+
+    Deviations are taken from the mean of all observations so far; the first ``burn_in`` only feed the mean. After an alarm both statistics
+    start from zero, the mean goes on.
+    """
+    count, total, fall, rise = past
+    n = count + np.arange(1, len(x) + 1)
+    off = x - (total + np.cumsum(x)) / n
+    down, up = np.where(n > burn_in, -off - delta, 0.0), np.where(n > burn_in, off - delta, 0.0)
+    alarms, at = [], 0
+    while at < len(x):
+        falls, rises = reflected(down[at:], fall), reflected(up[at:], rise)
+        over = np.flatnonzero((falls > threshold) | (rises > threshold))
+        if not len(over):
+            fall, rise = float(falls[-1]), float(rises[-1])
+            break
+        k = int(over[0])
+        alarms.append((at + k, "decline", float(falls[k])) if falls[k] > threshold else (at + k, "improvement", float(rises[k])))
+        fall = rise = 0.0
+        at += k + 1
+    return alarms, (count + len(x), total + float(x.sum()), fall, rise)
 
 
 def _typed(df: DataFrame, cols: Sequence[str]) -> str:
@@ -53,78 +57,87 @@ def drift(df: DataFrame, *, by: Sequence[str], order: str, value: str, delta: fl
     """Change points of every series: (by, order, direction, statistic)."""
     by = list(by)
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        test, rows = Drift(delta, threshold, burn_in), []
-        for when, x in pdf.dropna(subset=[value]).sort_values(order)[[order, value]].itertuples(index=False):
-            hit = test.update(float(x))
-            if hit:
-                rows.append((*key, when, *hit))
-        return pd.DataFrame(rows, columns=[*by, order, "direction", "statistic"])
+    def find(key, series: pd.DataFrame) -> pd.DataFrame:
+        series = series.dropna(subset=[value]).sort_values(order)
+        alarms, _ = page_hinkley(series[value].to_numpy(float), delta, threshold, burn_in)
+        return pd.DataFrame([(*key, series[order].iloc[k], *what) for k, *what in alarms], columns=[*by, order, "direction", "statistic"])
 
-    return df.select(*by, order, value).groupBy(*by).applyInPandas(walk, f"{_typed(df, [*by, order])}, direction string, statistic double")
+    return df.select(*by, order, value).groupBy(*by).applyInPandas(find, f"{_typed(df, [*by, order])}, direction string, statistic double")
 
 
 def calibrate_drift(df: DataFrame, *, by: Sequence[str], order: str, value: str, grid: Sequence[float], target: float = 1.0, delta: float = 0.002) -> DataFrame:
-    """Threshold whose false-alarm rate per decade is nearest the target; the first of the grid on ties."""
+    """Threshold whose false-alarm rate per decade is nearest the target; the smallest on ties.
+
+    The burn-in is two years, or a third of a shorter series.
+    """
     by = list(by)
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.dropna(subset=[value]).sort_values(order)[value].to_numpy(float)
-        years, rows = max(len(x) / 12.0, 1e-9), []
-        for thr in grid:
-            test = Drift(delta, thr, min(24, len(x) // 3))
-            rate = sum(test.update(v) is not None for v in x) / years * 10.0
-            rows.append((*key, thr, rate, abs(rate - target)))
-        return pd.DataFrame(rows, columns=[*by, "threshold", "rate", "gap"])
+    def rates(key, series: pd.DataFrame) -> pd.DataFrame:
+        x = series.dropna(subset=[value]).sort_values(order)[value].to_numpy(float)
+        found = [len(page_hinkley(x, delta, level, min(24, len(x) // 3))[0]) for level in grid]
+        per_decade = 120.0 * np.array(found) / max(len(x), 1e-9)
+        return pd.DataFrame({**dict(zip(by, key)), "threshold": list(grid), "rate": per_decade, "gap": np.abs(per_decade - target)})
 
-    rates = df.select(*by, order, value).groupBy(*by).applyInPandas(walk, f"{_typed(df, by)}, threshold double, rate double, gap double")
-    return rates.groupBy(*by).agg(F.min_by(F.struct("threshold", "rate"), F.struct("gap", "threshold")).alias("b")).select(*by, "b.threshold", "b.rate")
+    each = df.select(*by, order, value).groupBy(*by).applyInPandas(rates, f"{_typed(df, by)}, threshold double, rate double, gap double")
+    return each.groupBy(*by).agg(F.min_by(F.struct("threshold", "rate"), F.struct("gap", "threshold")).alias("b")).select(*by, "b.threshold", "b.rate")
 
 
-def refit_schedule(months: DataFrame, events: DataFrame, *, by: Sequence[str], month: str, every: int = 12) -> DataFrame:
-    """Months on which a calendar rule and a drift rule refit."""
-    w = Window.partitionBy(*by).orderBy(month)
-    hits = events.select(*by, month).distinct().withColumn("__hit", F.lit(True))
-    rows = months.withColumn("calendar_refit", (F.row_number().over(w) - 1) % every == 0)
-    return rows.join(hits, [*by, month], "left").select(*by, month, "calendar_refit", F.coalesce("__hit", F.lit(False)).alias("drift_refit"))
+def refit_schedule(months: DataFrame, events: DataFrame, *, by: Sequence[str], month: str, calendar: Sequence[int] = (12,)) -> DataFrame:
+    """Months on which a calendar rule (months of the year) and a drift rule refit, with the alarm's direction and statistic."""
+    rows = months.join(events.select(*by, month, "direction", "statistic"), [*by, month], "left")
+    return rows.select(*by, month, F.month(month).isin(list(calendar)).alias("calendar_refit"), F.col("direction").isNotNull().alias("drift_refit"), "direction", "statistic")
 
 
-def hedge(df: DataFrame, *, by: Sequence[str], month: str, expert: str, reward: str, warmup: int = 12, share: float = 0.0, floor: float = 0.0) -> DataFrame:
+def hedge(
+    df: DataFrame, *, by: Sequence[str], month: str, expert: str, reward: str, warmup: int = 12, share: float = 0.0, floor: float = 0.0,
+    eta: float | None = None, scale: float | None = None,
+) -> DataFrame:
     """Weights in force each month from exponential weighting of all earlier rewards: (by, month, expert, weight, reward).
 
-    The reward scale is a median over the whole past, so a panel's experts and months form one group.
+    A month's gain is the clipped reward over ``scale`` times the rate ``eta``; by default the scale is four robust deviations of all
+    rewards so far and the rate sqrt(8 log experts / months). Missing rewards are 0. The first ``warmup`` months are not learnt from.
+    A panel's experts and months form one group.
     """
     by = list(by)
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index=month, columns=expert, values=reward).sort_index()
+    def gain(r: np.ndarray, t: int) -> np.ndarray:
+        past = r[: t + 1]
+        width = scale if scale is not None else max(5.9304 * float(np.median(np.abs(past - np.median(past)))), 1e-6)
+        rate = eta if eta is not None else np.sqrt(8.0 * np.log(r.shape[1]) / (t + 1))
+        return rate * np.clip(r[t] / width, -1.0, 1.0)
+
+    def softmax(logits: np.ndarray) -> np.ndarray:
+        e = np.exp(logits - logits.max(axis=-1, keepdims=True))
+        return e / e.sum(axis=-1, keepdims=True)
+
+    def mixed(weight: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """One month of fixed share: move a part of the mass evenly to all experts, and keep each above the floor."""
+        out = np.maximum((1.0 - share) * softmax(np.log(np.maximum(weight, 1e-300)) + g) + share / len(g), floor)
+        return out / out.sum()
+
+    def weigh(key, rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot(index=month, columns=expert, values=reward).sort_index()
         r = np.nan_to_num(wide.to_numpy(float))
-        n = r.shape[1]
-        w, rows = np.full(n, 1.0 / n), []
-        for t in range(len(r)):
-            rows += [(*key, wide.index[t], e, float(w[j]), float(r[t, j])) for j, e in enumerate(wide.columns)]
-            if t + 1 <= warmup:
-                w = np.full(n, 1.0 / n)
-                continue
-            past = r[: t + 1].ravel()
-            scale = max(4.0 * 1.4826 * float(np.median(np.abs(past - np.median(past)))), 1e-6)
-            logs = np.log(np.maximum(w, 1e-300)) + np.sqrt(8.0 * np.log(n) / (t + 1)) * np.clip(r[t] / scale, -1.0, 1.0)
-            w = np.exp(logs - logs.max())
-            w = (1.0 - share) * w / w.sum() + share / n
-            w = np.maximum(w, floor)
-            w = w / w.sum()
-        return pd.DataFrame(rows, columns=[*by, month, expert, "weight", "reward"])
+        months, n = r.shape
+        gains = np.array([gain(r, t) if t >= warmup else np.zeros(n) for t in range(months - 1)]).reshape(-1, n)
+        if share == 0.0 and floor == 0.0:
+            weight = softmax(np.concatenate([np.zeros((1, n)), np.cumsum(gains, axis=0)]))
+        else:
+            even = np.full((min(warmup, months - 1) + 1, n), 1.0 / n)
+            weight = np.concatenate([even, np.array(list(accumulate(gains[warmup:], mixed, initial=even[-1]))[1:]).reshape(-1, n)])
+        cells = {month: np.repeat(wide.index.to_numpy(), n), expert: np.tile(wide.columns.to_numpy(), months), "weight": weight.ravel(), "reward": r.ravel()}
+        return pd.DataFrame({**dict(zip(by, key)), **cells})[[*by, month, expert, "weight", "reward"]]
 
     schema = f"{_typed(df, [*by, month, expert])}, weight double, reward double"
-    return df.select(*by, month, expert, reward).groupBy(*by).applyInPandas(walk, schema)
+    return df.select(*by, month, expert, reward).groupBy(*by).applyInPandas(weigh, schema)
 
 
 def combine(weights: DataFrame, scores: DataFrame, *, on: Sequence[str], id: str, weight: str, score: str) -> DataFrame:
-    """Weighted and equal-weighted combination of member scores."""
+    """Weighted sum of the members' scores, a missing member adding nothing, and the plain mean of the present ones."""
     keys = [k for k in on if k != "member"]
     j = scores.join(weights, list(on))
     return j.groupBy(*keys, id).agg(
-        ratio(F.sum(F.col(weight) * F.col(score)), F.sum(weight)).alias("combined"), F.avg(score).alias("equal"), F.count(F.lit(1)).cast("long").alias("members")
+        F.sum(F.col(weight) * F.col(score)).alias("combined"), F.avg(score).alias("equal"), F.count(F.lit(1)).cast("long").alias("members")
     )
 
 

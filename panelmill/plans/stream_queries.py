@@ -19,15 +19,32 @@ def user_days(t):
     return t.stage("user_days", t.table("events").groupBy("event_type", F.to_date("ts").alias("d")).agg(F.avg("value").alias("x")))
 
 
+def page_hinkley_sql(source: str, key: str, order: str, value: str, delta: float, threshold: float, burn_in: int) -> str:
+    """Alarms (key, order, direction, statistic) of the test, as a recursion over the rows of each series."""
+    stat = f"greatest(0, w.{{0}} + ({{1}}1) * (s.x - (w.total + s.x) / s.i) - {delta!r}::DOUBLE)"
+    fall, rise = (f"CASE WHEN s.i > {burn_in} THEN {stat.format(*x)} ELSE 0 END" for x in (("fall", "-"), ("rise", "+")))
+    return f"""(WITH RECURSIVE s AS (SELECT {key} AS k, {order} AS o, {value}::DOUBLE AS x, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS i FROM {source} WHERE {value} IS NOT NULL),
+walk AS (SELECT DISTINCT k, 0::BIGINT AS i, NULL::DATE AS o, 0::DOUBLE AS total, 0::DOUBLE AS fall, 0::DOUBLE AS rise, 0::DOUBLE AS f, 0::DOUBLE AS r FROM s
+  UNION ALL SELECT k, i, o, total, CASE WHEN hit THEN 0 ELSE f END, CASE WHEN hit THEN 0 ELSE r END, f, r FROM (
+    SELECT *, f > {threshold!r}::DOUBLE OR r > {threshold!r}::DOUBLE AS hit FROM (
+      SELECT s.k, s.i, s.o::DATE AS o, w.total + s.x AS total, ({fall})::DOUBLE AS f, ({rise})::DOUBLE AS r FROM walk w JOIN s ON s.k = w.k AND s.i = w.i + 1)))
+SELECT k AS {key}, o AS {order}, CASE WHEN f > {threshold!r}::DOUBLE THEN 'decline' ELSE 'improvement' END AS direction, CASE WHEN f > {threshold!r}::DOUBLE THEN f ELSE r END AS statistic
+FROM walk WHERE f > {threshold!r}::DOUBLE OR r > {threshold!r}::DOUBLE)"""
+
+
+view("user_days", "SELECT event_type, ts::DATE AS d, avg(value) AS x FROM events GROUP BY 1, 2")
 DRIFT = dict(by=["event_type"], order="d", value="x", delta=0.5, threshold=20.0, burn_in=5)
 
 
-@query("u1_drift_batch")
+DRIFT_SQL = f"SELECT event_type, d, direction, {R('statistic')} AS statistic FROM {page_hinkley_sql('user_days', 'event_type', 'd', 'x', 0.5, 20.0, 5)}"
+
+
+@query("u1_drift_batch", DRIFT_SQL)
 def u1(t):
     return rounded(ad.drift(user_days(t), **DRIFT), ["event_type", "d", "direction"], ["statistic"])
 
 
-@query("u1_drift_stream")
+@query("u1_drift_stream", DRIFT_SQL)
 def u1_stream(t):
     out = sf.drain(sf.drift_stream(sf.replay(t.spark, user_days(t), "d"), **DRIFT))
     return rounded(out, ["event_type", "d", "direction"], ["statistic"])
@@ -62,7 +79,7 @@ view("member_scores", """
   UNION ALL SELECT m, sec_id, 'mom', sig_mom, 2.0 + month(m) % 2 FROM signals WHERE sig_mom IS NOT NULL""")
 
 
-@query("u4_combine_members", f"SELECT m, sec_id, {R('sum(weight * score) / sum(weight)')} AS combined, {R('avg(score)')} AS equal, count(*) AS members FROM member_scores GROUP BY 1, 2")
+@query("u4_combine_members", f"SELECT m, sec_id, {R('sum(weight * score)')} AS combined, {R('avg(score)')} AS equal, count(*) AS members FROM member_scores GROUP BY 1, 2")
 def u4(t):
     s = t.signals.select("m", "sec_id", F.explode(F.array(
         F.struct(F.lit("disc").alias("member"), F.col("sig_disc").alias("score")), F.struct(F.lit("mom").alias("member"), F.col("sig_mom").alias("score"))
@@ -79,16 +96,27 @@ def u5(t):
     return rounded(out, ["panel", "months"], ["aggregate_total", "equal_total", "weight_turnover", "effective_members", "best_total", "regret"])
 
 
-@query("u6_threshold_calibration")
+GRID = [0.005, 0.01, 0.02, 0.03, 0.05]
+#: Every cell has more than 72 months, so that the burn-in is two years.
+_ALARMS = " UNION ALL ".join(f"SELECT cell, {g!r}::DOUBLE AS threshold, m FROM {page_hinkley_sql('cell_returns', 'cell', 'm', 'r', 0.0005, g, 24)}" for g in GRID)
+_CELL_SIZE = "SELECT cell, count(r) AS n FROM cell_returns GROUP BY 1"
+
+
+@query("u6_threshold_calibration", f"""
+WITH alarms AS ({_ALARMS}), sizes AS ({_CELL_SIZE}),
+rates AS (SELECT cell, threshold, 120.0::DOUBLE * count(a.m) / any_value(n) AS rate FROM sizes CROSS JOIN (SELECT unnest({GRID}::DOUBLE[]) AS threshold) LEFT JOIN alarms a USING (cell, threshold) GROUP BY 1, 2)
+SELECT cell, threshold, {R('rate')} AS rate FROM rates QUALIFY row_number() OVER (PARTITION BY cell ORDER BY abs(rate - 1.0), threshold) = 1""")
 def u6(t):
-    return ad.calibrate_drift(t.cell_returns, by=["cell"], order="m", value="r", grid=[0.005, 0.01, 0.02, 0.03, 0.05], delta=0.0005).withColumn("rate", rnd("rate"))
+    return ad.calibrate_drift(t.cell_returns, by=["cell"], order="m", value="r", grid=GRID, delta=0.0005).withColumn("rate", rnd("rate"))
 
 
-@query("u7_refit_schedule")
+@query("u7_refit_schedule", f"""
+SELECT c.cell, c.m, month(c.m) = 12 AS calendar_refit, e.direction IS NOT NULL AS drift_refit, e.direction, {R('e.statistic')} AS statistic
+FROM cell_returns c LEFT JOIN {page_hinkley_sql('cell_returns', 'cell', 'm', 'r', 0.0005, 0.02, 24)} e ON c.cell = e.cell AND c.m = e.m""")
 def u7(t):
     c = t.cell_returns
     events = ad.drift(c, by=["cell"], order="m", value="r", delta=0.0005, threshold=0.02)
-    return ad.refit_schedule(c.select("cell", "m"), events, by=["cell"], month="m")
+    return rounded(ad.refit_schedule(c.select("cell", "m"), events, by=["cell"], month="m"), ["cell", "m", "calendar_refit", "drift_refit", "direction"], ["statistic"])
 
 
 @query("u8_lots_stream")

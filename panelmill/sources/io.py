@@ -14,9 +14,15 @@ from panelmill.functions import nan_to_null
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where none is configured, as in tests."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``; where it is unset, a local master gets a folder of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def read_contract(spark: SparkSession, path: str, contract: str | None = None) -> DataFrame:
@@ -34,7 +40,7 @@ def checked(df: DataFrame, contract: str) -> DataFrame:
     """The same frame, after one aggregate pass found no violation."""
     from panelmill.operators.quality import violations
 
-    broken = violations(df, contract).limit(20).collect()  # at most one row per rule
+    broken = violations(df, contract).collect()  # one row per rule and column of the contract
     if broken:
         raise ValueError(f"{contract}: " + "; ".join(f"{r['rule']}({r['column']})={r['n']}" for r in broken))
     return df

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from panelmill.operators.adaptive import Drift, _typed
+from panelmill.operators.adaptive import UNSEEN, _typed, page_hinkley
 from panelmill.operators.models import scale_path
 from panelmill.operators.tax import Ledger
 from panelmill.sources.io import scratch_dir
@@ -23,20 +23,14 @@ def drift_stream(df: DataFrame, *, by: Sequence[str], order: str, value: str, de
     by = list(by)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        test = Drift(delta, threshold, burn_in)
-        if state.exists:
-            test.state = list(state.get)
-        rows = []
-        for when, x in pd.concat(batches).dropna(subset=[value]).sort_values(order)[[order, value]].itertuples(index=False):
-            hit = test.update(float(x))
-            if hit:
-                rows.append((*key, when, *hit))
-        state.update(tuple(test.state))
-        yield pd.DataFrame(rows, columns=[*by, order, "direction", "statistic"])
+        series = pd.concat(batches).dropna(subset=[value]).sort_values(order)
+        alarms, known = page_hinkley(series[value].to_numpy(float), delta, threshold, burn_in, state.get if state.exists else UNSEEN)
+        state.update(known)
+        yield pd.DataFrame([(*key, series[order].iloc[k], *what) for k, *what in alarms], columns=[*by, order, "direction", "statistic"])
 
     return df.select(*by, order, value).groupBy(*by).applyInPandasWithState(
         step, f"{_typed(df, [*by, order])}, direction string, statistic double",
-        "n double, mean double, down double, peak double, up double, trough double", "append", GroupStateTimeout.NoTimeout,
+        "n double, total double, fall double, rise double", "append", GroupStateTimeout.NoTimeout,
     )
 
 

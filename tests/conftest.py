@@ -9,8 +9,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from bench import session
+    from panelmill.shipping import ship
 
-    return session("4")
+    spark = session("4")
+    ship(spark)
+    return spark
 
 
 @pytest.fixture(scope="session")
