@@ -15,38 +15,41 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Observations, their sum, and the two statistics of a series that has not begun.
-UNSEEN = (0.0, 0.0, 0.0, 0.0)
+#: Observations and their sum, then sum and lowest sum of the falling and of the rising walk since the last alarm, of a series not yet begun.
+UNSEEN = (0.0,) * 6
 
 
-def reflected(steps: np.ndarray, start: float) -> np.ndarray:
-    """Walk that adds ``steps`` to ``start`` and is kept from falling below zero."""
-    walk = np.cumsum(steps)
-    return walk - np.minimum(np.minimum.accumulate(walk), -start)
+def _walk(steps: np.ndarray, at: float, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums that go on from ``at``, and the lowest of them, of ``low`` and of all before."""
+    sums = np.cumsum(np.append(at, steps))[1:]
+    return sums, np.minimum.accumulate(np.append(low, sums))[1:]
 
 
 def page_hinkley(x: np.ndarray, delta: float, threshold: float, burn_in: int, past: tuple = UNSEEN) -> tuple[list[tuple[int, str, float]], tuple]:
     """Alarms (position, direction, statistic) of the two-sided test, and what the next rows of the series have to know.
 
-    Deviations are taken from the mean of all observations so far; the first ``burn_in`` only feed the mean. After an alarm both statistics
-    start from zero, the mean goes on.
+    Deviations are taken from the mean of all observations so far; the first ``burn_in`` only feed the mean. A statistic is the height of its
+    walk above the walk's lowest point. After an alarm both walks start anew, the mean goes on. Sums run on across calls, so a series gives
+    the same numbers however it is cut.
     """
-    count, total, fall, rise = past
-    n = count + np.arange(1, len(x) + 1)
-    off = x - (total + np.cumsum(x)) / n
+    count, total, *walks = past
+    n, sums = count + np.arange(1, len(x) + 1), np.cumsum(np.append(total, x))[1:]
+    off = x - sums / n
     down, up = np.where(n > burn_in, -off - delta, 0.0), np.where(n > burn_in, off - delta, 0.0)
     alarms, at = [], 0
     while at < len(x):
-        falls, rises = reflected(down[at:], fall), reflected(up[at:], rise)
+        fall, fall_low = _walk(down[at:], *walks[:2])
+        rise, rise_low = _walk(up[at:], *walks[2:])
+        falls, rises = fall - fall_low, rise - rise_low
         over = np.flatnonzero((falls > threshold) | (rises > threshold))
         if not len(over):
-            fall, rise = float(falls[-1]), float(rises[-1])
+            walks = [float(v[-1]) for v in (fall, fall_low, rise, rise_low)]
             break
         k = int(over[0])
         alarms.append((at + k, "decline", float(falls[k])) if falls[k] > threshold else (at + k, "improvement", float(rises[k])))
-        fall = rise = 0.0
+        walks = [0.0] * 4
         at += k + 1
-    return alarms, (count + len(x), total + float(x.sum()), fall, rise)
+    return alarms, (count + len(x), float(sums[-1]) if len(x) else total, *walks)
 
 
 def _typed(df: DataFrame, cols: Sequence[str]) -> str:

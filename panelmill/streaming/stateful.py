@@ -30,7 +30,7 @@ def drift_stream(df: DataFrame, *, by: Sequence[str], order: str, value: str, de
 
     return df.select(*by, order, value).groupBy(*by).applyInPandasWithState(
         step, f"{_typed(df, [*by, order])}, direction string, statistic double",
-        "n double, total double, fall double, rise double", "append", GroupStateTimeout.NoTimeout,
+        "n double, total double, fall double, fall_low double, rise double, rise_low double", "append", GroupStateTimeout.NoTimeout,
     )
 
 
