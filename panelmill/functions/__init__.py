@@ -17,8 +17,8 @@ from panelmill.functions.columns import (  # noqa: F401
 from panelmill.functions.ranking import (  # noqa: F401
     avg_rank,
     group_stats,
-    is_large,
     quantiles,
     row_rank,
+    row_ranks,
     spearman,
 )

@@ -1,57 +1,23 @@
 """Ranks, order statistics and group moments that keep working when one group is huge.
 
-A window partitioned by month puts a whole cross-section in one task. That is the cheapest plan while a
-cross-section is small, and a bottleneck when it is not. Each function therefore has two exact plans that give
-the same rows: the plain window, and a split plan that cuts every group into value buckets, ranks inside a
-bucket and adds the number of rows in lower buckets. ``split=None`` picks by the bytes the query scans.
+A window partitioned by month puts a whole cross-section in one task. So every group is cut into cells of consecutive values, at approximate
+quantiles that one aggregation finds for all groups; a group has one cell per ``CELL`` rows (``POINTS`` at most), a small one a single cell.
+Rows are ranked inside their cell, and the number of rows in lower cells is added. Where cuts fall only decides the sizes of cells, never a
+rank. Rows are carried through; nothing is joined back on ids.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SPLIT_CONF = "spark.panelmill.splitBytes"
-SPLIT_BYTES = 64 * 1024**3
-BUCKETS = 256
-
-
-def scanned_bytes(df: DataFrame) -> int:
-    """Bytes of the distinct files and tables the plan reads; no job is run and the plan is not optimised."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    sizes: dict[str, int] = {}
-    for i in range(leaves.length()):
-        leaf = leaves.apply(i)
-        sizes[re.sub(r"#\d+L?", "", leaf.simpleString(25))] = int(str(leaf.stats().sizeInBytes()))
-    return sum(sizes.values())
-
-
-def is_large(df: DataFrame, split: bool | None = None) -> bool:
-    if split is not None:
-        return split
-    limit = int(df.sparkSession.conf.get(SPLIT_CONF, str(SPLIT_BYTES)))
-    return scanned_bytes(df) > limit
-
-
-def _scale(c: Column) -> Column:
-    # order-preserving signed log: balances both flat and heavy-tailed values over equal-width buckets
-    return F.signum(c) * F.log1p(F.abs(c) * F.lit(1e9))
-
-
-def _value_bucket(df: DataFrame, by: Sequence[str], order: str, desc: bool) -> DataFrame:
-    scaled = df.withColumn("__g", _scale(F.col(order).cast("double")))
-    edges = scaled.groupBy(*by).agg(F.min("__g").alias("__lo"), F.max("__g").alias("__hi"))
-    pos = F.floor(F.coalesce(F.try_divide(F.col("__g") - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0)) * BUCKETS)
-    pos = F.least(pos, F.lit(BUCKETS - 1))
-    return (
-        _null_safe_join(scaled, edges, by)
-        .withColumn("__b", (F.lit(BUCKETS) - pos if desc else pos).cast("int"))
-        .drop("__g", "__lo", "__hi")
-    )
+CELL = 50_000
+POINTS = 512
+#: Cell of missing values, behind all others.
+MISSING = POINTS * POINTS
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -65,143 +31,119 @@ def _null_safe_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: s
     return left.join(renamed, cond, how).drop(*[f"__k{i}" for i in range(len(by))])
 
 
-def row_rank(
-    df: DataFrame, by: Sequence[str], order: str, tie: str, out: str = "rank", *, desc: bool = False, split: bool | None = None
-) -> DataFrame:
-    """1-based position by (order, tie) inside each group; ties go to the smaller ``tie`` id. ``order`` must not be null."""
-    by = list(by)
-    key = F.col(order).desc() if desc else F.col(order).asc()
-    if not is_large(df, split):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(key, F.col(tie))).cast("long"))
-    bucketed = _value_bucket(df, by, order, desc)
-    cells = [*by, "__b"]
-    if isinstance(df.schema[tie].dataType, T.NumericType):
-        # a bucket that holds a single repeated value is cut again by the tie id
-        stats = bucketed.groupBy(*cells).agg(
-            (F.min(order) == F.max(order)).alias("__flat"), F.min(tie).alias("__t0"), F.max(tie).alias("__t1")
-        )
-        cut = F.floor(F.try_divide((F.col(tie) - F.col("__t0")) * F.lit(1.0 * BUCKETS), F.col("__t1") - F.col("__t0") + 1))
-        bucketed = (
-            _null_safe_join(bucketed, stats, cells)
-            .withColumn("__s", F.when(F.col("__flat"), cut).otherwise(F.lit(0)).cast("int"))
-            .drop("__flat", "__t0", "__t1")
-        )
-    else:
-        bucketed = bucketed.withColumn("__s", F.lit(0))
-    cells = [*by, "__b", "__s"]
-    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__b", "__s").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = bucketed.groupBy(*cells).agg(F.count(F.lit(1)).alias("__n")).withColumn("__off", F.coalesce(before, F.lit(0))).drop("__n")
-    local = F.row_number().over(Window.partitionBy(*cells).orderBy(key, F.col(tie)))
-    return (
-        _null_safe_join(bucketed, offsets, cells)
-        .withColumn(out, (local + F.col("__off")).cast("long"))
-        .drop("__b", "__s", "__off")
-    )
-
+def _celled(df: DataFrame, by: Sequence[str], columns: Sequence[str], tie: str | None = None) -> DataFrame:
+    """Add ``__b0``, ``__b1``, ... (cell of each column's value in ascending order) and ``__n0``, ... (present values of the group).
 
-def avg_rank(df: DataFrame, by: Sequence[str], order: str, out: str = "rank", *, split: bool | None = None) -> DataFrame:
+    A value that is a cut more than once fills whole cells; its rows are cut again by the tie id, where that is a number.
+    """
+    number = lambda c: F.col(c).cast("double")
+    points = F.array(*[F.lit(i / POINTS) for i in range(1, POINTS)])
+    sketch = lambda c: F.percentile_approx(number(c), points, 4 * POINTS)
+    splits = tie is not None and isinstance(df.schema[tie].dataType, T.NumericType)
+    aggs = [F.count(F.lit(1)).alias("__all"), *(f for i, c in enumerate(columns) for f in (F.count(c).alias(f"__n{i}"), sketch(c).alias(f"__q{i}")))]
+    stats = df.groupBy(*by).agg(*aggs, *([sketch(tie).alias("__t")] if splits else []))
+    cells = F.least(F.lit(POINTS), F.ceil(F.col("__all") / CELL)).cast("int")
+    thin = lambda q: F.when((cells > 1) & F.col(q).isNotNull(), F.transform(F.sequence(F.lit(1), cells - 1), lambda i: F.get(F.col(q), (i * POINTS / cells).cast("int") - 1))).otherwise(F.array().cast("array<double>"))
+    stats = stats.select(*by, *(f"__n{i}" for i in range(len(columns))), *(thin(f"__q{i}").alias(f"__q{i}") for i in range(len(columns))), *([thin("__t").alias("__t")] if splits else []))
+    rows = _null_safe_join(df, stats, by)
+    for i, c in enumerate(columns):
+        below = F.size(F.filter(f"__q{i}", lambda q: q < number(c)))  # noqa: B023
+        inner = F.lit(0)
+        if splits:
+            repeated = F.size(F.filter(f"__q{i}", lambda q: q == number(c))) > 1  # noqa: B023
+            inner = F.when(repeated, F.size(F.filter("__t", lambda q: q < number(tie)))).otherwise(0)
+        rows = rows.withColumn(f"__b{i}", F.when(F.col(c).isNull(), MISSING).otherwise(below * POINTS + inner).cast("int"))
+    return rows.drop(*(f"__q{i}" for i in range(len(columns))), "__t")
+
+
+def row_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, str], tie: str, *, desc: bool = False, counts: str = "") -> DataFrame:
+    """1-based position of each column's value by (value, tie) inside its group, for several columns at once (column -> output).
+
+    Missing values have no rank. With ``counts``, the number of present values is added as output + counts.
+    """
+    by, names = list(by), list(columns)
+    rows = _celled(df, by, names, tie)
+    sized = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__b{i}").alias("b")) for i in range(len(names))])).alias("c"))
+    sized = sized.groupBy(*by, "c.i", "c.b").agg(F.count(F.lit(1)).alias("__n")).where(F.col("b") < MISSING)
+    value = F.floor(F.col("b") / POINTS)
+    order = Window.partitionBy(*by, "i").orderBy(value.desc() if desc else value.asc(), F.col("b") % POINTS).rowsBetween(Window.unboundedPreceding, -1)
+    offset = sized.select(*by, (F.col("i") * (2 * MISSING) + F.col("b")).alias("k"), F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("v"))
+    maps = offset.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__m"))  # POINTS cells per column, for large groups
+    rows = _null_safe_join(rows, maps, by, "left")
+    for i, c in enumerate(names):
+        key = F.col(c).desc() if desc else F.col(c).asc()
+        local = F.row_number().over(Window.partitionBy(*by, f"__b{i}").orderBy(key, F.col(tie)))
+        before = F.element_at("__m", F.lit(i * 2 * MISSING) + F.col(f"__b{i}"))
+        rows = rows.withColumn(f"__r{i}", F.when(F.col(f"__b{i}") < MISSING, (local + before).cast("long")))
+        if counts:
+            rows = rows.withColumn(columns[c] + counts, F.col(f"__n{i}"))
+    for i, c in enumerate(names):
+        rows = rows.withColumn(columns[c], F.col(f"__r{i}"))
+    return rows.drop("__m", *(f"__{x}{i}" for i in range(len(names)) for x in "bnr"))
+
+
+def row_rank(df: DataFrame, by: Sequence[str], order: str, tie: str, out: str = "rank", *, desc: bool = False, counts: str = "") -> DataFrame:
+    """``row_ranks`` of one column."""
+    return row_ranks(df, by, {order: out}, tie, desc=desc, counts=counts)
+
+
+def _distinct_values(df: DataFrame, by: Sequence[str], order: str, weight: Column) -> DataFrame:
+    """Distinct values of each group with ``__n`` (their summed weight), ``__first`` (weight of smaller values) and ``__sum`` (of all)."""
+    counts = df.groupBy(*by, order).agg(weight.alias("__n"))
+    cells = _celled(counts, by, [order]).drop("__n0")
+    totals = cells.groupBy(*by, "__b0").agg(F.sum("__n").alias("__w"))
+    run = Window.partitionBy(*by).orderBy("__b0").rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.withColumn("__off", F.sum("__w").over(run) - F.col("__w")).withColumn("__sum", F.sum("__w").over(Window.partitionBy(*by))).drop("__w")
+    inside = Window.partitionBy(*by, "__b0").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _null_safe_join(cells, totals, [*by, "__b0"])
+    return placed.withColumn("__first", F.col("__off") + F.sum("__n").over(inside) - F.col("__n")).drop("__off", "__b0")
+
+
+def avg_rank(df: DataFrame, by: Sequence[str], order: str, out: str = "rank") -> DataFrame:
     """Rank with ties sharing the mean position (the Spearman rank). ``order`` must not be null."""
     by = list(by)
-    if not is_large(df, split):
-        first = F.rank().over(Window.partitionBy(*by).orderBy(order))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, order))
-        return df.withColumn(out, first + (ties - 1) / 2.0)
-    counts = df.groupBy(*by, order).agg(F.count(F.lit(1)).alias("__n"))
-    cells = _value_bucket(counts, by, order, False)
-    totals = cells.groupBy(*by, "__b").agg(F.sum("__n").alias("__t"))
-    totals = totals.withColumn(
-        "__off", F.coalesce(F.sum("__t").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("__t")
-    inside = F.coalesce(
-        F.sum("__n").over(Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    ranks = (
-        _null_safe_join(cells, totals, [*by, "__b"])
-        .withColumn(out, F.col("__off") + inside + (F.col("__n") + 1) / 2.0)
-        .select(*by, order, out)
-    )
+    values = _distinct_values(df, by, order, F.count(F.lit(1)))
+    ranks = values.select(*by, order, (F.col("__first") + (F.col("__n") + 1) / 2.0).alias(out))
     return _null_safe_join(df, ranks, [*by, order])
 
 
-def group_stats(df: DataFrame, by: Sequence[str], *, split: bool | None = None, **aggs: Column) -> DataFrame:
-    """Attach group aggregates to every row: a window when small, pre-aggregate and join back when large."""
+def group_stats(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
+    """Attach group aggregates to every row; they are summed within tasks and joined to the rows."""
     by = list(by)
-    if not is_large(df, split):
-        w = Window.partitionBy(*by)
-        return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
     return _null_safe_join(df, df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)
 
 
-def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], tie: str | None = None, *, split: bool | None = None
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group, plus the count ``n``.
-
-    Large groups use ranks instead of ``percentile``, which keeps a value map per group in one task.
-    """
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group, plus the count ``n``; from ranks of the distinct values."""
     by = list(by)
-    rows = df.filter(F.col(value).isNotNull())
-    if not is_large(df, split):
-        exprs = [F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()]
-        return rows.groupBy(*by).agg(F.count(value).cast("long").alias("n"), *exprs)
-    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    cells = _value_bucket(counts, by, value, False)
-    running = lambda part: Window.partitionBy(*by, *part[:-1]).orderBy(part[-1]).rowsBetween(Window.unboundedPreceding, 0)
-    totals = cells.groupBy(*by, "__b").agg(F.sum("__n").alias("__t"))
-    totals = (
-        totals.withColumn("__off", F.sum("__t").over(running(["__b"])) - F.col("__t"))
-        .withColumn("__all", F.sum("__t").over(Window.partitionBy(*by)))
-        .drop("__t")
-    )
-    placed = _null_safe_join(cells, totals, [*by, "__b"]).withColumn(
-        "__last", F.col("__off") + F.sum("__n").over(running(["__b", value]))
-    )
-    first = F.col("__last") - F.col("__n") + 1
+    values = _distinct_values(df.filter(F.col(value).isNotNull()), by, value, F.count(F.lit(1)))
+    first, last = F.col("__first") + 1, F.col("__first") + F.col("__n")
     exprs = []
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("__all") - 1)
-        lo = F.floor(pos) + 1
-        hi = F.ceil(pos) + 1
-        at = lambda k: F.max(F.when((first <= k) & (k <= F.col("__last")), F.col(value)))
-        frac = F.max(pos - F.floor(pos))
-        exprs.append((at(lo) + frac * (at(hi) - at(lo))).alias(name))
-    return placed.groupBy(*by).agg(F.max("__all").cast("long").alias("n"), *exprs)
+        pos = F.lit(float(p)) * (F.col("__sum") - 1)
+        at = lambda k: F.max(F.when((first <= k) & (k <= last), F.col(value)))
+        low, high = at(F.floor(pos) + 1), at(F.ceil(pos) + 1)
+        exprs.append((low + F.max(pos - F.floor(pos)) * (high - low)).alias(name))
+    return values.groupBy(*by).agg(F.max("__sum").cast("long").alias("n"), *exprs)
 
 
-def spearman(df: DataFrame, by: Sequence[str], a: str, b: str, min_n: int = 1, out: str = "ic", *, split: bool | None = None) -> DataFrame:
+def spearman(df: DataFrame, by: Sequence[str], a: str, b: str, min_n: int = 1, out: str = "ic") -> DataFrame:
     """Spearman correlation with average ties, one row per group that has at least ``min_n`` complete pairs."""
     by = list(by)
-    pairs = df.select(*by, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b0")).filter(
-        F.col("__a").isNotNull() & F.col("__b0").isNotNull()
-    )
-    large = is_large(df, split)
-    ranked = avg_rank(pairs, by, "__a", "__ra", split=large)
-    ranked = avg_rank(ranked, by, "__b0", "__rb", split=large)
+    pairs = df.select(*by, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__c")).filter(F.col("__a").isNotNull() & F.col("__c").isNotNull())
+    ranked = avg_rank(avg_rank(pairs, by, "__a", "__ra"), by, "__c", "__rc")
     grouped = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).cast("long").alias("n"),
-        F.corr("__ra", "__rb").alias(out),
-        F.min("__a").alias("__a0"), F.max("__a").alias("__a1"), F.min("__b0").alias("__c0"), F.max("__b0").alias("__c1"),
+        F.corr("__ra", "__rc").alias(out),
+        F.min("__a").alias("__a0"), F.max("__a").alias("__a1"), F.min("__c").alias("__c0"), F.max("__c").alias("__c1"),
     )
     constant = (F.col("__a0") == F.col("__a1")) | (F.col("__c0") == F.col("__c1"))
     return grouped.filter(F.col("n") >= min_n).select(*by, "n", F.when(~constant, F.col(out)).alias(out))
 
 
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str, out: str = "wmedian") -> DataFrame:
-    """Smallest value at which the running weight share reaches one half.
-
-    Weights are first summed per value bucket; only the bucket that holds the crossing is sorted.
-    """
+    """Smallest value at which the running weight share reaches one half."""
     by = list(by)
-    rows = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
-    cells = _value_bucket(rows, by, value, False)
-    totals = cells.groupBy(*by, "__b").agg(F.sum(weight).alias("__w"))
-    run = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    totals = totals.select(
-        *by, "__b", (F.sum("__w").over(run) - F.col("__w")).alias("__off"), F.sum("__w").over(run).alias("__to"),
-        (F.sum("__w").over(Window.partitionBy(*by)) / 2).alias("__half"),
-    )
-    hit = totals.filter((F.col("__off") < F.col("__half")) & (F.col("__half") <= F.col("__to") * (1 + 1e-12)))
-    inside = _null_safe_join(cells, hit, [*by, "__b"])
-    local = Window.partitionBy(*by, "__b").orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    reached = inside.withColumn("__c", F.col("__off") + F.sum(weight).over(local)).filter(F.col("__c") >= F.col("__half") * (1 - 1e-12))
+    values = _distinct_values(df.filter(F.col(value).isNotNull() & (F.col(weight) > 0)), by, value, F.sum(weight))
+    reached = values.filter(F.col("__first") + F.col("__n") >= F.col("__sum") / 2 * (1 - 1e-12))
     return reached.groupBy(*by).agg(F.min(value).alias(out))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import count_if, group_stats, positive, quantiles, ratio, row_rank, spearman
-from panelmill.functions.ranking import is_large, weighted_median
+from panelmill.functions.ranking import weighted_median
 from panelmill.operators.xsection import tradeable
 
 IMPACT_K, COMMISSION_BPS, IMPACT_EXPONENT, PARTICIPATION = 1.0, 5.0, 1.5, 0.12
@@ -22,7 +22,6 @@ IMPACT_K, COMMISSION_BPS, IMPACT_EXPONENT, PARTICIPATION = 1.0, 5.0, 1.5, 0.12
 
 def extreme_book(
     scores: DataFrame, *, by: Sequence[str], id: str, score: str = "score", groups: int = 10, gross: float = 2.0, cap: str | None = None,
-    split: bool | None = None,
 ) -> DataFrame:
     """Long the top and short the bottom group of every cross-section; other scored names stay with weight zero.
 
@@ -30,28 +29,26 @@ def extreme_book(
     """
     by = list(by)
     rows = scores.filter(F.col(score).isNotNull())
-    large = is_large(rows, split)
-    ranked = row_rank(rows, by, score, id, "__r", split=large)
-    ranked = group_stats(ranked, by, split=large, __n=F.count(F.lit(1))).filter(F.col("__n") >= 2 * groups)
+    ranked = row_rank(rows, by, score, id, "__r")
+    ranked = group_stats(ranked, by, __n=F.count(F.lit(1))).filter(F.col("__n") >= 2 * groups)
     edge = F.greatest(F.floor(F.col("__n") / groups), F.lit(1))
     leg = F.when(F.col("__r") <= edge, -1).when(F.col("__r") > F.col("__n") - edge, 1).otherwise(0)
     ranked = ranked.withColumn("__leg", leg).withColumn("__edge", edge)
     equal = F.col("__leg") * (gross / 2.0) / F.col("__edge")
     if cap is None:
         return ranked.withColumn("w", equal.cast("double")).drop("__r", "__n", "__leg", "__edge")
-    ranked = group_stats(ranked.withColumn("__cap", positive(cap)), [*by, "__leg"], split=large, __tot=F.sum("__cap"))
+    ranked = group_stats(ranked.withColumn("__cap", positive(cap)), [*by, "__leg"], __tot=F.sum("__cap"))
     weighted = F.when(F.col("__tot") > 0, F.col("__leg") * (gross / 2.0) * F.coalesce("__cap", F.lit(0.0)) / F.col("__tot")).otherwise(equal)
     return ranked.withColumn("w", weighted.cast("double")).drop("__r", "__n", "__leg", "__edge", "__cap", "__tot")
 
 
 def spread_return(
-    df: DataFrame, *, by: Sequence[str], id: str, score: str, ret: str, frac: float = 0.1, cap: str | None = None, split: bool | None = None
+    df: DataFrame, *, by: Sequence[str], id: str, score: str, ret: str, frac: float = 0.1, cap: str | None = None
 ) -> DataFrame:
     """Top minus bottom mean return of each cross-section, equal- or cap-weighted; null below 2k+2 names."""
     by = list(by)
     rows = df.filter(F.col(score).isNotNull())
-    large = is_large(rows, split)
-    ranked = group_stats(row_rank(rows, by, score, id, "__r", split=large), by, split=large, __n=F.count(F.lit(1)))
+    ranked = group_stats(row_rank(rows, by, score, id, "__r"), by, __n=F.count(F.lit(1)))
     k = F.greatest(F.floor(F.col("__n") * frac), F.lit(1))
     top, bottom = F.col("__r") >= F.col("__n") - k + 1, F.col("__r") <= k
     if cap is None:
@@ -153,12 +150,12 @@ def ladder(
     )
 
 
-def infeasibility(book: DataFrame, aums: Sequence[float], *, by: Sequence[str], month: str, p: float = PARTICIPATION, split: bool | None = None) -> DataFrame:
+def infeasibility(book: DataFrame, aums: Sequence[float], *, by: Sequence[str], month: str, p: float = PARTICIPATION) -> DataFrame:
     """Median and 95th percentile of position size over its participation cap."""
     held = book.filter((F.col("w") != 0) & (F.col("adv_usd") > 0) & F.col("spread").isNotNull() & F.col("sigma_d").isNotNull())
     mult = held.withColumn("aum", F.explode(F.array(*[F.lit(float(a)) for a in aums])))
     mult = mult.withColumn("x", F.abs("w") * F.col("aum") / (p * F.col("adv_usd")))
-    return quantiles(mult, [*by, "aum", month], "x", {"median_x_cap": 0.5, "p95_x_cap": 0.95}, split=split)
+    return quantiles(mult, [*by, "aum", month], "x", {"median_x_cap": 0.5, "p95_x_cap": 0.95})
 
 
 def drifted_trades(book: DataFrame, *, by: Sequence[str], id: str, month: str, inputs: DataFrame) -> DataFrame:
@@ -293,11 +290,11 @@ def cap_violations(
     )
 
 
-def proposal_fidelity(pairs: DataFrame, *, by: Sequence[str], month: str, w: str, prop: str, min_n: int = 40, split: bool | None = None) -> DataFrame:
+def proposal_fidelity(pairs: DataFrame, *, by: Sequence[str], month: str, w: str, prop: str, min_n: int = 40) -> DataFrame:
     """Sign agreement of weights with proposals, overall, among large proposals and size-weighted; mean rank correlation."""
     keys = [*by, month]
     rows = pairs.withColumn("__a", F.abs(prop))
-    cuts = quantiles(rows, keys, "__a", {"__q50": 0.5, "__q80": 0.8}, split=split).filter(F.col("n") >= min_n)
+    cuts = quantiles(rows, keys, "__a", {"__q50": 0.5, "__q80": 0.8}).filter(F.col("n") >= min_n)
     rows = rows.join(cuts, keys)
     agree = (F.signum(w) == F.signum(prop)).cast("double")
     monthly = rows.groupBy(*keys).agg(
@@ -305,13 +302,13 @@ def proposal_fidelity(pairs: DataFrame, *, by: Sequence[str], month: str, w: str
         F.avg(F.when(F.col("__a") >= F.col("__q80"), agree)).alias("sign_top_quintile"),
         (F.sum(agree * F.col("__a")) / F.greatest(F.sum("__a"), F.lit(1e-12))).alias("sign_weighted"),
     )
-    ranks = spearman(pairs, keys, w, prop, min_n=min_n, out="rank_corr", split=split).drop("n")
+    ranks = spearman(pairs, keys, w, prop, min_n=min_n, out="rank_corr").drop("n")
     cols = ["sign_all", "sign_top_half", "sign_top_quintile", "sign_weighted", "rank_corr"]
     return monthly.join(ranks, keys).groupBy(*by).agg(F.count(F.lit(1)).cast("long").alias("months"), *[F.avg(c).alias(c) for c in cols])
 
 
-def arm_information(df: DataFrame, *, by: Sequence[str], month: str, score: str, target: str, min_n: int = 11, split: bool | None = None) -> DataFrame:
-    ics = spearman(df, [*by, month], score, target, min_n=min_n, split=split)
+def arm_information(df: DataFrame, *, by: Sequence[str], month: str, score: str, target: str, min_n: int = 11) -> DataFrame:
+    ics = spearman(df, [*by, month], score, target, min_n=min_n)
     return ics.groupBy(*by).agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("sd_ic"), F.count("ic").cast("long").alias("months"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelmill.functions import clip, group_stats, is_large, month_end, month_index, quantiles, ratio, row_rank, spearman, uniform
+from panelmill.functions import clip, group_stats, month_end, month_index, quantiles, ratio, row_rank, spearman, uniform
 from panelmill.operators import book as bk
 from panelmill.operators import linear
 from panelmill.operators import xsection as xs
@@ -63,10 +63,9 @@ def lockbox_violations(df: DataFrame, *, month: str, start: str) -> DataFrame:
     return df.agg(F.sum(late.cast("long")).alias("n"), F.min(F.when(late, F.col(month))).alias("first_month"))
 
 
-def rank_ic(df: DataFrame, *, by: Sequence[str], month: str, score: str, target: str, bounds: tuple[float, float] | None = None, floor: float = 0.0,
-            split: bool | None = None) -> DataFrame:
+def rank_ic(df: DataFrame, *, by: Sequence[str], month: str, score: str, target: str, bounds: tuple[float, float] | None = None, floor: float = 0.0) -> DataFrame:
     """Mean monthly rank IC; optionally clipped to a band and kept away from zero with its sign."""
-    ics = spearman(df, [*by, month], score, target, split=split)
+    ics = spearman(df, [*by, month], score, target)
     out = ics.groupBy(*by).agg(F.avg("ic").alias("ic"), F.count("ic").cast("long").alias("months"))
     if bounds:
         v = clip("ic", *bounds)
@@ -75,30 +74,30 @@ def rank_ic(df: DataFrame, *, by: Sequence[str], month: str, score: str, target:
     return out
 
 
-def standardised(df: DataFrame, signals: Sequence[str], *, month: str, split: bool | None = None) -> DataFrame:
+def standardised(df: DataFrame, signals: Sequence[str], *, month: str) -> DataFrame:
     """``z_*`` columns of all signals from one set of monthly moments, missing as zero."""
     moments = {f"mu_{s}": F.avg(s) for s in signals} | {f"sd_{s}": F.stddev_samp(s) for s in signals}
-    st = group_stats(df, [month], split=split, **moments)
+    st = group_stats(df, [month], **moments)
     z = lambda s: F.when(F.col(f"sd_{s}") > 1e-12, (F.col(s) - F.col(f"mu_{s}")) / F.col(f"sd_{s}"))
     return st.select(*df.columns, *[F.coalesce(z(s), F.lit(0.0)).alias(f"z_{s}") for s in signals])
 
 
-def score_equal(df: DataFrame, signals: Sequence[str], *, month: str, split: bool | None = None) -> DataFrame:
+def score_equal(df: DataFrame, signals: Sequence[str], *, month: str) -> DataFrame:
     """Mean of the standardised signals, missing as zero."""
-    z = standardised(df, signals, month=month, split=split)
+    z = standardised(df, signals, month=month)
     return z.withColumn("score", xs.row_mean([f"z_{s}" for s in signals]))
 
 
-def score_theme(df: DataFrame, themes: Mapping[str, Sequence[str]], *, month: str, split: bool | None = None) -> DataFrame:
+def score_theme(df: DataFrame, themes: Mapping[str, Sequence[str]], *, month: str) -> DataFrame:
     """Mean over themes of the mean standardised signal of the theme."""
     names = [s for t in themes.values() for s in t]
-    z = score_equal(df, names, month=month, split=split)
+    z = score_equal(df, names, month=month)
     return xs.theme_composites(z, {t: [f"z_{s}" for s in ss] for t, ss in themes.items()}).withColumn("score", xs.row_mean([f"theme_{t}" for t in themes]))
 
 
-def ic_weights(df: DataFrame, signals: Sequence[str], cal: DataFrame, *, id: str, month: str, target: str, split: bool | None = None) -> DataFrame:
+def ic_weights(df: DataFrame, signals: Sequence[str], cal: DataFrame, *, id: str, month: str, target: str) -> DataFrame:
     """(test_year, signal, weight) from the mean training IC, negatives dropped, equal when none is positive."""
-    ics = spearman(xs.melt(df, [id, month, target], signals), ["signal", month], "value", target, split=split)
+    ics = spearman(xs.melt(df, [id, month, target], signals), ["signal", month], "value", target)
     train = assign_split(ics, cal, month=month).filter("part = 'train'").groupBy("test_year", "signal").agg(F.avg("ic").alias("ic"))
     kept = train.withColumn("ic", F.greatest(F.coalesce("ic", F.lit(0.0)), F.lit(0.0)))
     w = Window.partitionBy("test_year")
@@ -106,11 +105,11 @@ def ic_weights(df: DataFrame, signals: Sequence[str], cal: DataFrame, *, id: str
     return kept.select("test_year", "signal", F.when(total > 0, F.col("ic") / total).otherwise(1.0 / F.count(F.lit(1)).over(w)).alias("weight"))
 
 
-def score_ic(df: DataFrame, signals: Sequence[str], cal: DataFrame, *, id: str, month: str, target: str, split: bool | None = None) -> DataFrame:
+def score_ic(df: DataFrame, signals: Sequence[str], cal: DataFrame, *, id: str, month: str, target: str) -> DataFrame:
     """Test-year scores of IC-weighted standardised signals."""
-    weights = ic_weights(df, signals, cal, id=id, month=month, target=target, split=split)
+    weights = ic_weights(df, signals, cal, id=id, month=month, target=target)
     wide = weights.groupBy("test_year").pivot("signal", list(signals)).agg(F.first("weight"))
-    z = standardised(df, signals, month=month, split=split)
+    z = standardised(df, signals, month=month)
     test = z.withColumn("test_year", F.year(month)).join(wide.select("test_year", *[F.col(s).alias(f"w_{s}") for s in signals]), "test_year")
     score = sum((F.col(f"z_{s}") * F.coalesce(f"w_{s}", F.lit(0.0)) for s in signals[1:]), F.col(f"z_{signals[0]}") * F.coalesce(f"w_{signals[0]}", F.lit(0.0)))
     return test.select(id, month, "test_year", score.alias("score"))
@@ -155,13 +154,12 @@ def score_ols(df: DataFrame, signals: Sequence[str], cal: DataFrame, *, id: str,
     return test.select(id, month, "test_year", linear.predict(signals, intercept=False).alias("score"))
 
 
-def score_ridge(df: DataFrame, signals: Sequence[str], cal: DataFrame, *, id: str, month: str, target: str, penalties: Sequence[float],
-                split: bool | None = None) -> DataFrame:
+def score_ridge(df: DataFrame, signals: Sequence[str], cal: DataFrame, *, id: str, month: str, target: str, penalties: Sequence[float]) -> DataFrame:
     """Ridge whose penalty maximises the validation rank IC (smallest penalty on ties)."""
     paths = ridge_paths(df, signals, cal, month=month, target=target, penalties=penalties)
     val = assign_split(df.select(id, month, target, *signals), cal, month=month).filter("part = 'val'").join(paths, "test_year")
     val = val.withColumn("score", linear.predict(signals, intercept=False))
-    ics = rank_ic(val, by=["test_year", "penalty"], month=month, score="score", target=target, split=split)
+    ics = rank_ic(val, by=["test_year", "penalty"], month=month, score="score", target=target)
     best = ics.groupBy("test_year").agg(F.min_by("penalty", F.struct(-F.col("ic"), F.col("penalty"))).alias("penalty"))
     coef = paths.join(best, ["test_year", "penalty"])
     test = df.select(id, month, *signals).withColumn("test_year", F.year(month)).join(coef, "test_year")
@@ -327,29 +325,28 @@ def select_trials(trials: DataFrame, *, by: Sequence[str], params: str, metric:
     )
 
 
-def scale_alpha(df: DataFrame, *, month: str, score: str, vol: str, ic: float, split: bool | None = None) -> DataFrame:
+def scale_alpha(df: DataFrame, *, month: str, score: str, vol: str, ic: float) -> DataFrame:
     """Forecast alpha = IC x volatility x standardised score."""
-    z = xs.xs_z(df, score, by=[month], out="__z", ddof=0, bound=4.0, split=split)
+    z = xs.xs_z(df, score, by=[month], out="__z", ddof=0, bound=4.0)
     return z.withColumn("alpha", F.lit(float(ic)) * F.col(vol) * F.col("__z")).drop("__z")
 
 
-def shrink(df: DataFrame, *, month: str, alpha: str, unc: str, kappa: float | Column, split: bool | None = None) -> DataFrame:
+def shrink(df: DataFrame, *, month: str, alpha: str, unc: str, kappa: float | Column) -> DataFrame:
     """Alpha shrunk where its uncertainty exceeds the month's mean."""
-    st = group_stats(df, [month], split=split, __mu=F.avg(unc))
+    st = group_stats(df, [month], __mu=F.avg(unc))
     rel = F.coalesce(ratio(unc, "__mu"), F.lit(1.0))
     k = kappa if isinstance(kappa, Column) else F.lit(float(kappa))
     return st.withColumn("alpha_shrunk", F.col(alpha) / (1.0 + k * rel ** 2)).drop("__mu")
 
 
-def proxy_book(df: DataFrame, *, by: Sequence[str], alpha: str, vol: str, gross: float = 2.0, cap: float = 0.01, split: bool | None = None) -> DataFrame:
+def proxy_book(df: DataFrame, *, by: Sequence[str], alpha: str, vol: str, gross: float = 2.0, cap: float = 0.01) -> DataFrame:
     """Diagonal mean-variance book: alpha over variance, neutral, capped, legs equalised, gross at most ``gross``."""
     by = list(by)
     raw = df.withColumn("__a", F.coalesce(F.col(alpha), F.lit(0.0)) / F.greatest(F.col(vol) ** 2, F.lit(1e-8)))
-    large = is_large(raw, split)
-    s = group_stats(raw, by, split=large, __mu=F.avg("__a")).withColumn("__a", F.col("__a") - F.col("__mu"))
-    s = group_stats(s, by, split=large, __den=F.sum(F.abs("__a")))
+    s = group_stats(raw, by, __mu=F.avg("__a")).withColumn("__a", F.col("__a") - F.col("__mu"))
+    s = group_stats(s, by, __den=F.sum(F.abs("__a")))
     s = s.withColumn("__w", F.when(F.col("__den") >= 1e-12, clip(gross * F.col("__a") / F.col("__den"), -cap, cap)).otherwise(0.0))
-    s = group_stats(s, by, split=large, __long=F.sum(F.greatest("__w", F.lit(0.0))), __short=F.sum(F.greatest(-F.col("__w"), F.lit(0.0))))
+    s = group_stats(s, by, __long=F.sum(F.greatest("__w", F.lit(0.0))), __short=F.sum(F.greatest(-F.col("__w"), F.lit(0.0))))
     target = F.least("__long", "__short")
     side = F.when(F.col("__w") > 0, F.col("__long")).otherwise(F.col("__short"))
     w = F.when(target > 0, F.col("__w") * target / F.when(side > 0, side))
@@ -368,14 +365,13 @@ def proxy_net(book: DataFrame, *, by: Sequence[str], id: str, month: str, aum: f
 
 def select_kappa(
     df: DataFrame, grid: Sequence[float], *, id: str, month: str, alpha: str, unc: str, vol: str, aum: float, borrow: float, cap: float = 0.01,
-    split: bool | None = None,
 ) -> DataFrame:
     """Total validation net return of the proxy book at every shrinkage strength, and which is best."""
-    rows = shrink(df, month=month, alpha=alpha, unc=unc, kappa=0.0, split=split).drop("alpha_shrunk")
+    rows = shrink(df, month=month, alpha=alpha, unc=unc, kappa=0.0).drop("alpha_shrunk")
     rows = rows.withColumn("kappa", F.explode(F.array(*[F.lit(float(k)) for k in grid])))
-    rel = group_stats(rows, [month, "kappa"], split=split, __mu=F.avg(unc))
+    rel = group_stats(rows, [month, "kappa"], __mu=F.avg(unc))
     rows = rel.withColumn("__s", F.col(alpha) / (1.0 + F.col("kappa") * F.coalesce(ratio(unc, "__mu"), F.lit(1.0)) ** 2)).drop("__mu")
-    book = proxy_book(rows, by=["kappa", month], alpha="__s", vol=vol, cap=cap, split=split)
+    book = proxy_book(rows, by=["kappa", month], alpha="__s", vol=vol, cap=cap)
     total = proxy_net(book, by=["kappa"], id=id, month=month, aum=aum, borrow=borrow).groupBy("kappa").agg(F.sum("net_ret").alias("total"))
     best = total.agg(F.max_by("kappa", F.struct(F.col("total"), -F.col("kappa"))).alias("__best"))
     return total.join(F.broadcast(best), F.lit(True)).select("kappa", "total", (F.col("kappa") == F.col("__best")).alias("best"))  # one-row side
@@ -383,7 +379,6 @@ def select_kappa(
 
 def conformal(
     df: DataFrame, *, by: Sequence[str], id: str, month: str, score: str, truth: str, months: int = 24, alpha: float = 0.1, min_n: int = 100,
-    split: bool | None = None,
 ) -> DataFrame:
     """Half-width of each month's interval: the k-th smallest absolute residual of the trailing existing months.
 
@@ -394,8 +389,7 @@ def conformal(
     resid = df.select(*by, id, month, F.abs(F.col(truth) - F.col(score)).alias("__e")).filter("__e IS NOT NULL").join(order, month)
     sent = resid.withColumn("__to", F.explode(F.sequence(F.col("__i") + 1, F.col("__i") + months)))
     pool = sent.select(*by, "__to", "__e", (F.col(id) * 100000 + F.col("__i")).alias("__tie"))
-    large = is_large(pool, split)
-    ranked = group_stats(row_rank(pool, [*by, "__to"], "__e", "__tie", "__r", split=large), [*by, "__to"], split=large, __n=F.count(F.lit(1)))
+    ranked = group_stats(row_rank(pool, [*by, "__to"], "__e", "__tie", "__r"), [*by, "__to"], __n=F.count(F.lit(1)))
     k = F.least(F.ceil((F.col("__n") + 1) * (1.0 - alpha)), F.col("__n"))
     hit = ranked.filter((F.col("__n") >= min_n) & (F.col("__r") == k)).select(*by, "__to", F.col("__n").alias("n"), F.col("__e").alias("half_width"))
     out = hit.join(order.withColumnRenamed("__i", "__to"), "__to")
@@ -408,46 +402,33 @@ def scale_path(x: np.ndarray, start: float, alpha: float, rate: float) -> tuple[
     return start, covered, float(np.clip(start * np.exp(rate * ((1 - alpha) - covered)), 0.25, 4.0))
 
 
-def conformal_adaptive(
-    df: DataFrame, widths: DataFrame, *, by: Sequence[str], month: str, score: str, truth: str, alpha: float = 0.1, rate: float = 0.05,
-    split: bool | None = None,
-) -> DataFrame:
+def conformal_adaptive(df: DataFrame, widths: DataFrame, *, by: Sequence[str], month: str, score: str, truth: str, alpha: float = 0.1, rate: float = 0.05) -> DataFrame:
     """Interval scale fed back from each month's realised coverage: (by, month, scale, coverage, n).
 
-    Small panels walk each model's months in one task. Large panels count each month's coverage as a Spark aggregate, one
-    month after the other, because a month's residuals may not fit one task and the scale depends on the month before.
+    The scale depends on the month before, so months follow one another; each is one Spark aggregate that returns a row per model.
     """
     by = list(by)
     x = F.abs(F.col(truth) - F.col(score)) / F.col("half_width")
     rows = df.join(widths.select(*by, month, "half_width"), [*by, month]).select(*by, month, x.alias("x")).filter("x IS NOT NULL")
-    fields = [rows.schema[b] for b in by]
-    out = T.StructType([*fields, T.StructField(month, T.DateType()), T.StructField("scale", T.DoubleType()), T.StructField("coverage", T.DoubleType()), T.StructField("n", T.LongType())])
-    if not is_large(rows, split):
-
-        def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            scale, done = 1.0, []
-            for m, g in pdf.groupby(month, sort=True):
-                used, cov, scale = scale_path(g["x"].to_numpy(), scale, alpha, rate)
-                done.append((*key, m, used, cov, len(g)))
-            return pd.DataFrame(done, columns=[f.name for f in out.fields])
-
-        return rows.groupBy(*by).applyInPandas(walk, out)
+    rows = rows.repartition(month).persist()
     spark = df.sparkSession
-    state: dict[tuple, float] = {}
+    fields = [rows.schema[b] for b in by]
+    scale: dict[tuple, float] = {}
     done = []
-    for (m,) in rows.select(month).distinct().orderBy(month).collect():  # months
-        scales = spark.createDataFrame([(*k, v) for k, v in state.items()], T.StructType([*fields, T.StructField("s", T.DoubleType())]))
-        cur = rows.filter(F.col(month) == F.lit(m)).join(F.broadcast(scales), by, "left").withColumn("s", F.coalesce("s", F.lit(1.0)))  # one row per model
+    for (m,) in rows.select(month).distinct().orderBy(month).collect():  # months of the calendar
+        known = spark.createDataFrame([(*k, v) for k, v in scale.items()], T.StructType([*fields, T.StructField("s", T.DoubleType())]))
+        cur = rows.filter(F.col(month) == F.lit(m)).join(F.broadcast(known), by, "left").withColumn("s", F.coalesce("s", F.lit(1.0)))  # one row per model
         for r in cur.groupBy(*by).agg(F.max("s").alias("s"), F.avg((F.col("x") <= F.col("s")).cast("double")).alias("c"), F.count(F.lit(1)).alias("n")).collect():
             key = tuple(r[b] for b in by)
             done.append((*key, m, r["s"], r["c"], r["n"]))
-            state[key] = float(np.clip(r["s"] * np.exp(rate * ((1 - alpha) - r["c"])), 0.25, 4.0))
-    return spark.createDataFrame(done, out)
+            scale[key] = float(np.clip(r["s"] * np.exp(rate * ((1 - alpha) - r["c"])), 0.25, 4.0))
+    rows.unpersist()
+    return spark.createDataFrame(done, T.StructType([*fields, T.StructField(month, T.DateType()), T.StructField("scale", T.DoubleType()), T.StructField("coverage", T.DoubleType()), T.StructField("n", T.LongType())]))
 
 
-def blend_width(df: DataFrame, *, month: str, width: str, dispersion: str, split: bool | None = None) -> DataFrame:
+def blend_width(df: DataFrame, *, month: str, width: str, dispersion: str) -> DataFrame:
     """Calibrated width times the name's dispersion relative to its month."""
-    st = group_stats(df, [month], split=split, __mu=F.avg(dispersion))
+    st = group_stats(df, [month], __mu=F.avg(dispersion))
     rel = F.when(F.col("__mu") > 0, F.col(dispersion) / F.col("__mu")).otherwise(1.0)
     return st.withColumn("unc_sd", F.col(width) * F.coalesce(rel, F.lit(1.0))).drop("__mu")
 
@@ -523,13 +504,13 @@ def state_dependence(implied: DataFrame, states: DataFrame, themes: Sequence[str
 
 def economic_importance(
     df: DataFrame, coefs: Mapping[str, float], themes: Mapping[str, Sequence[str]], *, id: str, month: str, vol: str, aum: float, borrow: float,
-    cap: float = 0.01, split: bool | None = None,
+    cap: float = 0.01,
 ) -> DataFrame:
     """Net return lost when a theme is set to its monthly median in a linear score."""
     names = list(coefs)
     med = df.select(month).distinct()
     for s in names:
-        med = med.join(quantiles(df, [month], s, {f"__m_{s}": 0.5}, split=split).drop("n"), month, "left")
+        med = med.join(quantiles(df, [month], s, {f"__m_{s}": 0.5}).drop("n"), month, "left")
     rows = df.join(med, month)
 
     def score(muted: Sequence[str]) -> Column:
@@ -538,7 +519,7 @@ def economic_importance(
 
     variants = F.array(F.struct(F.lit("").alias("theme"), score([]).alias("alpha")), *[F.struct(F.lit(t).alias("theme"), score(ss).alias("alpha")) for t, ss in themes.items()])
     long = rows.withColumn("__v", F.explode(variants)).select(id, month, "__v.theme", "__v.alpha", vol, "ret_next", "spread", *([] if vol == "sigma_d" else ["sigma_d"]), "adv_usd")
-    book = proxy_book(long, by=["theme", month], alpha="alpha", vol=vol, cap=cap, split=split)
+    book = proxy_book(long, by=["theme", month], alpha="alpha", vol=vol, cap=cap)
     total = proxy_net(book, by=["theme"], id=id, month=month, aum=aum, borrow=borrow).groupBy("theme").agg(F.sum("net_ret").alias("total"))
     full = total.filter("theme = ''").select(F.col("total").alias("net_return_full"))
     return total.filter("theme <> ''").join(F.broadcast(full), F.lit(True)).select(  # one-row side

@@ -212,9 +212,9 @@ def outliers(monthly: DataFrame, daily: DataFrame, *, id: str, month: str, value
     )
 
 
-def quantile_summary(df: DataFrame, value: str, by: Sequence[str] = (), *, split: bool | None = None) -> DataFrame:
+def quantile_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """n, min, p01, p50, p99 and max with linear interpolation."""
-    return quantiles(df, list(by), value, {"q_min": 0.0, "p01": 0.01, "p50": 0.5, "p99": 0.99, "q_max": 1.0}, split=split)
+    return quantiles(df, list(by), value, {"q_min": 0.0, "p01": 0.01, "p50": 0.5, "p99": 0.99, "q_max": 1.0})
 
 
 def unbalanced(df: DataFrame, *, date: str, unit: str) -> DataFrame:

@@ -71,7 +71,6 @@ def ewma_cov(factors: DataFrame, *, month: str, names: Sequence[str], halflife:
 
 def specific_var(
     resid: DataFrame, sizes: DataFrame, *, id: str, month: str, halflife: float, cap: str, shrink: float = 0.3, history: int = 120,
-    split: bool | None = None,
 ) -> DataFrame:
     """Exponentially weighted residual variance of every name as of every month, shrunk to its size decile's median.
 
@@ -90,9 +89,9 @@ def specific_var(
     mean = F.col("__w1") / F.col("__tot")
     raw = F.when(F.col("__w0") > 0, (F.col("__w2") - 2 * mean * F.col("__w1") + mean ** 2 * F.col("__w0")) / F.greatest("__w0", F.lit(1e-6)))
     var = sums.select(id, month, cap, F.when(raw > 0, raw).alias("raw"))
-    binned = rank_bins(var, cap, by=[month], id=id, k=10, out="__dec", split=split)
-    med = quantiles(binned, [month, "__dec"], "raw", {"__gm": 0.5}, split=split).drop("n")
-    overall = quantiles(var, [month], "raw", {"__am": 0.5}, split=split).drop("n")
+    binned = rank_bins(var, cap, by=[month], id=id, k=10, out="__dec")
+    med = quantiles(binned, [month, "__dec"], "raw", {"__gm": 0.5}).drop("n")
+    overall = quantiles(var, [month], "raw", {"__am": 0.5}).drop("n")
     j = binned.join(med, [month, "__dec"], "left").join(overall, month, "left")
     base = (1 - shrink) * F.coalesce("raw", "__gm") + shrink * F.coalesce("__gm", "__am")
     return j.select(id, month, "raw", F.greatest(F.coalesce(base, "__am", F.lit(0.01)), F.lit(1e-6)).alias("spec_var"))

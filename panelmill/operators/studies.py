@@ -16,13 +16,12 @@ from panelmill.operators import xsection as xs
 
 def signal_quality(
     df: DataFrame, signals: Sequence[str], *, id: str, month: str, target: str, horizons: Mapping[str, int], min_n: int = 6, periods: int = 12,
-    split: bool | None = None,
 ) -> DataFrame:
     """Per signal: mean IC, spread, ICIR, HAC t, month-to-month rank persistence, horizon ICs and decay half-life."""
     cols = [target, *[h for h in horizons if h != target]]
     long = xs.melt(df, [id, month, *cols], signals)
     key = ["signal", month]
-    ics = spearman(long, key, "value", target, min_n=min_n, split=split).filter(F.col("ic").isNotNull())
+    ics = spearman(long, key, "value", target, min_n=min_n).filter(F.col("ic").isNotNull())
     h = inf.hac(ics, ["signal"], month, {"ic": "ic"})
     sd = ics.groupBy("signal").agg(F.stddev_samp("ic").alias("ic_sd"))
     out = h.join(sd, "signal").select(
@@ -33,11 +32,11 @@ def signal_quality(
     prev = long.join(order, month).select(
         "signal", month, "value", F.when(F.lag("__i").over(w) == F.col("__i") - 1, F.lag("value").over(w)).alias("__prev")
     )
-    auto = spearman(prev, key, "value", "__prev", min_n=2, out="__ac", split=split).groupBy("signal").agg(F.avg("__ac").alias("autocorr_1m"))
+    auto = spearman(prev, key, "value", "__prev", min_n=2, out="__ac").groupBy("signal").agg(F.avg("__ac").alias("autocorr_1m"))
     out = out.join(auto, "signal", "left").withColumn("implied_turnover", 1.0 - F.col("autocorr_1m"))
     for name in horizons:
         src = ics.groupBy("signal").agg(F.avg("ic").alias(f"ic_{name}")) if name == target else spearman(
-            long, key, "value", name, min_n=min_n, split=split
+            long, key, "value", name, min_n=min_n
         ).groupBy("signal").agg(F.avg("ic").alias(f"ic_{name}"))
         out = out.join(src, "signal", "left")
     # first positive horizon, then the first later one at half its value or less (non-positive points are skipped)
@@ -56,7 +55,7 @@ def redundancy(df: DataFrame, signals: Sequence[str], themes: Mapping[str, Seque
     """
     long = xs.melt(df.select(*key, *signals).dropna(), key, signals)
     # whole-panel ranks: the signal is the only key, so always use the bucketed plan
-    long = avg_rank(long, ["signal"], "value", "rank", split=True)
+    long = avg_rank(long, ["signal"], "value", "rank")
     cols = list(signals)
     ranked = long.groupBy(*key).pivot("signal", cols).agg(F.first("rank"))
     mean = ranked.agg(*[F.avg(c).alias(f"m_{c}") for c in cols])
@@ -224,17 +223,17 @@ def power_table(tests: DataFrame, effects: Sequence[float]) -> DataFrame:
 
 def theme_liquidity(
     df: DataFrame, themes: Mapping[str, Sequence[str]], signs: DataFrame, *, id: str, month: str, ret: str, liquidity: str, B: int = 4000,
-    periods: int = 12, salt: str = "0", split: bool | None = None,
+    periods: int = 12, salt: str = "0",
 ) -> DataFrame:
     """Spread of each theme inside the least and the most liquid tercile, and the test of their Sharpe difference."""
     signals = [s for names in themes.values() for s in names]
     flip = signs.groupBy().pivot("signal", signals).agg(F.first("sign"))
     oriented = df.join(F.broadcast(flip.select(*[F.col(s).alias(f"__s_{s}") for s in signals])), F.lit(True))  # one-row side
     oriented = oriented.select(id, month, ret, liquidity, *[(F.col(s) * F.coalesce(F.col(f"__s_{s}"), F.lit(1))).alias(s) for s in signals])
-    binned = xs.rank_bins(oriented, liquidity, by=[month], id=id, k=3, min_n=30, split=split)
+    binned = xs.rank_bins(oriented, liquidity, by=[month], id=id, k=3, min_n=30)
     th = xs.theme_composites(binned, themes)
     long = xs.melt(th, [id, month, ret, "bin"], [f"theme_{t}" for t in themes], "theme", "score")
-    spread = bk.spread_return(long, by=["theme", "bin", month], id=id, score="score", ret=ret, split=split)
+    spread = bk.spread_return(long, by=["theme", "bin", month], id=id, score="score", ret=ret)
     wide = spread.groupBy("theme", month).agg(
         F.max(F.when(F.col("bin") == 1, F.col("spread_ret"))).alias("illiquid"), F.max(F.when(F.col("bin") == 3, F.col("spread_ret"))).alias("liquid")
     )

@@ -8,43 +8,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import clip, finite, group_stats, month_index, positive, ratio, row_rank, spearman
-from panelmill.functions.ranking import is_large, _null_safe_join
+from panelmill.functions.ranking import _null_safe_join, row_ranks
 
 
-def xs_rank(df: DataFrame, value: str, *, by: Sequence[str], id: str, out: str, split: bool | None = None) -> DataFrame:
+def xs_rank(df: DataFrame, value: str, *, by: Sequence[str], id: str, out: str) -> DataFrame:
     """Rank to [-0.5, 0.5] with missing values kept missing; ties in id order. A lone value maps to -0.5."""
-    by = list(by)
-    if not is_large(df, split):
-        present = F.count(value).over(Window.partitionBy(*by))
-        pos = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last(), F.col(id))) - 1
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), pos / F.greatest(present - 1, F.lit(1)) - 0.5))
-    rows = df.select(*by, id, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
-    ranked = row_rank(rows, by, "__v", id, "__r", split=True)
-    ranked = group_stats(ranked, by, split=True, __n=F.count(F.lit(1)))
-    ranked = ranked.select(*by, id, ((F.col("__r") - 1) / F.greatest(F.col("__n") - 1, F.lit(1)) - 0.5).alias("__x"))
-    keep = [c for c in df.columns if c != out]
-    return df.join(ranked, [*by, id], "left").select(*keep, F.col("__x").alias(out))
-
-
-def xs_rank_many(df: DataFrame, values: Sequence[str], *, by: Sequence[str], id: str, split: bool | None = None) -> DataFrame:
-    """``xs_rank`` of several columns in place. The split plan ranks them in one long pass, so plans do not nest."""
-    by = list(by)
-    if not is_large(df, split):
-        for v in values:
-            df = xs_rank(df, v, by=by, id=id, out=v, split=False)
-        return df
-    long = xs_rank(melt(df, [*by, id], values), "value", by=[*by, "signal"], id=id, out="x", split=True)
-    wide = long.groupBy(*by, id).pivot("signal", list(values)).agg(F.first("x"))
-    return df.drop(*values).join(wide, [*by, id]).select(*df.columns)
+    ranked = row_ranks(df, by, {value: "__x"}, id, counts="_n")
+    return ranked.withColumn(out, (F.col("__x") - 1) / F.greatest(F.col("__x_n") - 1, F.lit(1)) - 0.5).drop("__x", "__x_n")
+
+
+def xs_rank_many(df: DataFrame, values: Sequence[str], *, by: Sequence[str], id: str) -> DataFrame:
+    """``xs_rank`` of several columns in place, from one pass of cuts and one of counts for all of them."""
+    ranked = row_ranks(df, by, {v: f"__x{v}" for v in values}, id, counts="_n")
+    shares = {v: ((F.col(f"__x{v}") - 1) / F.greatest(F.col(f"__x{v}_n") - 1, F.lit(1)) - 0.5) for v in values}
+    return ranked.select(*[shares[c].alias(c) if c in shares else F.col(c) for c in df.columns])
 
 
 def xs_z(
     df: DataFrame, value: str, *, by: Sequence[str], out: str, ddof: int, bound: float | None = None, missing_zero: bool = False,
-    split: bool | None = None,
 ) -> DataFrame:
     """Standardise inside each month; a spread below 1e-12 gives zero."""
     sd = F.stddev_pop(value) if ddof == 0 else F.stddev_samp(value)
-    st = group_stats(df, by, split=split, __mu=F.avg(value), __sd=sd)
+    st = group_stats(df, by, __mu=F.avg(value), __sd=sd)
     # a month whose values are all equal carries no information
     z = F.when(F.col("__sd") > 1e-12, (F.col(value) - F.col("__mu")) / F.col("__sd")).when(F.col(value).isNotNull(), 0.0)
     if bound is not None:
@@ -54,8 +39,8 @@ def xs_z(
     return st.withColumn(out, z).drop("__mu", "__sd")
 
 
-def demean(df: DataFrame, value: str, *, by: Sequence[str], out: str, split: bool | None = None) -> DataFrame:
-    st = group_stats(df, by, split=split, __mu=F.avg(value))
+def demean(df: DataFrame, value: str, *, by: Sequence[str], out: str) -> DataFrame:
+    st = group_stats(df, by, __mu=F.avg(value))
     return st.withColumn(out, F.col(value) - F.col("__mu")).drop("__mu")
 
 
@@ -94,10 +79,10 @@ def forward_returns(df: DataFrame, *, id: str, month: str, ret: str, horizons: S
     return df.withColumn("__i", idx).select(*df.columns, *out)
 
 
-def breadth_cap(df: DataFrame, n: int, *, month: str, id: str, size: str, flag: str = "in_universe", split: bool | None = None) -> DataFrame:
+def breadth_cap(df: DataFrame, n: int, *, month: str, id: str, size: str, flag: str = "in_universe") -> DataFrame:
     """Keep the flag only on the ``n`` largest priced members of each month; rows stay."""
     priced = df.filter(F.col(flag) & F.col(size).isNotNull()).select(month, id, size)
-    top = row_rank(priced, [month], size, id, "__r", desc=True, split=split).filter(F.col("__r") <= n).select(month, id, F.lit(True).alias("__keep"))
+    top = row_rank(priced, [month], size, id, "__r", desc=True).filter(F.col("__r") <= n).select(month, id, F.lit(True).alias("__keep"))
     return df.join(top, [month, id], "left").withColumn(flag, F.coalesce("__keep", F.lit(False))).drop("__keep")
 
 
@@ -131,19 +116,18 @@ def book_costs(book: DataFrame, inputs: DataFrame, *, keys: Sequence[str], proxy
 
 
 def rank_bins(
-    df: DataFrame, value: str, *, by: Sequence[str], id: str, k: int = 3, min_n: int = 1, out: str = "bin", split: bool | None = None
+    df: DataFrame, value: str, *, by: Sequence[str], id: str, k: int = 3, min_n: int = 1, out: str = "bin"
 ) -> DataFrame:
     """1..k bins at the quantile edges of the first-come rank. Quantile cuts are not equal-count tiles."""
     rows = df.filter(F.col(value).isNotNull())
-    large = is_large(rows, split)
-    ranked = row_rank(rows, by, value, id, "__r", split=large)
-    ranked = group_stats(ranked, by, split=large, __n=F.count(F.lit(1)))
+    ranked = row_rank(rows, by, value, id, "__r")
+    ranked = group_stats(ranked, by, __n=F.count(F.lit(1)))
     # smallest b with k*(r-1) <= b*(n-1), in integers
     exact = sum(((F.col("__r") - 1) * k > (F.col("__n") - 1) * F.lit(j)).cast("int") for j in range(1, k)) + F.lit(1)
     return ranked.filter(F.col("__n") >= min_n).withColumn(out, exact.cast("int")).drop("__r", "__n")
 
 
-def xs_residual(df: DataFrame, *, y: str, x: str, by: Sequence[str], out: str, split: bool | None = None) -> DataFrame:
+def xs_residual(df: DataFrame, *, y: str, x: str, by: Sequence[str], out: str) -> DataFrame:
     """Residual of y on x inside each month; slope and intercept are grouped aggregates."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     coef = rows.groupBy(*by).agg(F.regr_slope(y, x).alias("__s"), F.regr_intercept(y, x).alias("__i"))
@@ -155,11 +139,11 @@ def melt(df: DataFrame, keep: Sequence[str], values: Sequence[str], name: str =
 
 
 def orient(
-    df: DataFrame, signals: Sequence[str], *, by: str, target: str, cutoff: str, min_n: int = 30, split: bool | None = None
+    df: DataFrame, signals: Sequence[str], *, by: str, target: str, cutoff: str, min_n: int = 30
 ) -> DataFrame:
     """Sign of each signal's mean information coefficient over months before the cutoff (+1 when there is none)."""
     early = df.filter(F.col(by) < F.lit(cutoff).cast("date"))
-    ics = spearman(melt(early, [by, target], signals), [by, "signal"], "value", target, min_n=min_n, split=split)
+    ics = spearman(melt(early, [by, target], signals), [by, "signal"], "value", target, min_n=min_n)
     return ics.groupBy("signal").agg(F.avg("ic").alias("mean_ic")).withColumn("sign", F.when(F.col("mean_ic") < 0, -1).otherwise(1))
 
 

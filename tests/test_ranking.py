@@ -1,10 +1,12 @@
-"""The split plans must give exactly the rows of the plain plans, and both must agree with pandas."""
+"""Ranks from cells must equal those of plain windows and of pandas, however groups are cut."""
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import avg_rank, group_stats, quantiles, row_rank, spearman
+from panelmill.functions import ranking
 from panelmill.functions.ranking import weighted_median
 from panelmill.operators import models as md
 from panelmill.operators import xsection as xs
@@ -19,43 +21,67 @@ def rows(df, digits=9):
     return sorted(tuple(str(norm(r[c])) for c in cols) for r in df.collect())
 
 
+@pytest.fixture(params=[10**6, 4])
+def cell(request, monkeypatch):
+    """One cell per group, and many cells: nothing may depend on where groups are cut."""
+    monkeypatch.setattr(ranking, "CELL", request.param)
+    return request.param
+
+
 @pytest.mark.parametrize("desc", [False, True])
-def test_row_rank(panel, desc):
-    p = panel.filter("x IS NOT NULL")
-    assert rows(row_rank(p, ["m"], "x", "sec_id", desc=desc, split=True)) == rows(row_rank(p, ["m"], "x", "sec_id", desc=desc, split=False))
+@pytest.mark.parametrize("col", ["x", "z"])
+def test_row_rank(panel, cell, desc, col):
+    plain = F.row_number().over(Window.partitionBy("m").orderBy(F.col(col).desc() if desc else F.col(col).asc(), "sec_id")).cast("long")
+    p = panel.filter(F.col(col).isNotNull())
+    assert rows(row_rank(p, ["m"], col, "sec_id", desc=desc)) == rows(p.withColumn("rank", plain))
 
 
 @pytest.mark.parametrize("col", ["x", "y", "z"])
-def test_avg_rank_and_quantiles(panel, col):
+def test_avg_rank_and_quantiles(panel, cell, col):
     p = panel.filter(F.col(col).isNotNull())
-    assert rows(avg_rank(p, ["m"], col, split=True)) == rows(avg_rank(p, ["m"], col, split=False))
+    plain = F.rank().over(Window.partitionBy("m").orderBy(col)) + (F.count(F.lit(1)).over(Window.partitionBy("m", col)) - 1) / 2.0
+    assert rows(avg_rank(p, ["m"], col)) == rows(p.withColumn("rank", plain))
     probs = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.77, "e": 1.0}
-    got, want = rows(quantiles(p, ["m"], col, probs, split=True)), rows(quantiles(p, ["m"], col, probs, split=False))
-    assert got == want
-    pdf = p.toPandas()
-    assert np.allclose(sorted(r["d"] for r in quantiles(p, ["m"], col, probs, split=True).collect()), sorted(pdf.groupby("m")[col].quantile(0.77)))
+    exact = p.groupBy("m").agg(F.count(col).alias("n"), *[F.percentile(col, F.lit(v)).alias(k) for k, v in probs.items()])
+    assert rows(quantiles(p, ["m"], col, probs)) == rows(exact)
 
 
-def test_group_functions(panel):
-    assert rows(group_stats(panel, ["m"], split=True, a=F.avg("y"))) == rows(group_stats(panel, ["m"], split=False, a=F.avg("y")))
+def test_group_functions(panel, cell):
+    assert rows(group_stats(panel, ["m"], a=F.avg("y"))) == rows(panel.withColumn("a", F.avg("y").over(Window.partitionBy("m"))))
     want = panel.toPandas().dropna().groupby("m").apply(lambda g: g["x"].rank().corr(g["y"].rank()), include_groups=False)
-    for split in (True, False):
-        got = {r["m"]: r["ic"] for r in spearman(panel, ["m"], "x", "y", split=split).collect()}
-        assert np.allclose([got[k] for k in want.index], want)
+    got = {r["m"]: r["ic"] for r in spearman(panel, ["m"], "x", "y").collect()}
+    assert np.allclose([got[k] for k in want.index], want)
+
+
+def test_one_month_holds_nearly_all_rows_and_ids_repeat(spark, cell):
+    import datetime as dt
+
+    rng = np.random.default_rng(1)
+    data = [(dt.date(2000, 1 if i % 20 else 2, 28), int(i // 2), float(v) if i % 9 else None) for i, v in enumerate(rng.integers(0, 12, 600) ** 2.0)]
+    df = spark.createDataFrame(data + data[:5], "m date, id long, x double")
+    got = xs.xs_rank(df, "x", by=["m"], id="id", out="r")
+    assert got.count() == len(data) + 5
+    many = xs.xs_rank_many(df, ["x"], by=["m"], id="id")
+    for m, g in df.toPandas().groupby("m"):
+        n = int(g["x"].notna().sum())
+        want = sorted(k / (n - 1) - 0.5 for k in range(n))
+        for out, c in ((got, "r"), (many, "x")):
+            assert np.allclose(sorted(r[c] for r in out.filter(F.col("m") == F.lit(m)).collect() if r[c] is not None), want)
 
 
-def test_split_operators(panel):
+def test_operators_do_not_depend_on_cells(panel, monkeypatch):
     for fn in (
-        lambda s: xs.xs_rank(panel, "x", by=["m"], id="sec_id", out="r", split=s),
-        lambda s: xs.xs_rank_many(panel, ["x", "y"], by=["m"], id="sec_id", split=s),
-        lambda s: xs.xs_z(panel, "x", by=["m"], out="r", ddof=1, split=s),
-        lambda s: xs.rank_bins(panel, "x", by=["m"], id="sec_id", k=3, split=s),
-        lambda s: extreme_book(panel, by=["m"], id="sec_id", score="y", cap="w", split=s),
-        lambda s: spread_return(panel, by=["m"], id="sec_id", score="x", ret="y", split=s),
-        lambda s: md.proxy_book(panel, by=["m"], alpha="y", vol="w", cap=0.05, split=s),
-        lambda s: md.conformal(panel.withColumn("g", F.lit("a")), by=["g"], id="sec_id", month="m", score="y", truth="z", months=5, split=s),
+        lambda: xs.xs_rank(panel, "x", by=["m"], id="sec_id", out="r"),
+        lambda: xs.xs_rank_many(panel, ["x", "y"], by=["m"], id="sec_id"),
+        lambda: xs.rank_bins(panel, "x", by=["m"], id="sec_id", k=3),
+        lambda: extreme_book(panel, by=["m"], id="sec_id", score="y", cap="w"),
+        lambda: spread_return(panel, by=["m"], id="sec_id", score="x", ret="y"),
+        lambda: md.conformal(panel.withColumn("g", F.lit("a")), by=["g"], id="sec_id", month="m", score="y", truth="z", months=5),
     ):
-        assert rows(fn(True), 8) == rows(fn(False), 8)
+        monkeypatch.setattr(ranking, "CELL", 10**6)
+        one = rows(fn(), 8)
+        monkeypatch.setattr(ranking, "CELL", 4)
+        assert rows(fn(), 8) == one
 
 
 def test_rank_bins_match_quantile_cuts(panel):
@@ -68,7 +94,7 @@ def test_rank_bins_match_quantile_cuts(panel):
         assert [got[(m, s)] for m, s in zip(g["m"], g["sec_id"])] == list(want)
 
 
-def test_weighted_median(panel):
+def test_weighted_median(panel, cell):
     got = {r["m"]: r["wmedian"] for r in weighted_median(panel, ["m"], "y", "w").collect()}
     for m, g in panel.toPandas().sort_values("y").groupby("m"):
         c = g["w"].cumsum() / g["w"].sum()
