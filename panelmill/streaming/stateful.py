@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from panelmill.operators.adaptive import UNSEEN, _typed, page_hinkley
 from panelmill.operators.models import scale_path
-from panelmill.operators.tax import Ledger
+from panelmill.operators.tax import Position
 from panelmill.sources.io import scratch_dir
 
 
@@ -56,13 +56,13 @@ def lots_stream(df: DataFrame, *, by: Sequence[str], date: str, target: str, gro
     by = list(by)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        book, last = pickle.loads(state.get[0]) if state.exists else (Ledger(method, 12), None)
+        book, last = pickle.loads(state.get[0]) if state.exists else (Position(method, 12), None)
         rows = []
         for d, tgt, r in pd.concat(batches).sort_values(date)[[date, target, growth]].itertuples(index=False):
             if last is not None and (last - d).days > late_days:
                 continue
-            book.accrue(float(r))
-            rows += [(*key, d, o, g, lt) for o, g, lt, _ in book.trade_to(d, float(tgt))]
+            book.grow(float(r))
+            rows += [(*key, d, o, g, lt) for o, g, lt, _ in book.move(d, float(tgt))]
             last = d if last is None else max(last, d)
         state.update((pickle.dumps((book, last)),))
         yield pd.DataFrame(rows, columns=[*by, "sold", "opened", "gain", "long_term"])
