@@ -7,8 +7,9 @@ and a coordinate keeps its dart of lowest rank; if one stays empty, the set is t
 coordinate with the probability of their weighted Jaccard similarity.
 
 Texts of the same words are one node. Nodes that agree in all coordinates of a band are candidates. They are joined in stars, not in pairs:
-each member of a band's bucket is checked, exactly, against one centre, for several rounds of other centres; buckets that then lie in one
-component are done, and only members of different components are checked with each other. Classes are the components of the checked links.
+each member of a band's bucket is checked, exactly, against a centre of the bucket; buckets that then lie in one component are done, and of
+members of different components only such pairs are checked whose sizes and common elements allow a link. Classes are the components of the
+checked links.
 
 Defined cases: a null text is empty; texts without words form one class; null doc_ids are allowed, a class is named by its smallest
 doc_id (null if it has none); rows that share a doc_id are separate documents; an empty table gives no rows; further columns are kept by
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -33,8 +34,6 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
 DARTS = SIZE * np.log(SIZE) + 2 * SIZE
-#: Rounds of stars before members of different components are paired.
-ROUNDS = 3
 
 
 def uniform(key: np.ndarray) -> np.ndarray:
@@ -189,43 +188,71 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "e1", "w1", "e2", "w2").mapInArrow(run, out)
 
 
+def shared_mass(sets: DataFrame, among: DataFrame) -> DataFrame:
+    """(node, size, common): weight of each node of ``among``, and of its elements that other nodes of ``among`` have, too."""
+    out = "node long, element long, weight long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                element = np.frombuffer(batch.column("elements")[k].as_buffer(), np.int64)
+                weight = np.frombuffer(batch.column("weights")[k].as_buffer(), "<u4")
+                yield from tables(iter([{"node": np.full(len(element), batch.column("node")[k].as_py()), "element": element, "weight": weight}]), arrow_schema(out))
+
+    rows = sets.join(among, "node").select("node", "elements", "weights").mapInArrow(run, out)
+    alone = rows.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
+    single = alone.groupBy("node").agg(F.sum("weight").alias("alone"))
+    size = rows.groupBy("node").agg(F.sum("weight").alias("size"))
+    return size.join(single, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def divided(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, node, label): members of the buckets that lie in more than one component."""
+    spread = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return spread.join(mixed, "key")
+
+
+def stars(rows: DataFrame, rank: Column) -> DataFrame:
+    """Pairs (u, v) of every member of a bucket with the bucket's first member by ``rank``, unless they are of one component."""
+    centre = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node", "label")).alias("c"))
+    pairs = rows.join(centre, "key").where("label <> c.label")
+    return pairs.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
+
+
 def labels(docs: DataFrame, sign: DataFrame) -> DataFrame:
-    """(node, label) of the nodes that have a link; ``sign`` is what ``signed`` gave."""
-    spark = docs.sparkSession
+    """(node, label) of the nodes that have a link; ``sign`` is what ``signed`` gave.
+
+    First all members of a bucket are checked with one of them, then those of divided buckets with their most central member, whose
+    elements most others have; last come pairs of different components. Of these only pairs are formed that can reach SIMILARITY: with
+    sizes a and b and at most m in common, m being the smaller common mass, a + b <= m (1 + 1 / SIMILARITY) must hold.
+    """
     rows = sign.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     members = stage(rows.join(shared, "key").distinct(), "members")
     wanted = sign.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = stage(sketches(docs, wanted), "sets")
-    links = spark.createDataFrame([], "u long, v long")
-    tested = spark.createDataFrame([], "u long, v long")
-    label = spark.createDataFrame([], "node long, label long")
-    open_members = members.withColumn("label", F.col("node"))
-    for turn in range(ROUNDS + 1):
-        if turn:
-            spread = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            open_members = stage(spread.join(mixed, "key"), "open")
-        if turn < ROUNDS:
-            centre = open_members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("c"))
-            pairs = open_members.join(centre, "key").where("label <> c.label").select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
-        else:
-            groups = open_members.select("key", "label").distinct()
-            across = groups.withColumnRenamed("label", "la").join(groups.withColumnRenamed("label", "lb"), "key").where("la < lb")
-            left = open_members.select("key", F.col("label").alias("la"), F.col("node").alias("a"))
-            right = open_members.select("key", F.col("label").alias("lb"), F.col("node").alias("b"))
-            pairs = across.join(left, ["key", "la"]).join(right, ["key", "lb"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        pairs = stage(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        new = stage(similar(pairs, sets), "links")
-        tested = tested.union(pairs)
-        if not new.isEmpty():
-            links = links.union(new)
-            label = components(links)
-    return label
+    tested = stage(stars(members.withColumn("label", F.col("node")), F.xxhash64("node")), "pairs")
+    links = stage(similar(tested, sets), "links")
+    label = components(links)
+    open_rows = stage(divided(members, label), "divided")
+    mass = stage(shared_mass(sets, open_rows.select("node").distinct()), "mass")
+    second = stage(stars(open_rows.join(mass, "node"), -F.col("common") / F.col("size")).join(tested, ["u", "v"], "left_anti"), "pairs")
+    more = stage(similar(second, sets), "links")
+    if not more.isEmpty():
+        links, tested = links.union(more), tested.union(second)
+        label = components(links)
+        open_rows = stage(divided(members, label), "divided")
+    # What a node's partner may weigh at most; those that no member of their bucket can suit are left out first.
+    reach = F.col("common") * (1 + 1 / SIMILARITY) - F.col("size") + 1e-6
+    left = open_rows.join(mass, "node").withColumn("reach", reach)
+    least = left.groupBy("key").agg(F.min("size").alias("least"))
+    left = left.join(least, "key").where("reach >= least").select("key", "node", "label", "size", "reach")
+    other = left.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "label", "size", "reach")))
+    fits = (F.col("node") < F.col("node_2")) & (F.col("label") != F.col("label_2")) & (F.col("size") <= F.col("reach_2")) & (F.col("size_2") <= F.col("reach"))
+    pairs = left.join(other, (left["key"] == other["key"]) & fits).select(F.col("node").alias("u"), F.col("node_2").alias("v")).distinct()
+    last = stage(similar(pairs.join(tested, ["u", "v"], "left_anti"), sets), "links")
+    return label if last.isEmpty() else components(links.union(last))
 
 
 def nodes(docs: DataFrame) -> DataFrame:
