@@ -31,6 +31,8 @@ from panelmill.llm.storage import stage
 from panelmill.llm.text import LOWER, arrow_schema, hashes, mix, owner, prefix, slices, tables, utf8, words
 
 WORDS, SIMILARITY = 5, 0.8
+#: Members of a bucket that meet in one task.
+BLOCK = 256
 BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
 DARTS = SIZE * np.log(SIZE) + 2 * SIZE
@@ -224,7 +226,7 @@ def labels(docs: DataFrame, sign: DataFrame) -> DataFrame:
     """(node, label) of the nodes that have a link; ``sign`` is what ``signed`` gave.
 
     First all members of a bucket are checked with one of them, then those of divided buckets with their most central member, whose
-    elements most others have; last come pairs of different components. Of these only pairs are formed that can reach SIMILARITY: with
+    elements most others have; last come members of different components. Of these only pairs are checked that can reach SIMILARITY: with
     sizes a and b and at most m in common, m being the smaller common mass, a + b <= m (1 + 1 / SIMILARITY) must hold.
     """
     rows = sign.select("node", F.explode("bands").alias("key"))
@@ -246,15 +248,47 @@ def labels(docs: DataFrame, sign: DataFrame) -> DataFrame:
     # What a node's partner may weigh at most; those that no member of their bucket can suit are left out first.
     reach = F.col("common") * (1 + 1 / SIMILARITY) - F.col("size") + 1e-6
     left = open_rows.join(mass, "node").withColumn("reach", reach)
-    least = left.groupBy("key").agg(F.min("size").alias("least"))
-    left = left.join(least, "key").where("reach >= least").select("key", "node", "label", "size", "reach")
-    other = left.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "label", "size", "reach")))
-    fits = (F.col("node") < F.col("node_2")) & (F.col("label") != F.col("label_2")) & (F.col("size") <= F.col("reach_2")) & (F.col("size_2") <= F.col("reach"))
-    pairs = left.join(other, (left["key"] == other["key"]) & fits).select(F.col("node").alias("u"), F.col("node_2").alias("v")).distinct()
-    last = stage(similar(pairs.join(tested, ["u", "v"], "left_anti"), sets), "links")
+    least = left.groupBy("key").agg(F.min("size").alias("least"), F.count("*").alias("n"))
+    left = left.join(least, "key").where("reach >= least").select("key", "node", "label", "size", "reach", "n")
+    last = stage(linked(left, sets, sign), "links")
     return label if last.isEmpty() else components(links.union(last))
 
 
+def linked(left: DataFrame, sets: DataFrame, sign: DataFrame) -> DataFrame:
+    """Links (u, v) between members of different components in the buckets of ``left`` (key, node, label, size, reach, n).
+
+    A bucket is dealt into blocks of about BLOCK members, and each two blocks meet in a task, which checks the pairs that the bound allows
+    and returns links only. A pair that shares several buckets is checked in that of the first band.
+    """
+    bands = sign.groupBy("node").agg(F.min("bands").alias("bands"))
+    rows = left.join(sets, "node").join(bands, "node")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+    out = "u long, v long"
+
+    def meet(group: pa.Table) -> pa.Table:
+        own, a, b = (group.column(c).to_numpy() for c in ("own", "a", "b"))
+        node, label, size, reach = (group.column(c).to_numpy() for c in ("node", "label", "size", "reach"))
+        band = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        here = band[0] == group.column("key")[0].as_py()
+        one, two = np.flatnonzero(own == a), np.flatnonzero(own == b)
+        load = lambda k: (np.frombuffer(group.column("elements")[k].as_buffer(), np.uint64), np.frombuffer(group.column("weights")[k].as_buffer(), "<u4"))
+        held = {k: load(k) for k in {*one.tolist(), *two.tolist()}}
+        found = []
+        for i in one.tolist():
+            fits = (node[i] < node[two]) | ((a[0] != b[0]) & (node[i] != node[two]))
+            fits &= (label[i] != label[two]) & (size[i] <= reach[two]) & (size[two] <= reach[i])
+            where = two[fits]
+            same = band[where] == band[i]
+            where = where[here[same.argmax(1)]] if len(where) else where
+            found += [(node[i], node[j]) for j in where.tolist() if weighted_jaccard(held[i], held[j]) >= SIMILARITY]
+        u, v = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"u": u, "v": v}, schema=arrow_schema(out))
+
+    return rows.select("key", "a", "b", "own", "node", "label", "size", "reach", "bands", "elements", "weights").groupBy("key", "a", "b").applyInArrow(meet, out)
+
+
 def nodes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, label): every document with its node and the label of its class."""
     sign = stage(signed(docs), "signed")

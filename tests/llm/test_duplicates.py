@@ -79,7 +79,9 @@ def copies(spark):
     return make(spark, texts)
 
 
-def test_classes_equal_brute_force(copies):
+@pytest.mark.parametrize("block", [256, 8])
+def test_classes_equal_brute_force(copies, monkeypatch, block):
+    monkeypatch.setattr(dart, "BLOCK", block)
     rows = [(r["doc_id"], r["text"]) for r in copies.collect()]
     got = dart.classes(copies).collect()
     assert grouped([(g["doc_id"], g["class_id"]) for g in got]) == brute_classes(rows)
