@@ -133,7 +133,7 @@ def signed(docs: DataFrame) -> DataFrame:
     out = "doc_id long, node long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             element, weight, bounds, node = shingles(batch.column("text"))
             keys = band_keys(dart_signatures(element, weight.astype(float), bounds))
             some = np.diff(bounds) > 0
@@ -153,7 +153,7 @@ def sketches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     out = "node long, elements binary, weights binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             element, weight, bounds, node = shingles(batch.column("text"))
             asked = batch.column("node").to_numpy().view(np.uint64)
             keep = np.flatnonzero(asked == node)
@@ -313,7 +313,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     kept = packed.join(keep, F.col("id").eqNullSafe(F.col("keep_id"))).select("row", "keep_id", "keep_node", F.col("row.text").cast("string").alias("text"))
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             node = node_of(batch.column("text")).view(np.int64)
             on = pa.array(np.flatnonzero(node == batch.column("keep_node").to_numpy()))
             yield batch.select(["row", "keep_id", "keep_node"]).take(on)
