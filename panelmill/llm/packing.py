@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, size: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             ids, bounds = with_end(*encoder.encode(batch.column("text")), end)
             total = np.diff(bounds)
             count = -(-total // size)

@@ -155,7 +155,7 @@ def encode(docs: DataFrame, tokenizer: str, end: int, shard_tokens: int = 1 << 2
                 "lengths": [lengths.astype("<u4").tobytes()], "sequence": [seq.astype(f"<u{width}").tobytes()],
             }
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             ids, bounds = with_end(*encoder.encode(batch.column("text")), end)
             keys = batch.column("doc_id").to_pylist()
             at = 0

@@ -282,7 +282,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.of(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             size, tokens = token_counts(batch.column("text"), counter)
             yield from tables(iter([{"doc_id": batch.column("doc_id"), "n_bytes": size, "n_tokens": tokens, "over_limit": tokens > limit}]), arrow_schema(out))
 
