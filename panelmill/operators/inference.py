@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import normal_cdf, normal_quantile, ratio, two_sided_p, uniform
 
-MAX_LAG = 8  # enough for 3,800 observations; longer series raise and need a larger value
 BLOCK = 6
 PERIODS = 12
 
@@ -25,35 +24,39 @@ def _lags(n: Column) -> Column:
     return F.greatest(F.least(rule, n - 2), F.lit(0))
 
 
-def hac(df: DataFrame, by: Sequence[str], order: str, values: Mapping[str, str | Column], *, max_lag: int = MAX_LAG) -> DataFrame:
-    """Mean and Newey-West standard error of each value per series: n, mean_*, se_* (null below three rows)."""
+def hac(df: DataFrame, by: Sequence[str], order: str, values: Mapping[str, str | Column]) -> DataFrame:
+    """Mean and Newey-West standard error of each value per series: n, mean_*, se_* (null below three rows).
+
+    The Bartlett sum of autocovariances up to lag L is the mean over windows of L + 1 rows, zeros beyond both ends, of the squared window sum.
+    Window sums are differences of cumulative sums, which end at zero, so any number of lags costs one array per series.
+    """
     by = list(by)
     p = Window.partitionBy(*by)
-    o = p.orderBy(order)
+    o = p.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     cols = {k: (F.col(v) if isinstance(v, str) else v) for k, v in values.items()}
     base = df.select(*by, order, *[c.alias(f"__x_{k}") for k, c in cols.items()])
-    n = F.count(F.lit(1)).over(p)
-    d = base.select("*", n.alias("__n"), *[(F.col(f"__x_{k}") - F.avg(f"__x_{k}").over(p)).alias(f"__d_{k}") for k in cols])
-    lag = F.when(_lags(F.col("__n")) > max_lag, F.raise_error(F.lit("series needs more lags: raise max_lag"))).otherwise(_lags(F.col("__n")))
-    d = d.withColumn("__L", lag.cast("int"))
-    terms = []
-    for k in cols:
-        x = F.col(f"__d_{k}")
-        acc = x * x
-        for j in range(1, max_lag + 1):
-            w = 2.0 * (1.0 - j / (F.col("__L") + 1.0))
-            acc = acc + F.when(F.col("__L") >= j, w * x * F.coalesce(F.lag(f"__d_{k}", j).over(o), F.lit(0.0))).otherwise(0.0)
-        terms.append(acc.alias(f"__g_{k}"))
-    g = d.select(*by, "__n", *[f"__x_{k}" for k in cols], *terms)
-    out = [F.max("__n").cast("long").alias("n")]
+    d = base.select("*", F.row_number().over(p.orderBy(order)).alias("__i"), *[(F.col(f"__x_{k}") - F.avg(f"__x_{k}").over(p)).alias(f"__d_{k}") for k in cols])
+    run = d.select("*", *[F.coalesce(F.sum(f"__d_{k}").over(o), F.lit(0.0)).alias(f"__c_{k}") for k in cols])
+    g = run.groupBy(*by).agg(
+        F.count(F.lit(1)).cast("long").alias("n"), *[F.avg(f"__x_{k}").alias(f"mean_{k}") for k in cols],
+        F.array_sort(F.collect_list(F.struct("__i", *[f"__c_{k}" for k in cols]))).alias("__s"),
+    )
+    g = g.withColumn("__L", _lags(F.col("n")).cast("int"))
+    out = []
     for k in cols:
-        var = F.greatest(F.sum(f"__g_{k}") / F.max("__n"), F.lit(0.0))
-        out += [F.avg(f"__x_{k}").alias(f"mean_{k}"), F.when(F.max("__n") >= 3, F.sqrt(var / F.max("__n"))).alias(f"se_{k}")]
-    return g.groupBy(*by).agg(*out)
-
-
-def newey_west(df: DataFrame, by: Sequence[str], order: str, value: str, *, max_lag: int = MAX_LAG) -> DataFrame:
-    out = hac(df.filter(F.col(value).isNotNull()), by, order, {"x": value}, max_lag=max_lag)
+        c = F.transform("__s", lambda s: s[f"__c_{k}"])  # noqa: B023
+        before = lambda i: F.when(i > F.col("__L"), F.get(F.col(f"__a_{k}"), i - F.col("__L") - 1)).otherwise(0.0)  # noqa: B023, E731
+        g = g.withColumn(f"__a_{k}", c)
+        square = lambda acc, x: acc + x * x
+        inside = F.aggregate(F.transform(f"__a_{k}", lambda x, i: x - before(i)), F.lit(0.0), square)
+        beyond = F.aggregate(F.slice(f"__a_{k}", F.greatest(F.col("n").cast("int") - F.col("__L"), F.lit(1)), F.col("__L")), F.lit(0.0), square)
+        out.append(F.when(F.col("n") >= 3, F.sqrt((inside + beyond) / (F.col("__L") + 1.0)) / F.col("n")).alias(f"se_{k}"))
+    means = [x for k, se in zip(cols, out) for x in (F.col(f"mean_{k}"), se)]
+    return g.select(*by, "n", *means)
+
+
+def newey_west(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
+    out = hac(df.filter(F.col(value).isNotNull()), by, order, {"x": value})
     return out.select(*by, "n", F.col("mean_x").alias("mean"), F.col("se_x").alias("se"), ratio("mean_x", "se_x").alias("t"))
 
 

@@ -41,11 +41,15 @@ def test_newey_west(series):
         assert r["mean"] == pytest.approx(x.mean()) and r["se"] == pytest.approx(nw(x))
 
 
-def test_long_series_needs_more_lags(spark):
-    df = spark.range(5000).selectExpr("'a' AS s", "id AS m", "rand(1) AS r")
-    with pytest.raises(Exception, match="max_lag"):
-        inf.newey_west(df, ["s"], "m", "r").collect()
-    assert inf.newey_west(df, ["s"], "m", "r", max_lag=10).count() == 1
+def test_newey_west_of_long_and_short_series(spark):
+    rng = np.random.default_rng(2)
+    data = {"long": np.cumsum(rng.normal(size=5000)) * 0.01 + rng.normal(size=5000), "four": rng.normal(size=4), "two": rng.normal(size=2)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in data.items() for i, v in enumerate(x)], "s string, m int, r double")
+    got = {r["s"]: r for r in inf.newey_west(df, ["s"], "m", "r").collect()}
+    assert got["two"]["se"] is None
+    for k in ("long", "four"):
+        assert got[k]["n"] == len(data[k]) and got[k]["se"] == pytest.approx(nw(data[k]))
+
 
 
 def test_sharpe_difference_matches_direct_loop(series):
