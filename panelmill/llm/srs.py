@@ -106,15 +106,16 @@ def search(points: np.ndarray, vectors: np.ndarray, ids: np.ndarray, targets: np
     for a in range(0, len(queries), 128):
         part = slice(a, a + 128)
         apart = (targets[part] ** 2).sum(1)[:, None] + (points**2).sum(1) - 2 * targets[part] @ points.T
-        order = np.argsort(apart, axis=1)
         for i in range(len(apart)):
             q, best = a + i, np.zeros(0, np.int64)
             score = np.zeros(0)
             limit, near = bound[q], np.maximum(apart[i], 0)
-            for at in range(0, len(ids), STEP):
-                if chi2(near[order[i, at]] / max(limit, 1e-300)) >= STOP:
-                    break
-                rows = order[i, at : at + STEP]
+            if chi2(near.min() / max(limit, 1e-300)) >= STOP:
+                continue
+            order, at, step = np.argsort(near), 0, STEP
+            while at < len(ids) and chi2(near[order[at]] / max(limit, 1e-300)) < STOP:
+                rows = order[at : at + step]
+                at, step = at + step, 2 * step  # the next test comes after twice as many
                 rows = rows[ids[rows] != own[q]]
                 best, score = np.append(best, rows), np.append(score, vectors[rows] @ queries[q])
                 if len(best) >= k:
@@ -124,6 +125,8 @@ def search(points: np.ndarray, vectors: np.ndarray, ids: np.ndarray, targets: np
             out_q.append(np.full(len(best), q))
             out_row.append(best)
             out_score.append(score)
+    if not out_q:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate(out_q), np.concatenate(out_row), np.concatenate(out_score)
 
 
