@@ -80,6 +80,22 @@ def test_language_model_odd_rows(spark, odd):
     assert bloom_lm.score(odd.limit(0)).count() == 0
 
 
+def test_language_model_keeps_pairs_of_every_count_in_a_filter_over_the_broadcast_bound(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    texts = [" ".join(vocabulary[rng.integers(0, 3000, 700)]) for _ in range(100)]
+    docs = make(spark, texts * 2 + ["w1 w2 w3 " * 400, None, ""]).repartition(3)  # most pairs occur in two texts
+    want = {r["doc_id"]: r for r in bloom_lm.score(docs).collect()}
+    monkeypatch.setattr(bloom_lm, "FILTER_BYTES", bloom_lm.BLOCK_BYTES)
+    monkeypatch.setattr(bloom_lm, "HEAD", 500, raising=False)
+    got = bloom_lm.score(docs).collect()
+    assert len(got) == len(want) == len(texts) * 2 + 3
+    for g in got:
+        w = want[g["doc_id"]]
+        assert math.isclose(g["score"], w["score"], rel_tol=1e-9) and math.isclose(g["base_score"], w["base_score"], rel_tol=1e-9)
+        assert all(g[c] == w[c] for c in ("held_out", "n_tokens", "n_known", "train_tokens"))
+
+
 def test_filter_never_loses_a_level():
     key = bloom_lm.mix(np.arange(1, 4001, dtype=np.uint64))
     depth = np.arange(4000) % 9 + 1
