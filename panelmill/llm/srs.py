@@ -33,6 +33,8 @@ DIM, STOP, BLOCK = 8, 0.98, 4096
 #: Bounds: sampled vectors, leaves of the tree, queries that meet a block at once.
 SAMPLE, LEAVES, QUERIES = 20_000, 4096, 50_000
 STEP = 64
+#: Rounding of squared projected distances, as a share of the squared greatest norm: copies of a query are at 0 only up to it.
+ROUNDING = 1e-12
 
 
 def chi2(x: np.ndarray) -> np.ndarray:
@@ -100,8 +102,9 @@ def matrix_of(column: pa.Array) -> np.ndarray:
 
 
 def search(points: np.ndarray, vectors: np.ndarray, ids: np.ndarray, targets: np.ndarray, queries: np.ndarray, own: np.ndarray, bound: np.ndarray, norm: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, row, score) of each query's k nearest rows of a block; ``bound`` is a known k-th best squared distance."""
+    """(query number, row, score) of each query's k nearest ids of a block, by their best row; ``bound`` is a known k-th best squared distance."""
     out_q, out_row, out_score = [], [], []
+    repeated, slack = len(np.unique(ids)) < len(ids), max(ROUNDING * norm**2, 1e-300)
     scale = norm / np.sqrt((queries * queries).sum(1))
     for a in range(0, len(queries), 128):
         part = slice(a, a + 128)
@@ -110,14 +113,18 @@ def search(points: np.ndarray, vectors: np.ndarray, ids: np.ndarray, targets: np
             q, best = a + i, np.zeros(0, np.int64)
             score = np.zeros(0)
             limit, near = bound[q], np.maximum(apart[i], 0)
-            if chi2(near.min() / max(limit, 1e-300)) >= STOP:
+            if chi2(near.min() / (limit + slack)) >= STOP:
                 continue
             order, at, step = np.argsort(near), 0, STEP
-            while at < len(ids) and chi2(near[order[at]] / max(limit, 1e-300)) < STOP:
+            while at < len(ids) and chi2(near[order[at]] / (limit + slack)) < STOP:
                 rows = order[at : at + step]
                 at, step = at + step, 2 * step  # the next test comes after twice as many
                 rows = rows[ids[rows] != own[q]]
                 best, score = np.append(best, rows), np.append(score, vectors[rows] @ queries[q])
+                if repeated:
+                    top = np.lexsort((ids[best], -score))
+                    top = top[np.sort(np.unique(ids[best[top]], return_index=True)[1])]
+                    best, score = best[top], score[top]
                 if len(best) >= k:
                     top = np.lexsort((ids[best], -score))[:k]
                     best, score = best[top], score[top]
@@ -183,7 +190,7 @@ def nearest(rows: DataFrame, vector: str, every: int, k: int = 20) -> DataFrame:
                 ids, bound = some.column("query_id").to_numpy(), some.column("bound").to_numpy()
                 q = tree.targets(matrix_of(some.column("v")))
                 gap = ((np.maximum(leaf_box[:, 0][None] - q[:, None], 0) + np.maximum(q[:, None] - leaf_box[:, 1][None], 0)) ** 2).sum(2)
-                who, where = np.nonzero(chi2(gap / np.maximum(bound, 1e-300)[:, None]) < STOP)
+                who, where = np.nonzero(chi2(gap / (bound + max(ROUNDING * norm**2, 1e-300))[:, None]) < STOP)
                 times = per_leaf[names[where]]
                 who, where = np.repeat(who, times), np.repeat(names[where], times)
                 block = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
@@ -214,7 +221,7 @@ def nearest(rows: DataFrame, vector: str, every: int, k: int = 20) -> DataFrame:
 
     first = stage(queries.mapInArrow(home, routed_schema), "home")
     seen = stage(met(first), "seen")
-    # The k-th best distance so far bounds what other blocks have to beat; a query with fewer than k answers has no bound yet.
+    # The k-th best distance so far (of one block, whose rows have different ids) bounds what other blocks have to beat; a query with fewer than k answers has no bound yet.
     kth = seen.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     bound = F.when(F.col("n") >= k, F.greatest(F.lit(2 * norm**2) - F.lit(2 * norm) * F.col("least") / length, F.lit(0.0))).otherwise(F.lit(float("inf")))

@@ -231,6 +231,34 @@ def test_neighbours_odd_rows(spark):
     assert srs.nearest(spark.createDataFrame([(0, [1.0], "x")], schema), "e", 20).count() == 0
 
 
+def test_neighbours_count_ids_not_rows(spark):
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [9.0 - j / 100, float(i), 1.0]) for i in range(1, 5) for j in range(30)] + [(i, [8.0 - i / 100, 1.0, 0.0]) for i in range(21, 61) if i % 20]
+    got = srs.nearest(spark.createDataFrame(rows, "vec_id long, e array<double>"), "e", 20).orderBy("rank").collect()
+    assert [(g["rank"], g["vec_id"], g["score"]) for g in got] == [(n + 1, v, s) for n, (v, s) in enumerate(exact(rows, 20, 20)[0])] and len(got) == 20
+
+
+def test_neighbours_of_copies_of_the_longest_vector(spark, monkeypatch):
+    monkeypatch.setattr(srs, "BLOCK", 50)
+    rng = np.random.default_rng(11)
+    top = rng.integers(3, 9, 24).astype(float)
+    rows = [(i, top.tolist() if i % 4 == 0 else rng.integers(-2, 3, 24).astype(float).tolist()) for i in rng.permutation(2000).tolist()]
+    got = srs.nearest(spark.createDataFrame(rows, "vec_id long, e array<double>"), "e", 20).collect()
+    found = {}
+    for g in got:
+        found.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"]))
+    assert len(found) == 100
+    for q, f in found.items():
+        assert [v for _, v in sorted(f)] == [v for v in range(0, 2000, 4) if v != q][:20]
+
+
+def test_rounding_does_not_end_a_search_among_copies():
+    norm, q = 3.0, np.array([[3.0, 0.0]])
+    target = np.ones((1, srs.DIM))
+    points = np.repeat(target, 5, 0) + 1e-7 * np.arange(1, 6)[:, None]
+    who, row, score = srs.search(points, np.repeat(q, 5, 0), np.arange(1, 6), target, q, np.array([0]), np.zeros(1), norm, 3)
+    assert row.tolist() == [0, 1, 2] and score.tolist() == [9.0] * 3
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = read(spark, sf, "documents")
