@@ -295,12 +295,12 @@ def t18(t):
 
 @query("t18_accrual_accounting")
 def t18_accrual(t):
-    return rounded(tx.after_tax(run_rows(t).filter("regime = 'wedge' AND method = 'hifo'"), run=RUN, accounting="accrual"), [*RUN, "m"], MONTHLY)
+    return rounded(tx.after_tax(run_rows(t), run=RUN, accounting="accrual"), [*RUN, "m"], MONTHLY)
 
 
 @query("t19_carry_exit_policy")
 def t19(t):
-    return rounded(tx.after_tax(run_rows(t).filter("regime = 'wedge' AND method = 'hifo'"), run=RUN, exits="carry_v1"), [*RUN, "m", "n_unresolved"], MONTHLY)
+    return rounded(tx.after_tax(run_rows(t), run=RUN, exits="carry_v1"), [*RUN, "m", "n_unresolved"], MONTHLY)
 
 
 SUMMARY = ["gross_sharpe", "net_sharpe", "after_tax_sharpe", "tax_drag_bps", "cost_drag_bps", "lt_share"]
