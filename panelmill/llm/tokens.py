@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from panelmill.llm.text import segments, utf8
 
-#: Segments whose ids a worker keeps, at most; the store is emptied when it is full.
+#: Segments whose ids a worker keeps, at most (some 50 bytes each); the store is emptied when it is full.
 KEPT = 800_000
-
-
 #: Segments of Latin letters, with one space or line break before them at most.
-PLAIN = re.compile("[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+PLAIN = r"\A[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
 
 
 def lighter(path: str) -> tuple[object, bool] | None:
@@ -66,67 +65,55 @@ class Encoder:
         return cls._known[path]
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.plain: dict[str, int] = {}
-        self.start = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.int32)
-        self.stored = self.used = 0
-
-    def _encoded(self, tokenizer, news: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each segment, and all ids."""
-        groups = [news[at : at + 200] for at in range(0, len(news), 200)]
-        length, flat = [], []
-        for group, e in zip(groups, tokenizer.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)):
-            owners, ids = e.word_ids, e.ids
-            if None in owners:  # added tokens belong to no word
-                each = [x.ids for x in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
-                owners, ids = [i for i, x in enumerate(each) for _ in x], [i for x in each for i in x]
-            length.append(np.bincount(np.array(owners, np.int64), minlength=len(group)))
-            flat.append(np.array(ids, np.int32))
-        return np.concatenate(length), np.concatenate(flat)
-
-    def _store(self, tokenizer, news: list[str]) -> range:
-        length, flat = self._encoded(tokenizer, news)
-        at, n = self.stored, len(news)
-        while at + n > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.start[at : at + n] = self.used + np.cumsum(length) - length
-        self.length[at : at + n] = length
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.stored += n
-        return range(at, at + n)
-
-    def _add(self, news: list[str]) -> None:
+        """Forget all segments: ``known`` segments and ``forms`` with the slots of their ids; a slot's ids are ids[start:start + length]."""
+        self.known = self.forms = pa.array([], pa.string())
+        self.slot = self.form_slot = self.start = self.length = self.ids = np.zeros(0, np.int32)
+
+    def _store(self, tokenizer, news: pa.Array) -> np.ndarray:
+        """Slots of the ids of ``news``."""
+        length, ids = [self.length], [self.ids]
+        for at in range(0, len(news), 20_000):
+            each = [e.ids for e in tokenizer.encode_batch_fast(news[at : at + 20_000].to_pylist(), add_special_tokens=False)]
+            length.append(np.fromiter(map(len, each), np.int32, len(each)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(each), np.int32))
+        first = len(self.length)
+        self.length, self.ids = np.concatenate(length), np.concatenate(ids)
+        self.start = (np.cumsum(self.length) - self.length).astype(np.int32)
+        return np.arange(first, len(self.length), dtype=np.int32)
+
+    def _add(self, news: pa.Array) -> None:
+        slot = np.zeros(len(news), np.int32)
+        plain = np.zeros(len(news), bool)
         if self.light:
             light, fold = self.light
-            simple = [s for s in news if PLAIN.fullmatch(s)]
-            forms = [s.strip().lower() for s in simple] if fold else simple
-            known = self.plain if fold else self.place
-            first = list(dict.fromkeys(f for f in forms if f not in known))
-            for at in range(0, len(first), 50_000):
-                part = first[at : at + 50_000]
-                known.update(zip(part, self._store(light, part)))
-            self.place.update(zip(simple, map(known.__getitem__, forms)))
-            news = [s for s in news if s not in self.place]
-        for at in range(0, len(news), 50_000):
-            part = news[at : at + 50_000]
-            self.place.update(zip(part, self._store(self.tokenizer, part)))
+            plain = np.asarray(pc.match_substring_regex(news, PLAIN))
+            simple = news.filter(pa.array(plain))
+            if fold:
+                forms = pc.utf8_lower(pc.utf8_trim(simple, " \n")).dictionary_encode()
+                other = forms.dictionary.filter(pc.is_null(pc.index_in(forms.dictionary, self.forms)))
+                self.form_slot = np.concatenate([self.form_slot, self._store(light, other)])
+                self.forms = pa.concat_arrays([self.forms, other])
+                slot[plain] = self.form_slot[np.asarray(pc.index_in(forms.dictionary, self.forms))[np.asarray(forms.indices)]]
+            else:
+                slot[plain] = self._store(light, simple)
+        slot[~plain] = self._store(self.tokenizer, news.filter(pa.array(~plain)))
+        self.slot = np.concatenate([self.slot, slot])
+        self.known = pa.concat_arrays([self.known, news])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each text's ids among them; null texts are empty."""
         data, offsets = utf8(column)
         pieces, bounds = segments(data, offsets)
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.place) > KEPT:
+        if len(self.known) > KEPT:
             self.clear()
-        news = [s for s in distinct if s not in self.place]
-        self._add(news)
-        where = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        at = pc.index_in(coded.dictionary, self.known)
+        new = np.asarray(pc.is_null(at))
+        at = np.array(at.fill_null(0))
+        at[new] = len(self.known) + np.arange(new.sum())
+        if new.any():
+            self._add(coded.dictionary.filter(pa.array(new)))
+        where = self.slot[at][np.asarray(coded.indices)]
         length = self.length[where]
         total = np.zeros(len(where) + 1, np.int64)
         np.cumsum(length, out=total[1:])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelmill.functions import rnd
+from panelmill.operators import aftertax as at
 from panelmill.operators import inference as inf
 from panelmill.operators import studies as st
 from panelmill.operators import tax as tx
@@ -267,25 +268,37 @@ def t17(t):
 
 
 @shared
-def run_rows(t):
-    """Book rows of every run: two books, two regimes, two lot methods."""
-    b = decile_book(t).filter("w <> 0").select("cell", "sec_id", "m", "w", "ret_next", "spread", "sigma_d", "adv_usd")
-    b = b.withColumn("ok", tradeable()).withColumn("priced", F.lit(True)).withColumn("evidenced", F.lit(False))
-    regimes = F.array(*[
-        F.struct(F.lit(n).alias("regime"), F.lit(s).alias("short_rate"), F.lit(lo).alias("long_rate"), F.lit(12).alias("long_months"), F.lit(w).alias("wash_days"))
-        for n, s, lo, w in (("wedge", 0.37, 0.20, 30), ("flat", 0.25, 0.25, 0))
-    ])
-    r = b.withColumn("g", F.explode(regimes)).withColumn("method", F.explode(F.array(F.lit("fifo"), F.lit("hifo")))).withColumn("aum", F.lit(1e5))
-    return r.select("cell", "g.regime", "method", "sec_id", "m", "w", "ret_next", "spread", "sigma_d", "adv_usd", "ok", "priced", "evidenced", "g.short_rate", "g.long_rate", "g.long_months", "g.wash_days", "aum")
+def names(t):
+    """Months of every name that a book ever holds, wanted or not, and its documented exits: a month's bars that were all returned."""
+    cells = F.explode(F.array(*[F.lit(c) for c in ("EQ", "MOM")])).alias("cell")
+    priced = t.signals.select(cells, "sec_id", "m", (F.col("ret_next") * 0.002).alias("ret_next"), "spread", (F.col("sigma_d") * 0.002).alias("sigma_d"), "adv_usd", tradeable().alias("ok"))
+    book = decile_book(t).select("cell", "sec_id", "m", "w")
+    rows = priced.join(book.select("cell", "m").distinct(), ["cell", "m"]).join(book, ["cell", "sec_id", "m"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    back = t.table("lineitem").groupBy(F.col("l_suppkey").alias("sec_id"), F.last_day("l_shipdate").alias("event_date"))
+    back = back.agg(F.avg("l_discount").alias("cost"), F.min((F.col("l_returnflag") == "R")).alias("gone")).where("gone").drop("gone")
+    return t.stage("names", at.name_paths(rows, by=["cell"], evidence=back))
+
+
+@shared
+def runs(t):
+    """Every book under every regime and lot method."""
+    regimes = [("wedge", 0.37, 0.20, 30, False), ("flat", 0.25, 0.25, 0, False), ("marked", 0.30, 0.18, 0, True)]
+    rows = [(c, n, m, s, lo, 12, w, k, 1e5) for c in ("EQ", "MOM") for n, s, lo, w, k in regimes for m in ("fifo", "lifo", "hifo", "tax_optimal")]
+    return t.spark.createDataFrame(rows, "cell string, regime string, method string, short_rate double, long_rate double, long_months int, wash_days int, mark_to_market boolean, aum double")
 
 
 RUN = ["cell", "regime", "method"]
-MONTHLY = ["gross_ret", "cost", "borrow", "tax_ret", "after_tax_ret", "realised_st", "realised_lt", "disallowed", "unrealised"]
+MONTHLY = ["gross_ret", "cost", "borrow", "tax_ret", "after_tax_ret", "realised_st", "realised_lt", "disallowed", "unrealised", "deferred_tax", "turnover"]
+
+
+@shared
+def run_sums(t):
+    return at.month_sums(names(t), runs(t), by=["cell"], run=RUN)
 
 
 @shared
 def after_tax(t):
-    return t.stage("after_tax", tx.after_tax(run_rows(t), run=RUN))
+    return t.stage("after_tax", at.accounts(run_sums(t), runs(t), run=RUN))
 
 
 @query("t18_after_tax_accounts")
@@ -295,31 +308,43 @@ def t18(t):
 
 @query("t18_accrual_accounting")
 def t18_accrual(t):
-    return rounded(tx.after_tax(run_rows(t), run=RUN, accounting="accrual"), [*RUN, "m"], MONTHLY)
+    return rounded(at.accounts(run_sums(t), runs(t), run=RUN, accounting="accrual"), [*RUN, "m"], MONTHLY)
+
+
+view("gross_paths", f"""
+  SELECT b.cell, b.m, sum(b.w * coalesce(ret_next, 0)) AS gross_ret, sum(greatest(-b.w, 0)) * 0.03::DOUBLE / 12 AS borrow FROM book b GROUP BY 1, 2""")
+
+
+@query("t18_gross_and_borrow", f"""
+SELECT cell, regime, method, m, {R('gross_ret')} AS gross_ret, {R('borrow')} AS borrow
+FROM gross_paths, (VALUES ('wedge'), ('flat'), ('marked')) r(regime), (VALUES ('fifo'), ('lifo'), ('hifo'), ('tax_optimal')) l(method)""")
+def t18_gross(t):
+    return rounded(after_tax(t), [*RUN, "m"], ["gross_ret", "borrow"])
 
 
 @query("t19_carry_exit_policy")
 def t19(t):
-    return rounded(tx.after_tax(run_rows(t), run=RUN, exits="carry_v1"), [*RUN, "m", "n_unresolved"], MONTHLY)
+    sums = at.month_sums(names(t), runs(t), by=["cell"], run=RUN, exits="carry_v1")
+    out = at.accounts(sums, runs(t), run=RUN)
+    return rounded(out, [*RUN, "m", "status", "n_frozen", "n_stale", "n_unresolved", "n_closed", "n_blocked"], MONTHLY)
 
 
-SUMMARY = ["gross_sharpe", "net_sharpe", "after_tax_sharpe", "tax_drag_bps", "cost_drag_bps", "lt_share"]
+SUMMARY = ["gross_sharpe", "net_sharpe", "after_tax_sharpe", "tax_drag_bps", "cost_drag_bps", "turnover_mean", "lt_share", "disallowed_mean"]
 
 
 @shared
 def summary(t):
-    return tx.after_tax_summary(after_tax(t), by=RUN)
+    return at.summary(after_tax(t), by=RUN)
 
 
 @query("t20_after_tax_summary")
 def t20(t):
-    return rounded(summary(t), [*RUN, "months"], SUMMARY, 5)
+    return rounded(summary(t), [*RUN, "months", "resolved_months"], SUMMARY, 5)
 
 
 @query("t21_deferral_overhang")
 def t21(t):
-    rows = after_tax(t).withColumn("rate", F.when(F.col("regime") == "wedge", 0.20).otherwise(0.25))
-    out = tx.overhang(rows, by=RUN, rate="rate", checkpoints=["1997-12-31", "1999-12-31", "2001-06-30"])
+    out = at.overhang(after_tax(t), by=RUN, checkpoints=["1997-12-31", "1999-12-31", "2001-06-30"])
     return rounded(out, [*RUN, "m"], ["deferred_tax", "tax_paid", "harvested", "overhang_share"], 4)
 
 
@@ -337,7 +362,7 @@ def t22(t):
 
 @query("x25_tax_friction")
 def x25_tax(t):
-    s = summary(t).withColumn("arm", F.col("cell")).withColumn("turnover_mean", F.lit(0.0)).filter("regime = 'wedge'")
+    s = summary(t).withColumn("arm", F.col("cell"))
     out = st.tax_friction(s, by=["regime"], arm="arm")
     return rounded(out, ["regime", "arm", "cells"], ["cost_drag_bps", "tax_drag_bps", "after_tax_sharpe", "lt_share", "tax_channel"], 5)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -25,6 +26,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors don't lose it."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_contract(spark: SparkSession, path: str, contract: str | None = None) -> DataFrame:
     """Read a Parquet table with NaN as missing; with a contract, raise when it breaks a rule."""
     df = nan_to_null(spark.read.parquet(path))
