@@ -7,8 +7,8 @@ File format (Parquet, one row per shard, shards and their documents in ascending
 * ``rules``: little-endian uint32 pairs, rule r being the nonterminal ``base + r``; ``lengths``: uint32 expansion length of each rule;
 * ``sequence``: the symbols of all documents, one after another. No rule spans two documents.
 
-Defined cases: a null text is empty and becomes the end id alone; null doc_ids come first; rows that share a doc_id are ordered by text
-(nulls first) and all kept; an empty table gives no shards; further columns are not read.
+Defined cases: a null text is empty and becomes the end id alone; null doc_ids come first; rows that share a doc_id are ordered by a
+hash of their text and all kept; an empty table gives no shards; further columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SHARDS = (
     "shard long, base int, width int, n_docs int, n_tokens long, n_rules int, doc_ids array<long>, "
     "doc_symbols binary, doc_tokens binary, rules binary, lengths binary, sequence binary"
 )
+#: Least room for rules in 16 bits for which a shard keeps to symbols of 2 bytes.
+SHORT = 1 << 12
 DIGEST = "shard long, doc_id long, before long, n_tokens long, ids_crc32 long"
 
 
@@ -45,14 +47,17 @@ def _chosen(keys: np.ndarray, least: int, free: int) -> np.ndarray:
     return keys[first[take]]
 
 
-def grammar(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = 24, most: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def grammar(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = 0, most: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over one shard: (symbols, bounds of the documents, rules, expansion lengths).
 
     Each round counts all pairs, makes rules of those that are at least a quarter as frequent as the most frequent one, and replaces them
-    all at once; in a run of overlapping matches every second one is taken. It ends when no pair occurs ``least`` times, or when ``most``
-    rules are made (0: as many as fit in 16 bits, if ``base`` does).
+    all at once; in a run of overlapping matches every second one is taken. By default it ends when no further rule makes the file smaller: a
+    rule takes 12 bytes and saves a symbol each time, so it needs 7 repeats of 2-byte symbols, or 4 of 4-byte ones; symbols have 2 bytes as
+    long as SHORT rules or more fit in them, and then no rule more is made. ``least`` repeats and ``most`` rules set other ends.
     """
-    most = most or max((1 << 16) - base, 1 << 14)
+    room = (1 << 16) - base
+    least = least or (7 if room >= SHORT else 4)
+    most = most or (room if room >= SHORT else 1 << 24)
     wide = np.uint32 if base + most <= 1 << 16 else np.uint64
     half, factor, slot = (wide(16), wide(0x9E3779B1), wide(32 - 18)) if wide is np.uint32 else (wide(32), wide(0x9E3779B97F4A7C15), wide(64 - 18))
     low = wide((1 << int(half)) - 1)
@@ -155,7 +160,7 @@ def encode(docs: DataFrame, tokenizer: str, end: int, shard_tokens: int = 1 << 2
                 "lengths": [lengths.astype("<u4").tobytes()], "sequence": [seq.astype(f"<u{width}").tobytes()],
             }
 
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text"):
             ids, bounds = with_end(*encoder.encode(batch.column("text")), end)
             keys = batch.column("doc_id").to_pylist()
             at = 0
@@ -174,7 +179,8 @@ def encode(docs: DataFrame, tokenizer: str, end: int, shard_tokens: int = 1 << 2
             yield from tables(iter([shard()]), schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, F.col("text").asc_nulls_first())
     return rows.mapInArrow(write, SHARDS)
 
 

@@ -1,8 +1,7 @@
 """Tests on monthly return series: HAC errors, stationary bootstrap, multiple testing.
 
 A series is (keys, order, value). Series are short (months), many, and independent of each other, so everything is a
-window or a grouping partitioned by series and replication. Bootstrap draws come from a digest of (salt, replication,
-position), so every run and every engine draws the same indices, and series of equal length share them.
+window or a grouping partitioned by series; bootstrap replications are arrays (``bootstrap``).
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.functions import normal_cdf, normal_quantile, ratio, two_sided_p, uniform
+from panelmill.functions import normal_cdf, normal_quantile, ratio, two_sided_p
+from panelmill.operators import bootstrap
 
 BLOCK = 6
 PERIODS = 12
@@ -122,24 +122,36 @@ def deflated_sharpe(tests: DataFrame, n_trials: int, *, periods: int = PERIODS)
 def pbo(df: DataFrame, *, order: str, unit: str, value: str, n_splits: int = 16) -> DataFrame:
     """Probability of backtest overfitting by symmetric cross-validation over all balanced block splits.
 
-    Only block sums travel: each (strategy, block) row meets every split mask, and a mask is one group.
+    A strategy becomes one array of block sums and counts. The sums of all subsets of the lower half of its blocks and of the upper half
+    (2 x 2^(n/2) of them) give those of every balanced split by one addition; only (split, strategy) pairs are rows.
     """
     n_splits -= n_splits % 2
+    half = n_splits // 2
     balanced = balanced_rows(df, order=order, unit=unit, value=value)
-    pos = balanced.select(order).distinct().withColumn("__t", F.row_number().over(Window.orderBy(order)) - 1)
+    pos = balanced.select(order).distinct().withColumn("__t", F.row_number().over(Window.orderBy(order)) - 1)  # one row per date
     size = pos.agg(F.count(F.lit(1)).alias("__len"))
     pos = pos.join(F.broadcast(size), F.lit(True))  # one-row side
     base, extra = F.floor(F.col("__len") / n_splits), F.col("__len") % n_splits
     cut = extra * (base + 1)
     block = F.when(F.col("__t") < cut, F.floor(F.col("__t") / (base + 1))).otherwise(extra + F.floor((F.col("__t") - cut) / F.greatest(base, F.lit(1))))
     blocks = balanced.join(pos.select(order, block.cast("int").alias("__blk")), order).groupBy(unit, "__blk").agg(
-        F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__c")
+        F.sum(value).alias("__s"), F.count(F.lit(1)).cast("double").alias("__c")
     )
-    masks = F.filter(F.sequence(F.lit(0), F.lit(2**n_splits - 1)), lambda m: F.bit_count(m) == n_splits // 2)
-    rows = blocks.withColumn("mask", F.explode(masks))
-    inside = F.expr("shiftright(mask, __blk) & 1") == 1
-    part = lambda side: F.sum(F.when(side, F.col("__s"))) / F.sum(F.when(side, F.col("__c")))
-    perf = rows.groupBy("mask", unit).agg(part(inside).alias("__is"), part(~inside).alias("__oos"))
+    at = lambda i, c: F.coalesce(F.max(F.when(F.col("__blk") == i, F.col(c))), F.lit(0.0))
+    table = blocks.groupBy(unit).agg(*[F.array(*[at(i, c) for i in range(n_splits)]).alias(c) for c in ("__s", "__c")])
+    subsets = F.sequence(F.lit(0), F.lit(2**half - 1))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+
+    def partial(c: str, shift: int) -> Column:
+        inside = lambda m: F.filter(F.slice(c, shift + 1, half), lambda _, i: F.call_function("getbit", m, i) == 1)
+        return F.transform(subsets, lambda m: total(inside(m)))
+
+    halves = table.select(unit, *[partial(c, h).alias(f"{c}{h}") for c in ("__s", "__c") for h in (0, half)], total("__s").alias("__st"), total("__c").alias("__ct"))
+    masks = F.flatten(F.transform(subsets, lambda lo: F.transform(F.filter(subsets, lambda hi: F.bit_count(lo) + F.bit_count(hi) == half), lambda hi: F.struct(lo.alias("lo"), hi.alias("hi")))))
+    rows = halves.withColumn("__m", F.explode(masks))
+    pick = lambda c: F.get(F.col(f"{c}0"), F.col("__m.lo")) + F.get(F.col(f"{c}{half}"), F.col("__m.hi"))
+    rows = rows.select(unit, (F.col("__m.lo") + F.col("__m.hi") * 2**half).alias("mask"), pick("__s").alias("__in"), pick("__c").alias("__n"), "__st", "__ct")
+    perf = rows.select("mask", unit, ratio("__in", "__n").alias("__is"), ((F.col("__st") - F.col("__in")) / (F.col("__ct") - F.col("__n"))).alias("__oos"))
     w = Window.partitionBy("mask")
     rank = F.rank().over(w.orderBy("__oos")) + (F.count(F.lit(1)).over(Window.partitionBy("mask", "__oos")) - 1) / 2.0
     ranked = perf.select("*", rank.alias("__r"), F.count(F.lit(1)).over(w).alias("__k"))
@@ -162,28 +174,7 @@ def balanced_rows(df: DataFrame, *, order: str, unit: str, value: str) -> DataFr
 
 def bootstrap_index(lengths: DataFrame, B: int, *, block: int = BLOCK, salt: str = "0") -> DataFrame:
     """Stationary-bootstrap positions (len, b, t, idx) for each distinct series length ``len``, all zero-based."""
-    reps = lengths.select("len").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))).repartition("len", "b")
-    grid = reps.withColumn("t", F.explode(F.sequence(F.lit(0), (F.col("len") - 1).cast("int"))))
-    restart = (F.col("t") == 0) | (uniform(salt, F.col("b"), F.col("t"), "r") < 1.0 / block)
-    start = F.floor(uniform(salt, F.col("b"), F.col("t"), "s") * F.col("len"))
-    mark = F.when(restart, F.struct(start.alias("at"), F.col("t").alias("from")))
-    w = Window.partitionBy("len", "b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    run = grid.withColumn("__m", F.last(mark, ignorenulls=True).over(w))
-    idx = (F.col("__m.at") + F.col("t") - F.col("__m.from")) % F.col("len")
-    return run.select("len", "b", "t", idx.cast("int").alias("idx"))
-
-
-def positions(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """Zero-based position and length of each series."""
-    p = Window.partitionBy(*by)
-    return df.select("*", (F.row_number().over(p.orderBy(order)) - 1).cast("int").alias("__pos"), F.count(F.lit(1)).over(p).cast("int").alias("len"))
-
-
-def resample(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str], B: int, *, block: int = BLOCK, salt: str = "0") -> DataFrame:
-    """Bootstrap copies (by, b, t, values) of every series."""
-    s = positions(df.select(*by, order, *values), by, order)
-    idx = bootstrap_index(s, B, block=block, salt=salt)
-    return idx.join(s.drop(order), (idx["len"] == s["len"]) & (idx["idx"] == s["__pos"])).drop(s["len"]).select(*by, "len", "b", "t", *values)
+    return bootstrap.positions(lengths, B, block=block, salt=salt)
 
 
 def _tails(boot: DataFrame, by: Sequence[str], plain: str, stud: str) -> list[Column]:
@@ -223,8 +214,7 @@ def sharpe_diff(
                         (F.col("mean_sa") - F.col("mean_sb")).alias("stat"), F.col("se_psi").alias("se"))
 
     point = stat(rows, by, order).filter("n >= 12").withColumn("t", ratio("stat", "se"))
-    draws = stat(resample(rows, by, order, ["__a", "__b"], B, block=block, salt=salt), [*by, "b"], "t")
-    both = draws.select(*by, "b", F.col("stat").alias("__draw"), F.col("se").alias("__dse")).join(point, by)
+    both = bootstrap.replicate(rows, by, order, ["__a", "__b"], B, bootstrap.sharpe_gap, ["__draw", "__dse"], block=block, salt=salt, periods=periods).join(point, by)
     both = both.withColumn("__stud", F.when(F.col("__dse") > 0, (F.col("__draw") - F.col("stat")) / F.col("__dse")))
     tails = both.groupBy(*by).agg(*_tails(both, by, "__draw", "__stud"), F.sum((F.abs("__stud") >= F.abs("t")).cast("long")).alias("__hits"))
     return _decide(point.join(tails, by), by, ["sharpe_a", "sharpe_b"], plus_one)
@@ -243,8 +233,7 @@ def mean_diff(
         return h.select(*keys, "n", (F.col("mean_d") * periods).alias("stat"), (F.col("se_d") * periods).alias("se"))
 
     point = stat(rows, by, order).filter("n >= 12").withColumn("t", ratio("stat", "se"))
-    draws = stat(resample(rows, by, order, ["__d"], B, block=block, salt=salt), [*by, "b"], "t")
-    both = draws.select(*by, "b", F.col("stat").alias("__draw"), F.col("se").alias("__dse")).join(point, by)
+    both = bootstrap.replicate(rows, by, order, [F.col("__d") * periods], B, bootstrap.mean_and_error, ["__draw", "__dse"], block=block, salt=salt).join(point, by)
     both = both.withColumn("__stud", F.when(F.col("__dse") > 0, (F.col("__draw") - F.col("stat")) / F.col("__dse")))
     tails = both.groupBy(*by).agg(*_tails(both, by, "__draw", "__stud"), F.sum((F.abs("__stud") >= F.abs("t")).cast("long")).alias("__hits"))
     return _decide(point.join(tails, by), by, [], plus_one)
@@ -257,7 +246,7 @@ def romano_wolf(df: DataFrame, *, order: str, unit: str, value: str, B: int = 20
     # a unit without variance has an infinite error, hence a statistic of zero
     obs = obs.withColumn("t_stat", F.coalesce("t_stat", F.lit(0.0)))
     centred = rows.join(obs.select(unit, "mean"), unit).select(unit, order, (F.col(value) - F.col("mean")).alias("__x"))
-    draws = hac(resample(centred, [unit], order, ["__x"], B, block=block, salt=salt), [unit, "b"], "t", {"x": "__x"})
+    draws = bootstrap.replicate(centred, [unit], order, ["__x"], B, bootstrap.mean_and_error, ["mean_x", "se_x"], block=block, salt=salt)
     draws = draws.select(unit, "b", F.coalesce(ratio("mean_x", "se_x"), F.lit(0.0)).alias("__t"))
     ranked = obs.withColumn("__k", F.row_number().over(Window.orderBy(F.col("t_stat").desc(), unit)))  # one row per unit
     w = Window.partitionBy("b").orderBy(F.col("__k").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -279,7 +268,7 @@ def spa(df: DataFrame, *, order: str, unit: str, value: str, benchmark: str, B:
     threshold = -F.sqrt(2.0 * F.ln(F.ln(F.greatest(F.col("n"), F.lit(3)).cast("double")))) * F.col("se_d")
     centre = obs.select(unit, F.when(F.col("mean_d") > threshold, F.col("mean_d")).otherwise(0.0).alias("__g"))
     shifted = d.join(centre, unit).select(unit, order, (F.col("__d") - F.col("__g")).alias("__x"))
-    draws = hac(resample(shifted, [unit], order, ["__x"], B, block=block, salt=salt), [unit, "b"], "t", {"x": "__x"})
+    draws = bootstrap.replicate(shifted, [unit], order, ["__x"], B, bootstrap.mean_and_error, ["mean_x", "se_x"], block=block, salt=salt)
     best = draws.groupBy("b").agg(F.max(F.coalesce(ratio("mean_x", "se_x"), F.lit(0.0))).alias("__m"))
     top = obs.agg(
         F.max("t").alias("t_stat"), F.max_by(unit, F.struct("t", unit)).alias("best"), F.count(F.lit(1)).cast("long").alias("n_candidates"),

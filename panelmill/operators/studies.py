@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import avg_rank, ratio, spearman
 from panelmill.operators import book as bk
+from panelmill.operators import bootstrap
 from panelmill.operators import inference as inf
 from panelmill.operators import linear
 from panelmill.operators import xsection as xs
@@ -152,8 +153,8 @@ def crossover(comp: DataFrame, *, by: Sequence[str], month: str, B: int = 4000,
     full = comp.groupBy(*by, month).agg(F.count_distinct("aum").alias("__c")).join(rungs, by).filter("__c = __r").select(*by, month)
     rows = comp.join(full, [*by, month], "left_semi")
     point = _first_zero(_sharpe_pair(rows, [*by, "aum"], periods), by).withColumnRenamed("log10_aum", "point_log10")
-    draws = inf.resample(rows, [*by, "aum"], month, ["net_ret_capped", "net_ret_uncapped"], B, block=block, salt=salt)
-    zeros = _first_zero(_sharpe_pair(draws, [*by, "b", "aum"], periods), [*by, "b"])
+    draws = bootstrap.replicate(rows, [*by, "aum"], month, ["net_ret_capped", "net_ret_uncapped"], B, bootstrap.sharpe_gap, ["channel", "error"], block=block, salt=salt, periods=periods)
+    zeros = _first_zero(draws, [*by, "b"])
     tails = zeros.groupBy(*by).agg(
         F.count(F.lit(1)).cast("long").alias("n_boot"), (1.0 - F.count("log10_aum") / F.count(F.lit(1))).alias("no_crossover"),
         F.percentile("log10_aum", F.lit(0.025)).alias("ci_low_log10"), F.percentile("log10_aum", F.lit(0.975)).alias("ci_high_log10"),

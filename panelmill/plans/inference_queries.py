@@ -12,7 +12,8 @@ from panelmill.plans.book_queries import accounts, ladder, rounded, rsql
 from panelmill.plans.registry import R, query, shared, view
 from panelmill.plans.xsection_queries import SIGNALS, THEMES, spearman_view
 
-B = 120
+#: Bootstrap replications of tests of one difference, and of those over many candidates.
+B, B_MANY = 4000, 2000
 
 
 def hac_sql(source: str, by: list[str], order: str, values: dict[str, str]) -> str:
@@ -124,16 +125,16 @@ def x4(t):
 
 @query("x5_backtest_overfitting", f"""
 WITH pos AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS t, count(*) OVER () AS len_ FROM (SELECT DISTINCT m FROM cell_returns)),
-blk AS (SELECT m, CASE WHEN t < (len_ % 8) * (len_ // 8 + 1) THEN t // (len_ // 8 + 1) ELSE len_ % 8 + (t - (len_ % 8) * (len_ // 8 + 1)) // greatest(len_ // 8, 1) END AS k FROM pos),
+blk AS (SELECT m, CASE WHEN t < (len_ % 16) * (len_ // 16 + 1) THEN t // (len_ // 16 + 1) ELSE len_ % 16 + (t - (len_ % 16) * (len_ // 16 + 1)) // greatest(len_ // 16, 1) END AS k FROM pos),
 s AS (SELECT cell, k, sum(r) AS s, count(*) AS c FROM cell_returns JOIN blk USING (m) GROUP BY 1, 2),
-masks AS (SELECT mask FROM range(256) x(mask) WHERE bit_count(mask) = 4),
+masks AS (SELECT mask FROM range(65536) x(mask) WHERE bit_count(mask) = 8),
 perf AS (SELECT mask, cell, sum(CASE WHEN (mask >> k) & 1 = 1 THEN s END) / sum(CASE WHEN (mask >> k) & 1 = 1 THEN c END) AS i, sum(CASE WHEN (mask >> k) & 1 = 0 THEN s END) / sum(CASE WHEN (mask >> k) & 1 = 0 THEN c END) AS o
          FROM s, masks GROUP BY 1, 2),
 rk AS (SELECT *, (rank() OVER (PARTITION BY mask ORDER BY o) + (count(*) OVER (PARTITION BY mask, o) - 1) / 2.0) / count(*) OVER (PARTITION BY mask) AS pct, row_number() OVER (PARTITION BY mask ORDER BY i DESC, cell) AS best FROM perf),
 lg AS (SELECT ln(least(greatest(pct, 1e-6), 1 - 1e-6) / (1 - least(greatest(pct, 1e-6), 1 - 1e-6))) AS g FROM rk WHERE best = 1)
 SELECT {R('avg(CASE WHEN g <= 0 THEN 1.0 ELSE 0.0 END)')} AS pbo, count(*) AS n_combinations, (SELECT count(DISTINCT cell) FROM cell_returns) AS n_strategies, {R('quantile_cont(g, 0.5)')} AS median_logit FROM lg""")
 def x5(t):
-    return rounded(inf.pbo(t.cell_returns, order="m", unit="cell", value="r", n_splits=8), ["n_combinations", "n_strategies"], ["pbo", "median_logit"])
+    return rounded(inf.pbo(t.cell_returns, order="m", unit="cell", value="r", n_splits=16), ["n_combinations", "n_strategies"], ["pbo", "median_logit"])
 
 
 @query("x6_bootstrap_index", f"""SELECT b, t, CAST(idx AS INTEGER) AS idx FROM ({index_sql('(SELECT count(DISTINCT m) AS len_ FROM cell_returns)', B)})""")
@@ -147,12 +148,12 @@ _CENTRED = "(SELECT cell, m, r - avg(r) OVER (PARTITION BY cell) AS x FROM cell_
 
 @query("x7_romano_wolf", f"""
 WITH obs AS (SELECT cell, mean_x AS mean, mean_x / se_x AS t_stat, row_number() OVER (ORDER BY mean_x / se_x DESC, cell) AS k FROM ({hac_sql('cell_returns', ['cell'], 'm', {'x': 'r'})})),
-dr AS (SELECT cell, b, mean_x / se_x AS t FROM ({hac_sql('(' + resample_sql(_CENTRED, ['cell'], 'm', ['x'], B) + ')', ['cell', 'b'], 't', {'x': 'x'})})),
+dr AS (SELECT cell, b, mean_x / se_x AS t FROM ({hac_sql('(' + resample_sql(_CENTRED, ['cell'], 'm', ['x'], B_MANY) + ')', ['cell', 'b'], 't', {'x': 'x'})})),
 mx AS (SELECT o.cell, o.k, o.t_stat, max(d.t) OVER (PARTITION BY b ORDER BY k DESC) AS mx FROM dr d JOIN obs o ON d.cell = o.cell),
 p AS (SELECT cell, k, avg(CASE WHEN mx >= t_stat THEN 1.0 ELSE 0.0 END) AS p FROM mx GROUP BY 1, 2)
 SELECT o.cell, {R('mean', 8)} AS mean, {R('t_stat')} AS t_stat, {R('max(p) OVER (ORDER BY p.k)')} AS p_adjusted, max(p) OVER (ORDER BY p.k) < 0.05 AS reject FROM obs o JOIN p ON o.cell = p.cell""")
 def x7(t):
-    out = inf.romano_wolf(t.cell_returns, order="m", unit="cell", value="r", B=B)
+    out = inf.romano_wolf(t.cell_returns, order="m", unit="cell", value="r", B=B_MANY)
     return out.select("cell", rnd("mean", 8).alias("mean"), rnd("t_stat").alias("t_stat"), rnd("p_adjusted").alias("p_adjusted"), "reject")
 
 
@@ -164,10 +165,10 @@ _SHIFTED = f"""(SELECT e.cell, e.m, e.x - CASE WHEN mean_x > -sqrt(2 * ln(ln(gre
 @query("x8_superior_predictive_ability", f"""
 WITH obs AS (SELECT cell, n, mean_x / se_x AS t FROM ({hac_sql(_EXCESS, ['cell'], 'm', {'x': 'x'})})),
 top AS (SELECT max(t) AS t_stat, max_by(cell, t) AS best, count(*) AS n_candidates, max(n) AS months FROM obs),
-dr AS (SELECT b, max(mean_x / se_x) AS mx FROM ({hac_sql('(' + resample_sql(_SHIFTED, ['cell'], 'm', ['x'], B) + ')', ['cell', 'b'], 't', {'x': 'x'})}) GROUP BY 1)
+dr AS (SELECT b, max(mean_x / se_x) AS mx FROM ({hac_sql('(' + resample_sql(_SHIFTED, ['cell'], 'm', ['x'], B_MANY) + ')', ['cell', 'b'], 't', {'x': 'x'})}) GROUP BY 1)
 SELECT {R('t_stat')} AS t_stat, best, n_candidates, months, {R('avg(CASE WHEN mx >= t_stat THEN 1.0 ELSE 0.0 END)')} AS p FROM dr, top GROUP BY t_stat, best, n_candidates, months""")
 def x8(t):
-    out = inf.spa(t.cell_returns, order="m", unit="cell", value="r", benchmark="L-S-P-0", B=B)
+    out = inf.spa(t.cell_returns, order="m", unit="cell", value="r", benchmark="L-S-P-0", B=B_MANY)
     return out.select(rnd("t_stat").alias("t_stat"), "best", "n_candidates", "months", rnd("p").alias("p"))
 
 
@@ -221,7 +222,7 @@ def x13(t):
 
 @query("x14_inference_report")
 def x14(t):
-    out = inf.report(t.cell_returns, order="m", unit="cell", value="r", n_trials=64, B=B)
+    out = inf.report(t.cell_returns, order="m", unit="cell", value="r", n_trials=64, B=B_MANY)
     return rounded(out, ["cell", "n", "over_hurdle", "survives", "reject"], ["sharpe", "se", "t", "p", "deflated_p", "expected_max", "p_adjusted"])
 
 

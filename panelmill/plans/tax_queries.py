@@ -350,13 +350,13 @@ def t21(t):
 
 @query("t22_turnover_sweep", f"""
 WITH p AS (SELECT country, avg(sig_disc) * 0.2::DOUBLE AS g, avg(sig_tax) * 0.05::DOUBLE AS k, 0.1::DOUBLE AS tl FROM monthly_px GROUP BY 1),
-x AS (SELECT *, 1e-4 + i * ((1.0::DOUBLE - 1e-4) / 400) AS p FROM p, (VALUES (0.0::DOUBLE), (0.05::DOUBLE), (0.17::DOUBLE)) w(wedge), range(401) r(i)),
+x AS (SELECT *, 1e-4 + i * ((1.0::DOUBLE - 1e-4) / 2000) AS p FROM p, (VALUES (0.0::DOUBLE), (0.05::DOUBLE), (0.17::DOUBLE)) w(wedge), range(2001) r(i)),
 y AS (SELECT *, least(greatest(1 - 12 * pow(1 - p, 11) + 11 * pow(1 - p, 12), 0), 1) AS phi FROM x),
 z AS (SELECT *, g * (1 - exp(-p / 0.1)) * (1 - tl) - k * p - g * (1 - exp(-p / 0.1)) * wedge * phi AS r FROM y)
 SELECT country, wedge, {R('arg_max(p, r)')} AS p_star, {R('1 - arg_max(phi, r)')} AS lt_share, {R('max(tl) + wedge * arg_max(phi, r)')} AS effective_rate, {R('max(r)', 8)} AS after_tax_return FROM z GROUP BY 1, 2""")
 def t22(t):
     params = t.monthly_px.groupBy("country").agg((F.avg("sig_disc") * 0.2).alias("g"), (F.avg("sig_tax") * 0.05).alias("k"), F.lit(0.1).alias("tl"))
-    out = tx.turnover_sweep(params, [0.0, 0.05, 0.17], key=["country"], g="g", kappa="k", theta_l="tl", grid=401)
+    out = tx.turnover_sweep(params, [0.0, 0.05, 0.17], key=["country"], g="g", kappa="k", theta_l="tl")
     return out.select("country", "wedge", rnd("p_star").alias("p_star"), rnd("lt_share").alias("lt_share"), rnd("effective_rate").alias("effective_rate"), rnd("after_tax_return", 8).alias("after_tax_return"))
 
 
@@ -370,8 +370,8 @@ def x25_tax(t):
 @query("x26_matched_book_accounting")
 def x26(t):
     m = after_tax(t).withColumn("net", F.col("gross_ret") - F.col("cost") - F.col("borrow"))
-    cost = inf.sharpe_diff(m, RUN, "m", "net", "gross_ret", 120).withColumn("channel", F.lit("cost"))
-    tax = inf.sharpe_diff(m, RUN, "m", "after_tax_ret", "net", 120).withColumn("channel", F.lit("tax"))
+    cost = inf.sharpe_diff(m, RUN, "m", "net", "gross_ret").withColumn("channel", F.lit("cost"))
+    tax = inf.sharpe_diff(m, RUN, "m", "after_tax_ret", "net").withColumn("channel", F.lit("tax"))
     return rounded(cost.unionByName(tax), [*RUN, "channel", "n"], ["sharpe_a", "sharpe_b", "stat", "se", "p"], 5)
 
 
@@ -379,7 +379,7 @@ def x26(t):
 def x27(t):
     m = after_tax(t).withColumn("net", F.col("gross_ret") - F.col("cost") - F.col("borrow"))
     zero = inf.sharpe_test(m, RUN, "m", "after_tax_ret").select(*RUN, F.col("sharpe"), F.col("t").alias("t_zero"), F.col("p").alias("p_zero"))
-    pair = inf.sharpe_diff(m, RUN, "m", "after_tax_ret", "net", 120).select(*RUN, F.col("stat").alias("diff"), "p")
+    pair = inf.sharpe_diff(m, RUN, "m", "after_tax_ret", "net").select(*RUN, F.col("stat").alias("diff"), "p")
     out = zero.join(pair, RUN).withColumn("key", F.concat_ws("|", *RUN))
     out = inf.holm(out, "p", by=["regime"], tie="key").drop("key")
     return rounded(out, RUN, ["sharpe", "t_zero", "p_zero", "diff", "p", "p_holm"], 5)
