@@ -1,23 +1,33 @@
 """Ranks, order statistics and group moments that keep working when one group is huge.
 
-A window partitioned by month puts a whole cross-section in one task. So every group is cut into cells of consecutive values, at approximate
-quantiles that one aggregation finds for all groups; a group has one cell per ``CELL`` rows (``POINTS`` at most), a small one a single cell.
-Rows are ranked inside their cell, and the number of rows in lower cells is added. Where cuts fall only decides the sizes of cells, never a
-rank. Rows are carried through; nothing is joined back on ids.
+A window partitioned by month puts a whole cross-section in one task. So groups of more than ``CELL`` rows are cut into cells of about that
+many consecutive rows, at keys from a sample that a hash picks; a smaller group is one cell. Rows are ranked inside their cell, and the number
+of rows in lower cells is added. Where cuts fall only decides the sizes of cells, never a rank. The cuts are one array for each large group,
+and where no group is large their plan is empty. An input that is more than a scan is written once, as it is read for the counts, the cuts
+and the ranks; rows are carried through.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CELL = 50_000
-POINTS = 512
-#: Cell of missing values, behind all others.
-MISSING = POINTS * POINTS
+#: Sampled keys for each cut.
+PER_CUT = 16
+#: Cuts that are tried one by one; larger steps of as many come first.
+STEP = 128
+
+
+def _once(df: DataFrame) -> DataFrame:
+    """``df`` if reading it again is a scan; otherwise what it gives, written to the shared folder."""
+    from panelmill.sources.io import written
+
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return written(df, "rows") if re.search(r"\b(Join|Aggregate|Window|Sort|Generate|Union|MapIn\w+|FlatMap\w+|Repartition\w*)\b", plan) else df
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -31,29 +41,31 @@ def _null_safe_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: s
     return left.join(renamed, cond, how).drop(*[f"__k{i}" for i in range(len(by))])
 
 
-def _celled(df: DataFrame, by: Sequence[str], columns: Sequence[str], tie: str | None = None) -> DataFrame:
-    """Add ``__b0``, ``__b1``, ... (cell of each column's value in ascending order) and ``__n0``, ... (present values of the group).
-
-    A value that is a cut more than once fills whole cells; its rows are cut again by the tie id, where that is a number.
-    """
-    number = lambda c: F.col(c).cast("double")
-    points = F.array(*[F.lit(i / POINTS) for i in range(1, POINTS)])
-    sketch = lambda c: F.percentile_approx(number(c), points, 4 * POINTS)
-    splits = tie is not None and isinstance(df.schema[tie].dataType, T.NumericType)
-    aggs = [F.count(F.lit(1)).alias("__all"), *(f for i, c in enumerate(columns) for f in (F.count(c).alias(f"__n{i}"), sketch(c).alias(f"__q{i}")))]
-    stats = df.groupBy(*by).agg(*aggs, *([sketch(tie).alias("__t")] if splits else []))
-    cells = F.least(F.lit(POINTS), F.ceil(F.col("__all") / CELL)).cast("int")
-    thin = lambda q: F.when((cells > 1) & F.col(q).isNotNull(), F.transform(F.sequence(F.lit(1), cells - 1), lambda i: F.get(F.col(q), (i * POINTS / cells).cast("int") - 1))).otherwise(F.array().cast("array<double>"))
-    stats = stats.select(*by, *(f"__n{i}" for i in range(len(columns))), *(thin(f"__q{i}").alias(f"__q{i}") for i in range(len(columns))), *([thin("__t").alias("__t")] if splits else []))
-    rows = _null_safe_join(df, stats, by)
-    for i, c in enumerate(columns):
-        below = F.size(F.filter(f"__q{i}", lambda q: q < number(c)))  # noqa: B023
-        inner = F.lit(0)
-        if splits:
-            repeated = F.size(F.filter(f"__q{i}", lambda q: q == number(c))) > 1  # noqa: B023
-            inner = F.when(repeated, F.size(F.filter("__t", lambda q: q < number(tie)))).otherwise(0)
-        rows = rows.withColumn(f"__b{i}", F.when(F.col(c).isNull(), MISSING).otherwise(below * POINTS + inner).cast("int"))
-    return rows.drop(*(f"__q{i}" for i in range(len(columns))), "__t")
+def _cells(rows: DataFrame, by: Sequence[str], keys: Mapping[str, Sequence[Column]]) -> DataFrame:
+    """Add for each output of ``keys`` the cell of its key columns; where the first of them is missing it is null. Small groups have cell 0."""
+    key = {out: F.struct(*cols) for out, cols in keys.items()}
+    hot = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__all")).where(F.col("__all") > CELL).select(*by, F.lit(True).alias("__hot"))
+    picked = {out: (F.pmod(F.xxhash64(*cols), F.lit(max(CELL // PER_CUT, 1))) == 0) & cols[0].isNotNull() for out, cols in keys.items()}
+    sample = rows.where(_any(picked.values()))
+    lists = [F.sort_array(F.collect_list(F.when(picked[out], key[out]))).alias(out) for out in keys]
+    cuts = _null_safe_join(sample, hot, by).groupBy(*by).agg(*lists)
+    every = lambda a, n: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(n), F.size(a), F.lit(n)), lambda i: F.element_at(a, i))).otherwise(F.slice(a, 1, 0))
+    cuts = cuts.select(*by, *[every(F.col(out), PER_CUT).alias(f"__q_{out}") for out in keys])
+    cuts = cuts.select("*", *[every(F.col(f"__q_{out}"), STEP).alias(f"__s_{out}") for out in keys])
+    found = _null_safe_join(rows, cuts, by, "left")
+    for out, cols in keys.items():
+        below = lambda q: q < F.struct(*cols)  # noqa: B023, E731
+        steps = F.size(F.filter(f"__s_{out}", below)) * STEP
+        cell = steps + F.size(F.filter(F.slice(f"__q_{out}", steps + 1, F.lit(STEP)), below))
+        found = found.withColumn(out, F.when(cols[0].isNotNull(), F.when(F.col(f"__q_{out}").isNull(), 0).otherwise(cell)))
+    return found.drop(*[f"__{x}_{out}" for x in "qs" for out in keys])
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
 
 
 def row_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, str], tie: str, *, desc: bool = False, counts: str = "") -> DataFrame:
@@ -62,24 +74,23 @@ def row_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, str], tie:
     Missing values have no rank. With ``counts``, the number of present values is added as output + counts.
     """
     by, names = list(by), list(columns)
-    rows = _celled(df, by, names, tie)
-    sized = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__b{i}").alias("b")) for i in range(len(names))])).alias("c"))
-    sized = sized.groupBy(*by, "c.i", "c.b").agg(F.count(F.lit(1)).alias("__n")).where(F.col("b") < MISSING)
-    value = F.floor(F.col("b") / POINTS)
-    order = Window.partitionBy(*by, "i").orderBy(value.desc() if desc else value.asc(), F.col("b") % POINTS).rowsBetween(Window.unboundedPreceding, -1)
-    offset = sized.select(*by, (F.col("i") * (2 * MISSING) + F.col("b")).alias("k"), F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("v"))
-    maps = offset.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__m"))  # POINTS cells per column, for large groups
+    rows = _cells(_once(df), by, {f"__b{i}": [-F.col(c) if desc else F.col(c), F.col(tie)] for i, c in enumerate(names)})
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__b{i}").alias("b")) for i in range(len(names))])
+    sized = rows.select(*by, F.explode(entries).alias("c")).where("c.b is not null").groupBy(*by, "c.i", "c.b").agg(F.count(F.lit(1)).alias("__n"))
+    order = Window.partitionBy(*by, "i").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.select(*by, "i", "b", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("v"), F.sum("__n").over(Window.partitionBy(*by, "i")).alias("n"))
+    each = [F.map_from_entries(F.collect_list(F.when(F.col("i") == i, F.struct("b", "v")))).alias(f"__m{i}") for i in range(len(names))]
+    maps = sized.groupBy(*by).agg(*each, *[F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(f"__n{i}") for i in range(len(names))])
     rows = _null_safe_join(rows, maps, by, "left")
     for i, c in enumerate(names):
         key = F.col(c).desc() if desc else F.col(c).asc()
         local = F.row_number().over(Window.partitionBy(*by, f"__b{i}").orderBy(key, F.col(tie)))
-        before = F.element_at("__m", F.lit(i * 2 * MISSING) + F.col(f"__b{i}"))
-        rows = rows.withColumn(f"__r{i}", F.when(F.col(f"__b{i}") < MISSING, (local + before).cast("long")))
+        rows = rows.withColumn(f"__r{i}", F.when(F.col(c).isNotNull(), (local + F.element_at(f"__m{i}", F.col(f"__b{i}"))).cast("long")))
         if counts:
-            rows = rows.withColumn(columns[c] + counts, F.col(f"__n{i}"))
+            rows = rows.withColumn(columns[c] + counts, F.coalesce(f"__n{i}", F.lit(0)).cast("long"))
     for i, c in enumerate(names):
         rows = rows.withColumn(columns[c], F.col(f"__r{i}"))
-    return rows.drop("__m", *(f"__{x}{i}" for i in range(len(names)) for x in "bnr"))
+    return rows.drop(*(f"__{x}{i}" for i in range(len(names)) for x in "bnrm"))
 
 
 def row_rank(df: DataFrame, by: Sequence[str], order: str, tie: str, out: str = "rank", *, desc: bool = False, counts: str = "") -> DataFrame:
@@ -89,22 +100,24 @@ def row_rank(df: DataFrame, by: Sequence[str], order: str, tie: str, out: str =
 
 def _distinct_values(df: DataFrame, by: Sequence[str], order: str, weight: Column) -> DataFrame:
     """Distinct values of each group with ``__n`` (their summed weight), ``__first`` (weight of smaller values) and ``__sum`` (of all)."""
-    counts = df.groupBy(*by, order).agg(weight.alias("__n"))
-    cells = _celled(counts, by, [order]).drop("__n0")
-    totals = cells.groupBy(*by, "__b0").agg(F.sum("__n").alias("__w"))
-    run = Window.partitionBy(*by).orderBy("__b0").rowsBetween(Window.unboundedPreceding, 0)
+    cells = _cells(_once(df.groupBy(*by, order).agg(weight.alias("__n"))), by, {"__b": [F.col(order)]})
+    totals = cells.groupBy(*by, "__b").agg(F.sum("__n").alias("__w"))
+    run = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     totals = totals.withColumn("__off", F.sum("__w").over(run) - F.col("__w")).withColumn("__sum", F.sum("__w").over(Window.partitionBy(*by))).drop("__w")
-    inside = Window.partitionBy(*by, "__b0").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = _null_safe_join(cells, totals, [*by, "__b0"])
-    return placed.withColumn("__first", F.col("__off") + F.sum("__n").over(inside) - F.col("__n")).drop("__off", "__b0")
+    inside = Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _null_safe_join(cells, totals, [*by, "__b"])
+    return placed.withColumn("__first", F.col("__off") + F.sum("__n").over(inside) - F.col("__n")).drop("__off", "__b")
+
+
+def _mean_rank() -> Column:
+    return F.col("__first") + (F.col("__n") + 1) / 2.0
 
 
 def avg_rank(df: DataFrame, by: Sequence[str], order: str, out: str = "rank") -> DataFrame:
     """Rank with ties sharing the mean position (the Spearman rank). ``order`` must not be null."""
-    by = list(by)
-    values = _distinct_values(df, by, order, F.count(F.lit(1)))
-    ranks = values.select(*by, order, (F.col("__first") + (F.col("__n") + 1) / 2.0).alias(out))
-    return _null_safe_join(df, ranks, [*by, order])
+    by, rows = list(by), _once(df)
+    ranks = _distinct_values(rows, by, order, F.count(F.lit(1))).select(*by, order, _mean_rank().alias(out))
+    return _null_safe_join(rows, ranks, [*by, order])
 
 
 def group_stats(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
@@ -128,17 +141,26 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
 
 
 def spearman(df: DataFrame, by: Sequence[str], a: str, b: str, min_n: int = 1, out: str = "ic") -> DataFrame:
-    """Spearman correlation with average ties, one row per group that has at least ``min_n`` complete pairs."""
+    """Spearman correlation with average ties, one row per group that has at least ``min_n`` complete pairs.
+
+    Equal pairs are counted before anything else; both columns are ranked in one pass.
+    """
     by = list(by)
     pairs = df.select(*by, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__c")).filter(F.col("__a").isNotNull() & F.col("__c").isNotNull())
-    ranked = avg_rank(avg_rank(pairs, by, "__a", "__ra"), by, "__c", "__rc")
-    grouped = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("long").alias("n"),
-        F.corr("__ra", "__rc").alias(out),
-        F.min("__a").alias("__a0"), F.max("__a").alias("__a1"), F.min("__c").alias("__c0"), F.max("__c").alias("__c1"),
-    )
-    constant = (F.col("__a0") == F.col("__a1")) | (F.col("__c0") == F.col("__c1"))
-    return grouped.filter(F.col("n") >= min_n).select(*by, "n", F.when(~constant, F.col(out)).alias(out))
+    pairs = _once(pairs.groupBy(*by, "__a", "__c").agg(F.count(F.lit(1)).alias("__k")))
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(("__a", "__c"))])).alias("s")
+    long = pairs.select(*by, "__k", sides).select(*by, "__k", F.col("s.i").alias("__i"), F.col("s.v").alias("__v"))
+    ranks = _distinct_values(long, [*by, "__i"], "__v", F.sum("__k")).select(*by, "__i", "__v", _mean_rank().alias("__r"))
+    one = lambda i, c, r: ranks.where(F.col("__i") == i).select(*by, F.col("__v").alias(c), F.col("__r").alias(r))
+    ranked = _null_safe_join(_null_safe_join(pairs, one(0, "__a", "__ra"), [*by, "__a"]), one(1, "__c", "__rc"), [*by, "__c"])
+    # Ranks 1..n have the mean (n + 1) / 2 whatever their ties.
+    n = F.sum("__k")
+    mean = lambda e: F.sum(F.col("__k") * e)
+    x, y = F.col("__ra"), F.col("__rc")
+    sums = ranked.groupBy(*by).agg(n.cast("long").alias("n"), mean(x * y).alias("__xy"), mean(x * x).alias("__xx"), mean(y * y).alias("__yy"))
+    off = F.col("n") * ((F.col("n") + 1) / 2.0) ** 2
+    spread = (F.col("__xx") - off) * (F.col("__yy") - off)
+    return sums.filter(F.col("n") >= min_n).select(*by, "n", F.when(spread > 0, (F.col("__xy") - off) / F.sqrt(spread)).alias(out))
 
 
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str, out: str = "wmedian") -> DataFrame:
