@@ -6,10 +6,12 @@ of months, so expanding windows never copy panel rows; only the small statistics
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ from panelmill.functions import clip, group_stats, month_end, month_index, quant
 from panelmill.operators import book as bk
 from panelmill.operators import linear
 from panelmill.operators import xsection as xs
+from panelmill.sources.io import written
 
 
 def walk_forward(
@@ -325,15 +328,15 @@ def select_trials(trials: DataFrame, *, by: Sequence[str], params: str, metric:
     )
 
 
-def scale_alpha(df: DataFrame, *, month: str, score: str, vol: str, ic: float) -> DataFrame:
+def scale_alpha(df: DataFrame, *, by: Sequence[str], score: str, vol: str, ic: float | Column) -> DataFrame:
     """Forecast alpha = IC x volatility x standardised score."""
-    z = xs.xs_z(df, score, by=[month], out="__z", ddof=0, bound=4.0)
-    return z.withColumn("alpha", F.lit(float(ic)) * F.col(vol) * F.col("__z")).drop("__z")
+    z = xs.xs_z(df, score, by=list(by), out="__z", ddof=0, bound=4.0)
+    return z.withColumn("alpha", (ic if isinstance(ic, Column) else F.lit(float(ic))) * F.col(vol) * F.col("__z")).drop("__z")
 
 
-def shrink(df: DataFrame, *, month: str, alpha: str, unc: str, kappa: float | Column) -> DataFrame:
-    """Alpha shrunk where its uncertainty exceeds the month's mean."""
-    st = group_stats(df, [month], __mu=F.avg(unc))
+def shrink(df: DataFrame, *, by: Sequence[str], alpha: str, unc: str, kappa: float | Column) -> DataFrame:
+    """Alpha shrunk where its uncertainty exceeds the mean of its cross-section."""
+    st = group_stats(df, list(by), __mu=F.avg(unc))
     rel = F.coalesce(ratio(unc, "__mu"), F.lit(1.0))
     k = kappa if isinstance(kappa, Column) else F.lit(float(kappa))
     return st.withColumn("alpha_shrunk", F.col(alpha) / (1.0 + k * rel ** 2)).drop("__mu")
@@ -364,17 +367,20 @@ def proxy_net(book: DataFrame, *, by: Sequence[str], id: str, month: str, aum: f
 
 
 def select_kappa(
-    df: DataFrame, grid: Sequence[float], *, id: str, month: str, alpha: str, unc: str, vol: str, aum: float, borrow: float, cap: float = 0.01,
+    df: DataFrame, grid: Sequence[float], *, by: Sequence[str], id: str, month: str, alpha: str, unc: str, vol: str, aum: float, borrow: float, cap: float = 0.01,
 ) -> DataFrame:
-    """Total validation net return of the proxy book at every shrinkage strength, and which is best."""
-    rows = shrink(df, month=month, alpha=alpha, unc=unc, kappa=0.0).drop("alpha_shrunk")
-    rows = rows.withColumn("kappa", F.explode(F.array(*[F.lit(float(k)) for k in grid])))
-    rel = group_stats(rows, [month, "kappa"], __mu=F.avg(unc))
-    rows = rel.withColumn("__s", F.col(alpha) / (1.0 + F.col("kappa") * F.coalesce(ratio(unc, "__mu"), F.lit(1.0)) ** 2)).drop("__mu")
-    book = proxy_book(rows, by=["kappa", month], alpha="__s", vol=vol, cap=cap)
-    total = proxy_net(book, by=["kappa"], id=id, month=month, aum=aum, borrow=borrow).groupBy("kappa").agg(F.sum("net_ret").alias("total"))
-    best = total.agg(F.max_by("kappa", F.struct(F.col("total"), -F.col("kappa"))).alias("__best"))
-    return total.join(F.broadcast(best), F.lit(True)).select("kappa", "total", (F.col("kappa") == F.col("__best")).alias("best"))  # one-row side
+    """Total validation net return of each model's proxy book at every shrinkage strength, and which is best (the smallest on ties)."""
+    by = list(by)
+    rows = df.withColumn("kappa", F.explode(F.array(*[F.lit(float(k)) for k in grid])))
+    rows = shrink(rows, by=[*by, "kappa", month], alpha=alpha, unc=unc, kappa=F.col("kappa"))
+    book = proxy_book(rows, by=[*by, "kappa", month], alpha="alpha_shrunk", vol=vol, cap=cap)
+    total = proxy_net(book, by=[*by, "kappa"], id=id, month=month, aum=aum, borrow=borrow).groupBy(*by, "kappa").agg(F.sum("net_ret").alias("total"))
+    best = F.first("kappa").over(Window.partitionBy(*by).orderBy(F.col("total").desc(), "kappa"))  # one row per strength
+    return total.select(*by, "kappa", "total", (F.col("kappa") == best).alias("best"))
+
+
+#: Buckets of absolute residuals, and bins of relative ones, to an octave.
+OCTAVE = BINS = 16
 
 
 def conformal(
@@ -382,20 +388,37 @@ def conformal(
 ) -> DataFrame:
     """Half-width of each month's interval: the k-th smallest absolute residual of the trailing existing months.
 
-    Output (by, month, n, half_width, unc_sd). Residuals are sent to the months they calibrate and ranked there.
+    Output (by, month, n, half_width, unc_sd). A month keeps counts of its residuals by bucket, which add up over trailing months; they tell the
+    bucket that holds the k-th residual, and only that bucket's values are met again.
     """
     by = list(by)
-    order = df.select(month).distinct().withColumn("__i", F.row_number().over(Window.orderBy(month)))
-    resid = df.select(*by, id, month, F.abs(F.col(truth) - F.col(score)).alias("__e")).filter("__e IS NOT NULL").join(order, month)
-    sent = resid.withColumn("__to", F.explode(F.sequence(F.col("__i") + 1, F.col("__i") + months)))
-    pool = sent.select(*by, "__to", "__e", (F.col(id) * 100000 + F.col("__i")).alias("__tie"))
-    ranked = group_stats(row_rank(pool, [*by, "__to"], "__e", "__tie", "__r"), [*by, "__to"], __n=F.count(F.lit(1)))
-    k = F.least(F.ceil((F.col("__n") + 1) * (1.0 - alpha)), F.col("__n"))
-    hit = ranked.filter((F.col("__n") >= min_n) & (F.col("__r") == k)).select(*by, "__to", F.col("__n").alias("n"), F.col("__e").alias("half_width"))
-    out = hit.join(order.withColumnRenamed("__i", "__to"), "__to")
+    order = df.select(month).distinct().withColumn("__i", F.row_number().over(Window.orderBy(month)))  # months only
+    resid = df.select(*by, month, F.abs(F.col(truth) - F.col(score)).alias("__e")).filter("__e IS NOT NULL").join(F.broadcast(order), month)
+    bucket = F.when(F.col("__e") > 0, F.floor(F.log2("__e") * OCTAVE)).otherwise(-(1 << 20)).cast("int")
+    values = written(resid.groupBy(*by, "__i", "__e").agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", bucket), "residuals")
+    later = lambda rows: rows.withColumn("__to", F.explode(F.sequence(F.col("__i") + 1, F.col("__i") + months)))
+    counts = later(values.groupBy(*by, "__i", "__b").agg(F.sum("__n").alias("__n"))).groupBy(*by, "__to", "__b").agg(F.sum("__n").alias("__n"))
+    run = Window.partitionBy(*by, "__to").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("__upto", F.sum("__n").over(run)).withColumn("n", F.sum("__n").over(Window.partitionBy(*by, "__to")))
+    k = F.least(F.ceil((F.col("n") + 1) * (1.0 - alpha)), F.col("n"))
+    aim = placed.filter((F.col("n") >= min_n) & (F.col("__upto") >= k) & (F.col("__upto") - F.col("__n") < k))
+    aim = aim.select(*by, "__to", "__b", "n", (k - (F.col("__upto") - F.col("__n"))).alias("__k"))
+    source = aim.withColumn("__i", F.explode(F.sequence(F.col("__to") - months, F.col("__to") - 1)))
+    inside = values.join(source, [*by, "__i", "__b"]).groupBy(*by, "__to", "n", "__k", "__e").agg(F.sum("__n").alias("__n"))
+    within = Window.partitionBy(*by, "__to").orderBy("__e").rowsBetween(Window.unboundedPreceding, 0)
+    reached = inside.withColumn("__upto", F.sum("__n").over(within)).filter(F.col("__upto") >= F.col("__k"))
+    hit = reached.groupBy(*by, "__to", "n").agg(F.min("__e").alias("half_width"))
+    out = hit.join(F.broadcast(order.withColumnRenamed("__i", "__to")), "__to")
     return out.select(*by, month, "n", "half_width", (F.col("half_width") / 1.645 if abs(alpha - 0.1) < 1e-12 else F.col("half_width")).alias("unc_sd"))
 
 
+def conformal_bounds(df: DataFrame, widths: DataFrame, *, by: Sequence[str], month: str, score: str, truth: str) -> DataFrame:
+    """``df`` with each security's bounds, and whether its truth (null: not known) lies within them; months without a width are left out."""
+    rows = df.join(widths.select(*by, month, "half_width"), [*by, month])
+    low, high = F.col(score) - F.col("half_width"), F.col(score) + F.col("half_width")
+    return rows.select(*df.columns, low.alias("lower"), high.alias("upper"), ((F.col(truth) >= low) & (F.col(truth) <= high)).alias("inside"))
+
+
 def scale_path(x: np.ndarray, start: float, alpha: float, rate: float) -> tuple[float, float, float]:
     """(scale used, coverage, next scale) of one month of relative residuals."""
     covered = float((x <= start).mean())
@@ -405,30 +428,52 @@ def scale_path(x: np.ndarray, start: float, alpha: float, rate: float) -> tuple[
 def conformal_adaptive(df: DataFrame, widths: DataFrame, *, by: Sequence[str], month: str, score: str, truth: str, alpha: float = 0.1, rate: float = 0.05) -> DataFrame:
     """Interval scale fed back from each month's realised coverage: (by, month, scale, coverage, n).
 
-    The scale depends on the month before, so months follow one another; each is one Spark aggregate that returns a row per model.
+    All that a scale needs of a month is how many relative residuals it covers. A scale stays within [1/4, 4], so a month is first counted in BINS
+    bins to an octave, in one aggregation; the recursion over months runs on the bins, and its scales are made exact by passes in which every month counts the residuals up to its present scale. Months depend on earlier ones only: a pass settles at least one more
+    month, and all at once as soon as no scale moves any count.
     """
     by = list(by)
     x = F.abs(F.col(truth) - F.col(score)) / F.col("half_width")
     rows = df.join(widths.select(*by, month, "half_width"), [*by, month]).select(*by, month, x.alias("x")).filter("x IS NOT NULL")
-    rows = rows.repartition(month).persist()
-    spark = df.sparkSession
-    fields = [rows.schema[b] for b in by]
-    scale: dict[tuple, float] = {}
-    done = []
-    for (m,) in rows.select(month).distinct().orderBy(month).collect():  # months of the calendar
-        known = spark.createDataFrame([(*k, v) for k, v in scale.items()], T.StructType([*fields, T.StructField("s", T.DoubleType())]))
-        cur = rows.filter(F.col(month) == F.lit(m)).join(F.broadcast(known), by, "left").withColumn("s", F.coalesce("s", F.lit(1.0)))  # one row per model
-        for r in cur.groupBy(*by).agg(F.max("s").alias("s"), F.avg((F.col("x") <= F.col("s")).cast("double")).alias("c"), F.count(F.lit(1)).alias("n")).collect():
-            key = tuple(r[b] for b in by)
-            done.append((*key, m, r["s"], r["c"], r["n"]))
-            scale[key] = float(np.clip(r["s"] * np.exp(rate * ((1 - alpha) - r["c"])), 0.25, 4.0))
-    rows.unpersist()
-    return spark.createDataFrame(done, T.StructType([*fields, T.StructField(month, T.DateType()), T.StructField("scale", T.DoubleType()), T.StructField("coverage", T.DoubleType()), T.StructField("n", T.LongType())]))
-
-
-def blend_width(df: DataFrame, *, month: str, width: str, dispersion: str) -> DataFrame:
-    """Calibrated width times the name's dispersion relative to its month."""
-    st = group_stats(df, [month], __mu=F.avg(dispersion))
+    values = written(rows.groupBy(*by, month, "x").agg(F.count(F.lit(1)).alias("k")), "relative-residuals")
+    bin_of = F.when(F.col("x") > 0, F.ceil(F.greatest(F.least(F.log2("x"), F.lit(2.5)), F.lit(-2.5)) * BINS)).otherwise(-3 * BINS)
+    bins = values.groupBy(*by, month, bin_of.alias("bin")).agg(F.max("x").alias("x"), F.sum("k").alias("k"))
+    first = bins.groupBy(*by, month).agg(F.sum("k").alias("n"), F.sort_array(F.collect_list(F.struct("x", "k"))).alias("steps"))
+    path = written(_scales(first, by, month, alpha, rate), "scales")
+    while True:
+        met = values.join(path.select(*by, month, "scale"), [*by, month]).groupBy(*by, month).agg(F.sum("k").alias("n"), F.sum(F.when(F.col("x") <= F.col("scale"), F.col("k")).otherwise(0)).alias("__c"))
+        steps = F.array(F.struct(F.lit(0.0).alias("x"), F.col("__c").alias("k")))
+        exact = written(_scales(met.select(*by, month, "n", steps.alias("steps")), by, month, alpha, rate), "scales")
+        moved = exact.join(path.select(*by, month, F.col("scale").alias("__s")), [*by, month]).agg(F.max(F.abs(F.col("scale") - F.col("__s")))).first()[0]
+        if not moved:
+            return exact
+        path = exact
+
+
+def _scales(months: DataFrame, by: Sequence[str], month: str, alpha: float, rate: float) -> DataFrame:
+    """(by, month, scale, coverage, n): the recursion over the months of each key; ``steps`` counts its residuals up to some sizes."""
+    by = list(by)
+    schema = T.StructType([*(months.schema[b] for b in by), T.StructField(month, T.DateType()), *(T.StructField(c, T.DoubleType()) for c in ("scale", "coverage")), T.StructField("n", T.LongType())])
+
+    def fold(batches):
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                scale = 1.0
+                for s in row["__m"]:
+                    covered = sum(p["k"] for p in s["steps"] if p["x"] <= scale) / s["n"]
+                    found.append((*(row[b] for b in by), s["m"], scale, covered, s["n"]))
+                    scale = min(max(scale * math.exp(rate * ((1 - alpha) - covered)), 0.25), 4.0)
+            if found:
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=[*by, month, "scale", "coverage", "n"]), preserve_index=False)
+
+    rows = months.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(month).alias("m"), "n", "steps"))).alias("__m"))
+    return rows.mapInArrow(fold, schema)
+
+
+def blend_width(df: DataFrame, *, by: Sequence[str], width: str, dispersion: str) -> DataFrame:
+    """Calibrated width times the name's dispersion relative to its cross-section."""
+    st = group_stats(df, list(by), __mu=F.avg(dispersion))
     rel = F.when(F.col("__mu") > 0, F.col(dispersion) / F.col("__mu")).otherwise(1.0)
     return st.withColumn("unc_sd", F.col(width) * F.coalesce(rel, F.lit(1.0))).drop("__mu")
 

@@ -13,33 +13,33 @@ from panelmill.operators import bootstrap
 from panelmill.operators import inference as inf
 from panelmill.operators import linear
 from panelmill.operators import xsection as xs
+from panelmill.sources.io import written
 
 
 def signal_quality(
     df: DataFrame, signals: Sequence[str], *, id: str, month: str, target: str, horizons: Mapping[str, int], min_n: int = 6, periods: int = 12,
 ) -> DataFrame:
     """Per signal: mean IC, spread, ICIR, HAC t, month-to-month rank persistence, horizon ICs and decay half-life."""
-    cols = [target, *[h for h in horizons if h != target]]
+    cols = list(dict.fromkeys([target, *horizons]))
     long = xs.melt(df, [id, month, *cols], signals)
-    key = ["signal", month]
-    ics = spearman(long, key, "value", target, min_n=min_n).filter(F.col("ic").isNotNull())
-    h = inf.hac(ics, ["signal"], month, {"ic": "ic"})
-    sd = ics.groupBy("signal").agg(F.stddev_samp("ic").alias("ic_sd"))
-    out = h.join(sd, "signal").select(
-        "signal", "n", F.col("mean_ic"), "ic_sd", (ratio("mean_ic", "ic_sd") * float(periods) ** 0.5).alias("icir"), ratio("mean_ic", "se_ic").alias("nw_t")
-    )
     order = df.select(month).distinct().withColumn("__i", F.row_number().over(Window.orderBy(month)))  # months only
     w = Window.partitionBy("signal", id).orderBy("__i")
-    prev = long.join(order, month).select(
-        "signal", month, "value", F.when(F.lag("__i").over(w) == F.col("__i") - 1, F.lag("value").over(w)).alias("__prev")
+    before = F.when(F.lag("__i").over(w) == F.col("__i") - 1, F.lag("value").over(w))
+    # Every signal meets all targets, its own last value being one more, in one pass of ranks.
+    against = F.explode(F.array(*[F.struct(F.lit(c).alias("h"), F.col(c).alias("y")) for c in (*cols, "__prev")])).alias("__t")
+    pairs = long.join(F.broadcast(order), month).withColumn("__prev", before).select("signal", month, "value", against)
+    all_ics = written(spearman(pairs.select("signal", F.col("__t.h").alias("h"), month, "value", F.col("__t.y").alias("y")), ["signal", "h", month], "value", "y", min_n=2), "ics")
+    ics = all_ics.filter((F.col("h") == target) & (F.col("n") >= min_n) & F.col("ic").isNotNull()).drop("n")
+    h = inf.hac(ics, ["signal"], month, {"ic": "ic"})
+    at = lambda c, n: F.avg(F.when((F.col("h") == c) & (F.col("n") >= n), F.col("ic")))
+    means = all_ics.groupBy("signal").agg(
+        F.stddev_samp(F.when((F.col("h") == target) & (F.col("n") >= min_n), F.col("ic"))).alias("ic_sd"), at("__prev", 2).alias("autocorr_1m"),
+        *[at(c, min_n).alias(f"ic_{c}") for c in horizons],
+    )
+    out = h.join(means, "signal").select(
+        "signal", h["n"], "mean_ic", "ic_sd", (ratio("mean_ic", "ic_sd") * float(periods) ** 0.5).alias("icir"), ratio("mean_ic", "se_ic").alias("nw_t"),
+        "autocorr_1m", (1.0 - F.col("autocorr_1m")).alias("implied_turnover"), *[f"ic_{c}" for c in horizons],
     )
-    auto = spearman(prev, key, "value", "__prev", min_n=2, out="__ac").groupBy("signal").agg(F.avg("__ac").alias("autocorr_1m"))
-    out = out.join(auto, "signal", "left").withColumn("implied_turnover", 1.0 - F.col("autocorr_1m"))
-    for name in horizons:
-        src = ics.groupBy("signal").agg(F.avg("ic").alias(f"ic_{name}")) if name == target else spearman(
-            long, key, "value", name, min_n=min_n
-        ).groupBy("signal").agg(F.avg("ic").alias(f"ic_{name}"))
-        out = out.join(src, "signal", "left")
     # first positive horizon, then the first later one at half its value or less (non-positive points are skipped)
     points = F.filter(
         F.array(*[F.struct(F.lit(n).alias("h"), F.col(f"ic_{c}").alias("v")) for c, n in sorted(horizons.items(), key=lambda kv: kv[1])]), lambda p: p["v"] > 0

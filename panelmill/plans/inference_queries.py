@@ -226,29 +226,35 @@ def x14(t):
     return rounded(out, ["cell", "n", "over_hurdle", "survives", "reject"], ["sharpe", "se", "t", "p", "deflated_p", "expected_max", "p_adjusted"])
 
 
-view("fwd", """
-  SELECT p.m, p.sec_id, s.sig_disc, s.sig_tax, s.sig_vol, s.sig_mom, s.sig_size, r1 AS r_1m, r3 AS r_3m FROM (
-    SELECT sec_id, m, CASE WHEN lead(mi) OVER w = mi + 1 THEN lead(ret) OVER w END AS r1, CASE WHEN count(ret) OVER a = 3 THEN sum(ret) OVER a END AS r3
+HORIZONS = {"r_1m": 1, "r_3m": 3, "r_6m": 6, "r_12m": 12}
+_LATER = [n for n in HORIZONS.values() if n > 1]
+view("fwd", f"""
+  SELECT p.m, p.sec_id, s.sig_disc, s.sig_tax, s.sig_vol, s.sig_mom, s.sig_size, {', '.join(HORIZONS)} FROM (
+    SELECT sec_id, m, CASE WHEN lead(mi) OVER w = mi + 1 THEN lead(ret) OVER w END AS r_1m, {', '.join(f"CASE WHEN count(ret) OVER a{n} = {n} THEN sum(ret) OVER a{n} END AS r_{n}m" for n in _LATER)}
     FROM (SELECT *, year(m) * 12 + month(m) AS mi FROM panel)
-    WINDOW w AS (PARTITION BY sec_id ORDER BY m), a AS (PARTITION BY sec_id ORDER BY mi RANGE BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) p
+    WINDOW w AS (PARTITION BY sec_id ORDER BY m), {', '.join(f"a{n} AS (PARTITION BY sec_id ORDER BY mi RANGE BETWEEN 1 FOLLOWING AND {n} FOLLOWING)" for n in _LATER)}) p
   JOIN signals s ON p.sec_id = s.sec_id AND p.m = s.m""")
 view("fwd_long", "SELECT * FROM (UNPIVOT (SELECT * FROM fwd) ON sig_disc, sig_tax, sig_vol, sig_mom, sig_size INTO NAME signal VALUE value)")
-spearman_view("ic_1m", "fwd_long", ["signal", "m"], "value", "r_1m", 6)
-spearman_view("ic_3m", "fwd_long", ["signal", "m"], "value", "r_3m", 6)
+for _n in HORIZONS.values():
+    spearman_view(f"ic_{_n}m", "fwd_long", ["signal", "m"], "value", f"r_{_n}m", 6)
 view("fwd_pairs", """
   SELECT signal, m, value, CASE WHEN lag(i) OVER w = i - 1 THEN lag(value) OVER w END AS prev FROM (SELECT *, dense_rank() OVER (ORDER BY m) AS i FROM fwd_long) WINDOW w AS (PARTITION BY signal, sec_id ORDER BY i)""")
 spearman_view("ic_auto", "fwd_pairs", ["signal", "m"], "value", "prev", 2)
 
 
+_POINTS = "list_filter([{'h': 1, 'v': mean_ic}, " + ", ".join(f"{{'h': {n}, 'v': i{n}}}" for n in _LATER) + "], lambda p: p.v > 0)"
+
+
 @query("x15_signal_quality", f"""
-SELECT h.signal, h.n, {R('mean_ic')} AS mean_ic, {R('sd')} AS ic_sd, {R('mean_ic / sd * sqrt(12)')} AS icir, {R('mean_ic / se_ic')} AS nw_t, {R('ac')} AS autocorr_1m, {R('1 - ac')} AS implied_turnover,
-       {R('mean_ic')} AS ic_r_1m, {R('i3')} AS ic_r_3m, CASE WHEN mean_ic > 0 AND i3 > 0 AND i3 <= mean_ic / 2 THEN 3.0::DOUBLE END AS half_life
-FROM ({hac_sql('(SELECT * FROM ic_1m WHERE ic IS NOT NULL)', ['signal'], 'm', {'ic': 'ic'})}) h JOIN (SELECT signal, stddev_samp(ic) AS sd FROM ic_1m GROUP BY 1) s ON h.signal = s.signal
-JOIN (SELECT signal, avg(ic) AS ac FROM ic_auto GROUP BY 1) a ON h.signal = a.signal JOIN (SELECT signal, avg(ic) AS i3 FROM ic_3m GROUP BY 1) t ON h.signal = t.signal""")
+SELECT *, CASE WHEN len(points) >= 2 THEN list_filter(points[2:], lambda p: p.v <= points[1].v / 2)[1].h::DOUBLE END AS half_life FROM (
+  SELECT h.signal, h.n, {R('mean_ic')} AS mean_ic, {R('sd')} AS ic_sd, {R('mean_ic / sd * sqrt(12)')} AS icir, {R('mean_ic / se_ic')} AS nw_t, {R('ac')} AS autocorr_1m, {R('1 - ac')} AS implied_turnover,
+         {R('mean_ic')} AS ic_r_1m, {', '.join(f"{R(f'i{n}')} AS ic_r_{n}m" for n in _LATER)}, {_POINTS} AS points
+  FROM ({hac_sql('(SELECT * FROM ic_1m WHERE ic IS NOT NULL)', ['signal'], 'm', {'ic': 'ic'})}) h JOIN (SELECT signal, stddev_samp(ic) AS sd FROM ic_1m GROUP BY 1) s ON h.signal = s.signal
+  JOIN (SELECT signal, avg(ic) AS ac FROM ic_auto GROUP BY 1) a ON h.signal = a.signal {' '.join(f"JOIN (SELECT signal, avg(ic) AS i{n} FROM ic_{n}m GROUP BY 1) t{n} ON h.signal = t{n}.signal" for n in _LATER)})""".replace("SELECT *,", "SELECT * EXCLUDE (points),", 1))
 def x15(t):
-    fwd = xs.forward_returns(t.signals.select("sec_id", "m", "ret", *SIGNALS), id="sec_id", month="m", ret="ret", horizons=(3,))
-    out = st.signal_quality(fwd, SIGNALS, id="sec_id", month="m", target="r_1m", horizons={"r_1m": 1, "r_3m": 3})
-    return rounded(out, ["signal", "n", "half_life"], ["mean_ic", "ic_sd", "icir", "nw_t", "autocorr_1m", "implied_turnover", "ic_r_1m", "ic_r_3m"])
+    fwd = xs.forward_returns(t.signals.select("sec_id", "m", "ret", *SIGNALS), id="sec_id", month="m", ret="ret")
+    out = st.signal_quality(fwd, SIGNALS, id="sec_id", month="m", target="r_1m", horizons=HORIZONS)
+    return rounded(out, ["signal", "n", "half_life"], ["mean_ic", "ic_sd", "icir", "nw_t", "autocorr_1m", "implied_turnover", *(f"ic_{h}" for h in HORIZONS)])
 
 
 def _pair_corr():
@@ -421,12 +427,35 @@ def x28_power(t):
     return rounded(st.power_table(tests, [0.25, 0.5, 1.0]), ["axis", "n", "effect"], ["se", "power"], 5)
 
 
-@query("x29_theme_liquidity_terciles")
+def _theme_sql(t: str) -> str:
+    return f"CASE WHEN {' + '.join(f'(CASE WHEN o_{s} IS NULL THEN 0 ELSE 1 END)' for s in THEMES[t])} > 0 THEN ({' + '.join(f'coalesce(o_{s}, 0)' for s in THEMES[t])}) / ({' + '.join(f'(CASE WHEN o_{s} IS NULL THEN 0 ELSE 1 END)' for s in THEMES[t])}) END"
+
+
+view("early_long", f"SELECT * FROM (UNPIVOT (SELECT sec_id, m, ret_next, {', '.join(SIGNALS)} FROM signals WHERE m < DATE '1997-01-31') ON {', '.join(SIGNALS)} INTO NAME signal VALUE value)")
+spearman_view("ic_before", "early_long", ["signal", "m"], "value", "ret_next", 30)
+view("signs", "SELECT signal, CASE WHEN avg(ic) < 0 THEN -1 ELSE 1 END AS sign FROM ic_before GROUP BY 1")
+view("oriented", f"""
+  SELECT sec_id, m, ret_next, adv_usd, {', '.join(f"{s} * coalesce((SELECT sign FROM signs WHERE signal = '{s}'), 1) AS o_{s}" for s in SIGNALS)}
+  FROM signals WHERE m >= DATE '1997-01-31' AND ret_next IS NOT NULL AND adv_usd > 0""")
+view("terciles", """
+  SELECT * FROM (SELECT *, CASE WHEN 3 * (r - 1) <= n - 1 THEN 1 WHEN 3 * (r - 1) <= 2 * (n - 1) THEN 2 ELSE 3 END AS bin FROM (
+    SELECT *, row_number() OVER (PARTITION BY m ORDER BY adv_usd, sec_id) AS r, count(*) OVER (PARTITION BY m) AS n FROM oriented)) WHERE n >= 30""")
+view("themed", " UNION ALL ".join(f"SELECT 'theme_{t}' AS theme, bin, m, sec_id, ret_next, {_theme_sql(t)} AS score FROM terciles" for t in THEMES))
+view("tercile_spreads", """
+  SELECT theme, bin, m, CASE WHEN any_value(n) >= 2 * any_value(k) + 2 THEN avg(CASE WHEN r >= n - k + 1 THEN ret_next END) - avg(CASE WHEN r <= k THEN ret_next END) END AS s FROM (
+    SELECT *, greatest(floor(n * 0.1::DOUBLE), 1) AS k FROM (
+      SELECT *, row_number() OVER (PARTITION BY theme, bin, m ORDER BY score, sec_id) AS r, count(*) OVER (PARTITION BY theme, bin, m) AS n FROM themed WHERE score IS NOT NULL)) GROUP BY 1, 2, 3""")
+view("tercile_pairs", "SELECT theme, m, max(CASE WHEN bin = 1 THEN s END) AS illiquid, max(CASE WHEN bin = 3 THEN s END) AS liquid FROM tercile_spreads GROUP BY 1, 2")
+
+
+@query("x29_theme_liquidity_terciles", f"""
+SELECT theme, n, {rsql(['stat', 'se', 't', 'p'], 5)}, {R('max(a) OVER (ORDER BY r)', 5)} AS p_holm FROM (
+  SELECT *, least((count(*) OVER () - r + 1) * p, 1.0) AS a FROM (SELECT *, row_number() OVER (ORDER BY p, theme) AS r FROM ({sharpe_diff_sql('tercile_pairs', ['theme'], 'm', 'illiquid', 'liquid')})))""")
 def x29(t):
     signs = xs.orient(t.signals, SIGNALS, by="m", target="ret_next", cutoff="1997-01-31", min_n=30)
     later = t.signals.filter("m >= DATE '1997-01-31' AND ret_next IS NOT NULL").filter(F.col("adv_usd") > 0)
     out = st.theme_liquidity(later, THEMES, signs, id="sec_id", month="m", ret="ret_next", liquidity="adv_usd", B=B)
-    return rounded(out, ["theme", "n"], ["sharpe_a", "sharpe_b", "stat", "se", "t", "p", "p_holm"], 5)
+    return rounded(out, ["theme", "n"], ["stat", "se", "t", "p", "p_holm"], 5)
 
 
 view("design_cells", """

@@ -144,27 +144,29 @@ def m13(t):
     return out.select("split", "params", rnd("metric").alias("metric"), "n_trials")
 
 
+view("cell_ic", "SELECT cell, CASE WHEN abs(least(greatest(avg(ic), -0.1), 0.1)) < 0.005 THEN CASE WHEN avg(ic) < 0 THEN -0.005 ELSE 0.005 END ELSE least(greatest(avg(ic), -0.1), 0.1) END AS ic_used FROM ic_all GROUP BY 1")
 view("alphas", """
-  SELECT sec_id, m, score, sigma_d, spread, adv_usd, ret_next, alpha, alpha / (1 + 2 * pow(coalesce(spread / avg(spread) OVER (PARTITION BY m), 1.0), 2)) AS alpha_shrunk FROM (
-    SELECT *, 0.05::DOUBLE * sigma_d * least(greatest(CASE WHEN stddev_pop(score) OVER p > 1e-12 THEN (score - avg(score) OVER p) / stddev_pop(score) OVER p ELSE 0 END, -4.0), 4.0) AS alpha
-    FROM scored WHERE cell = 'EQ' WINDOW p AS (PARTITION BY m))""")
+  SELECT cell, sec_id, m, score, sigma_d, spread, adv_usd, ret_next, alpha, alpha / (1 + 2 * pow(coalesce(spread / avg(spread) OVER (PARTITION BY cell, m), 1.0), 2)) AS alpha_shrunk FROM (
+    SELECT s.*, ic_used * sigma_d * least(greatest(CASE WHEN stddev_pop(score) OVER p > 1e-12 THEN (score - avg(score) OVER p) / stddev_pop(score) OVER p ELSE 0 END, -4.0), 4.0) AS alpha
+    FROM scored s JOIN cell_ic c ON s.cell = c.cell WINDOW p AS (PARTITION BY s.cell, m))""")
 
 
 @shared
 def alphas(t):
-    s = scored(t).filter("cell = 'EQ'").drop("cell")
-    a = md.scale_alpha(s, month="m", score="score", vol="sigma_d", ic=0.05)
-    return t.stage("alphas", md.shrink(a, month="m", alpha="alpha", unc="spread", kappa=2.0))
+    ics = md.rank_ic(scored(t), by=["cell"], month="m", score="score", target="ret_next", bounds=(-0.1, 0.1), floor=0.005)
+    s = scored(t).join(ics.select("cell", "ic_used"), "cell")
+    a = md.scale_alpha(s, by=["cell", "m"], score="score", vol="sigma_d", ic=F.col("ic_used")).drop("ic_used")
+    return t.stage("alphas", md.shrink(a, by=["cell", "m"], alpha="alpha", unc="spread", kappa=2.0))
 
 
-@query("m14_volatility_scaled_alpha", f"SELECT sec_id, m, {R('alpha', 8)} AS alpha FROM alphas")
+@query("m14_volatility_scaled_alpha", f"SELECT cell, sec_id, m, {R('alpha', 8)} AS alpha FROM alphas")
 def m14(t):
-    return rounded(alphas(t), ["sec_id", "m"], ["alpha"], 8)
+    return rounded(alphas(t), ["cell", "sec_id", "m"], ["alpha"], 8)
 
 
-@query("m15_uncertainty_shrinkage", f"SELECT sec_id, m, {R('alpha_shrunk', 8)} AS alpha_shrunk FROM alphas")
+@query("m15_uncertainty_shrinkage", f"SELECT cell, sec_id, m, {R('alpha_shrunk', 8)} AS alpha_shrunk FROM alphas")
 def m15(t):
-    return rounded(alphas(t), ["sec_id", "m"], ["alpha_shrunk"], 8)
+    return rounded(alphas(t), ["cell", "sec_id", "m"], ["alpha_shrunk"], 8)
 
 
 def proxy_sql(source: str, keys: str, alpha: str) -> str:
@@ -174,60 +176,72 @@ def proxy_sql(source: str, keys: str, alpha: str) -> str:
       SELECT * EXCLUDE (a0), a0 - avg(a0) OVER (PARTITION BY {keys}) AS a1 FROM (SELECT *, coalesce({alpha}, 0.0) / greatest(sigma_d * sigma_d, 1e-8) AS a0 FROM {source}))))"""
 
 
-@query("m16_proxy_book", f"SELECT sec_id, m, {R('w')} AS w FROM ({proxy_sql('alphas', 'm', 'alpha_shrunk')})")
+@query("m16_proxy_book", f"SELECT cell, sec_id, m, {R('w')} AS w FROM ({proxy_sql('alphas', 'cell, m', 'alpha_shrunk')})")
 def m16(t):
-    return rounded(md.proxy_book(alphas(t), by=["m"], alpha="alpha_shrunk", vol="sigma_d", cap=0.05), ["sec_id", "m"], ["w"])
+    return rounded(md.proxy_book(alphas(t), by=["cell", "m"], alpha="alpha_shrunk", vol="sigma_d", cap=0.05), ["cell", "sec_id", "m"], ["w"])
 
 
-_KAPPA = "(SELECT sec_id, m, sigma_d, spread, adv_usd, ret_next, kappa, alpha / (1 + kappa * pow(coalesce(spread / avg(spread) OVER (PARTITION BY m, kappa), 1.0), 2)) AS s FROM alphas, (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (4.0::DOUBLE)) k(kappa))"
+_KAPPA = "(SELECT cell, sec_id, m, sigma_d, spread, adv_usd, ret_next, kappa, alpha / (1 + kappa * pow(coalesce(spread / avg(spread) OVER (PARTITION BY cell, m, kappa), 1.0), 2)) AS s FROM alphas, (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (4.0::DOUBLE)) k(kappa))"
 
 
 @query("m17_kappa_selection", f"""
-WITH b AS ({proxy_sql(_KAPPA, 'm, kappa', 's')}), i AS (SELECT m, row_number() OVER (ORDER BY m) AS i FROM (SELECT DISTINCT m FROM b)), x AS (SELECT b.*, i FROM b JOIN i ON b.m = i.m),
-n AS (SELECT c.kappa, sum(c.w * coalesce(c.ret_next, 0.0) - ({cost_sql('c.w - coalesce(p.w, 0.0)', 'c.', '1e5::DOUBLE')}) - greatest(-c.w, 0.0) * 0.03::DOUBLE / 12) AS total
-      FROM x c LEFT JOIN x p ON c.kappa = p.kappa AND c.sec_id = p.sec_id AND c.i = p.i + 1 GROUP BY 1)
-SELECT kappa, {R('total', 5)} AS total, kappa = (SELECT max_by(kappa, total) FROM n) AS best FROM n""")
+WITH b AS ({proxy_sql(_KAPPA, 'cell, m, kappa', 's')}), i AS (SELECT cell, m, row_number() OVER (PARTITION BY cell ORDER BY m) AS i FROM (SELECT DISTINCT cell, m FROM b)), x AS (SELECT b.*, i FROM b JOIN i ON b.m = i.m AND b.cell = i.cell),
+n AS (SELECT c.cell, c.kappa, sum(c.w * coalesce(c.ret_next, 0.0) - ({cost_sql('c.w - coalesce(p.w, 0.0)', 'c.', '1e5::DOUBLE')}) - greatest(-c.w, 0.0) * 0.03::DOUBLE / 12) AS total
+      FROM x c LEFT JOIN x p ON c.cell = p.cell AND c.kappa = p.kappa AND c.sec_id = p.sec_id AND c.i = p.i + 1 GROUP BY 1, 2)
+SELECT cell, kappa, {R('total', 5)} AS total, kappa = first_value(kappa) OVER (PARTITION BY cell ORDER BY total DESC, kappa) AS best FROM n""")
 def m17(t):
-    out = md.select_kappa(alphas(t), [0.0, 1.0, 4.0], **ID, alpha="alpha", unc="spread", vol="sigma_d", aum=1e5, borrow=0.03, cap=0.05)
-    return out.select("kappa", rnd("total", 5).alias("total"), "best")
+    out = md.select_kappa(alphas(t), [0.0, 1.0, 4.0], by=["cell"], **ID, alpha="alpha", unc="spread", vol="sigma_d", aum=1e5, borrow=0.03, cap=0.05)
+    return out.select("cell", "kappa", rnd("total", 5).alias("total"), "best")
 
 
-view("predictions", "SELECT 'EQ' AS model, sec_id, m, score * 0.01::DOUBLE AS score, ret_next AS y, spread FROM scored WHERE cell = 'EQ'")
+view("predictions", "SELECT cell AS model, sec_id, m, score * 0.01::DOUBLE AS score, ret_next AS y, spread FROM scored")
 view("widths", """
   WITH o AS (SELECT m, row_number() OVER (ORDER BY m) AS i FROM (SELECT DISTINCT m FROM predictions)),
   r AS (SELECT p.*, o.i, abs(y - score) AS e FROM predictions p JOIN o ON p.m = o.m WHERE y IS NOT NULL),
-  k AS (SELECT t.m, r.e, row_number() OVER (PARTITION BY t.m ORDER BY r.e) AS rn, count(*) OVER (PARTITION BY t.m) AS n FROM o t JOIN r ON r.i BETWEEN t.i - 24 AND t.i - 1)
-  SELECT m, n, e AS half_width FROM k WHERE n >= 100 AND rn = least(ceil((n + 1) * (1.0 - 0.1)), n)""")
+  k AS (SELECT r.model, t.m, r.e, row_number() OVER (PARTITION BY r.model, t.m ORDER BY r.e) AS rn, count(*) OVER (PARTITION BY r.model, t.m) AS n FROM o t JOIN r ON r.i BETWEEN t.i - 24 AND t.i - 1)
+  SELECT model, m, n, e AS half_width FROM k WHERE n >= 100 AND rn = least(ceil((n + 1) * (1.0 - 0.1)), n)""")
 
 
 @shared
 def predictions(t):
-    s = scored(t).filter("cell = 'EQ'")
-    return t.stage("predictions", s.select(F.lit("EQ").alias("model"), "sec_id", "m", (F.col("score") * 0.01).alias("score"), F.col("ret_next").alias("y"), "spread"))
+    return t.stage("predictions", scored(t).select(F.col("cell").alias("model"), "sec_id", "m", (F.col("score") * 0.01).alias("score"), F.col("ret_next").alias("y"), "spread"))
 
 
 @shared
 def widths(t):
-    return md.conformal(predictions(t), by=["model"], id="sec_id", month="m", score="score", truth="y")
+    return t.stage("widths", md.conformal(predictions(t), by=["model"], id="sec_id", month="m", score="score", truth="y"))
 
 
-@query("m18_split_conformal", f"SELECT 'EQ' AS model, m, n, {R('half_width')} AS half_width, {R('half_width / 1.645')} AS unc_sd FROM widths")
+@query("m18_split_conformal", f"SELECT model, m, n, {R('half_width')} AS half_width, {R('half_width / 1.645')} AS unc_sd FROM widths")
 def m18(t):
     return rounded(widths(t), ["model", "m", "n"], ["half_width", "unc_sd"])
 
 
-@query("m19_adaptive_conformal")
+@query("m18_security_bounds", f"""
+SELECT p.model, p.sec_id, p.m, {R('score - half_width')} AS lower, {R('score + half_width')} AS upper, y >= score - half_width AND y <= score + half_width AS inside
+FROM predictions p JOIN widths w ON p.model = w.model AND p.m = w.m""")
+def m18_bounds(t):
+    out = md.conformal_bounds(predictions(t), widths(t), by=["model"], month="m", score="score", truth="y")
+    return rounded(out, ["model", "sec_id", "m", "inside"], ["lower", "upper"])
+
+
+@query("m19_adaptive_conformal", f"""
+WITH RECURSIVE x AS (SELECT p.model, p.m, abs(y - score) / half_width AS x FROM predictions p JOIN widths w ON p.model = w.model AND p.m = w.m WHERE y IS NOT NULL),
+o AS (SELECT model, m, row_number() OVER (PARTITION BY model ORDER BY m) AS i, list(x) AS xs FROM x GROUP BY 1, 2),
+s AS (SELECT model, 1::BIGINT AS i, 1.0::DOUBLE AS scale FROM (SELECT DISTINCT model FROM o)
+  UNION ALL SELECT s.model, s.i + 1, least(greatest(s.scale * exp(0.05::DOUBLE * (0.9::DOUBLE - len(list_filter(o.xs, lambda v: v <= s.scale)) / len(o.xs))), 0.25), 4.0)::DOUBLE FROM s JOIN o ON o.model = s.model AND o.i = s.i)
+SELECT o.model, o.m, len(o.xs)::BIGINT AS n, {R('scale')} AS scale, {R('len(list_filter(o.xs, lambda v: v <= scale)) / len(o.xs)')} AS coverage FROM s JOIN o ON o.model = s.model AND o.i = s.i""")
 def m19(t):
     out = md.conformal_adaptive(predictions(t), widths(t), by=["model"], month="m", score="score", truth="y")
     return rounded(out, ["model", "m", "n"], ["scale", "coverage"])
 
 
 @query("m20_blended_width", f"""
-SELECT p.sec_id, p.m, {R('half_width / 1.645 * coalesce(CASE WHEN mu > 0 THEN spread / mu ELSE 1.0 END, 1.0)')} AS unc_sd
-FROM (SELECT p.*, w.half_width, avg(spread) OVER (PARTITION BY p.m) AS mu FROM predictions p JOIN widths w ON p.m = w.m) p""")
+SELECT p.model, p.sec_id, p.m, {R('half_width / 1.645 * coalesce(CASE WHEN mu > 0 THEN spread / mu ELSE 1.0 END, 1.0)')} AS unc_sd
+FROM (SELECT p.*, w.half_width, avg(spread) OVER (PARTITION BY p.model, p.m) AS mu FROM predictions p JOIN widths w ON p.model = w.model AND p.m = w.m) p""")
 def m20(t):
-    j = predictions(t).join(widths(t).select("m", F.col("unc_sd").alias("width")), "m")
-    return rounded(md.blend_width(j, month="m", width="width", dispersion="spread"), ["sec_id", "m"], ["unc_sd"])
+    j = predictions(t).join(widths(t).select("model", "m", F.col("unc_sd").alias("width")), ["model", "m"])
+    return rounded(md.blend_width(j, by=["model", "m"], width="width", dispersion="spread"), ["model", "sec_id", "m"], ["unc_sd"])
 
 
 @query("m21_seed_dispersion", f"""

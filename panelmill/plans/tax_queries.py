@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import rnd
 from panelmill.operators import aftertax as at
+from panelmill.operators import dated
 from panelmill.operators import inference as inf
 from panelmill.operators import studies as st
 from panelmill.operators import tax as tx
@@ -107,7 +108,7 @@ view("ruled", """
 
 @shared
 def resolved(t):
-    return tx.resolve_rules(disposals(t), schedule(t), key="id", country="country", date="sold", acquired="opened", grandfather=("EUROPE", "1996-01-01"), rules=RULES)
+    return tx.resolve_rules(disposals(t), schedule(t), country="country", date="sold", acquired="opened", grandfather=("EUROPE", "1996-01-01"), rules=RULES)
 
 
 @query("t2_resolve_dated_rules", "SELECT id, rule_date, matches, legal_regime, violation FROM ruled")
@@ -200,6 +201,50 @@ def t11(t):
     return out.select("sec_id", "opened", "m", rnd("market_value", 3).alias("market_value"), rnd("unrealised", 3).alias("unrealised"), rnd("gain_rate", 5).alias("gain_rate"))
 
 
+view("stated_trades", """
+  WITH px AS (SELECT security, max_by(amount / qty, d) AS px FROM (SELECT security, d, sum(amount) AS amount, sum(qty) AS qty FROM covered_trades WHERE d <= DATE '1996-06-30' GROUP BY 1, 2) GROUP BY 1),
+  f AS (SELECT d, usd_per_local FROM fx_rates WHERE cur = 'BBB' AND dayofweek(d) NOT IN (0, 6))
+  SELECT t.*, amount / usd_per_local AS local_basis, qty * px AS reference FROM covered_trades t ASOF LEFT JOIN f ON t.d >= f.d LEFT JOIN px ON px.security = t.security""")
+
+
+@shared
+def stated_trades(t):
+    """Trades with their amount in a local currency at the last business-day rate, and at the security's price of a statutory date."""
+    early = t.covered_trades.filter("d <= DATE '1996-06-30'").groupBy("security", "d").agg((F.sum("amount") / F.sum("qty")).alias("px"))
+    price = early.groupBy("security").agg(F.max_by("px", "d").alias("px"))
+    rates = dated.steps(t.fx_rates.filter(~F.dayofweek("d").isin(1, 7)), by="cur", date="d", values=["usd_per_local"])
+    rows = dated.lookup(t.covered_trades, rates, key=F.lit("BBB"), at=F.col("d"), out="fx").join(price, "security", "left")
+    return t.stage("stated_trades", rows.select("account", "security", "d", "side", "qty", "amount", (F.col("amount") / F.col("fx.v.usd_per_local")).alias("local_basis"), (F.col("qty") * F.col("px")).alias("reference")))
+
+
+@query("t9_split_lot_state", f"""
+WITH r AS (SELECT *, sum(qty) OVER (PARTITION BY account, security, side ORDER BY d) AS z, qty AS q FROM stated_trades)
+SELECT b.account, b.security, b.d AS opened, {R('sum(least(b.z, s.z) - greatest(b.z - b.q, s.z - s.q))', 4)} AS qty, {R('sum((least(b.z, s.z) - greatest(b.z - b.q, s.z - s.q)) * b.amount / b.q)', 2)} AS basis,
+       {R('sum((least(b.z, s.z) - greatest(b.z - b.q, s.z - s.q)) * b.local_basis / b.q)', 2)} AS local_basis, {R('sum((least(b.z, s.z) - greatest(b.z - b.q, s.z - s.q)) * b.reference / b.q)', 2)} AS reference
+FROM r b JOIN r s ON b.account = s.account AND b.security = s.security AND b.side = 'B' AND s.side = 'S' AND b.z > s.z - s.q AND s.z > b.z - b.q
+WHERE least(b.z, s.z) - greatest(b.z - b.q, s.z - s.q) > 1e-9 GROUP BY 1, 2, 3""")
+def t9_state(t):
+    g = tx.fifo_gains(stated_trades(t), by=["account", "security"], state=["local_basis", "reference"]).filter("qty > 1e-9")
+    out = g.groupBy("account", "security", "opened").agg(*[F.sum(c).alias(c) for c in ("qty", "basis", "local_basis", "reference")])
+    return out.select("account", "security", "opened", rnd("qty", 4).alias("qty"), *[rnd(c, 2).alias(c) for c in ("basis", "local_basis", "reference")])
+
+
+@query("t11_liquidation", f"""
+WITH c AS (SELECT *, coalesce(sum(CASE WHEN side = 'S' THEN qty END) OVER (PARTITION BY account, security), 0) AS sold, sum(CASE WHEN side = 'B' THEN qty END) OVER (PARTITION BY account, security ORDER BY d, side) AS z FROM stated_trades),
+o AS (SELECT *, least(qty, greatest(z - sold, 0)) AS q FROM c WHERE side = 'B'),
+px AS (SELECT security, max_by(amount / qty, d) AS px FROM (SELECT security, d, sum(amount) AS amount, sum(qty) AS qty FROM covered_trades GROUP BY 1, 2) GROUP BY 1),
+v AS (SELECT o.account, o.security, d AS opened, q, q / qty * amount AS basis, q / qty * local_basis AS local_basis, q / qty * reference AS reference, q * px AS value, DATE '2002-01-31' > d + INTERVAL 12 MONTH AS long_term FROM o JOIN px ON px.security = o.security WHERE q > 0)
+SELECT account, security, opened, long_term, {R('q', 4)} AS qty, {R('basis', 2)} AS basis, {R('local_basis', 2)} AS local_basis, {R('reference', 2)} AS reference, {R('value', 2)} AS value, {R('value - basis', 2)} AS unrealised,
+       {R('value - CASE WHEN long_term AND reference IS NOT NULL THEN greatest(basis, least(reference, value)) ELSE basis END', 2)} AS taxable_gain FROM v""")
+def t11_liquidation(t):
+    days = t.covered_trades.groupBy("security", "d").agg((F.sum("amount") / F.sum("qty")).alias("px"))
+    last = days.groupBy("security").agg(F.max_by("px", "d").alias("px"))
+    lots = tx.open_lots(stated_trades(t), by=["account", "security"], state=["local_basis", "reference"]).join(last, "security")
+    out = tx.marked(lots, F.col("px"), F.lit("2002-01-31").cast("date"), reference="reference")
+    money = ["basis", "local_basis", "reference", "value", "unrealised", "taxable_gain"]
+    return out.select("account", "security", "opened", "long_term", rnd("qty", 4).alias("qty"), *[rnd(c, 2).alias(c) for c in money])
+
+
 view("classified", """
   SELECT *, (sale - tax_basis) * coalesce(gain_inclusion_fraction, 1.0) AS taxable_gain, CASE WHEN is_long THEN cgt_long ELSE cgt_short END AS tax_rate, CASE WHEN is_long THEN 'LT' ELSE 'ST' END AS bucket FROM (
     SELECT *, CASE WHEN is_long AND opened < DATE '1998-02-01' AND sold >= DATE '1998-04-01' THEN greatest(basis, least(fmv, sale)) ELSE basis END AS tax_basis FROM (
@@ -211,20 +256,26 @@ def classified(t):
     return tx.classify_events(resolved(t), opened="opened", sold="sold", basis="basis", sale="sale", fmv="fmv", basis_cut=("1998-02-01", "1998-04-01"))
 
 
-@query("t12_classified_events", f"SELECT id, CASE WHEN is_long IS NULL THEN 'ST' ELSE bucket END AS bucket, tax_rate, {R('taxable_gain', 2)} AS taxable_gain FROM classified WHERE violation IS NULL")
+@query("t12_classified_events", f"""
+SELECT id, violation, CASE WHEN violation IS NULL THEN bucket END AS bucket, tax_rate, {R('taxable_gain', 2)} AS taxable_gain FROM (
+  SELECT * REPLACE (CASE WHEN violation IS NULL THEN taxable_gain END AS taxable_gain) FROM classified)""")
 def t12(t):
-    return classified(t).filter("violation IS NULL").select("id", "bucket", "tax_rate", rnd("taxable_gain", 2).alias("taxable_gain"))
+    ruled = F.col("violation").isNull()
+    return classified(t).select("id", "violation", F.when(ruled, F.col("bucket")).alias("bucket"), "tax_rate", rnd(F.when(ruled, F.col("taxable_gain")), 2).alias("taxable_gain"))
 
 
 @query("t13_transaction_tax", f"""
-SELECT account, s.country, {R("sum(CASE WHEN side = 'B' THEN amount * stt_buy ELSE amount * stt_sell END)", 6)} AS tax
-FROM (SELECT *, {_REGION} AS country FROM covered_trades) t JOIN schedule s ON s.country = t.country AND t.d BETWEEN s.effective_from AND s.effective_to
-WHERE t.country NOT IN ('EUROPE') GROUP BY 1, 2""")
+SELECT account, country, count(*) AS n_trades, count(*) FILTER (n <> 1) AS n_violations, {R("sum(CASE WHEN n = 1 THEN tax END)", 6)} AS tax FROM (
+  SELECT t.account, t.country, t.d, t.side, t.amount, count(s.country) AS n, max(CASE WHEN t.side = 'B' THEN t.amount * s.stt_buy ELSE t.amount * s.stt_sell END) AS tax
+  FROM (SELECT row_number() OVER () AS line, *, {_REGION} AS country FROM covered_trades) t LEFT JOIN schedule s ON s.country = t.country AND t.d BETWEEN s.effective_from AND s.effective_to
+  GROUP BY t.line, t.account, t.country, t.d, t.side, t.amount) GROUP BY 1, 2""")
 def t13(t):
-    tr = t.covered_trades.withColumn("country", region()).filter("country <> 'EUROPE'")
-    tr = tr.withColumn("k", F.concat_ws("|", *[F.col(c).cast("string") for c in ("account", "security", "d", "side")])).groupBy("k", "account", "country", "d", "side").agg(F.sum("amount").alias("amount"))
-    r = tx.resolve_rules(tr, schedule(t), key="k", country="country", date="d", rules=["stt_buy", "stt_sell"]).filter("violation IS NULL")
-    return r.groupBy("account", "country").agg(rnd(F.sum(tx.transaction_tax(F.col("side"), F.col("amount"), F.col("stt_buy"), F.col("stt_sell"))), 6).alias("tax"))
+    tr = t.covered_trades.withColumn("country", region())
+    r = tx.resolve_rules(tr, schedule(t), country="country", date="d", rules=["stt_buy", "stt_sell"])
+    tax = tx.transaction_tax(F.col("side"), F.col("amount"), F.col("stt_buy"), F.col("stt_sell"))
+    return r.groupBy("account", "country").agg(
+        F.count(F.lit(1)).alias("n_trades"), F.count("violation").alias("n_violations"), rnd(F.sum(tax), 6).alias("tax")
+    )
 
 
 @query("t14_tax_year_labels", "SELECT year(o_orderdate) + CASE WHEN month(o_orderdate) > 3 THEN 1 ELSE 0 END AS tax_year, count(*) AS n FROM orders GROUP BY 1")
