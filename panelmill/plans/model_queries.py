@@ -113,8 +113,7 @@ def m9(t):
 
 @query("m10_boosted_trees")
 def m10(t):
-    cal = calendar(t).filter("test_year >= 2000")
-    return rounded(md.score_gbt(design(t), SIGNALS, cal, **ID, target="y", trees=5, depth=2), ["sec_id", "m", "test_year"], ["score"])
+    return rounded(md.score_gbt(design(t), SIGNALS, calendar(t), **ID, target="y"), ["sec_id", "m", "test_year"], ["score"])
 
 
 @query("m11_random_features_ridge")
@@ -125,8 +124,7 @@ def m11(t):
 
 @query("m11_random_features_sparse")
 def m11_l1(t):
-    cal = calendar(t).filter("test_year >= 2001")
-    out = md.score_rff(design(t), SIGNALS, cal, **ID, target="y", n_features=24, penalty="l1", alpha=1e-5)
+    out = md.score_rff(design(t), SIGNALS, calendar(t), **ID, target="y", n_features=24, penalty="l1", alpha=1e-5)
     return rounded(out, ["sec_id", "m", "test_year"], ["complexity", "score"])
 
 

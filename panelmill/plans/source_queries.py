@@ -91,9 +91,12 @@ def s4(t):
     return out
 
 
-@query("s5_pool_countries", f"SELECT country, country || ':' || sec_id AS gid, m, {R('me', 3)} AS me FROM monthly_px WHERE country IN ('ASIA', 'EUROPE')")
+COUNTRIES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@query("s5_pool_countries", f"SELECT country, country || ':' || sec_id AS gid, m, {R('me', 3)} AS me FROM monthly_px")
 def s5(t):
-    frames = {c: t.monthly_px.filter(F.col("country") == c).select("sec_id", "m", "me") for c in ("ASIA", "EUROPE")}
+    frames = {c: t.monthly_px.filter(F.col("country") == c).select("sec_id", "m", "me") for c in COUNTRIES}
     return io.pool(frames, id="sec_id").select("country", "gid", "m", rnd("me", 3).alias("me"))
 
 
