@@ -63,8 +63,8 @@ def test_grammar_round_trip(docs, least):
     ids = np.array([x for d in docs for x in d], np.int64)
     seq, cut, rules, lengths = repair.grammar(ids, bounds, 6, least)
     for k, d in enumerate(docs):
-        assert repair.expand(seq[cut[k] : cut[k + 1]], rules, 6).tolist() == d
-    assert [len(repair.expand(np.array([6 + r]), rules, 6)) for r in range(len(rules))] == lengths.tolist()
+        assert repair.expand(seq[cut[k] : cut[k + 1]], rules, 6, lengths).tolist() == d
+    assert [len(repair.expand(np.array([6 + r]), rules, 6, lengths)) for r in range(len(rules))] == lengths.tolist()
 
 
 def test_token_files(spark, odd, small):
