@@ -5,8 +5,8 @@ runs on to the first sentence with which it has ``SENTENCES`` sentences and ``WO
 in one aggregation that finds, of each repeated span, the first place (smallest doc_id, then smallest digest of the text, then position);
 sentences that any other place of a repeated span covers are removed. The rest of the text stays as it is, byte for byte.
 
-A hash that many documents share is summed up within tasks before it is shuffled; its places are joined with the first one (which Spark may
-split), never gathered.
+A hash that many documents share is summed up within tasks before it is shuffled. First places are written, then joined with all places, a
+join that Spark may split; nothing gathers the places of a hash, and a text meets its own cuts only, by doc_id and digest.
 
 Defined cases: a null text stays null, an empty one empty, and neither has spans; texts of fewer sentences or words than a span have none;
 a text all of whose sentences are removed becomes empty; equal rows (same doc_id and text) count as one document and keep or lose the same
@@ -19,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from panelmill.llm.storage import stage
 from panelmill.llm.text import LOWER, SPACE, arrow_schema, hashes, mix, owner, prefix, slices, tables, utf8, words
 
 SENTENCES, WORDS = 2, 12
@@ -69,11 +71,6 @@ def spans(count: np.ndarray, sentence: np.ndarray, bounds: np.ndarray) -> tuple[
     return text[first][inside], first[inside], reach[inside]
 
 
-def _digest(column: pa.Array) -> np.ndarray:
-    data, offsets = utf8(column)
-    return hashes(prefix(data), offsets[:-1], offsets[1:]).view(np.int64)
-
-
 def places(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, span, pos, reach): every span of every document, pos and reach counted in the text's sentences."""
 
@@ -87,11 +84,12 @@ def places(docs: DataFrame) -> DataFrame:
             key = mix(hashes(sums, rank[first], rank[reach]))
             yield from tables(
                 iter([{
-                    "doc_id": batch.column("doc_id").take(pa.array(text)), "digest": _digest(batch.column("text"))[text], "span": key.view(np.int64),
+                    "doc_id": batch.column("doc_id").take(pa.array(text)), "digest": batch.column("digest").take(pa.array(text)), "span": key.view(np.int64),
                     "pos": first - bounds[text], "reach": reach - bounds[text],
                 }]), arrow_schema(PLACES))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PLACES)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest")).mapInArrow(run, PLACES)
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -100,6 +98,7 @@ def removed(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "digest", "pos")
     # The end of the ordering, too: a span whose first and last place are equal occurs once.
     first = found.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("span", "first")
+    first = stage(first, "first-places")  # a join of two shuffles, of which Spark can split the places of a common span
     again = found.join(first, "span").where(place != F.col("first"))
     return again.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("pos", "reach")).alias("cut"))
 
@@ -107,30 +106,27 @@ def removed(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` with all columns, text without its repeated passages, plus n_sentences and n_removed in a struct ``spans_found``."""
     schema = docs.schema
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("of"))
     cuts = removed(docs).select(F.col("doc_id").alias("cut_id"), "digest", "cut")
-    by_id = cuts.groupBy("cut_id").agg(F.collect_list(F.struct("digest", "cut")).alias("cuts"))
-    joined = packed.join(by_id, F.col("id").eqNullSafe(F.col("cut_id")), "left").select("row", "text", "cuts")
+    joined = packed.join(cuts, (F.col("of") == F.col("digest")) & F.col("id").eqNullSafe(F.col("cut_id")), "left").select("row", "text", "cut")
     out = StructType([StructField("row", schema), StructField("kept", StringType()), StructField("n_sentences", LongType()), StructField("gone", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets, start, bounds, _, _ = split(batch.column("text"))
-            digest = _digest(batch.column("text"))
             stop = np.zeros(len(start) + 1, np.int64)
-            lists = batch.column("cuts")
-            for k in np.flatnonzero(np.asarray(lists.is_valid())).tolist():
-                for entry in lists[k].as_py():
-                    if entry["digest"] == digest[k]:
-                        for cut in entry["cut"]:
-                            stop[bounds[k] + cut["pos"]] += 1
-                            stop[bounds[k] + cut["reach"]] -= 1
+            lists = batch.column("cut")
+            cut = lists.flatten()
+            owners = np.repeat(bounds[:-1], np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+            np.add.at(stop, owners + np.asarray(cut.field("pos")), 1)
+            np.add.at(stop, owners + np.asarray(cut.field("reach")), -1)
             gone = np.cumsum(stop[:-1]) > 0
             ends = np.append(start[1:], len(data)) if len(start) else start
             stay = np.repeat(~gone, ends - start)
             size = np.concatenate(([0], np.cumsum(stay)))[offsets].astype(np.int32)
             text = pa.Array.from_buffers(pa.string(), batch.num_rows, [None, pa.py_buffer(size), pa.py_buffer(data[stay].tobytes())])
-            text = pa.compute.if_else(batch.column("text").is_valid(), text, pa.scalar(None, pa.string()))
+            text = pc.if_else(batch.column("text").is_valid(), text, pa.scalar(None, pa.string()))
             at = np.flatnonzero(gone)
             edge = np.searchsorted(at, bounds).astype(np.int32)
             numbers = pa.ListArray.from_arrays(edge, (at - bounds[:-1][owner(bounds)][at]).astype(np.int32))
