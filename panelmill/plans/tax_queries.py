@@ -302,7 +302,18 @@ def t15(t):
     return rounded(out, ["account", "year"], ["net_st", "net_lt", "tax"], 2)
 
 
-@query("t16_loss_vintages")
+@query("t16_loss_vintages", f"""
+WITH RECURSIVE cells AS (SELECT account, year, bucket, gain, row_number() OVER (PARTITION BY account ORDER BY year, gain > 0, bucket) AS i FROM (
+    SELECT account, year, unnest(['st_gain', 'lt_gain']) AS bucket, unnest([s, l]) AS gain FROM yearly) WHERE abs(gain) > 1e-12),
+walk AS (SELECT account, 0::BIGINT AS i, 0::BIGINT AS year, '' AS bucket, 0::DOUBLE AS gain, 0::DOUBLE AS used, []::STRUCT(o BIGINT, b VARCHAR, x DOUBLE)[] AS v FROM (SELECT DISTINCT account FROM cells)
+  UNION ALL SELECT account, i, year, bucket, gain, coalesce(list_sum(takes), 0)::DOUBLE,
+    CASE WHEN gain < 0 THEN list_append(v, {{'o': year, 'b': bucket, 'x': -gain}}) ELSE list_filter(list_transform(v, lambda s, k: {{'o': s.o, 'b': s.b, 'x': s.x - takes[k]}}), lambda s: s.x > 1e-12) END
+  FROM (SELECT *, list_transform(open, lambda x, k: least(x, greatest(gain - coalesce(list_sum(open[1:k - 1]), 0), 0))) AS takes FROM (
+    SELECT *, CASE WHEN gain < 0 THEN [] ELSE list_transform(v, lambda s: CASE WHEN s.b = 'st_gain' OR bucket = 'lt_gain' THEN s.x ELSE 0 END) END AS open FROM (
+      SELECT c.account, c.i, c.year::BIGINT AS year, c.bucket, c.gain::DOUBLE AS gain, list_filter(w.v, lambda s: c.gain < 0 OR c.year - s.o <= 4) AS v
+      FROM walk w JOIN cells c ON c.account = w.account AND c.i = w.i + 1))))
+SELECT account, year::INTEGER AS year, bucket, {R('gain', 2)} AS gain, {R('used', 2)} AS offset_used, {R('gain - used', 2)} AS taxable, {R('coalesce(list_sum(list_transform(v, lambda s: s.x)), 0)', 2)} AS carried
+FROM walk WHERE gain > 0""")
 def t16(t):
     rows = yearly(t).unpivot(["account", "year"], ["st_gain", "lt_gain"], "bucket", "gain")
     out = tx.loss_vintages(rows, by=["account"], life=4, ring={"st_gain": {"st_gain", "lt_gain"}, "lt_gain": {"lt_gain"}})
