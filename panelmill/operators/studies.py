@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelmill.functions import avg_rank, ratio, spearman
 from panelmill.operators import book as bk
@@ -269,15 +272,36 @@ def hc1_slope(df: DataFrame, *, by: Sequence[str], y: str, x: str, extra: str |
     return meat.filter(F.col("n") >= min_n).select(*by, "n", "slope", se.alias("se"), ratio("slope", se).alias("t"))
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _on_times(gram: pd.Series) -> pd.Series:
+    """Coefficients of the last three columns on all before them; columns without weight of their own get none."""
+    out = []
+    for g in gram:
+        a = np.array([np.asarray(r, float) for r in g])
+        out.append([*(np.linalg.pinv(a[:-3, :-3], rcond=1e-10, hermitian=True) @ a[:-3, -3:]).T])
+    return pd.Series(out)
+
+
 def did_twfe(df: DataFrame, *, by: Sequence[str], unit: str, time: str, y: str, x: str, post: str) -> DataFrame:
-    """Effect of post x (x - mean x) with unit and time effects, errors clustered by time and by unit (balanced panel)."""
-    by = list(by)
-    g = Window.partitionBy(*by)
-    xc = F.col(x) - F.avg(x).over(g)
-    rows = df.select(*by, unit, time, F.col(y).alias("__y"), xc.alias("__x2"), F.col(post).cast("double").alias("__p"))
-    rows = rows.withColumn("__x1", F.col("__p") * F.col("__x2"))
-    inner = lambda c: F.col(c) - F.avg(c).over(Window.partitionBy(*by, unit)) - F.avg(c).over(Window.partitionBy(*by, time)) + F.avg(c).over(g)
-    d = rows.select(*by, unit, time, *[inner(c).alias(c) for c in ("__y", "__x1", "__x2")])
+    """Effect of post x (x - mean x) with unit and time effects, errors clustered by time and by unit; rows with a missing number are left out.
+
+    Units may lack times. Unit effects go by means over the unit, and time effects by a regression on time dummies of which the unit means are
+    taken too: that is exact on any panel, in one window and one matrix per group, as there are only as many dummies as the calendar has times.
+    """
+    by, names = list(by), ["__y", "__x1", "__x2"]
+    full = df.select(*by, unit, time, F.col(y).cast("double").alias("__y"), F.col(x).cast("double").alias("__x"), F.col(post).cast("double").alias("__p")).dropna(subset=["__y", "__x", "__p", time])
+    mean = full.groupBy(*by).agg(F.avg("__x").alias("__mx"))
+    rows = full.join(mean, by).withColumn("__x2", F.col("__x") - F.col("__mx")).withColumn("__x1", F.col("__p") * F.col("__x2"))
+    times = [r[0] for r in full.select(time).distinct().orderBy(time).collect()]  # times of the calendar
+    within = Window.partitionBy(*by, unit)
+    inner = lambda v: v - F.avg(v).over(within)
+    dummies = F.array(*[inner((F.col(time) == F.lit(t)).cast("double")) for t in times[1:]]).cast("array<double>")
+    d = rows.select(*by, unit, time, *[inner(F.col(c)).alias(c) for c in names], dummies.alias("__d"))
+    if len(times) > 1:
+        gram = linear.matrices(linear.gram_blocks(d, by=by, cols=names, vector=("__d", len(times) - 1)), by)
+        d = d.join(gram.select(*by, _on_times("gram").alias("__c")), by)
+        fitted = lambda i: F.aggregate(F.zip_with("__d", F.element_at("__c", i), lambda u, c: u * c), F.lit(0.0), lambda s, v: s + v)
+        d = d.select(*by, unit, time, *[(F.col(c) - fitted(i)).alias(c) for i, c in enumerate(names, 1)])
     s = lambda a, b: F.sum(F.col(a) * F.col(b))
     m = d.groupBy(*by).agg(
         s("__x1", "__x1").alias("a11"), s("__x1", "__x2").alias("a12"), s("__x2", "__x2").alias("a22"), s("__x1", "__y").alias("b1"), s("__x2", "__y").alias("b2"),

@@ -516,3 +516,30 @@ def x32(t):
     rows = design_cells(t).withColumn("post", F.col("y") >= 1999)
     out = st.did_twfe(rows, by=["country"], unit="cell", time="y", y="tax", x="turnover", post="post")
     return rounded(out, ["country", "n", "units", "times"], ["beta", "se_time", "se_unit"], 5)
+
+
+def _passes(source: str, n: int) -> str:
+    """CTEs p0 … pn: columns v, x1, x2 of ``source`` less their means by cell and by year, over and over."""
+    less = lambda c, key: f"{c} - avg({c}) OVER (PARTITION BY country, {key}) AS {c}"
+    step = lambda key, of: f"SELECT country, cell, y, {', '.join(less(c, key) for c in ('v', 'x1', 'x2'))} FROM {of}"
+    steps = [f"p0 AS (SELECT country, cell, y, v, x1, x2 FROM {source})"]
+    return ",\n".join(steps + [f"p{i} AS ({step('y', '(' + step('cell', f'p{i - 1}') + ')')})" for i in range(1, n + 1)])
+
+
+@query("x32_unbalanced_panel", f"""
+WITH thick AS (SELECT * FROM design_cells QUALIFY n >= 0.95 * avg(n) OVER (PARTITION BY country, y)),
+a AS (SELECT *, CASE WHEN y >= 1999 THEN 1.0 ELSE 0.0 END::DOUBLE * x2 AS x1 FROM (SELECT country, cell, y, tax AS v, turnover - avg(turnover) OVER (PARTITION BY country) AS x2 FROM thick)),
+{_passes('a', 25)},
+m AS (SELECT *, a11 * a22 - a12 * a12 AS det, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS beta, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS gam FROM (
+  SELECT country, sum(x1 * x1) AS a11, sum(x1 * x2) AS a12, sum(x2 * x2) AS a22, sum(x1 * v) AS b1, sum(x2 * v) AS b2, count(*) AS n, count(DISTINCT cell) AS units, count(DISTINCT y) AS times FROM p25 GROUP BY 1)),
+e AS (SELECT d.*, v - beta * x1 - gam * x2 AS e, a22, a12, det FROM p25 d JOIN m ON d.country = m.country),
+vt AS (SELECT country, sum(pow((a22 * s1 - a12 * s2) / det, 2)) AS v FROM (SELECT country, y, a22, a12, det, sum(x1 * e) AS s1, sum(x2 * e) AS s2 FROM e GROUP BY ALL) GROUP BY 1),
+vu AS (SELECT country, sum(pow((a22 * s1 - a12 * s2) / det, 2)) AS v FROM (SELECT country, cell, a22, a12, det, sum(x1 * e) AS s1, sum(x2 * e) AS s2 FROM e GROUP BY ALL) GROUP BY 1)
+SELECT m.country, n, units, times, {R('beta', 5)} AS beta, {R('sqrt(vt.v * times / (times - 1) * (n - 1) / (n - (1 + units + times)))', 5)} AS se_time, {R('sqrt(vu.v * units / (units - 1) * (n - 1) / (n - (1 + units + times)))', 5)} AS se_unit
+FROM m JOIN vt ON m.country = vt.country JOIN vu ON m.country = vu.country""")
+def x32_unbalanced(t):
+    """Cells with few line items in a year, against the others of that year, are left out of it: a panel with gaps."""
+    usual = design_cells(t).groupBy("country", "y").agg(F.avg("n").alias("usual"))
+    rows = design_cells(t).join(usual, ["country", "y"]).filter("n >= 0.95 * usual").withColumn("post", F.col("y") >= 1999)
+    out = st.did_twfe(rows, by=["country"], unit="cell", time="y", y="tax", x="turnover", post="post")
+    return rounded(out, ["country", "n", "units", "times"], ["beta", "se_time", "se_unit"], 5)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from panelmill.functions import rnd
+from panelmill.operators import daily
 from panelmill.plans.registry import R, query, shared, view
 from panelmill.sources import io
 
@@ -154,6 +155,37 @@ def s11(t):
     return t.spark.read.parquet(path).groupBy("y").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("me"), 1).alias("me"))
 
 
+@query("s11_incremental_features", f"""
+SELECT sec_id, d, year(d)::INTEGER AS y, obs_21, ret_obs_21, {R('sigma_21')} AS sigma_21, {R('adv_21', 3)} AS adv_21, max_gap_21 FROM rolled""")
+def s11_features(t):
+    """21-row features of some years, then of the years still missing: together those of all rows in one go.
+
+    A security trades every fourth day here, so 21 rows before a year need more than the usual 62 days.
+    """
+    def features(px):
+        kept = daily.daily_returns(px, keys=["sec_id", "y"], date="d", currency="cur", price="cl", high="hi", low="lo")
+        return daily.rolling_features(
+            kept, keys=["sec_id", "y"], date="d", counts={"obs_21": None, "ret_obs_21": "ret"}, sds={"sigma_21": "ret"}, means={"adv_21": "notional"}, maxes={"max_gap_21": "gap_days"}
+        ).select("sec_id", "d", "y", "obs_21", "ret_obs_21", "sigma_21", "adv_21", "max_gap_21")
+
+    path = fresh(t, "feature-years")
+    px = t.daily_px.select("sec_id", "d", "cur", "cl", "hi", "lo", "notional")
+    years = t.stage("years", t.table("lineitem").select(F.year("l_shipdate").alias("y")).distinct())
+    for asked in (years.filter("y % 2 = 0"), years):
+        io.extract_years(px, features, asked, path, date="d", year="y", look_back=240)
+    out = t.spark.read.parquet(path)
+    return out.select("sec_id", "d", "y", "obs_21", "ret_obs_21", rnd("sigma_21").alias("sigma_21"), rnd("adv_21", 3).alias("adv_21"), "max_gap_21")
+
+
+@query("s6_checked_join", f"""
+SELECT p.sec_id, p.m, p.n_days, {R('p.me', 1)} AS me, {R('c.sigma_d')} AS sigma_d, {R('c.adv_usd', 2)} AS adv_usd
+FROM monthly_px p LEFT JOIN cost_inputs c ON p.sec_id = c.sec_id AND p.m = c.m""")
+def s6_checked(t):
+    """Month totals with their cost inputs, where a security-month that repeats on either side ends the query."""
+    out = io.checked_join(t.monthly_px.select("sec_id", "m", "n_days", "me"), t.cost_inputs.select("sec_id", "m", "sigma_d", "adv_usd"), ["sec_id", "m"])
+    return out.select("sec_id", "m", "n_days", rnd("me", 1).alias("me"), rnd("sigma_d").alias("sigma_d"), rnd("adv_usd", 2).alias("adv_usd"))
+
+
 @query("s12_manifest_verify")
 def s12(t):
     """Digests of the table files against a manifest that lacks one file and holds one stale digest."""

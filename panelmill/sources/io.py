@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,8 +142,57 @@ def missing_partitions(spark: SparkSession, requested: DataFrame, cached: str, *
 
 
 def write_partitions(df: DataFrame, path: str, column: str) -> None:
-    """Write only the partitions present in ``df``."""
-    df.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    """Write only the partitions present in ``df``. Rows are rebalanced by ``column``: small values share a task, a large one is split over several."""
+    df.hint("rebalance", F.col(column)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def extract_years(
+    source: DataFrame, features: Callable[[DataFrame], DataFrame], requested: DataFrame, path: str, *, date: str, year: str = "year", look_back: int = 62,
+) -> list[int]:
+    """Add the requested years that ``path`` lacks, each from its own rows and those of the ``look_back`` days before it; returns these years.
+
+    ``features`` gets the rows with the year they are read for in column ``year``, keeps years apart (``year`` is one of its window keys) and
+    returns ``date`` and ``year``; a year's look-back rows feed its windows and are not written. All missing years are read in one pass, a row
+    being sent at most once for its own year and once for each later year within reach of it. Windows over rows, not days, equal those over all rows as long as the look-back
+    holds as many rows of each key as a window looks back on. An interrupted run leaves whole years or none, as years are overwritten one by one.
+    """
+    tagged = source.withColumn(year, F.year(date))
+    todo = [r[0] for r in missing_partitions(source.sparkSession, requested.select(year).distinct(), path, column=year, schema=features(tagged).schema).collect()]  # years
+    if not todo:
+        return []
+    begin = lambda y: F.make_date(F.lit(y), F.lit(1), F.lit(1))
+    reads = [(F.col(date) >= F.date_sub(begin(y), look_back)) & (F.col(date) < begin(y + 1)) for y in sorted(todo)]
+    wanted = reduce(lambda a, b: a | b, reads)  # constant ranges, which reach the scan of the source
+    targets = F.filter(F.array(*[F.when(r, F.lit(y)) for r, y in zip(reads, sorted(todo))]), lambda y: y.isNotNull())
+    out = features(source.filter(wanted).withColumn(year, F.explode(targets)))
+    write_partitions(out.filter(F.year(date) == F.col(year)), path, year)
+    return sorted(todo)
+
+
+def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, how: str = "left", expect: str = "one_to_one") -> DataFrame:
+    """Inner or left join that fails while it runs where a key repeats: on the right (``many_to_one``) or on either side (``one_to_one``).
+
+    A side is guarded by a grouping on the join keys, whose shuffle the join uses too. Rows with a null key match nothing and may repeat.
+    """
+    if how not in ("inner", "left") or expect not in ("one_to_one", "many_to_one"):
+        raise ValueError(f"no check of a {how} join that is {expect}")
+    on = list(on)
+    clash = sorted(set(left.columns) & set(right.columns) - set(on))
+    if clash:
+        raise ValueError(f"columns of both sides: {', '.join(clash)}")
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
+
+    def unique(df: DataFrame, side: str) -> DataFrame:
+        rest = F.struct(F.lit(1).alias("__"), *[c for c in df.columns if c not in on])
+        many = F.raise_error(F.concat(F.lit(f"{side} side repeats the key "), F.concat_ws(", ", *[F.col(k).cast("string") for k in on])))
+        rows = df.filter(whole).groupBy(*on).agg(F.any_value(rest).alias("__r"), F.count(F.lit(1)).alias("__n"))
+        rows = rows.withColumn("__r", F.when(F.col("__n") > 1, many.cast(rows.schema["__r"].dataType)).otherwise(F.col("__r")))
+        return rows.select(*[c if c in on else F.col(f"__r.{c}").alias(c) for c in df.columns])
+
+    if expect == "many_to_one":
+        return left.join(unique(right, "right"), on, how)
+    out = unique(left, "left").join(unique(right, "right"), on, how)
+    return out if how == "inner" else out.unionByName(left.filter(~whole), allowMissingColumns=True)
 
 
 def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
