@@ -46,8 +46,8 @@ def u1(t):
 
 @query("u1_drift_stream", DRIFT_SQL)
 def u1_stream(t):
-    out = sf.drain(sf.drift_stream(sf.replay(t.spark, user_days(t), "d"), **DRIFT))
-    return rounded(out, ["event_type", "d", "direction"], ["statistic"])
+    out = sf.replay(user_days(t), lambda rows: sf.drift_stream(rows, **DRIFT), at="d")
+    return rounded(out.rows, ["event_type", "d", "direction"], ["statistic"])
 
 
 @query("u2_interval_scale_stream")
@@ -55,8 +55,8 @@ def u2(t):
     x = F.abs(F.col("y") - F.col("score")) / F.col("half_width")
     rows = predictions(t).join(widths(t).select("model", "m", "half_width"), ["model", "m"]).filter("y IS NOT NULL")
     monthly = t.stage("ratios", rows.groupBy("model", "m").agg(F.collect_list(x).alias("ratios")))  # one month of names, the stream's event
-    out = sf.drain(sf.interval_scale_stream(sf.replay(t.spark, monthly, "m"), by=["model"], order="m", ratios="ratios"))
-    return rounded(out, ["model", "m"], ["scale", "coverage"])
+    out = sf.replay(monthly, lambda rows: sf.interval_scale_stream(rows, by=["model"], order="m", ratios="ratios"), at="m")
+    return rounded(out.rows, ["model", "m"], ["scale", "coverage"])
 
 
 @shared
@@ -123,8 +123,8 @@ def u7(t):
 def u8(t):
     # positions bundled by account modulus stay whole: the key is the position itself
     tr = t.stage("targets", targets(t))
-    out = sf.drain(sf.lots_stream(sf.replay(t.spark, tr, "d", parts=2), by=["account", "security"], date="d", target="target", growth="growth", method="fifo"))
-    return rounded(out, ["account", "security", "sold", "opened", "long_term"], ["gain"], 2)
+    out = sf.replay(tr, lambda rows: sf.lots_stream(rows, by=["account", "security"], date="d", target="target", growth="growth", method="fifo"), at="d", parts=2)
+    return rounded(out.rows, ["account", "security", "sold", "opened", "long_term"], ["gain"], 2)
 
 
 WINDOW_SQL = f"""
@@ -147,16 +147,16 @@ def u9(t):
 @query("u9_window_features_stream", _W)
 def u9_stream(t):
     e = t.table("events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
-    # append mode emits a window once the watermark has passed it, so a far-future marker closes the last ones
-    close = e.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit("~end").alias("event_type"), "ts", F.lit(0.0).alias("value"))
-    closer = close.withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 DAYS"))
-    stream = sf.replay(t.spark, e.unionByName(close).unionByName(closer), "ts", parts=6)
-    done = sf.drain(sf.window_features(stream, by=["event_type"], ts="ts", value="value", size="1 day", late="1 day"))
-    return finished(done.filter("event_type <> '~end'"))
+    out = sf.replay(e, lambda rows: sf.window_features(rows, by=["event_type"], ts="ts", value="value", size="1 day", late="1 day"), at="ts", parts=6)
+    return finished(out.rows)
 
 
-@query("u9_activity_sessions")
+@query("u9_activity_sessions", f"""
+WITH e AS (SELECT user_id, ts::TIMESTAMP AS ts, value, coalesce(ts::TIMESTAMP > lag(ts::TIMESTAMP) OVER w + INTERVAL 6 HOUR, true) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n, {R('sum(value)')} AS total FROM s GROUP BY user_id, i""")
 def u9_sessions(t):
     e = t.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = sf.sessions(e, by=["user_id"], ts="ts", value="value", gap="6 hours")
-    return out.withColumn("total", rnd("total"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("user_id", shown("session_start"), shown("session_end"), "n", rnd("total").alias("total"))

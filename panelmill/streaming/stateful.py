@@ -1,14 +1,16 @@
-"""Stateful streams with batch twins. State per key is bounded: a few numbers, or open lots and a wash window."""
+"""Stateful streams with batch twins. Rows of a key are taken in event order whatever order they arrive in; state per key is bounded: a few numbers,
+or open lots, and the rows that the watermark has not passed yet."""
 
 from __future__ import annotations
 
-import os
 import pickle
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from typing import Any, NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,58 +20,76 @@ from panelmill.operators.tax import Position
 from panelmill.sources.io import scratch_dir
 
 
-def drift_stream(df: DataFrame, *, by: Sequence[str], order: str, value: str, delta: float = 0.002, threshold: float = 0.05, burn_in: int = 24) -> DataFrame:
-    """Change points as rows arrive. Rows of a key must arrive in order across triggers; inside one they are sorted."""
-    by = list(by)
+def in_event_order(
+    df: DataFrame, fold: Callable[[Any, list[tuple]], tuple[Any, list[tuple]]], start: Callable[[], Any], *, by: Sequence[str], at: str, values: Sequence[str], late: str, out: str,
+) -> DataFrame:
+    """Give the rows of each key to ``fold`` in the order of ``at``: fold(state, [(at, *values), …]) -> (state, output rows without the key).
+
+    A row waits in the key's state until the watermark, ``late`` behind the latest event of any key, has passed it; an event-time timer gives out
+    the rows of keys to which nothing more comes. Rows behind the watermark are late: Spark leaves them out and counts them (``Replay.late_rows``).
+    Rows with a null among ``values`` only move the watermark. Rows of one key and time keep their order of arrival. Events are after 1970.
+    """
+    by, values = list(by), list(values)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        series = pd.concat(batches).dropna(subset=[value]).sort_values(order)
-        alarms, known = page_hinkley(series[value].to_numpy(float), delta, threshold, burn_in, state.get if state.exists else UNSEEN)
-        state.update(known)
-        yield pd.DataFrame([(*key, series[order].iloc[k], *what) for k, *what in alarms], columns=[*by, order, "direction", "statistic"])
-
-    return df.select(*by, order, value).groupBy(*by).applyInPandasWithState(
-        step, f"{_typed(df, [*by, order])}, direction string, statistic double",
-        "n double, total double, fall double, fall_low double, rise double, rise_low double", "append", GroupStateTimeout.NoTimeout,
+        known, waiting = pickle.loads(state.get[0]) if state.exists else (start(), [])
+        for rows in batches:
+            waiting += [row for full, *row in zip(*(rows[c] for c in ("__full", "__ms", at, *values))) if full]
+        waiting.sort(key=lambda r: r[0])
+        passed = state.getCurrentWatermarkMs()
+        ready = sum(r[0] <= passed for r in waiting)
+        known, found = fold(known, [tuple(r[1:]) for r in waiting[:ready]])
+        waiting = waiting[ready:]
+        state.update((pickle.dumps((known, waiting)),))
+        if waiting:
+            state.setTimeoutTimestamp(int(waiting[0][0]))
+        if found:
+            yield pd.DataFrame([(*key, *r) for r in found], columns=[*by, *(c.split()[0] for c in out.split(", "))])
+
+    rows = df.filter(F.col(at).isNotNull()).select(*by, at, *values, F.col(at).cast("timestamp").alias("__at")).withWatermark("__at", late)
+    full = reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in values])
+    return rows.withColumn("__ms", F.unix_millis("__at")).withColumn("__full", full).groupBy(*by).applyInPandasWithState(
+        step, f"{_typed(df, by)}, {out}", "s binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def interval_scale_stream(df: DataFrame, *, by: Sequence[str], order: str, ratios: str, alpha: float = 0.1, rate: float = 0.05) -> DataFrame:
+def drift_stream(
+    df: DataFrame, *, by: Sequence[str], order: str, value: str, delta: float = 0.002, threshold: float = 0.05, burn_in: int = 24, late: str = "1 day",
+) -> DataFrame:
+    """Change points of every series as its rows pass the watermark."""
+
+    def fold(past: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        alarms, past = page_hinkley(pd.Series([x for _, x in rows], dtype=float).to_numpy(), delta, threshold, burn_in, past)
+        return past, [(rows[k][0], *what) for k, *what in alarms]
+
+    return in_event_order(df, fold, lambda: UNSEEN, by=by, at=order, values=[value], late=late, out=f"{_typed(df, [order])}, direction string, statistic double")
+
+
+def interval_scale_stream(df: DataFrame, *, by: Sequence[str], order: str, ratios: str, alpha: float = 0.1, rate: float = 0.05, late: str = "1 day") -> DataFrame:
     """Interval scale fed back by coverage. One row per key and month carries that month's relative residuals."""
-    by = list(by)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        scale, rows = (state.get[0] if state.exists else 1.0), []
-        for when, xs in pd.concat(batches).sort_values(order)[[order, ratios]].itertuples(index=False):
+    def fold(scale: float, rows: list[tuple]) -> tuple[float, list[tuple]]:
+        done = []
+        for when, xs in rows:
             used, cov, scale = scale_path(pd.Series(xs, dtype=float).to_numpy(), scale, alpha, rate)
-            rows.append((*key, when, used, cov))
-        state.update((scale,))
-        yield pd.DataFrame(rows, columns=[*by, order, "scale", "coverage"])
+            done.append((when, used, cov))
+        return scale, done
 
-    return df.select(*by, order, ratios).groupBy(*by).applyInPandasWithState(
-        step, f"{_typed(df, [*by, order])}, scale double, coverage double", "scale double", "append", GroupStateTimeout.NoTimeout
-    )
+    return in_event_order(df, fold, lambda: 1.0, by=by, at=order, values=[ratios], late=late, out=f"{_typed(df, [order])}, scale double, coverage double")
 
 
-def lots_stream(df: DataFrame, *, by: Sequence[str], date: str, target: str, growth: str, method: str, late_days: int = 0) -> DataFrame:
-    """Realised gains of positions moving to dollar targets; trades older than the last one of their key by ``late_days`` are dropped."""
-    by = list(by)
+def lots_stream(df: DataFrame, *, by: Sequence[str], date: str, target: str, growth: str, method: str, late: str = "1 day") -> DataFrame:
+    """Realised gains of positions moving to dollar targets, as their trades pass the watermark."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        book, last = pickle.loads(state.get[0]) if state.exists else (Position(method, 12), None)
-        rows = []
-        for d, tgt, r in pd.concat(batches).sort_values(date)[[date, target, growth]].itertuples(index=False):
-            if last is not None and (last - d).days > late_days:
-                continue
+    def fold(book: Position, rows: list[tuple]) -> tuple[Position, list[tuple]]:
+        sold = []
+        for d, to, r in rows:
             book.grow(float(r))
-            rows += [(*key, d, o, g, lt) for o, g, lt, _ in book.move(d, float(tgt))]
-            last = d if last is None else max(last, d)
-        state.update((pickle.dumps((book, last)),))
-        yield pd.DataFrame(rows, columns=[*by, "sold", "opened", "gain", "long_term"])
+            sold += [(d, opened, gain, long_term) for opened, gain, long_term, _ in book.move(d, float(to))]
+        return book, sold
 
-    return df.select(*by, date, target, growth).groupBy(*by).applyInPandasWithState(
-        step, f"{_typed(df, by)}, sold date, opened date, gain double, long_term boolean", "s binary", "append", GroupStateTimeout.NoTimeout
-    )
+    out = "sold date, opened date, gain double, long_term boolean"
+    return in_event_order(df, fold, lambda: Position(method, 12), by=by, at=date, values=[target, growth], late=late, out=out)
 
 
 def window_features(df: DataFrame, *, by: Sequence[str], ts: str, value: str, size: str, slide: str | None = None, late: str | None = None) -> DataFrame:
@@ -87,22 +107,33 @@ def sessions(df: DataFrame, *, by: Sequence[str], ts: str, value: str, gap: str)
     return g.select(*by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "total")
 
 
-def replay(spark: SparkSession, df: DataFrame, order: str, parts: int = 3) -> DataFrame:
-    """Write a table as time-ordered files and open it as a stream that reads one file per trigger."""
-    path = os.path.join(scratch_dir(spark), f"replay-{uuid.uuid4().hex}")
-    lo_hi = df.agg(F.min(order).alias("a"), F.max(order).alias("z"))
-    num = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")).cast("double")
-    cut = F.least(F.floor((num(order) - num("a")) / F.greatest(num("z") - num("a"), F.lit(1.0)) * parts), F.lit(parts - 1))
-    tagged = df.join(F.broadcast(lo_hi), F.lit(True)).withColumn("__p", cut.cast("int")).drop("a", "z")  # one-row side
-    for i in range(parts):  # the file source reads the oldest file first
-        tagged.filter(F.col("__p") == i).drop("__p").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available and return what it wrote."""
-    spark = stream.sparkSession
-    base = os.path.join(scratch_dir(spark), f"stream-{uuid.uuid4().hex}")
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+class Replay(NamedTuple):
+    rows: DataFrame
+    late_rows: int
+
+
+def replay(df: DataFrame, build: Callable[[DataFrame], DataFrame], *, at: str, arrives: str | None = None, parts: int = 3, late: str = "1 day") -> Replay:
+    """What the stream that ``build`` makes of ``df`` puts out when the rows arrive in ``parts`` slices of ``arrives`` (default: of event time ``at``).
+
+    A slice is written by as many tasks as Spark likes; then the query takes up from its checkpoint what is new, and stops. With the last slice
+    comes a row of nulls far beyond the last event, so that the watermark passes all others. Also returned: how many rows came too late.
+    """
+    spark, arrives = df.sparkSession, arrives or at
+    base = f"{scratch_dir(spark)}/replay-{uuid.uuid4().hex}"
+    number = lambda c: F.unix_micros(c.cast("timestamp"))
+    lo, hi, last = df.agg(F.min(number(F.col(arrives))), F.max(number(F.col(arrives))), F.max(F.col(at).cast("timestamp"))).first()  # one row
+    if last is None:
+        return Replay(build(df).limit(0), 0)
+    share = (number(F.col(arrives)) - lo) / float(max(hi - lo, 1)) * parts
+    part: Column = F.coalesce(F.least(F.floor(share), F.lit(parts - 1)), F.lit(parts - 1))
+    beyond = (F.lit(last) + F.expr(f"INTERVAL '{late}'") + F.expr("INTERVAL 2 DAYS")).cast(df.schema[at].dataType)
+    beat = spark.range(1).select(*[(beyond if c.name == at else F.lit(None).cast(c.dataType)).alias(c.name) for c in df.schema])
+    dropped = 0
+    for i in range(parts):
+        rows = df.filter(part == i)
+        (rows if i < parts - 1 else rows.unionByName(beat)).write.mode("append").parquet(f"{base}/in")
+        stream = build(spark.readStream.schema(df.schema).parquet(f"{base}/in"))
+        run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+        run.awaitTermination()
+        dropped += sum(op.numRowsDroppedByWatermark for p in run.recentProgress for op in p.stateOperators)
+    return Replay(spark.read.schema(stream.schema).parquet(f"{base}/out"), dropped)

@@ -117,8 +117,8 @@ def test_drift_stream_equals_batch(spark):
     df = spark.createDataFrame(rows, "k string, d date, x double")
     kw = dict(by=["k"], order="d", value="x", delta=0.002, threshold=0.15)
     batch = sorted(map(str, ad.drift(df, **kw).collect()))
-    stream = sorted(map(str, sf.drain(sf.drift_stream(sf.replay(spark, df, "d"), **kw)).collect()))
-    assert batch and batch == stream
+    got = sf.replay(df, lambda rows: sf.drift_stream(rows, **kw), at="d")
+    assert batch and batch == sorted(map(str, got.rows.collect())) and got.late_rows == 0
 
 
 def test_lots_stream_equals_batch(spark):
@@ -129,10 +129,27 @@ def test_lots_stream_equals_batch(spark):
     df = spark.createDataFrame(rows, "account int, d date, target double, growth double")
     cols = ["account", "sold", "opened", "gain", "long_term"]
     batch = lot_gains(df, by=["account"], method="fifo").select(*cols)
-    stream = sf.drain(sf.lots_stream(sf.replay(spark, df, "d"), by=["account"], date="d", target="target", growth="growth", method="fifo")).select(*cols)
+    stream = sf.replay(df, lambda rows: sf.lots_stream(rows, by=["account"], date="d", target="target", growth="growth", method="fifo"), at="d").rows.select(*cols)
     assert sorted(map(str, batch.collect())) == sorted(map(str, stream.collect()))
 
 
+def test_streams_take_rows_in_event_order(spark):
+    """Rows up to 30 days out of order give what the batch gives; rows that come later still are left out and counted."""
+    rng = np.random.default_rng(10)
+    day = lambda i: D(2000, 1, 1) + dt.timedelta(days=int(i))
+    rows = [(k, day(i), float(rng.normal(0.0 if i < 60 else 0.1 * (k == "a"), 0.02)), day(i + rng.integers(0, 30))) for k in ("a", "b") for i in range(120)]
+    schema = "k string, d date, x double, seen date"
+    kw = dict(by=["k"], order="d", value="x", delta=0.002, threshold=0.15)
+    stream = lambda r: sf.drift_stream(r, late="30 days", **kw)
+    df = spark.createDataFrame(rows, schema)
+    want = sorted(map(str, ad.drift(df, **kw).collect()))
+    got = sf.replay(df, stream, at="d", arrives="seen", parts=4, late="30 days")
+    assert want and sorted(map(str, got.rows.collect())) == want and got.late_rows == 0
+    behind = [("a", day(1), 9.0, day(148)), ("b", day(2), -9.0, day(148)), ("b", None, 1.0, day(148))]
+    late = sf.replay(spark.createDataFrame(rows + behind, schema), stream, at="d", arrives="seen", parts=4, late="30 days")
+    assert sorted(map(str, late.rows.collect())) == want and late.late_rows == 2
+
+
 def test_expert_weights_are_causal(spark):
     rng = np.random.default_rng(9)
     df = spark.createDataFrame([("p", D(2000 + i // 12, i % 12 + 1, 28), f"e{j}", float(rng.normal(0.01 * j, 0.02))) for i in range(36) for j in range(3)], "p string, m date, e string, r double")
