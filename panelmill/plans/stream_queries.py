@@ -69,7 +69,24 @@ def hedged(t):
     return t.stage("hedged", ad.hedge(experts(t), by=["panel"], month="m", expert="cell", reward="r", share=0.02))
 
 
-@query("u3_expert_weights")
+#: Weights by the recursion, month after month, over lists of a panel's experts in order.
+view("hedged", """
+  WITH RECURSIVE axes AS (SELECT DISTINCT substring(cell, 1, 1) AS panel, m FROM cell_returns),
+  grid AS (SELECT a.panel, a.m, c.cell, coalesce(r.r, 0)::DOUBLE AS r, dense_rank() OVER (PARTITION BY a.panel ORDER BY a.m) - 1 AS i
+    FROM axes a JOIN (SELECT DISTINCT cell FROM cell_returns) c ON substring(c.cell, 1, 1) = a.panel LEFT JOIN cell_returns r ON r.cell = c.cell AND r.m = a.m),
+  past AS (SELECT a.panel, a.i, list(b.r) AS l, median(b.r) AS mid FROM (SELECT DISTINCT panel, i FROM grid) a JOIN grid b ON b.panel = a.panel AND b.i <= a.i GROUP BY 1, 2),
+  width AS (SELECT panel, i, greatest(5.9304::DOUBLE * list_median(list_transform(l, lambda x: abs(x - mid))), 1e-6::DOUBLE) AS width FROM past),
+  month AS (SELECT g.panel, g.i, any_value(g.m) AS m, list(g.cell ORDER BY g.cell) AS cells, list(g.r ORDER BY g.cell) AS r,
+      list(CASE WHEN g.i < 12 THEN 0.0::DOUBLE ELSE sqrt(8.0::DOUBLE * ln(k.n) / (g.i + 1)) * greatest(least(g.r / w.width, 1), -1) END ORDER BY g.cell) AS gain
+    FROM grid g JOIN width w ON w.panel = g.panel AND w.i = g.i JOIN (SELECT panel, count(DISTINCT cell)::DOUBLE AS n FROM grid GROUP BY 1) k ON k.panel = g.panel GROUP BY 1, 2),
+  walk AS (SELECT panel, i, list_transform(r, lambda x: 1.0::DOUBLE / len(r)) AS w FROM month WHERE i = 0
+    UNION ALL SELECT panel, i + 1, list_transform(e, lambda x: 0.98::DOUBLE * x / list_sum(e) + 0.02::DOUBLE / len(e)) FROM (
+      SELECT walk.panel, walk.i, list_transform(walk.w, lambda x, k: greatest(x, 1e-300::DOUBLE) * exp(month.gain[k])) AS e FROM walk JOIN month ON month.panel = walk.panel AND month.i = walk.i)
+    WHERE i + 1 < (SELECT count(DISTINCT m) FROM axes a WHERE a.panel = panel))
+  SELECT month.panel, month.m, unnest(month.cells) AS cell, unnest(walk.w) AS weight, unnest(month.r) AS reward FROM month JOIN walk ON walk.panel = month.panel AND walk.i = month.i""")
+
+
+@query("u3_expert_weights", f"SELECT panel, m, cell, {R('weight')} AS weight, {R('reward')} AS reward FROM hedged")
 def u3(t):
     return rounded(hedged(t), ["panel", "m", "cell"], ["weight", "reward"])
 
@@ -90,7 +107,12 @@ def u4(t):
     return rounded(ad.combine(w, s, on=["m", "member"], id="sec_id", weight="weight", score="score"), ["m", "sec_id", "members"], ["combined", "equal"])
 
 
-@query("u5_adaptation_report")
+@query("u5_adaptation_report", f"""
+WITH h AS (SELECT *, abs(weight - lag(weight) OVER (PARTITION BY panel, cell ORDER BY m)) AS dw FROM hedged),
+monthly AS (SELECT panel, m, sum(weight * reward) AS agg, avg(reward) AS eq, sum(dw) / 2 AS turn, 1 / sum(weight * weight) AS eff FROM h GROUP BY 1, 2),
+best AS (SELECT panel, max(total) AS best FROM (SELECT panel, cell, sum(reward) AS total FROM h GROUP BY 1, 2) GROUP BY 1)
+SELECT monthly.panel, count(*) AS months, {R('sum(agg)')} AS aggregate_total, {R('sum(eq)')} AS equal_total, {R('avg(turn)')} AS weight_turnover, {R('avg(eff)')} AS effective_members, {R('any_value(best)')} AS best_total,
+       {R('any_value(best) - sum(agg)')} AS regret FROM monthly JOIN best ON best.panel = monthly.panel GROUP BY 1""")
 def u5(t):
     out = ad.adaptation_report(hedged(t), by=["panel"], month="m", expert="cell")
     return rounded(out, ["panel", "months"], ["aggregate_total", "equal_total", "weight_turnover", "effective_members", "best_total", "regret"])
