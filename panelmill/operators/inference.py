@@ -106,11 +106,11 @@ def expected_max(n_trials: Column, sd: Column) -> Column:
     return F.when(n <= 1, 0.0).otherwise(sd * ((1.0 - euler) * first + euler * second))
 
 
-def deflated_sharpe(tests: DataFrame, n_trials: int, *, periods: int = PERIODS) -> DataFrame:
+def deflated_sharpe(tests: DataFrame, n_trials: int | Column, *, periods: int = PERIODS) -> DataFrame:
     """Probability that a Sharpe ratio beats the best of ``n_trials`` skill-less attempts. Input: rows of ``sharpe_test``."""
     n = F.col("n").cast("double")
     sd = 1.0 / F.sqrt(F.greatest(n - 1.0, F.lit(1.0)))
-    rows = tests.withColumn("expected_max", expected_max(F.lit(n_trials), sd))
+    rows = tests.withColumn("expected_max", expected_max(n_trials if isinstance(n_trials, Column) else F.lit(n_trials), sd))
     s = F.col("sharpe") / float(periods) ** 0.5
     # kurt holds excess kurtosis
     denom = F.sqrt(F.greatest(1.0 - F.col("skew") * s + 0.25 * (F.col("kurt") + 2.0) * s ** 2, F.lit(1e-12)))

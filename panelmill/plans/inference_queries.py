@@ -106,7 +106,24 @@ def sharpe_rows(t):
     return inf.sharpe_test(t.cell_returns, ["cell"], "m", "r")
 
 
-@query("x3_sharpe_test")
+def normal_cdf_sql(z: str) -> str:
+    """The normal distribution function as its series of positive terms, in SQL."""
+    x = f"least(abs({z}), 12.0)::DOUBLE"
+    terms = f"list_sum(list_transform(range(400), lambda k: exp((2 * k + 1) * ln({x}) + k * ln(2.0) - (lgamma(2.0 * k + 2) - k * ln(2.0) - lgamma(k + 1.0)) - {x} * {x} / 2 - k * ln(2.0))))"
+    return f"(CASE WHEN {z} = 0 THEN 0.5::DOUBLE ELSE 0.5 + sign({z}) * least({terms} / sqrt(2 * pi()), 0.5) END)"
+
+
+def two_sided_sql(t: str) -> str:
+    return f"(2 * (1 - {normal_cdf_sql(f'abs({t})')}))"
+
+
+view("sharpe_rows", f"""
+  SELECT h.cell, h.n, mean_s AS sharpe, se_psi AS se, sqrt(greatest(1 - skew * mean_s / sqrt(12) + 0.25 * (kurt + 2) * pow(mean_s / sqrt(12), 2), 1e-12) / h.n) * sqrt(12) AS se_iid, skew, kurt, mean_s / se_psi AS t
+  FROM ({hac_sql('(' + influence_sql('cell_returns', ['cell'], {'x': 'r'}) + ')', ['cell'], 'm', {'psi': 'psi_x', 's': 'sr_x'})}) h
+  JOIN (SELECT cell, skewness(r) AS skew, kurtosis(r) AS kurt FROM cell_returns GROUP BY 1) k ON k.cell = h.cell""")
+
+
+@query("x3_sharpe_test", f"SELECT cell, n, {rsql(['sharpe', 'se', 'se_iid', 'skew', 'kurt', 't'])}, {R(two_sided_sql('t'))} AS p, abs(t) > 3 AS over_hurdle FROM sharpe_rows")
 def x3(t):
     return rounded(sharpe_rows(t), ["cell", "n", "over_hurdle"], ["sharpe", "se", "se_iid", "skew", "kurt", "t", "p"])
 
@@ -118,9 +135,20 @@ def x3_hac(t):
     return rounded(sharpe_rows(t), ["cell", "n"], ["sharpe", "se", "t"])
 
 
-@query("x4_deflated_sharpe")
+@query("x4_deflated_sharpe", f"""
+WITH RECURSIVE trials AS (SELECT count(*)::DOUBLE AS trials FROM sharpe_rows),
+aims AS (SELECT 1 AS k, 1 - 1 / trials AS aim FROM trials UNION ALL SELECT 2, 1 - 1 / (trials * exp(1)) FROM trials),
+halved AS (SELECT k, aim, 0::DOUBLE AS lo, 8::DOUBLE AS hi, 0 AS i FROM aims
+  UNION ALL SELECT k, aim, CASE WHEN under THEN (lo + hi) / 2 ELSE lo END, CASE WHEN under THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM (SELECT *, {normal_cdf_sql('((lo + hi) / 2)')} < aim AS under FROM halved WHERE i < 50)),
+best AS (SELECT (1 - 0.5772156649015329::DOUBLE) * max(CASE WHEN k = 1 THEN lo END) + 0.5772156649015329::DOUBLE * max(CASE WHEN k = 2 THEN lo END) AS best FROM halved WHERE i = 50),
+z AS (SELECT cell, n, sharpe, best / sqrt(n - 1) AS e, (sharpe / sqrt(12) - best / sqrt(n - 1)) * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe / sqrt(12) + 0.25 * (kurt + 2) * pow(sharpe / sqrt(12), 2), 1e-12)) AS z FROM sharpe_rows CROSS JOIN best)
+SELECT cell, n, {R('sharpe')} AS sharpe, {R('e * sqrt(12)')} AS expected_max, {R('p')} AS deflated_p, p > 0.95 AS survives FROM (SELECT *, {normal_cdf_sql('z')} AS p FROM z)""")
 def x4(t):
-    return rounded(inf.deflated_sharpe(sharpe_rows(t), 64), ["cell", "n", "survives"], ["sharpe", "expected_max", "deflated_p"])
+    """Every cell is a trial."""
+    rows = sharpe_rows(t)
+    trials = rows.agg(F.count(F.lit(1)).alias("trials"))
+    return rounded(inf.deflated_sharpe(rows.join(F.broadcast(trials), F.lit(True)), F.col("trials")),  # one-row side
+                    ["cell", "n", "survives"], ["sharpe", "expected_max", "deflated_p"])
 
 
 @query("x5_backtest_overfitting", f"""
@@ -184,7 +212,13 @@ def x10(t):
     return rounded(out, ["cell", "aum", "n", "n_boot"], TEST, 5)
 
 
-@query("x11_diebold_mariano")
+view("forecast_errors", """
+  SELECT country, m, pow(avg(ret_next - 0.01 * sig_mom), 2) - pow(avg(ret_next - 0.01 * sig_size), 2) AS loss_diff FROM signals WHERE ret_next IS NOT NULL AND sig_mom IS NOT NULL GROUP BY 1, 2""")
+
+
+@query("x11_diebold_mariano", f"""
+SELECT country, n, {R('mean_x')} AS mean_loss_diff, {R('mean_x / se_x')} AS t, {R(two_sided_sql('(mean_x / se_x)'))} AS p, CASE WHEN mean_x < 0 THEN 'a' ELSE 'b' END AS better
+FROM ({hac_sql('forecast_errors', ['country'], 'm', {'x': 'loss_diff'})})""")
 def x11(t):
     rows = t.signals.filter("ret_next IS NOT NULL AND sig_mom IS NOT NULL").groupBy("country", "m").agg(
         F.avg(F.col("ret_next") - 0.01 * F.col("sig_mom")).alias("ea"), F.avg(F.col("ret_next") - 0.01 * F.col("sig_size")).alias("eb")
