@@ -175,3 +175,19 @@ def test_against_sql(spark, name):
     got = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
     want = sorted(tuple(norm(r[rel.columns.index(c)]) for c in cols) for r in rel.fetchall())
     assert got and got == want
+
+
+def test_interval_scale_stream_equals_a_loop(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, D(2000 + i // 12, i % 12 + 1, 28), [float(v) for v in rng.gamma(2.0, 0.5, 30)]) for k in ("a", "b") for i in range(18)]
+    df = spark.createDataFrame(rows, "k string, m date, ratios array<double>")
+    got = sf.replay(df, lambda r: sf.interval_scale_stream(r, by=["k"], order="m", ratios="ratios"), at="m").rows
+    want = {}
+    for k in ("a", "b"):
+        scale = 1.0
+        for _, m, xs in sorted(r for r in rows if r[0] == k):
+            cover = sum(x <= scale for x in xs) / len(xs)
+            want[k, m] = (scale, cover)
+            scale = min(max(scale * np.exp(0.05 * (0.9 - cover)), 0.25), 4.0)
+    found = {(r.k, r.m): (r.scale, r.coverage) for r in got.collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
