@@ -532,13 +532,19 @@ def x31(t):
     return rounded(a.unionByName(b), ["test", "country", "n"], ["slope", "se", "t"], 5)
 
 
-def _demean(c):
-    return f"{c} - avg({c}) OVER (PARTITION BY country, cell) - avg({c}) OVER (PARTITION BY country, y) + avg({c}) OVER (PARTITION BY country) AS {c}"
+def _passes(source: str, n: int) -> str:
+    """CTEs p0 … pn: columns v, x1, x2 of ``source`` less their means by cell and by year, over and over."""
+    less = lambda c, key: f"{c} - avg({c}) OVER (PARTITION BY country, {key}) AS {c}"
+    step = lambda key, of: f"SELECT country, cell, y, {', '.join(less(c, key) for c in ('v', 'x1', 'x2'))} FROM {of}"
+    steps = [f"p0 AS (SELECT country, cell, y, v, x1, x2 FROM {source})"]
+    return ",\n".join(steps + [f"p{i} AS ({step('y', '(' + step('cell', f'p{i - 1}') + ')')})" for i in range(1, n + 1)])
 
 
 @query("x32_difference_in_differences", f"""
 WITH a AS (SELECT country, cell, y, tax AS v, turnover - avg(turnover) OVER (PARTITION BY country) AS x2, CASE WHEN y >= 1999 THEN 1.0 ELSE 0.0 END::DOUBLE AS post FROM design_cells),
-d AS (SELECT country, cell, y, {_demean('v')}, {_demean('x1')}, {_demean('x2')} FROM (SELECT *, post * x2 AS x1 FROM a)),
+b AS (SELECT *, post * x2 AS x1 FROM a),
+{_passes('b', 25)},
+d AS (SELECT * FROM p25),
 m AS (SELECT *, a11 * a22 - a12 * a12 AS det, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS beta, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS gam FROM (
   SELECT country, sum(x1 * x1) AS a11, sum(x1 * x2) AS a12, sum(x2 * x2) AS a22, sum(x1 * v) AS b1, sum(x2 * v) AS b2, count(*) AS n, count(DISTINCT cell) AS units, count(DISTINCT y) AS times FROM d GROUP BY 1)),
 e AS (SELECT d.*, v - beta * x1 - gam * x2 AS e, a22, a12, det FROM d JOIN m ON d.country = m.country),
@@ -552,14 +558,6 @@ def x32(t):
     return rounded(out, ["country", "n", "units", "times"], ["beta", "se_time", "se_unit"], 5)
 
 
-def _passes(source: str, n: int) -> str:
-    """CTEs p0 … pn: columns v, x1, x2 of ``source`` less their means by cell and by year, over and over."""
-    less = lambda c, key: f"{c} - avg({c}) OVER (PARTITION BY country, {key}) AS {c}"
-    step = lambda key, of: f"SELECT country, cell, y, {', '.join(less(c, key) for c in ('v', 'x1', 'x2'))} FROM {of}"
-    steps = [f"p0 AS (SELECT country, cell, y, v, x1, x2 FROM {source})"]
-    return ",\n".join(steps + [f"p{i} AS ({step('y', '(' + step('cell', f'p{i - 1}') + ')')})" for i in range(1, n + 1)])
-
-
 @query("x32_unbalanced_panel", f"""
 WITH thick AS (SELECT * FROM design_cells QUALIFY n >= 0.95 * avg(n) OVER (PARTITION BY country, y)),
 a AS (SELECT *, CASE WHEN y >= 1999 THEN 1.0 ELSE 0.0 END::DOUBLE * x2 AS x1 FROM (SELECT country, cell, y, tax AS v, turnover - avg(turnover) OVER (PARTITION BY country) AS x2 FROM thick)),
