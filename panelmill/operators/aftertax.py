@@ -2,8 +2,9 @@
 
 All amounts are shares of the run's NAV at the start of the month. Costs and tax are paid out of all lots alike, so from one month to the
 next a lot's share changes by (1 + its return) / (1 + gross return of the run) and by nothing else: a name needs no NAV and no tax of the
-run, only the path of gross returns. So each (run, name) is one row with its months, whatever the number of names or runs; their monthly
-sums meet in one aggregation, and the NAV, tax years and carried losses follow from a few numbers a month.
+run, only the path of gross returns. So each name is one row with its months, and is walked under every run of its book by the task that
+reads it; a task adds its names up by run and month before the shuffle, and the NAV, tax years and carried losses follow from a few numbers
+a month.
 
 The gross return of a month depends on target weights alone, unless frozen names drift (``carry_v1``). Then the walk is repeated with
 the gross returns of the pass before until they stay; as a month depends on earlier months only, every pass settles further months.
@@ -11,8 +12,10 @@ the gross returns of the pass before until they stay; as a month depends on earl
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,11 @@ SUMS = [
     "gross", "cost", "short", "exit_cost", "turnover", "realised_st", "realised_lt", "disallowed", "unreal_st", "unreal_lt",
     "n_frozen", "n_stale", "n_unresolved", "n_closed", "n_blocked", "n_uncosted",
 ]
+STEP = ["t", "w", "r", "spread", "sigma_d", "adv_usd", "ok"]
+UNRESOLVED = tuple(float(c == "n_unresolved") for c in SUMS)
 SETTLED = 1e-12
+#: Sums by run and month that a task holds before it hands them on.
+MOST_SUMS = 1 << 18
 #: What a total loss leaves of a lot under ``carry_v1``, so that its exit realises the loss.
 LEFT = 1e-6
 
@@ -35,6 +42,7 @@ LEFT = 1e-6
 class Shares(Position):
     """Lots in shares of NAV."""
 
+    __slots__ = ()
     DUST = 1e-13
 
 
@@ -48,8 +56,10 @@ def name_paths(rows: DataFrame, *, by: Sequence[str], id: str = "sec_id", month:
     calendar = rows.select(*by, month).distinct().groupBy(*by).agg(F.sort_array(F.collect_list(month)).alias("months"))
     at = (F.array_position("months", F.col(month)) - 1).cast("int").alias("t")
     step = F.struct(at, F.col("w"), F.col("ret_next").alias("r"), "spread", "sigma_d", "adv_usd", F.coalesce("ok", F.lit(False)).alias("ok"))
-    placed = rows.join(calendar, by).select(*by, id, "w", "months", step.alias("step"))
-    names = placed.groupBy(*by, id).agg(F.sort_array(F.collect_list("step")).alias("path"), F.max("months").alias("months"), F.max(F.abs("w")).alias("most")).where("most > 0").drop("most")
+    calendar = F.broadcast(calendar)  # one row per book
+    placed = rows.join(calendar, by).select(*by, id, "w", step.alias("step"))
+    held = placed.groupBy(*by, id).agg(F.sort_array(F.collect_list("step")).alias("path"), F.max(F.abs("w")).alias("most")).where("most > 0").drop("most")
+    names = held.join(calendar, by)
     if evidence is None:
         return names.withColumn("exits", F.array().cast("array<struct<t:int,cost:double>>"))
     events = evidence.groupBy(id).agg(F.sort_array(F.collect_list(F.struct("event_date", F.col("cost").cast("double").alias("cost")))).alias("events"))
@@ -57,53 +67,71 @@ def name_paths(rows: DataFrame, *, by: Sequence[str], id: str = "sec_id", month:
     return names.join(events, id, "left").withColumn("exits", F.coalesce(F.transform("events", when), F.array().cast("array<struct<t:int,cost:double>>"))).drop("events")
 
 
-def walk(row: dict, exits: str, k: float, bps: float) -> Iterator[tuple]:
-    """(month number, one value for each of SUMS) for the months in which the name is wanted, held or unresolved."""
+Step = namedtuple("Step", STEP)
+
+
+def paths(column: pa.Array) -> Iterator[dict[int, Step]]:
+    """The steps of each name by month number; ``r`` is None where there is no return."""
+    steps, ends = column.values, column.offsets.to_numpy().tolist()
+    part = {c: steps.field(c) for c in STEP}
+    lists = {c: a.fill_null(0.0 if c == "w" else float("nan")).to_numpy(zero_copy_only=False).tolist() for c, a in part.items() if c not in ("t", "ok")}
+    lists["r"] = [None if gone else r for r, gone in zip(lists["r"], part["r"].is_null().to_numpy(zero_copy_only=False).tolist())]
+    lists |= {c: part[c].to_numpy(zero_copy_only=False).tolist() for c in ("t", "ok")}
+    rows = list(zip(*(lists[c] for c in STEP)))
+    for a, b in zip(ends[:-1], ends[1:]):
+        yield {row[0]: Step._make(row) for row in rows[a:b]}
+
+
+def walk(path: dict[int, Step], ends: list[dict], months: list, run: dict, exits: str, k: float, bps: float) -> Iterator[tuple]:
+    """(month number, one value for each of SUMS) for the months in which a name is wanted, held or unresolved under the run."""
     carry = exits == "carry_v1"
-    book = Shares(row["method"], row["long_months"], row["wash_days"])
-    path, months, gross = {p["t"]: p for p in row["path"]}, row["months"], row["gross"]
-    events = list(row["exits"])
+    book = Shares(run["method"], run["long_months"], run["wash_days"])
+    gross, aum, marked = run["gross"], run["aum"], run["mark_to_market"]
+    events = list(ends)
     stale = unresolved = False
-    for t in range(row["path"][0]["t"], len(months)):
-        p, when, now = path.get(t), months[t], book.worth()
-        if not len(book.lots) and (p is None or not p["w"]):
+    for t in range(next(iter(path)), len(months)):
+        p = path.get(t)
+        if not book.lots and (p is None or not p.w):
             continue
-        out = dict.fromkeys(SUMS, 0.0)
+        when, now = months[t], book.worth()
+        cost = exit_cost = realised_st = realised_lt = disallowed = closed = blocked = uncosted = 0.0
         fixed = False
-        target = p["w"] if p else 0.0
+        target = p.w if p else 0.0
         if carry and (unresolved or not p):
             due = [e for e in events if e["t"] <= t]
             if unresolved or stale or not due:
                 unresolved = True
-                yield (t, *(out | {"n_unresolved": 1.0}).values())
+                yield (t, *UNRESOLVED)
                 continue
             events.remove(due[0])
-            out["n_closed"] = 1.0
-            out["exit_cost"] = abs(now) * (due[0]["cost"] or 0.0)
-            out["n_uncosted"] = float(due[0]["cost"] is None)
-        elif carry and (stale or not p["ok"]):
-            fixed, out["n_blocked"] = True, float(bool(target) and not now)
+            closed = 1.0
+            exit_cost = abs(now) * (due[0]["cost"] or 0.0)
+            uncosted = float(due[0]["cost"] is None)
+        elif carry and (stale or not p.ok):
+            fixed, blocked = True, float(bool(target) and not now)
             target = now
         for _, gain, is_long, moved in [] if fixed else book.move(when, target):
             allowed = min(gain + moved, 0.0) if gain < 0 else gain
-            out["realised_lt" if is_long else "realised_st"] += allowed
-            out["disallowed"] += moved
+            if is_long:
+                realised_lt += allowed
+            else:
+                realised_st += allowed
+            disallowed += moved
         dw = abs(target - now)
-        out["turnover"] = dw / 2
-        if p and p["ok"] and dw:
-            out["cost"] = 0.5 * p["spread"] * dw + bps / 1e4 * dw + k * p["sigma_d"] * (row["aum"] / max(p["adv_usd"], 1.0)) ** 0.5 * dw**1.5
-        stale |= carry and target != 0 and p is not None and p["r"] is None
-        r = 0.0 if stale or not p or p["r"] is None else p["r"]
-        out["n_stale"], out["n_frozen"] = float(stale), float(fixed and not stale and bool(len(book.lots)))
-        if not stale:
-            out["short"] = max(-target, 0.0)
-        out["gross"] = target * r
+        if p and p.ok and dw:
+            cost = 0.5 * p.spread * dw + bps / 1e4 * dw + k * p.sigma_d * (aum / max(p.adv_usd, 1.0)) ** 0.5 * dw**1.5
+        stale |= carry and target != 0 and p is not None and p.r is None
+        r = 0.0 if stale or not p or p.r is None else p.r
+        frozen = float(fixed and not stale and bool(book.lots))
+        short = 0.0 if stale else max(-target, 0.0)
         book.grow(max(r, LEFT - 1.0) if carry else r)
-        if row["mark_to_market"] and when.month == 12 and not stale:
-            out["realised_st"] += book.mark()
-        out["unreal_st"], out["unreal_lt"] = book.unrealised_by_term(when)
+        if marked and when.month == 12 and not stale:
+            realised_st += book.mark()
+        unreal_st, unreal_lt = book.unrealised_by_term(when)
         book.scale(1.0 / (1.0 + gross[t]))
-        yield (t, *out.values())
+        yield (
+            t, target * r, cost, short, exit_cost, dw / 2, realised_st, realised_lt, disallowed, unreal_st, unreal_lt, frozen, float(stale), 0.0, closed, blocked, uncosted,
+        )
 
 
 def _gross(sums: DataFrame, run: Sequence[str]) -> DataFrame:
@@ -121,20 +149,39 @@ def month_sums(names: DataFrame, runs: DataFrame, *, by: Sequence[str], run: Seq
     path = runs.select(*run).join(_gross(steps, by), by)
     fields = [f"{r} {runs.schema[r].dataType.simpleString()}" for r in run]
     schema = ", ".join([*fields, "t int", "m date", "n_months int", *(f"{c} double" for c in SUMS)])
-    each = names.join(runs, by)
+    rules = list(dict.fromkeys([*run, "method", "long_months", "wash_days", "mark_to_market", "aum", "gross"]))
 
     def months(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        added: dict[tuple, list[float]] = {}
+
+        def rows() -> pa.RecordBatch:
+            columns = zip(*[(*key, *values) for key, values in added.items()])
+            added.clear()
+            return pa.RecordBatch.from_pandas(_frame(dict(zip([*run, "t", "m", "n_months", *SUMS], columns))), preserve_index=False)
+
+        known: dict[tuple, tuple[list, list[dict]]] = {}  # by book: its calendar and its runs
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256).to_pylist()
-                found = [(*(r[c] for c in run), v[0], r["months"][v[0]], len(r["months"]), *v[1:]) for r in part for v in walk(r, exits, k, bps)]
-                if found:
-                    columns = dict(zip([*run, "t", "m", "n_months", *SUMS], zip(*found)))
-                    yield pa.RecordBatch.from_pandas(_frame(columns), preserve_index=False)
+            books = list(zip(*(batch.column(c).to_pylist() for c in by)))
+            for i, (book, path, ends) in enumerate(zip(books, paths(batch.column("path")), batch.column("exits").to_pylist())):
+                if book not in known:
+                    known[book] = batch.column("months")[i].as_py(), [(tuple(one[c] for c in run), one) for one in batch.column("runs")[i].as_py()]
+                calendar, under = known[book]
+                for key, one in under:
+                    for t, *values in walk(path, ends, calendar, one, exits, k, bps):
+                        where = (*key, t, calendar[t], len(calendar))
+                        have = added.get(where)
+                        added[where] = values if have is None else list(map(add, have, values))
+                if len(added) > MOST_SUMS:
+                    yield rows()
+        if added:
+            yield rows()
 
     while True:
-        rows = each.join(path, run).select(*dict.fromkeys([*run, "path", "exits", "months", "method", "long_months", "wash_days", "mark_to_market", "aum", "gross"]))
-        sums = rows.mapInArrow(months, schema).groupBy(*run, "t", "m", "n_months").agg(*[F.sum(c).alias(c) for c in SUMS])
+        # one row per book: its runs and a few numbers a month
+        under = path.join(runs, run).select(*[F.col(c).alias(f"__{c}") for c in by], F.struct(*rules).alias("one")).groupBy(*[f"__{c}" for c in by]).agg(F.collect_list("one").alias("runs"))
+        own = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in by])
+        each = names.join(F.broadcast(under), own).select(*by, "path", "exits", "months", "runs")
+        sums = each.mapInArrow(months, schema).groupBy(*run, "t", "m", "n_months").agg(*[F.sum(c).alias(c) for c in SUMS])
         sums = written(sums, "month-sums")
         new = _gross(sums, run)
         off = new.withColumnRenamed("gross", "__new").join(path, run).select(F.array_max(F.zip_with("__new", "gross", lambda a, b: F.abs(a - b))).alias("d")).agg(F.max("d")).first()[0]

@@ -194,3 +194,18 @@ def test_overhang_adds_up(spark):
     all_rows = [r.asDict() for r in acc.orderBy("m").collect()]
     (got,) = at.overhang(acc, by=["cell"], checkpoints=[str(MONTHS[5])]).collect()
     assert got.tax_paid == pytest.approx(sum(r["tax_ret"] * r["nav"] for r in all_rows[:6])) and got.deferred_tax == pytest.approx(all_rows[5]["deferred_tax"] * all_rows[5]["nav"])
+
+
+def test_runs_of_a_book_share_its_names(spark):
+    df = spark.createDataFrame(book(), ROWS)
+    names = at.name_paths(df, by=["cell"])
+    runs = [("c", "r", m, 0.4, 0.2, 3, w, k, 1e5) for m in ("fifo", "hifo") for w, k in ((0, False), (30, True))]
+    runs = [(c, f"{r}{i}", *x) for i, (c, r, *x) in enumerate(runs)]
+    key = ["cell", "regime", "method"]
+    together = at.month_sums(names, spark.createDataFrame(runs, RUNS), by=["cell"], run=key).orderBy("regime", "t").collect()
+    alone = [r for one in runs for r in at.month_sums(names, spark.createDataFrame([one], RUNS), by=["cell"], run=key).orderBy("t").collect()]
+    assert [r[:5] for r in together] == [r[:5] for r in alone]
+    assert np.allclose([r[5:] for r in together], [r[5:] for r in alone], rtol=1e-12, atol=1e-15)
+    # the steps of a name are read once by column; nulls among returns stay nulls
+    (path,) = at.paths(names.where("sec_id = 2").select("path").toArrow()["path"].combine_chunks())
+    assert path[0].ok and [p.t for p in path.values()] == list(range(len(MONTHS)))
