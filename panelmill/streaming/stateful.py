@@ -22,35 +22,57 @@ from panelmill.sources.io import scratch_dir
 
 def in_event_order(
     df: DataFrame, fold: Callable[[Any, list[tuple]], tuple[Any, list[tuple]]], start: Callable[[], Any], *, by: Sequence[str], at: str, values: Sequence[str], late: str, out: str,
+    bundles: int | None = None,
 ) -> DataFrame:
     """Give the rows of each key to ``fold`` in the order of ``at``: fold(state, [(at, *values), …]) -> (state, output rows without the key).
 
     A row waits in the key's state until the watermark, ``late`` behind the latest event of any key, has passed it; an event-time timer gives out
     the rows of keys to which nothing more comes. Rows behind the watermark are late: Spark leaves them out and counts them (``Replay.late_rows``).
     Rows with a null among ``values`` only move the watermark. Rows of one key and time keep their order of arrival. Events are after 1970.
+
+    Spark calls Python once for every group. Where keys are many and short, ``bundles`` makes a group of all keys of one hash remainder, with a
+    state and waiting rows for each of its keys; the number belongs to the checkpoint.
     """
     by, values = list(by), list(values)
+    keys = ["__bundle"] if bundles else by
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known, waiting = pickle.loads(state.get[0]) if state.exists else (start(), [])
+    def step(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = pickle.loads(state.get[0]) if state.exists else {}  # by key: its state and the rows that wait
         for rows in batches:
-            waiting += [row for full, *row in zip(*(rows[c] for c in ("__full", "__ms", at, *values))) if full]
-        waiting.sort(key=lambda r: r[0])
+            for full, *row in zip(*(rows[c] for c in ("__full", *by, "__ms", at, *values))):
+                if full:
+                    key = tuple([None if k != k else k for k in row[: len(by)]])  # pandas has nan for a null
+                    if key not in known:
+                        known[key] = [start(), []]
+                    known[key][1].append(tuple(row[len(by) :]))
         passed = state.getCurrentWatermarkMs()
-        ready = sum(r[0] <= passed for r in waiting)
-        known, found = fold(known, [tuple(r[1:]) for r in waiting[:ready]])
-        waiting = waiting[ready:]
-        state.update((pickle.dumps((known, waiting)),))
-        if waiting:
-            state.setTimeoutTimestamp(int(waiting[0][0]))
-        if found:
-            yield pd.DataFrame([(*key, *r) for r in found], columns=[*by, *(c.split()[0] for c in out.split(", "))])
+        found, timer = [], None
+        for key, held in known.items():
+            waiting = held[1]
+            if not waiting:
+                continue
+            waiting.sort(key=lambda r: r[0])
+            ready = sum(r[0] <= passed for r in waiting)
+            if ready:
+                held[0], made = fold(held[0], [r[1:] for r in waiting[:ready]])
+                found += [(*key, *r) for r in made]
+                held[1] = waiting = waiting[ready:]
+            if waiting:
+                timer = waiting[0][0] if timer is None else min(timer, waiting[0][0])
+        state.update((pickle.dumps(known),))
+        if timer is not None:
+            state.setTimeoutTimestamp(int(timer))
+        for i in range(0, len(found), 10000):
+            yield pd.DataFrame(found[i : i + 10000], columns=[*by, *(c.split()[0] for c in out.split(", "))])
 
     rows = df.filter(F.col(at).isNotNull()).select(*by, at, *values, F.col(at).cast("timestamp").alias("__at")).withWatermark("__at", late)
     full = reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in values])
-    return rows.withColumn("__ms", F.unix_millis("__at")).withColumn("__full", full).groupBy(*by).applyInPandasWithState(
-        step, f"{_typed(df, by)}, {out}", "s binary", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = rows.withColumn("__ms", F.unix_millis("__at")).withColumn("__full", full)
+    if bundles:
+        # rows without a key or a value stand apart, as they make floats of a batch's whole numbers
+        bare, at_hash = reduce(lambda a, b: a | b, [F.col(b).isNull() for b in by]), F.pmod(F.xxhash64(*by), F.lit(bundles))
+        rows = rows.withColumn("__bundle", F.when(~F.col("__full"), -1).when(bare, -2 - at_hash).otherwise(at_hash))
+    return rows.groupBy(*keys).applyInPandasWithState(step, f"{_typed(df, by)}, {out}", "s binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drift_stream(
@@ -78,7 +100,7 @@ def interval_scale_stream(df: DataFrame, *, by: Sequence[str], order: str, ratio
     return in_event_order(df, fold, lambda: 1.0, by=by, at=order, values=[ratios], late=late, out=f"{_typed(df, [order])}, scale double, coverage double")
 
 
-def lots_stream(df: DataFrame, *, by: Sequence[str], date: str, target: str, growth: str, method: str, late: str = "1 day") -> DataFrame:
+def lots_stream(df: DataFrame, *, by: Sequence[str], date: str, target: str, growth: str, method: str, late: str = "1 day", bundles: int | None = None) -> DataFrame:
     """Realised gains of positions moving to dollar targets, as their trades pass the watermark."""
 
     def fold(book: Position, rows: list[tuple]) -> tuple[Position, list[tuple]]:
@@ -89,7 +111,7 @@ def lots_stream(df: DataFrame, *, by: Sequence[str], date: str, target: str, gro
         return book, sold
 
     out = "sold date, opened date, gain double, long_term boolean"
-    return in_event_order(df, fold, lambda: Position(method, 12), by=by, at=date, values=[target, growth], late=late, out=out)
+    return in_event_order(df, fold, lambda: Position(method, 12), by=by, at=date, values=[target, growth], late=late, out=out, bundles=bundles)
 
 
 def window_features(df: DataFrame, *, by: Sequence[str], ts: str, value: str, size: str, slide: str | None = None, late: str | None = None) -> DataFrame:

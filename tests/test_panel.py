@@ -133,6 +133,19 @@ def test_lots_stream_equals_batch(spark):
     assert sorted(map(str, batch.collect())) == sorted(map(str, stream.collect()))
 
 
+def test_bundled_positions_equal_batch(spark):
+    from panelmill.operators.tax import lot_gains
+
+    rng = np.random.default_rng(9)
+    big = 1 << 60  # not a float
+    rows = [(None if a == 3 else big + a, D(2000, 1, 1) + dt.timedelta(days=int(9 * i)), float(rng.integers(-50, 100)), 0.01) for a in range(30) for i in range(6)]
+    df = spark.createDataFrame(rows, "account long, d date, target double, growth double").where("account is not null or d < '2000-01-05'")
+    cols = ["account", "sold", "opened", "gain", "long_term"]
+    batch = lot_gains(df.where("account is not null"), by=["account"], method="fifo").select(*cols)
+    out = sf.replay(df, lambda rows: sf.lots_stream(rows, by=["account"], date="d", target="target", growth="growth", method="fifo", bundles=4), at="d")
+    assert out.late_rows == 0 and sorted(map(str, batch.collect())) == sorted(map(str, out.rows.select(*cols).where("account is not null").collect()))
+
+
 def test_streams_take_rows_in_event_order(spark):
     """Rows up to 30 days out of order give what the batch gives; rows that come later still are left out and counted."""
     rng = np.random.default_rng(10)
