@@ -41,8 +41,9 @@ HEAD = 1 << 22
 #: Smallest count of a pair in the filter.
 LEAST_PAIR = 2
 BLOCK_BYTES = 1 << 16
-#: Bytes of text that a worker holds as arrays at once.
-SLICE = 4 << 20
+#: Bytes of text that a worker holds as arrays at once, and of a chunk that asks a filter that isn't broadcast.
+SLICE = 1 << 20
+CHUNK = 4 << 20
 #: Probes of the first level and of each further one.
 FIRST, MORE = 8, 4
 END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
@@ -307,14 +308,14 @@ def far_levels(rows: DataFrame, model: Model, made: DataFrame, blocks: int) -> D
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = row = TaskContext.get().partitionId() << 36
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", CHUNK):
             n = batch.num_rows
             yield from tables(iter([{"chunk": np.full(n, chunk), "row": row + np.arange(n), **{c: batch.column(c) for c in ("doc_id", "train", "text")}}]), arrow_schema(CHUNKS))
             chunk, row = chunk + 1, row + n
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", CHUNK):
             chunk = batch.column("chunk").to_numpy()
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -334,7 +335,7 @@ def far_levels(rows: DataFrame, model: Model, made: DataFrame, blocks: int) -> D
             return np.where(head >= 0, head, np.maximum(looked_up(keys, levels, wanted), 0))
 
         out = []
-        for batch in slices(iter(texts.combine_chunks().to_batches()), "text", SLICE):
+        for batch in slices(iter(texts.combine_chunks().to_batches()), "text", CHUNK):
             out += tables(iter([measured(m, batch, batch.column("row"), probe)]), arrow_schema(LEVELS))
         return pa.Table.from_batches(out, arrow_schema(LEVELS))
 
@@ -357,7 +358,7 @@ def fit_weights(measures: DataFrame, m: Model) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(8 * RATIOS, np.int64)
-        for batch in slices(batches, "word_levels", SLICE // 8):
+        for batch in slices(batches, "word_levels", SLICE // 2):
             c_word, c_before, pair, _ = unpacked(m, batch)
             pair = np.maximum(pair - 1, 0)
             p = np.where(c_before > 1, np.minimum(pair / np.maximum(c_before - 1, 1), 1), 0)
@@ -432,7 +433,7 @@ def score(docs: DataFrame) -> DataFrame:
     schema = arrow_schema(SCORED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "word_levels", SLICE // 8):
+        for batch in slices(batches, "word_levels", SLICE // 2):
             word, context, pair, bounds = unpacked(model, batch)
             weight = model.weights[bucket_of(context)]
             p = weight * np.minimum(pair / np.maximum(context, 1), 1) + (1 - weight) * model.floor(word)
