@@ -89,10 +89,17 @@ def walk(path: dict[int, Step], ends: list[dict], months: list, run: dict, exits
     gross, aum, marked = run["gross"], run["aum"], run["mark_to_market"]
     events = list(ends)
     stale = unresolved = False
-    for t in range(next(iter(path)), len(months)):
+    wanted = iter([t for t, p in path.items() if p.w])
+    ahead, t, end = next(wanted, len(months)), -1, len(months)
+    while True:
+        t += 1
+        while ahead < t:
+            ahead = next(wanted, end)
+        if not book.lots:  # nothing happens until the name is wanted again
+            t = ahead
+        if t >= end:
+            return
         p = path.get(t)
-        if not book.lots and (p is None or not p.w):
-            continue
         when, now = months[t], book.worth()
         cost = exit_cost = realised_st = realised_lt = disallowed = closed = blocked = uncosted = 0.0
         fixed = False
@@ -145,6 +152,7 @@ def month_sums(names: DataFrame, runs: DataFrame, *, by: Sequence[str], run: Seq
     if exits not in POLICIES:
         raise ValueError(f"exits must be one of {POLICIES}")
     by, run = list(by), list(run)
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = names.select(*by, F.size("months").alias("n_months"), F.explode("path").alias("p")).groupBy(*by, "n_months", "p.t").agg(F.sum(F.col("p.w") * F.coalesce("p.r", F.lit(0.0))).alias("gross"))
     path = runs.select(*run).join(_gross(steps, by), by)
     fields = [f"{r} {runs.schema[r].dataType.simpleString()}" for r in run]
@@ -152,14 +160,15 @@ def month_sums(names: DataFrame, runs: DataFrame, *, by: Sequence[str], run: Seq
     rules = list(dict.fromkeys([*run, "method", "long_months", "wash_days", "mark_to_market", "aum", "gross"]))
 
     def months(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        added: dict[tuple, list[float]] = {}
+        added: dict[tuple, list] = {}  # by run: for each month None or its sums
 
         def rows() -> pa.RecordBatch:
-            columns = zip(*[(*key, *values) for key, values in added.items()])
+            found = [(*key, t, calendar[t], len(calendar), *values) for key, (calendar, sums) in added.items() for t, values in enumerate(sums) if values]
             added.clear()
-            return pa.RecordBatch.from_pandas(_frame(dict(zip([*run, "t", "m", "n_months", *SUMS], columns))), preserve_index=False)
+            return pa.RecordBatch.from_pandas(_frame(dict(zip([*run, "t", "m", "n_months", *SUMS], zip(*found)))), preserve_index=False)
 
         known: dict[tuple, tuple[list, list[dict]]] = {}  # by book: its calendar and its runs
+        held = 0
         for batch in batches:
             books = list(zip(*(batch.column(c).to_pylist() for c in by)))
             for i, (book, path, ends) in enumerate(zip(books, paths(batch.column("path")), batch.column("exits").to_pylist())):
@@ -167,20 +176,25 @@ def month_sums(names: DataFrame, runs: DataFrame, *, by: Sequence[str], run: Seq
                     known[book] = batch.column("months")[i].as_py(), [(tuple(one[c] for c in run), one) for one in batch.column("runs")[i].as_py()]
                 calendar, under = known[book]
                 for key, one in under:
+                    if key not in added:
+                        added[key] = calendar, [None] * len(calendar)
+                    sums = added[key][1]
                     for t, *values in walk(path, ends, calendar, one, exits, k, bps):
-                        where = (*key, t, calendar[t], len(calendar))
-                        have = added.get(where)
-                        added[where] = values if have is None else list(map(add, have, values))
-                if len(added) > MOST_SUMS:
+                        have = sums[t]
+                        held += have is None
+                        sums[t] = values if have is None else list(map(add, have, values))
+                if held > MOST_SUMS:
                     yield rows()
-        if added:
+                    held = 0
+        if held:
             yield rows()
 
     while True:
         # one row per book: its runs and a few numbers a month
         under = path.join(runs, run).select(*[F.col(c).alias(f"__{c}") for c in by], F.struct(*rules).alias("one")).groupBy(*[f"__{c}" for c in by]).agg(F.collect_list("one").alias("runs"))
         own = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in by])
-        each = names.join(F.broadcast(under), own).select(*by, "path", "exits", "months", "runs")
+        # names are walked in Python: they are dealt by number, as their size would gather them in a few tasks
+        each = names.repartition(tasks).join(F.broadcast(under), own).select(*by, "path", "exits", "months", "runs")
         sums = each.mapInArrow(months, schema).groupBy(*run, "t", "m", "n_months").agg(*[F.sum(c).alias(c) for c in SUMS])
         sums = written(sums, "month-sums")
         new = _gross(sums, run)

@@ -209,3 +209,23 @@ def test_runs_of_a_book_share_its_names(spark):
     # the steps of a name are read once by column; nulls among returns stay nulls
     (path,) = at.paths(names.where("sec_id = 2").select("path").toArrow()["path"].combine_chunks())
     assert path[0].ok and [p.t for p in path.values()] == list(range(len(MONTHS)))
+
+
+def test_names_are_dealt_over_the_tasks(spark, monkeypatch):
+    """One small file of names is walked by as many tasks as a shuffle has.."""
+    names = at.name_paths(spark.createDataFrame(book(), ROWS), by=["cell"]).coalesce(1)
+    plans, write = [], at.written
+    monkeypatch.setattr(at, "written", lambda df, name: (plans.append(df._jdf.queryExecution().toString()), write(df, name))[1])
+    runs = spark.createDataFrame([("c", "r", "fifo", 0.4, 0.2, 3, 0, False, 1e5)], RUNS)
+    at.month_sums(names, runs, by=["cell"], run=["cell"])
+    assert f"RoundRobinPartitioning({spark.conf.get('spark.sql.shuffle.partitions')})" in plans[0]
+
+
+def test_idle_months_are_skipped():
+    step = lambda t, w: at.Step(t, w, 0.01, 0.01, 0.02, 1e6, True)
+    path = {t: step(t, w) for t, w in enumerate([0.0, 0.5, 0.0, 0.0, -0.2, 0.3, 0.0, 0.0])}
+    run = {"method": "fifo", "long_months": 3, "wash_days": 0, "mark_to_market": False, "aum": 1e5, "gross": [0.0] * 9}
+    found = [t for t, *_ in at.walk(path, [], MONTHS, run, "as_run", 1.0, 5.0)]
+    assert found == [1, 2, 4, 5, 6]
+    del path[2], path[6]  # unpriced months of a held name are steps
+    assert [t for t, *_ in at.walk(path, [], MONTHS, run, "as_run", 1.0, 5.0)] == found
