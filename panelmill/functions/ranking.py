@@ -3,7 +3,7 @@
 A window partitioned by month puts a whole cross-section in one task. So groups of more than ``CELL`` rows are cut into cells of about that
 many consecutive rows, at keys from a sample that a hash picks; a smaller group is one cell. Rows are ranked inside their cell, and the number
 of rows in lower cells is added. Where cuts fall only decides the sizes of cells, never a rank. The cuts are one array for each large group,
-and where no group is large their plan is empty. An input that is more than a scan is written once, as it is read for the counts, the cuts
+so there is one entry for every ``CELL`` rows, and they are broadcast; where no group is large their plan is empty. An input that is more than a scan is written once, as it is read for the counts, the cuts
 and the ranks; rows are carried through.
 """
 
@@ -48,11 +48,12 @@ def _cells(rows: DataFrame, by: Sequence[str], keys: Mapping[str, Sequence[Colum
     picked = {out: (F.pmod(F.xxhash64(*cols), F.lit(max(CELL // PER_CUT, 1))) == 0) & cols[0].isNotNull() for out, cols in keys.items()}
     sample = rows.where(_any(picked.values()))
     lists = [F.sort_array(F.collect_list(F.when(picked[out], key[out]))).alias(out) for out in keys]
-    cuts = _null_safe_join(sample, hot, by).groupBy(*by).agg(*lists)
+    cuts = _null_safe_join(sample, F.broadcast(hot), by).groupBy(*by).agg(*lists)
     every = lambda a, n: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(n), F.size(a), F.lit(n)), lambda i: F.element_at(a, i))).otherwise(F.slice(a, 1, 0))
     cuts = cuts.select(*by, *[every(F.col(out), PER_CUT).alias(f"__q_{out}") for out in keys])
     cuts = cuts.select("*", *[every(F.col(f"__q_{out}"), STEP).alias(f"__s_{out}") for out in keys])
-    found = _null_safe_join(rows, cuts, by, "left")
+    # a cut stands for CELL rows, so cuts are sent to the rows: a join by group would put a whole group in one task
+    found = _null_safe_join(rows, F.broadcast(cuts), by, "left")
     for out, cols in keys.items():
         below = lambda q: q < F.struct(*cols)  # noqa: B023, E731
         steps = F.size(F.filter(f"__s_{out}", below)) * STEP
