@@ -83,15 +83,17 @@ def row_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, str], tie:
     each = [F.map_from_entries(F.collect_list(F.when(F.col("i") == i, F.struct("b", "v")))).alias(f"__m{i}") for i in range(len(names))]
     maps = sized.groupBy(*by).agg(*each, *[F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(f"__n{i}") for i in range(len(names))])
     rows = _null_safe_join(rows, maps, by, "left")
+    # the sorts below take one number a column along, not the maps of all cells
+    rows = rows.withColumns({f"__o{i}": F.element_at(f"__m{i}", F.col(f"__b{i}")) for i in range(len(names))}).drop(*(f"__m{i}" for i in range(len(names))))
     for i, c in enumerate(names):
         key = F.col(c).desc() if desc else F.col(c).asc()
         local = F.row_number().over(Window.partitionBy(*by, f"__b{i}").orderBy(key, F.col(tie)))
-        rows = rows.withColumn(f"__r{i}", F.when(F.col(c).isNotNull(), (local + F.element_at(f"__m{i}", F.col(f"__b{i}"))).cast("long")))
+        rows = rows.withColumn(f"__r{i}", F.when(F.col(c).isNotNull(), (local + F.col(f"__o{i}")).cast("long"))).drop(f"__o{i}", f"__b{i}")
         if counts:
-            rows = rows.withColumn(columns[c] + counts, F.coalesce(f"__n{i}", F.lit(0)).cast("long"))
+            rows = rows.withColumn(columns[c] + counts, F.coalesce(f"__n{i}", F.lit(0)).cast("long")).drop(f"__n{i}")
     for i, c in enumerate(names):
         rows = rows.withColumn(columns[c], F.col(f"__r{i}"))
-    return rows.drop(*(f"__{x}{i}" for i in range(len(names)) for x in "bnrm"))
+    return rows.drop(*(f"__{x}{i}" for i in range(len(names)) for x in "nr"))
 
 
 def row_rank(df: DataFrame, by: Sequence[str], order: str, tie: str, out: str = "rank", *, desc: bool = False, counts: str = "") -> DataFrame:

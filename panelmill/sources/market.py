@@ -139,6 +139,12 @@ class Market:
             .agg((1 + F.avg("l_discount")).alias("usd_per_local"))
         )
 
+    @cached_property
+    def months(self) -> DataFrame:
+        """Months of the panel: those in which a security trades."""
+        traded = self.table("lineitem").join(self.securities, F.col("l_suppkey") == F.col("sec_id"))
+        return traded.select(F.last_day("l_shipdate").alias("m")).distinct()
+
     @cached_property
     def monthly_px(self) -> DataFrame:
         return self.daily_px.groupBy("country", "sec_id", F.last_day("d").alias("m")).agg(*_month_totals(), F.max_by("cl", "d").alias("cl"))
@@ -171,23 +177,24 @@ class Market:
         """Security-month panel with returns and cost inputs; a return needs both calendar months.
 
         Month totals and month-end statistics come from one grouping of the daily windows, which keeps their
-        partitioning by security: one scan, no join.
+        partitioning by security: one scan, no join. Each statistic is kept by itself, as a struct of them would have
+        the daily rows sorted a second time.
         """
-        last = F.struct("cl", "range_obs_21", "range_21", "ret_obs_21", "sigma_21", "obs_21", "adv_21")
-        months = self.rolled.groupBy("country", "sec_id", F.last_day("d").alias("m")).agg(*_month_totals(), F.max_by(last, "d").alias("e"))
+        last = [F.max_by(c, "d").alias(c) for c in ("cl", "range_obs_21", "range_21", "ret_obs_21", "sigma_21", "obs_21", "adv_21")]
+        months = self.rolled.groupBy("country", "sec_id", F.last_day("d").alias("m")).agg(*_month_totals(), *last)
         w = Window.partitionBy("sec_id").orderBy("m")
         consecutive = lambda a, b: month_index(b) - month_index(a) == 1
         priced = months.select(
-            "*", F.lag("m").over(w).alias("__pm"), F.lag("e.cl").over(w).alias("__pc"), F.lead("m").over(w).alias("__nm"),
-            F.lead("e.cl").over(w).alias("__nc"),
+            "*", F.lag("m").over(w).alias("__pm"), F.lag("cl").over(w).alias("__pc"), F.lead("m").over(w).alias("__nm"),
+            F.lead("cl").over(w).alias("__nc"),
         )
-        close = F.col("e.cl")
+        close = F.col("cl")
         return priced.select(
             "sec_id", "m", "country", "n_days", (F.col("n_days") >= 5).alias("in_universe"), "me", close.alias("price"),
             "sig_disc", "sig_tax", "sig_range", "sig_vol",
             F.when(consecutive(F.col("__pm"), F.col("m")), close / F.col("__pc") - 1).alias("ret"),
             F.when(consecutive(F.col("m"), F.col("__nm")), F.col("__nc") / close - 1).alias("ret_next"),
-            *_certified(lambda c: F.col(f"e.{c}")),
+            *_certified(F.col),
         )
 
     @cached_property

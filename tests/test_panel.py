@@ -204,3 +204,14 @@ def test_interval_scale_stream_equals_a_loop(spark):
             scale = min(max(scale * np.exp(0.05 * (0.9 - cover)), 0.25), 4.0)
     found = {(r.k, r.m): (r.scale, r.coverage) for r in got.collect()}
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_daily_rows_are_sorted_once(spark):
+    """Month-end statistics keep the order of the daily windows; the calendar by itself writes no signals."""
+    from panelmill.plans.model_queries import m1
+    from panelmill.sources.market import Market
+
+    t = Market(spark, "/root/testdata/sf0.001")
+    plan = t.panel._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert m1(t).count() > 0 and "signals" not in t.plans

@@ -105,3 +105,21 @@ def test_proxy_book_is_neutral_and_capped(panel):
     b = md.proxy_book(panel, by=["m"], alpha="y", vol="w", cap=0.05).toPandas()
     assert b["w"].abs().max() <= 0.05 + 1e-12
     assert np.allclose(b.groupby("m")["w"].sum(), 0)
+
+
+def test_cells_do_not_gather_a_group(spark, panel, monkeypatch):
+    """Rows meet their cuts without a shuffle by group, however few groups there are, and sorts carry no maps of cells."""
+    monkeypatch.setattr(ranking, "CELL", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = spark.createDataFrame(panel.toPandas())
+        cells = ranking._cells(rows, ["m"], {"b": [F.col("x"), F.col("sec_id")]})
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        ranks = ranking.row_ranks(rows, ["m"], {"x": "rx", "y": "ry"}, "sec_id")
+        windows = [line for line in ranks._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [row_number()" in line]
+        assert len(windows) == 2 and not any("map<" in f.dataType.simpleString() for f in ranks.schema)
+        above = ranks._jdf.queryExecution().optimizedPlan().toString().split("Window [row_number()")
+        assert all("__m0" not in part and "__m1" not in part for part in above[:2])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
