@@ -78,7 +78,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
         release()
 
 
+#: Slices after which freed memory goes back to the system.
+RELEASE = 8
+
+
 def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    given = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -89,6 +94,9 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Itera
             to = max(at + 1, int(np.searchsorted(size, done + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+            given += 1
+            if given % RELEASE == 0:
+                release()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from panelmill.llm.text import LOWER, arrow_schema, hashes, owner, prefix, slices, tables, utf8
+from panelmill.llm.text import LOWER, arrow_schema, hashes, owner, prefix, release, slices, tables, utf8
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -89,39 +89,40 @@ def bag(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buckets[order], np.searchsorted(of[order], np.arange(len(distinct) + 1)), codes, bounds
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(toxic, bucket, weight): each text as the mean of its subwords, one entry per distinct bucket (at most BUCKETS of them)."""
-    out = "doc_id long, toxic int, bucket array<int>, weight array<float>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            buckets, edge, codes, bounds = bag(batch.column("text"))
-            rows, weights = [], []
-            for k in range(batch.num_rows):
-                word, count = np.unique(codes[bounds[k] : bounds[k + 1]], return_counts=True)
-                size = edge[word + 1] - edge[word]
-                place = np.repeat(edge[word], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                found, inverse = np.unique(buckets[place], return_inverse=True)
-                weight = np.bincount(inverse, np.repeat(np.log2(1 + count), size), len(found))
-                rows.append(found.astype(np.int32))
-                weights.append((weight / (weight.sum() + PAD)).astype(np.float32))
-            yield from tables(iter([{"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "bucket": rows, "weight": weights}]), arrow_schema(out))
-
-    return docs.mapInArrow(run, out)
+def features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(doc_id, toxic, buckets, weights): each text as the mean of its subwords, one entry per distinct bucket (at most BUCKETS of them)."""
+    for batch in slices(batches, "text"):
+        buckets, edge, codes, bounds = bag(batch.column("text"))
+        for k, (doc_id, toxic) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist())):
+            word, count = np.unique(codes[bounds[k] : bounds[k + 1]], return_counts=True)
+            size = edge[word + 1] - edge[word]
+            place = np.repeat(edge[word], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            found, inverse = np.unique(buckets[place], return_inverse=True)
+            weight = np.bincount(inverse, np.repeat(np.log2(1 + count), size), len(found))
+            yield doc_id, toxic, found.astype(np.int32), (weight / (weight.sum() + PAD)).astype(np.float32)
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float, plan: Plan) -> tuple[np.ndarray, float]:
-    """Joint training of embeddings, softmax and bias: (score of each bucket, bias), in log-odds of class 1 at the share ``prior``."""
+    """Joint training of embeddings, softmax and bias: (score of each bucket, bias), in log-odds of class 1 at the share ``prior``.
+
+    ``rows`` are used up: each goes as soon as its batch stands, so that no entry is held twice.
+    """
     rng = np.random.default_rng(plan.seed)
     y = np.array([r[0] for r in rows])
     batches = []
     order = rng.permutation(len(rows))
     for at in range(0, len(order), plan.batch):
-        part = [rows[i] for i in order[at : at + plan.batch]]
+        picked = order[at : at + plan.batch].tolist()
+        part = [rows[i] for i in picked]
+        for i in picked:
+            rows[i] = None
         size = np.array([len(r[1]) for r in part])
         used, place = np.unique(np.concatenate([r[1] for r in part]), return_inverse=True)
         weight = np.concatenate([r[2] for r in part]) * np.float32(plan.gain)
-        batches.append((y[order[at : at + plan.batch]], used, place.astype(np.int32), np.repeat(np.arange(len(part), dtype=np.int32), size), weight))
+        batches.append((y[picked], used, place.astype(np.int32), size, weight))
+        if len(batches) % 8 == 0:
+            del part, place
+            release()
     emb = np.zeros((BUCKETS, plan.dim), np.float32)
     seen = np.unique(np.concatenate([b[1] for b in batches]))
     emb[seen] = rng.normal(0, 0.05, (len(seen), plan.dim))
@@ -134,8 +135,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float, plan: Pl
     for epoch in range(plan.epochs):
         rate = plan.rate * (1 - epoch / plan.epochs)
         for k in rng.permutation(len(batches)).tolist():
-            truth, used, place, doc, weight = batches[k]
+            truth, used, place, size, weight = batches[k]
             rows_in, here = len(truth), emb[used]
+            doc = np.repeat(np.arange(rows_in, dtype=np.int32), size)
             mean = np.stack([np.bincount(doc, weight * column[place], rows_in) for column in np.ascontiguousarray(here.T)], 1)
             logit = mean @ out + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
@@ -185,16 +187,19 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan) -> tuple[np.ndarray, flo
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     # A doc_id that many rows share counts once, by its first text; so the sample stays bounded.
     once = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "toxic", "text")
-    rows = features(once)
+    out = "score binary, bias double"
 
-    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [(int(d), int(t), np.asarray(b), np.asarray(w, np.float32)) for f in frames for d, t, b, w in zip(f["doc_id"], f["toxic"], f["bucket"], f["weight"])]
-        got.sort(key=lambda r: r[0])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(features(batches), key=lambda r: r[0])
         if got:
-            score, bias = train([r[1:] for r in got], prior, plan)
-            yield pd.DataFrame({"score": [score.tobytes()], "bias": [bias]})
-
-    model = rows.coalesce(1).mapInPandas(learn, "score binary, bias double").collect()
+            rows = [r[1:] for r in got]
+            got.clear()
+            score, bias = train(rows, prior, plan)
+            yield from tables(iter([{"score": [score.tobytes()], "bias": [bias]}]), arrow_schema(out))
+        release()
+
+    # texts go to the one task, not their entries, of which there are some eight bytes for a byte of text
+    model = once.coalesce(1).mapInArrow(learn, out).collect()
     if not model:
         return np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior)))
     return np.frombuffer(model[0]["score"], np.float32), model[0]["bias"]

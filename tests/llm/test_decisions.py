@@ -1,6 +1,7 @@
 """Quality rules, language model, toxicity and mixing against brute force."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -133,6 +134,19 @@ def test_toxicity_learns_stems_and_misspellings(spark):
     assert left == {i for i, r in got.items() if r["predicted"] == 0}
 
 
+def test_training_holds_no_entry_twice():
+    rng = np.random.default_rng(6)
+    rows = [(i % 2, np.unique(rng.integers(0, 20_000, 8000)).astype(np.int32), np.ones(8000, np.float32)) for i in range(500)]
+    rows = [(y, b, w[: len(b)]) for y, b, w in rows]
+    held = sum(8 * len(b) for _, b, _ in rows)
+    tracemalloc.start()
+    toxicity.train(rows, 0.5, toxicity.Plan(dim=1, epochs=1, batch=16))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the rows themselves were allocated before; their batches are as large
+    assert peak < 1.6 * held and rows == [None] * 500
+
+
 def test_toxicity_odd_rows(spark, odd):
     none = spark.createDataFrame([], LABELS)
     got = toxicity.scores(odd, none).collect()
