@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 CELL = 50_000
 #: Sampled keys for each cut.
 PER_CUT = 16
-#: Cuts that are tried one by one; larger steps of as many come first.
-STEP = 128
 
 
 def _once(df: DataFrame) -> DataFrame:
@@ -51,17 +49,24 @@ def _cells(rows: DataFrame, by: Sequence[str], keys: Mapping[str, Sequence[Colum
     cuts = _null_safe_join(sample, F.broadcast(hot), by).groupBy(*by).agg(*lists)
     every = lambda a, n: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(n), F.size(a), F.lit(n)), lambda i: F.element_at(a, i))).otherwise(F.slice(a, 1, 0))
     cuts = cuts.select(*by, *[every(F.col(out), PER_CUT).alias(f"__q_{out}") for out in keys])
-    cuts = cuts.select("*", *[every(F.col(f"__q_{out}"), STEP).alias(f"__s_{out}") for out in keys])
+    # the steps of a binary search: powers of two, down from the largest that the number of cuts has
+    halves = lambda q: F.transform(F.sequence(F.length(F.bin(F.size(q))) - 1, F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    cuts = cuts.select("*", *[halves(F.col(f"__q_{out}")).alias(f"__s_{out}") for out in keys])
     # a cut stands for CELL rows, so cuts are sent to the rows: a join by group would put a whole group in one task
     found = _null_safe_join(rows, F.broadcast(cuts), by, "left")
     for out, cols in keys.items():
-        below = lambda q: q < F.struct(*cols)  # noqa: B023, E731
-        steps = F.size(F.filter(f"__s_{out}", below)) * STEP
-        cell = steps + F.size(F.filter(F.slice(f"__q_{out}", steps + 1, F.lit(STEP)), below))
+        cell = _below(F.col(f"__q_{out}"), F.col(f"__s_{out}"), key[out])
         found = found.withColumn(out, F.when(cols[0].isNotNull(), F.when(F.col(f"__q_{out}").isNull(), 0).otherwise(cell)))
     return found.drop(*[f"__{x}_{out}" for x in "qs" for out in keys])
 
 
+def _below(cuts: Column, steps: Column, key: Column) -> Column:
+    """Number of the sorted ``cuts`` that are below ``key``, by binary search in ``steps``; ``key`` is built once a row."""
+    near = lambda k: lambda pos, step: F.when((pos + step <= F.size(cuts)) & (F.get(cuts, pos + step - 1) < k), pos + step).otherwise(pos)
+    place = lambda k: F.aggregate(steps, F.lit(0), near(k))
+    return F.get(F.transform(F.array(key), place), 0)
+
+
 def _any(conditions) -> Column:
     out = F.lit(False)
     for c in conditions:

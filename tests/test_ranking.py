@@ -123,3 +123,15 @@ def test_cells_do_not_gather_a_group(spark, panel, monkeypatch):
         assert all("__m0" not in part and "__m1" not in part for part in above[:2])
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cells_of_many_cuts_by_binary_search(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "CELL", 64)
+    df = spark.range(20_000).select(F.lit("a").alias("g"), F.col("id"), (F.xxhash64("id") % 5000).cast("double").alias("x"))
+    cells = ranking._cells(df, ["g"], {"b": [F.col("x"), F.col("id")]})
+    got = [r["b"] for r in sorted(cells.collect(), key=lambda r: (r["x"], r["id"]))]
+    steps = np.diff(got)
+    # a cell begins behind a cut: cells ascend one by one, and no row is in a cell below that of a smaller row
+    assert got[0] == 0 and got[-1] > 200 and set(steps.tolist()) == {0, 1}
+    # the cuts are not tried one after another
+    assert "filter(" not in cells._jdf.queryExecution().optimizedPlan().toString()
