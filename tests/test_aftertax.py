@@ -229,3 +229,36 @@ def test_idle_months_are_skipped():
     assert found == [1, 2, 4, 5, 6]
     del path[2], path[6]  # unpriced months of a held name are steps
     assert [t for t, *_ in at.walk(path, [], MONTHS, run, "as_run", 1.0, 5.0)] == found
+
+
+@pytest.mark.parametrize("exits", at.POLICIES)
+def test_names_walked_at_once_equal_names_walked_alone(exits):
+    """Long spells, flips, washes, gaps, freezes and terminal events: the arrays follow the rules of a single name."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    months = [dt.date(2000 + i // 12, i % 12 + 1, 28) for i in range(30)]
+    kind = pa.list_(pa.struct([("t", pa.int32()), *((c, pa.float64()) for c in at.STEP[1:-1]), ("ok", pa.bool_())]))
+    steps = lambda n: [
+        dict(
+            t=t, w=float(rng.choice([0.0, 0.3, 0.31, 0.5, -0.2, 0.2])) * (n % 3 < 2 or t > 12) + (n % 2) * 0.05 * t * (n % 5 == 1), r=None if rng.random() < 0.03 else float(rng.choice([0.0, rng.normal(0.0, 0.1)])),
+            spread=0.01, sigma_d=0.02, adv_usd=1e5, ok=bool(rng.random() < 0.95),
+        )
+        for t in range(30) if rng.random() < 0.97
+    ]
+    column = pa.array([steps(n) for n in range(40)], kind)
+    ends = [[{"t": int(t), "cost": None if rng.random() < 0.3 else 0.02} for t in sorted(rng.integers(0, 31, n % 3))] for n in range(40)]
+    runs = [
+        dict(method=m, long_months=4, wash_days=w, mark_to_market=k, aum=1e5, gross=[0.01 * (-1) ** t for t in range(30)])
+        for m in ("fifo", "lifo", "hifo", "tax_optimal") for w, k in ((0, False), (30, False), (75, False), (0, True), (30, True))
+    ]
+    found = {(j, t): np.array(values) for j, t, *values in at.walk_all(at.dense(column, 30), ends, months, runs, exits, 1.0, 5.0)}
+    alone: dict = {}
+    for path, own in zip(at.paths(column), ends):
+        for j, one in enumerate(runs):
+            for t, *values in at.walk(path, own, months, one, exits, 1.0, 5.0):
+                alone[j, t] = alone.get((j, t), 0.0) + np.array(values)
+    assert found.keys() == alone.keys()
+    assert all(np.allclose(found[key], alone[key], rtol=1e-9, atol=1e-12) for key in alone)
+    told = dict(zip(at.SUMS, sum(alone.values())))
+    assert told["disallowed"] > 0 and told["realised_lt"] != 0 and (exits == "as_run" or min(told[c] for c in ("n_frozen", "n_stale", "n_unresolved", "n_closed", "n_blocked", "n_uncosted")) > 0)
