@@ -42,6 +42,10 @@ def _certified(at) -> list[Column]:
     ]
 
 
+#: Trades that one task takes between shuffles; their bars fit its memory as a table and as a sort.
+TRADES = 300_000
+
+
 class Market:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -77,13 +81,21 @@ class Market:
             .select(F.col("s_suppkey").alias("sec_id"), F.col("r_name").alias("country"))
         )
 
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks that share the trades: their number grows with the table, whose rows its footers tell."""
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(least, -(-self.table("lineitem").count() // TRADES))
+
     @cached_property
     def daily_px(self) -> DataFrame:
-        """One bar per security and day. Aggregated before the dimension join, so a hot security is reduced map-side."""
+        """One bar per security and day. A bar has hardly more than a trade, so trades are dealt by security and day as they are: a table of
+        bars beside the scan would be as large as its split and spill. The days of a hot security go to all tasks."""
         unit = F.col("l_extendedprice") / F.col("l_quantity")
         bars = (
             self.table("lineitem")
-            .withColumn("d", F.to_date("l_shipdate"))
+            .select("l_suppkey", F.to_date("l_shipdate").alias("d"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+            .repartition(self.tasks, "l_suppkey", "d")
             .groupBy(F.col("l_suppkey").alias("sec_id"), "d")
             .agg(
                 ((F.min(unit) + F.max(unit)) / 2).alias("op"),
@@ -152,7 +164,7 @@ class Market:
     @cached_property
     def rolled(self) -> DataFrame:
         """Daily returns with their 21-row statistics."""
-        px = self.daily_px.select("country", "sec_id", "d", "cur", "cl", "hi", "lo", "vol", "notional", "disc", "tax")
+        px = self.daily_px.select("country", "sec_id", "d", "cur", "cl", "hi", "lo", "vol", "notional", "disc", "tax").repartition(self.tasks, "sec_id")
         returns = daily.daily_returns(px, keys=["sec_id"], date="d", currency="cur", price="cl", high="hi", low="lo")
         return daily.rolling_features(
             returns, keys=["sec_id"], date="d",
