@@ -20,5 +20,8 @@ from panelmill.functions.ranking import (  # noqa: F401
     quantiles,
     row_rank,
     row_ranks,
+)
+from panelmill.functions.paired import (  # noqa: F401
     spearman,
+    spearmans,
 )

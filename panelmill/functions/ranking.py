@@ -39,6 +39,11 @@ def _null_safe_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: s
     return left.join(renamed, cond, how).drop(*[f"__k{i}" for i in range(len(by))])
 
 
+def every(a: Column, n: int) -> Column:
+    """Each n-th entry of an array."""
+    return F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(n), F.size(a), F.lit(n)), lambda i: F.element_at(a, i))).otherwise(F.slice(a, 1, 0))
+
+
 def _cells(rows: DataFrame, by: Sequence[str], keys: Mapping[str, Sequence[Column]]) -> DataFrame:
     """Add for each output of ``keys`` the cell of its key columns; where the first of them is missing it is null. Small groups have cell 0."""
     key = {out: F.struct(*cols) for out, cols in keys.items()}
@@ -47,7 +52,6 @@ def _cells(rows: DataFrame, by: Sequence[str], keys: Mapping[str, Sequence[Colum
     sample = rows.where(_any(picked.values()))
     lists = [F.sort_array(F.collect_list(F.when(picked[out], key[out]))).alias(out) for out in keys]
     cuts = _null_safe_join(sample, F.broadcast(hot), by).groupBy(*by).agg(*lists)
-    every = lambda a, n: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(n), F.size(a), F.lit(n)), lambda i: F.element_at(a, i))).otherwise(F.slice(a, 1, 0))
     cuts = cuts.select(*by, *[every(F.col(out), PER_CUT).alias(f"__q_{out}") for out in keys])
     # the steps of a binary search: powers of two, down from the largest that the number of cuts has
     halves = lambda q: F.transform(F.sequence(F.length(F.bin(F.size(q))) - 1, F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
@@ -148,29 +152,6 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     return values.groupBy(*by).agg(F.max("__sum").cast("long").alias("n"), *exprs)
 
 
-def spearman(df: DataFrame, by: Sequence[str], a: str, b: str, min_n: int = 1, out: str = "ic") -> DataFrame:
-    """Spearman correlation with average ties, one row per group that has at least ``min_n`` complete pairs.
-
-    Equal pairs are counted before anything else; both columns are ranked in one pass.
-    """
-    by = list(by)
-    pairs = df.select(*by, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__c")).filter(F.col("__a").isNotNull() & F.col("__c").isNotNull())
-    pairs = _once(pairs.groupBy(*by, "__a", "__c").agg(F.count(F.lit(1)).alias("__k")))
-    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(("__a", "__c"))])).alias("s")
-    long = pairs.select(*by, "__k", sides).select(*by, "__k", F.col("s.i").alias("__i"), F.col("s.v").alias("__v"))
-    ranks = _distinct_values(long, [*by, "__i"], "__v", F.sum("__k")).select(*by, "__i", "__v", _mean_rank().alias("__r"))
-    one = lambda i, c, r: ranks.where(F.col("__i") == i).select(*by, F.col("__v").alias(c), F.col("__r").alias(r))
-    ranked = _null_safe_join(_null_safe_join(pairs, one(0, "__a", "__ra"), [*by, "__a"]), one(1, "__c", "__rc"), [*by, "__c"])
-    # Ranks 1..n have the mean (n + 1) / 2 whatever their ties.
-    n = F.sum("__k")
-    mean = lambda e: F.sum(F.col("__k") * e)
-    x, y = F.col("__ra"), F.col("__rc")
-    sums = ranked.groupBy(*by).agg(n.cast("long").alias("n"), mean(x * y).alias("__xy"), mean(x * x).alias("__xx"), mean(y * y).alias("__yy"))
-    off = F.col("n") * ((F.col("n") + 1) / 2.0) ** 2
-    spread = (F.col("__xx") - off) * (F.col("__yy") - off)
-    return sums.filter(F.col("n") >= min_n).select(*by, "n", F.when(spread > 0, (F.col("__xy") - off) / F.sqrt(spread)).alias(out))
-
-
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str, out: str = "wmedian") -> DataFrame:
     """Smallest value at which the running weight share reaches one half."""
     by = list(by)

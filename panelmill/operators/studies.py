@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelmill.functions import avg_rank, ratio, spearman
+from panelmill.functions import avg_rank, ratio, spearmans
 from panelmill.operators import book as bk
 from panelmill.operators import bootstrap
 from panelmill.operators import inference as inf
@@ -24,14 +26,15 @@ def signal_quality(
 ) -> DataFrame:
     """Per signal: mean IC, spread, ICIR, HAC t, month-to-month rank persistence, horizon ICs and decay half-life."""
     cols = list(dict.fromkeys([target, *horizons]))
-    long = xs.melt(df, [id, month, *cols], signals)
+    df = df.filter(reduce(or_, [F.col(s).isNotNull() for s in signals]))
     order = df.select(month).distinct().withColumn("__i", F.row_number().over(Window.orderBy(month)))  # months only
-    w = Window.partitionBy("signal", id).orderBy("__i")
-    before = F.when(F.lag("__i").over(w) == F.col("__i") - 1, F.lag("value").over(w))
-    # Every signal meets all targets, its own last value being one more, in one pass of ranks.
-    against = F.explode(F.array(*[F.struct(F.lit(c).alias("h"), F.col(c).alias("y")) for c in (*cols, "__prev")])).alias("__t")
-    pairs = long.join(F.broadcast(order), month).withColumn("__prev", before).select("signal", month, "value", against)
-    all_ics = written(spearman(pairs.select("signal", F.col("__t.h").alias("h"), month, "value", F.col("__t.y").alias("y")), ["signal", "h", month], "value", "y", min_n=2), "ics")
+    w = Window.partitionBy(id).orderBy(month)
+    before = [F.when(F.lag("__i").over(w) == F.col("__i") - 1, F.lag(s).over(w)).alias(f"__prev_{s}") for s in signals]
+    # every signal meets all targets, its own last value being one more; each column is ranked once
+    pairs = [(s, c) for s in signals for c in (*cols, f"__prev_{s}")]
+    ranked = spearmans(df.join(F.broadcast(order), month).select(month, *signals, *cols, *before), [month], pairs, min_n=2)
+    last = F.col("second") == F.concat(F.lit("__prev_"), "first")
+    all_ics = written(ranked.select(F.col("first").alias("signal"), F.when(last, "__prev").otherwise(F.col("second")).alias("h"), month, "n", "ic"), "ics")
     ics = all_ics.filter((F.col("h") == target) & (F.col("n") >= min_n) & F.col("ic").isNotNull()).drop("n")
     h = inf.hac(ics, ["signal"], month, {"ic": "ic"})
     at = lambda c, n: F.avg(F.when((F.col("h") == c) & (F.col("n") >= n), F.col("ic")))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelmill.functions import avg_rank, group_stats, quantiles, row_rank, spearman
+from panelmill.functions import avg_rank, group_stats, quantiles, row_rank, spearman, spearmans
 from panelmill.functions import ranking
 from panelmill.functions.ranking import weighted_median
 from panelmill.operators import models as md
@@ -135,3 +135,71 @@ def test_cells_of_many_cuts_by_binary_search(spark, monkeypatch):
     assert got[0] == 0 and got[-1] > 200 and set(steps.tolist()) == {0, 1}
     # the cuts are not tried one after another
     assert "filter(" not in cells._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spearmans_of_many_pairs(spark, cell):
+    """All pairs at once, each among its own complete rows; ties, a constant, NaN as the largest value, a group without a key, a value that most rows share."""
+    rng = np.random.default_rng(3)
+    data = [
+        ("a" if i % 10 else None if i % 20 else "b", float(rng.normal()), None if i % 7 == 2 else float(rng.integers(0, 5)),
+         None if i % 5 == 1 else float("nan") if i % 11 == 3 else float(rng.normal()), 3.0, 0.0 if i % 3 else float(i))
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(data, "g string, x double, y double, z double, k double, o double")
+    pairs = [("x", "y"), ("x", "z"), ("y", "z"), ("x", "k"), ("o", "x"), ("x", "x"), ("z", "o")]
+    got = {(r["g"], r["first"], r["second"]): (r["n"], r["ic"]) for r in spearmans(df, ["g"], pairs, min_n=2).collect()}
+    assert len(got) == 3 * len(pairs)
+    import pandas as pd
+
+    for g in ("a", "b", None):
+        rows_ = [r[1:] for r in data if r[0] == g]
+        cols = dict(zip("xyzko", zip(*rows_)))
+        for a, b in pairs:
+            both = [(u, v) for u, v in zip(cols[a], cols[b]) if u is not None and v is not None]
+            u, v = (pd.Series([np.inf if t != t else t for t in side]).rank() for side in zip(*both))
+            n, ic = got[(g, a, b)]
+            assert n == len(both)
+            assert ic is None if u.nunique() == 1 or v.nunique() == 1 else abs(ic - u.corr(v)) < 1e-12
+
+
+def test_signal_quality_ranks_each_column_once(spark, monkeypatch):
+    """What is written grows with the rows, not with the pairs of signal and target; cells don't change a result."""
+    import datetime as dt
+
+    from panelmill.operators import studies
+    from panelmill.sources import io
+
+    rng = np.random.default_rng(5)
+    data = [
+        (dt.date(2000 + m // 12, m % 12 + 1, 28), s, *[None if (s + m + j) % 9 == 0 else float(rng.integers(0, 20)) for j in range(2)], *map(float, rng.normal(size=3)))
+        for m in range(8) for s in range(40) if (s * m) % 11 != 5
+    ]
+    df = spark.createDataFrame(data, "m date, id long, a double, b double, r_1m double, r_3m double, r_6m double").cache()
+    sizes, plain = [], io.written
+
+    def counted(rows_, name):
+        out = plain(rows_, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(io, "written", counted)
+    found = []
+    for n in (10**6, 4):
+        monkeypatch.setattr(ranking, "CELL", n)
+        out = studies.signal_quality(df, ["a", "b"], id="id", month="m", target="r_1m", horizons={"r_1m": 1, "r_3m": 3, "r_6m": 6})
+        found.append(rows(out, 10))
+        assert max(sizes) <= len(data)
+        sizes.clear()
+    assert found[0] == found[1] and len(found[0]) == 2
+    # the last value of a signal counts only where it is of the month before
+    last = {(r[0], r[1]): r for r in data}
+    months = sorted({r[0] for r in data})
+    acs = []
+    import pandas as pd
+
+    for before, m in zip(months, months[1:]):
+        both = [(r[2], last[before, r[1]][2]) for r in data if r[0] == m and (before, r[1]) in last and r[2] is not None and last[before, r[1]][2] is not None]
+        u, v = map(lambda side: pd.Series(side).rank(), zip(*both))
+        acs.append(u.corr(v))
+    got = {r["signal"]: r["autocorr_1m"] for r in out.collect()}
+    assert abs(got["a"] - np.mean(acs)) < 1e-12
