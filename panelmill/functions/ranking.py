@@ -133,9 +133,11 @@ def avg_rank(df: DataFrame, by: Sequence[str], order: str, out: str = "rank") ->
 
 
 def group_stats(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
-    """Attach group aggregates to every row; they are summed within tasks and joined to the rows."""
+    """Attach group aggregates to every row. They are summed within tasks and written, so that Spark knows their size: few are broadcast and no row is shuffled."""
+    from panelmill.sources.io import written
+
     by = list(by)
-    return _null_safe_join(df, df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)
+    return _null_safe_join(df, written(df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), "stats"), by)
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

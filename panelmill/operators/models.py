@@ -334,47 +334,85 @@ def scale_alpha(df: DataFrame, *, by: Sequence[str], score: str, vol: str, ic: f
     return z.withColumn("alpha", (ic if isinstance(ic, Column) else F.lit(float(ic))) * F.col(vol) * F.col("__z")).drop("__z")
 
 
+def _shrunk(alpha: str, unc: str, kappa: float | Column) -> Column:
+    """Alpha where the uncertainty's mean over the cross-section is ``__mu``."""
+    k = kappa if isinstance(kappa, Column) else F.lit(float(kappa))
+    return F.col(alpha) / (1.0 + k * F.coalesce(ratio(unc, "__mu"), F.lit(1.0)) ** 2)
+
+
 def shrink(df: DataFrame, *, by: Sequence[str], alpha: str, unc: str, kappa: float | Column) -> DataFrame:
     """Alpha shrunk where its uncertainty exceeds the mean of its cross-section."""
     st = group_stats(df, list(by), __mu=F.avg(unc))
-    rel = F.coalesce(ratio(unc, "__mu"), F.lit(1.0))
-    k = kappa if isinstance(kappa, Column) else F.lit(float(kappa))
-    return st.withColumn("alpha_shrunk", F.col(alpha) / (1.0 + k * rel ** 2)).drop("__mu")
+    return st.withColumn("alpha_shrunk", _shrunk(alpha, unc, kappa)).drop("__mu")
+
+
+def proxy_books(df: DataFrame, alphas: Mapping[str, Column], *, by: Sequence[str], vol: str, gross: float = 2.0, cap: float = 0.01) -> DataFrame:
+    """Diagonal mean-variance books, one weight column for each alpha: alpha over variance, neutral, capped, legs equalised, gross at most ``gross``.
+
+    Cross-sections give a few numbers each to all books at once; rows are neither repeated nor shuffled.
+    """
+    by, outs = list(by), list(alphas)
+    col = lambda name, o: F.col(f"__{name}_{o}")
+    var = F.greatest(F.col(vol) ** 2, F.lit(1e-8))
+    s = df.select("*", *[(F.coalesce(a, F.lit(0.0)) / var).alias(f"__a_{o}") for o, a in alphas.items()])
+    s = group_stats(s, by, **{f"__mu_{o}": F.avg(f"__a_{o}") for o in outs})
+    s = s.withColumns({f"__a_{o}": col("a", o) - col("mu", o) for o in outs})
+    s = group_stats(s, by, **{f"__den_{o}": F.sum(F.abs(f"__a_{o}")) for o in outs})
+    s = s.withColumns({f"__w_{o}": F.when(col("den", o) >= 1e-12, clip(gross * col("a", o) / col("den", o), -cap, cap)).otherwise(0.0) for o in outs})
+    legs = {f"__long_{o}": F.sum(F.greatest(f"__w_{o}", F.lit(0.0))) for o in outs} | {f"__short_{o}": F.sum(F.greatest(-col("w", o), F.lit(0.0))) for o in outs}
+    s = group_stats(s, by, **legs)
+
+    def weight(o: str) -> Column:
+        target = F.least(col("long", o), col("short", o))
+        side = F.when(col("w", o) > 0, col("long", o)).otherwise(col("short", o))
+        w = F.when(target > 0, col("w", o) * target / F.when(side > 0, side))
+        scale = F.when(2 * target > gross, gross / (2 * target)).otherwise(1.0)
+        return F.coalesce(w * scale, F.lit(0.0))
+
+    return s.withColumns({o: weight(o) for o in outs}).drop(*[f"__{x}_{o}" for o in outs for x in ("a", "mu", "den", "w", "long", "short")])
 
 
 def proxy_book(df: DataFrame, *, by: Sequence[str], alpha: str, vol: str, gross: float = 2.0, cap: float = 0.01) -> DataFrame:
-    """Diagonal mean-variance book: alpha over variance, neutral, capped, legs equalised, gross at most ``gross``."""
+    """``proxy_books`` of one alpha, its weight as ``w``."""
+    return proxy_books(df, {"w": F.col(alpha)}, by=by, vol=vol, gross=gross, cap=cap)
+
+
+def proxy_nets(book: DataFrame, weights: Mapping[str, str], *, by: Sequence[str], id: str, month: str, aum: float, borrow: float) -> DataFrame:
+    """Monthly net return of books (weight -> output) against their previous weights (names that left are not charged), from one shuffle of their rows."""
     by = list(by)
-    raw = df.withColumn("__a", F.coalesce(F.col(alpha), F.lit(0.0)) / F.greatest(F.col(vol) ** 2, F.lit(1e-8)))
-    s = group_stats(raw, by, __mu=F.avg("__a")).withColumn("__a", F.col("__a") - F.col("__mu"))
-    s = group_stats(s, by, __den=F.sum(F.abs("__a")))
-    s = s.withColumn("__w", F.when(F.col("__den") >= 1e-12, clip(gross * F.col("__a") / F.col("__den"), -cap, cap)).otherwise(0.0))
-    s = group_stats(s, by, __long=F.sum(F.greatest("__w", F.lit(0.0))), __short=F.sum(F.greatest(-F.col("__w"), F.lit(0.0))))
-    target = F.least("__long", "__short")
-    side = F.when(F.col("__w") > 0, F.col("__long")).otherwise(F.col("__short"))
-    w = F.when(target > 0, F.col("__w") * target / F.when(side > 0, side))
-    scale = F.when(2 * target > gross, gross / (2 * target)).otherwise(1.0)
-    return s.withColumn("w", F.coalesce(w * scale, F.lit(0.0))).drop("__a", "__mu", "__den", "__w", "__long", "__short")
+    dates = written(bk.book_dates(book, by, month).select(*by, month, "__i"), "dates")
+    rows = book.join(dates, [*by, month]).select(*by, id, month, "__i", "ret_next", "spread", "sigma_d", "adv_usd", *weights)
+    over = Window.partitionBy(*by, id).orderBy(month)
+    follows = F.lag("__i").over(over) == F.col("__i") - 1
+    rows = rows.withColumns({f"__p_{w}": F.when(follows, F.lag(w).over(over)) for w in weights})
+
+    def net(w: str) -> Column:
+        lin, imp = bk.trade_cost(F.col(w) - F.coalesce(f"__p_{w}", F.lit(0.0)), F.col("spread"), F.col("sigma_d"), F.col("adv_usd"), F.lit(float(aum)))
+        return F.col(w) * F.coalesce("ret_next", F.lit(0.0)) - lin - imp - bk.borrow_cost(F.col(w), borrow)
+
+    return rows.groupBy(*by, month).agg(*[F.sum(net(w)).alias(out) for w, out in weights.items()])
 
 
 def proxy_net(book: DataFrame, *, by: Sequence[str], id: str, month: str, aum: float, borrow: float) -> DataFrame:
-    """Monthly net return of a book against its previous weights (names that left are not charged)."""
-    t = bk.trades(book, by=by, id=id, month=month).filter("event = 'held'")
-    w1, w0 = F.col("cur.w"), F.coalesce("prev.w", F.lit(0.0))
-    lin, imp = bk.trade_cost(w1 - w0, F.col("cur.spread"), F.col("cur.sigma_d"), F.col("cur.adv_usd"), F.lit(float(aum)))
-    net = w1 * F.coalesce("cur.ret_next", F.lit(0.0)) - lin - imp - bk.borrow_cost(w1, borrow)
-    return t.groupBy(*by, month).agg(F.sum(net).alias("net_ret"))
+    """``proxy_nets`` of the weight ``w``."""
+    return proxy_nets(book, {"w": "net_ret"}, by=by, id=id, month=month, aum=aum, borrow=borrow)
 
 
 def select_kappa(
     df: DataFrame, grid: Sequence[float], *, by: Sequence[str], id: str, month: str, alpha: str, unc: str, vol: str, aum: float, borrow: float, cap: float = 0.01,
 ) -> DataFrame:
-    """Total validation net return of each model's proxy book at every shrinkage strength, and which is best (the smallest on ties)."""
+    """Total validation net return of each model's proxy book at every shrinkage strength, and which is best (the smallest on ties).
+
+    The books of all strengths are columns beside each other, so a row is shuffled once for all of them.
+    """
     by = list(by)
-    rows = df.withColumn("kappa", F.explode(F.array(*[F.lit(float(k)) for k in grid])))
-    rows = shrink(rows, by=[*by, "kappa", month], alpha=alpha, unc=unc, kappa=F.col("kappa"))
-    book = proxy_book(rows, by=[*by, "kappa", month], alpha="alpha_shrunk", vol=vol, cap=cap)
-    total = proxy_net(book, by=[*by, "kappa"], id=id, month=month, aum=aum, borrow=borrow).groupBy(*by, "kappa").agg(F.sum("net_ret").alias("total"))
+    strengths = {f"__w{i}": k for i, k in enumerate(dict.fromkeys(float(k) for k in grid))}
+    rows = group_stats(df, [*by, month], __mu=F.avg(unc))
+    book = proxy_books(rows, {w: _shrunk(alpha, unc, k) for w, k in strengths.items()}, by=[*by, month], vol=vol, cap=cap)
+    nets = proxy_nets(book, {w: f"__net{w}" for w in strengths}, by=by, id=id, month=month, aum=aum, borrow=borrow)
+    sums = nets.groupBy(*by).agg(*[F.sum(f"__net{w}").alias(w) for w in strengths])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kappa"), F.col(w).alias("total")) for w, k in strengths.items()]))
+    total = sums.select(*by, each.alias("__k")).select(*by, "__k.*")
     best = F.first("kappa").over(Window.partitionBy(*by).orderBy(F.col("total").desc(), "kappa"))  # one row per strength
     return total.select(*by, "kappa", "total", (F.col("kappa") == best).alias("best"))
 

@@ -152,9 +152,10 @@ view("alphas", """
 @shared
 def alphas(t):
     ics = md.rank_ic(scored(t), by=["cell"], month="m", score="score", target="ret_next", bounds=(-0.1, 0.1), floor=0.005)
-    s = scored(t).join(ics.select("cell", "ic_used"), "cell")
+    s = scored(t).join(t.stage("cell_ics", ics.select("cell", "ic_used")), "cell")
     a = md.scale_alpha(s, by=["cell", "m"], score="score", vol="sigma_d", ic=F.col("ic_used")).drop("ic_used")
-    return t.stage("alphas", md.shrink(a, by=["cell", "m"], alpha="alpha", unc="spread", kappa=2.0))
+    a = md.shrink(a, by=["cell", "m"], alpha="alpha", unc="spread", kappa=2.0)
+    return t.stage("alphas", a.select("cell", "sec_id", "m", "ret_next", "spread", "sigma_d", "adv_usd", "alpha", "alpha_shrunk"))
 
 
 @query("m14_volatility_scaled_alpha", f"SELECT cell, sec_id, m, {R('alpha', 8)} AS alpha FROM alphas")

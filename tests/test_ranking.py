@@ -203,3 +203,53 @@ def test_signal_quality_ranks_each_column_once(spark, monkeypatch):
         acs.append(u.corr(v))
     got = {r["signal"]: r["autocorr_1m"] for r in out.collect()}
     assert abs(got["a"] - np.mean(acs)) < 1e-12
+
+
+def test_books_of_all_strengths_share_one_shuffle(spark):
+    """Cross-sections come back as a few broadcast numbers; rows are not repeated for a strength and meet their previous weights by one shuffle."""
+    import datetime as dt
+
+    import pandas as pd
+
+    from panelmill.sources.io import written
+
+    rng = np.random.default_rng(11)
+    months = [dt.date(2000, i, 28) for i in (1, 2, 3, 5, 6)]
+    data = [
+        (c, s, m, float(rng.normal()), None if s % 7 == 3 else float(rng.random() / 100), float(rng.random() / 50), None if s % 5 == 1 else float(1e5 * rng.random()),
+         None if s % 6 == 2 else float(rng.normal() / 100))
+        for c in "ab" for m in months for s in range(25) if rng.random() > 0.2
+    ]
+    cols = ["cell", "id", "m", "alpha", "spread", "sigma_d", "adv_usd", "ret_next"]
+    df = written(spark.createDataFrame(data, "cell string, id long, m date, alpha double, spread double, sigma_d double, adv_usd double, ret_next double"), "test")
+    grid = [0.0, 1.0, 4.0]
+    out = md.select_kappa(df, grid, by=["cell"], id="id", month="m", alpha="alpha", unc="spread", vol="sigma_d", aum=1e5, borrow=0.03, cap=0.05)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 5 and plan.count("Window [lag") == 1
+    below = plan[plan.index("Window [lag") :]
+    assert "Generate" not in below and below.count("Exchange hashpartitioning(") == 1
+    got = {(r["cell"], r["kappa"]): (r["total"], r["best"]) for r in out.collect()}
+    assert len(got) == 6
+
+    p = pd.DataFrame(data, columns=cols)
+    for c in "ab":
+        totals = []
+        for k in grid:
+            prev, total = {}, 0.0
+            for m in months:
+                g = p[(p["cell"] == c) & (p["m"] == m)]
+                rel = (g["spread"] / g["spread"].mean()).fillna(1.0)
+                a = g["alpha"] / (1 + k * rel**2) / np.maximum(g["sigma_d"] ** 2, 1e-8)
+                a = a - a.mean()
+                w = (2 * a / a.abs().sum()).clip(-0.05, 0.05)
+                long, short = w.clip(lower=0).sum(), -w.clip(upper=0).sum()
+                w = w * min(long, short) / np.where(w > 0, long, short)
+                w = w * min(1.0, 1 / min(long, short))
+                dw = (w - g["id"].map(prev).fillna(0.0)).abs()
+                ok = (g["adv_usd"] > 0) & g["spread"].notna()
+                cost = np.where(ok, 0.5 * g["spread"] * dw + 0.0005 * dw + g["sigma_d"] * np.sqrt(1e5 / np.maximum(g["adv_usd"], 1.0)) * dw**1.5, 0.0)
+                total += (w * g["ret_next"].fillna(0.0) - cost - (-w).clip(lower=0) * 0.03 / 12).sum()
+                prev = dict(zip(g["id"], w))
+            totals.append(total)
+        for k, t in zip(grid, totals):
+            assert abs(got[c, k][0] - t) < 1e-9 and got[c, k][1] == (t == max(totals))
